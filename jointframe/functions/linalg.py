@@ -77,17 +77,19 @@ def rpy_matrix(rpy: Vec) -> Mat:
     return matmul(matmul(rz, ry), rx)
 
 
-def skew(v: Vec) -> Mat:
-    zero = F.lit(0.0)
-    return [zero, -v[2], v[1], v[2], zero, -v[0], -v[1], v[0], zero]
+def turn_matrix(axis: Vec, c: Column, s: Column) -> Mat:
+    """Rotation about a unit axis from the cosine and sine of the angle: c·I + s·[a]x + (1 − c)·a·aᵀ."""
+    x, y, z = axis
+    d = 1 - c
+    return [
+        x * x * d + c, x * y * d - z * s, x * z * d + y * s,
+        y * x * d + z * s, y * y * d + c, y * z * d - x * s,
+        z * x * d - y * s, z * y * d + x * s, z * z * d + c,
+    ]
 
 
 def axis_angle_matrix(axis: Vec, angle: Column) -> Mat:
-    """Rodrigues: I + sin·K + (1 − cos)·K²."""
-    k = skew(axis)
-    kk = matmul(k, k)
-    s, c = F.sin(angle), 1 - F.cos(angle)
-    return [F.lit(float(i)) + s * a + c * b for i, a, b in zip(IDENTITY, k, kk)]
+    return turn_matrix(axis, F.cos(angle), F.sin(angle))
 
 
 def rigid_mul(a: tuple[Mat, Vec], b: tuple[Mat, Vec]) -> tuple[Mat, Vec]:

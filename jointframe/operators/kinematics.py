@@ -140,18 +140,10 @@ def joint_value(kind: Column, lower: Column, upper: Column, frame: Column, n_fra
     return F.sin(t * F.pi()) * joint_target(kind, lower, upper)
 
 
-def joint_motion(kind: Column, origin: la.Vec, axis: la.Vec, q: Column) -> tuple[la.Mat, la.Vec]:
-    """Local pose of a child link at joint value q: offset, then slide or turn along the axis."""
-    slide = kind == "prismatic"
-    still = kind == "fixed"
-    turn = la.axis_angle_matrix(la.normalise(axis), F.when(slide | still, 0.0).otherwise(q))
-    move = F.when(slide, q).otherwise(0.0)
-    return turn, la.add(origin, la.scale(la.normalise(axis), move))
-
-
 def joint_paths(joints: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys…, link, path): the joints from the root down to each link, as one array per link."""
-    step_fields = F.struct("type", "lower", "upper", *[f"o{i}" for i in range(3)], *[f"ax{i}" for i in range(3)])
+    axis = [c.alias(f"ax{i}") for i, c in enumerate(la.normalise(la.fields("ax", 3)))]
+    step_fields = F.struct("type", "lower", "upper", *[f"o{i}" for i in range(3)], *axis)
     local = joints.select(*keys, "parent", "child", step_fields.alias("_joint"))
     top = roots(joints.select(*keys, "parent", "child"), keys).withColumnRenamed("link", "parent")
     start = local.join(top, [*keys, "parent"], "left_semi").select(
@@ -174,15 +166,29 @@ def forward_kinematics(joints: DataFrame, keys: Sequence[str], n_frames: int, va
     """
     pose = [f"r{i}" for i in range(9)] + [f"t{i}" for i in range(3)]
     framed = joint_paths(joints, keys).withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(n_frames))))
-    start = F.struct(*[c.alias(p) for c, p in zip(la.lits([*la.IDENTITY, 0, 0, 0]), pose)])
 
-    def fold(acc: Column, j: Column) -> Column:
+    def motion(j: Column) -> Column:
         q = value(j["type"], j["lower"], j["upper"], F.col("frame"), n_frames)
-        local = joint_motion(j["type"], la.fields("o", 3, j), la.fields("ax", 3, j), q)
-        m, v = la.rigid_mul((la.fields("r", 9, acc), la.fields("t", 3, acc)), local)
+        turns = j["type"].isin("revolute", "continuous")
+        return F.struct(j.alias("j"), F.when(turns, q).otherwise(0.0).alias("turn"),
+                        F.when(j["type"] == "prismatic", q).otherwise(0.0).alias("slide"))
+
+    def trig(m: Column) -> Column:
+        return F.struct(m.alias("m"), F.cos(m["turn"]).alias("c"), F.sin(m["turn"]).alias("s"))
+
+    def local(k: Column) -> Column:
+        j, axis = k["m"]["j"], la.fields("ax", 3, k["m"]["j"])
+        shift = la.add(la.fields("o", 3, j), la.scale(axis, k["m"]["slide"]))
+        return F.struct(*[c.alias(p) for c, p in zip([*la.turn_matrix(axis, k["c"], k["s"]), *shift], pose)])
+
+    def fold(acc: Column, own: Column) -> Column:
+        m, v = la.rigid_mul((la.fields("r", 9, acc), la.fields("t", 3, acc)), (la.fields("r", 9, own), la.fields("t", 3, own)))
         return F.struct(*[c.alias(p) for c, p in zip([*m, *v], pose)])
 
-    out = framed.withColumn("_pose", F.aggregate("path", start, fold))
+    # Lambdas are interpreted, so every shared value is computed once by its own transform.
+    steps = F.transform(F.transform(F.transform("path", motion), trig), local)
+    start = F.struct(*[c.alias(p) for c, p in zip(la.lits([*la.IDENTITY, 0, 0, 0]), pose)])
+    out = framed.withColumn("_pose", F.aggregate(steps, start, fold))
     return out.select(*keys, "link", F.col("frame").cast("bigint").alias("frame"), "_pose.*")
 
 

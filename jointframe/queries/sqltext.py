@@ -16,7 +16,7 @@ def add(a: list[str], b: list[str]) -> list[str]:
 
 
 def _row(a: list[str], b: list[str]) -> str:
-    return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b)) + ")"
+    return "(" + " + ".join(f"({x}) * {y}" for x, y in zip(a, b)) + ")"
 
 
 def matvec(m: list[str], v: list[str]) -> list[str]:
