@@ -69,12 +69,10 @@ def transpose(m: Mat) -> Mat:
 
 def rpy_matrix(rpy: Vec) -> Mat:
     """Rz(yaw) · Ry(pitch) · Rx(roll)."""
-    one, zero = F.lit(1.0), F.lit(0.0)
     (cr, cp, cy), (sr, sp, sy) = [F.cos(a) for a in rpy], [F.sin(a) for a in rpy]
-    rx = [one, zero, zero, zero, cr, -sr, zero, sr, cr]
-    ry = [cp, zero, sp, zero, one, zero, -sp, zero, cp]
-    rz = [cy, -sy, zero, sy, cy, zero, zero, zero, one]
-    return matmul(matmul(rz, ry), rx)
+    # Rows of Ry · Rx; Rz then mixes the first two.
+    top, middle, bottom = [cp, sp * sr, sp * cr], [F.lit(0.0), cr, -sr], [-sp, cp * sr, cp * cr]
+    return [*sub(scale(top, cy), scale(middle, sy)), *add(scale(top, sy), scale(middle, cy)), *bottom]
 
 
 def turn_matrix(axis: Vec, c: Column, s: Column) -> Mat:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from jointframe import fixed
 from jointframe.functions import linalg as la
 from jointframe.plans.recursion import levels
+from jointframe.session import durable
 
 
 def roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -35,6 +36,7 @@ def ancestor_pairs(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     and a hot ancestor only makes the probing side of the join hot, which AQE
     splits. A walk that would revisit a node stops, so cycles end.
     """
+    edges = durable(edges.select(*keys, "parent", "child"))
     up = edges.select(*keys, F.col("child").alias("ancestor"), F.col("parent").alias("_next"))
     start = edges.select(
         *keys, F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("dist"),
@@ -86,10 +88,10 @@ def world_transforms(joints: DataFrame, keys: Sequence[str], use_rpy: bool = Tru
     """World pose of every child link: rotation r0..r8 (row major) and translation t0..t2."""
     origin = la.fields("o", 3)
     turn = la.rpy_matrix(la.fields("rpy", 3)) if use_rpy else la.lits(la.IDENTITY)
-    local = joints.select(
+    local = durable(joints.select(
         *keys, "parent", "child",
         *[c.alias(f"r{i}") for i, c in enumerate(turn)], *[c.alias(f"t{i}") for i, c in enumerate(origin)],
-    )
+    ))
     pose = [f"r{i}" for i in range(9)] + [f"t{i}" for i in range(3)]
     top = roots(joints.select(*keys, "parent", "child"), keys).withColumnRenamed("link", "parent")
     start = local.join(top, [*keys, "parent"], "left_semi").select(*keys, F.col("child").alias("link"), *pose)
@@ -144,7 +146,7 @@ def joint_paths(joints: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys…, link, path): the joints from the root down to each link, as one array per link."""
     axis = [c.alias(f"ax{i}") for i, c in enumerate(la.normalise(la.fields("ax", 3)))]
     step_fields = F.struct("type", "lower", "upper", *[f"o{i}" for i in range(3)], *axis)
-    local = joints.select(*keys, "parent", "child", step_fields.alias("_joint"))
+    local = durable(joints.select(*keys, "parent", "child", step_fields.alias("_joint")))
     top = roots(joints.select(*keys, "parent", "child"), keys).withColumnRenamed("link", "parent")
     start = local.join(top, [*keys, "parent"], "left_semi").select(
         *keys, F.col("child").alias("link"), F.array("_joint").alias("path"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +48,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and read on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows to a new table in the shared checkpoint folder and read on from there.
+
+    Unlike ``checkpoint()`` this evaluates the plan once, keeps the rows
+    columnar and gives the planner real sizes. Lineage ends here, so a lost
+    executor costs the work since the last cut. The table is left to the
+    owner of the checkpoint folder to clean.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Tables:
