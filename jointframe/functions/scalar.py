@@ -166,17 +166,17 @@ def byte_text(num: Column) -> Column:
     """Bytes with 1024 steps and one decimal."""
     out, size = None, num.cast("double")
     for i, unit in enumerate(["B", "KiB", "MiB", "GiB", "TiB"]):
-        text = F.format_string(f"%.1f{unit}", size / float(1024**i))
+        text = F.format_string(f"%.1f{unit}", F.bround(size / float(1024**i), 1))
         cond = F.abs(size) < float(1024 ** (i + 1))
         out = F.when(cond, text) if out is None else out.when(cond, text)
-    return out.otherwise(F.format_string("%.1fPiB", size / float(1024**5)))
+    return out.otherwise(F.format_string("%.1fPiB", F.bround(size / float(1024**5), 1)))
 
 
 def clock_text(seconds: Column) -> Column:
     """HH:MM:SS."""
     s = seconds.cast("bigint")
-    return F.concat_ws(":", *[F.lpad(x.cast("bigint").cast("string"), 2, "0")
-                             for x in (F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)])
+    hours, minutes = F.floor(s / 3600), F.floor(s % 3600 / 60)
+    return F.format_string("%02d:%02d:%02d", hours, minutes, s % 60)
 
 
 def memory_gb(text: Column) -> Column:
