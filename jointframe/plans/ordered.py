@@ -119,3 +119,31 @@ def exact_percentiles(
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         cols.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return out.select(*keys, *cols)
+
+
+def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Replace nulls by the last earlier value of the key; each column on its own."""
+    rows = in_blocks(df, keys, order)
+    inside = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select(*[c for c in rows.columns if c not in columns],
+                        *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in columns])
+    place = F.struct(*order)
+    ends = rows.groupBy(*keys, "_blk").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_e_{c}") for c in columns])
+    ends = ends.select(*keys, "_blk", *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_p_{c}") for c in columns])
+    out = local.join(ends, [*keys, "_blk"])
+    for c in columns:
+        out = out.withColumn(c, F.coalesce(c, f"_p_{c}"))
+    return out.drop("_blk", *[f"_p_{c}" for c in columns])
+
+
+def asof(probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, value: str, ident: str) -> DataFrame:
+    """Probes with the value of the latest fact at or before their position; null before the first fact.
+
+    ``probes`` is (keys…, at, ident), ``facts`` (keys…, at, value) with one fact per position.
+    """
+    kind = facts.schema[value].dataType
+    both = facts.select(*keys, at, value, F.lit(0).alias("_probe"), F.lit(None).cast(probes.schema[ident].dataType).alias(ident)).unionByName(
+        probes.select(*keys, at, F.lit(None).cast(kind).alias(value), F.lit(1).alias("_probe"), ident))
+    return fill_forward(both, keys, [at, "_probe", ident], [value]).where("_probe = 1").drop("_probe")
