@@ -154,6 +154,32 @@ def label_colour(label: Column) -> list[Column]:
     return hsv_to_rgb((stable_hash(label) % 360).cast("double") / 360.0, F.lit(0.75), F.lit(1.0))
 
 
+def palette_colour(components: Sequence[tuple[float, Sequence[float], Sequence[float]]], *key: Column) -> list[Column]:
+    """Linear RGB from a mixture of (weight, mean hsv, row-major Cholesky factor).
+
+    A component by weight, mean + L·z with z clipped to ±1, value kept in [0.1, 0.9].
+    """
+    pick = weighted_choice([(str(i), c[0]) for i, c in enumerate(components)], *key, F.lit("component")).cast("int") + 1
+    z = [clamp(normal(*key, F.lit(f"z{i}")), -1.0, 1.0) for i in range(3)]
+    def table(values: Sequence[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(float(v)) for v in values]), pick)
+    hsv = []
+    for i in range(3):
+        shift = None
+        for j in range(3):
+            part = table([c[2][3 * i + j] for c in components]) * z[j]
+            shift = part if shift is None else shift + part
+        hsv.append(table([c[1][i] for c in components]) + shift)
+    rgb = hsv_to_rgb(F.pmod(hsv[0], F.lit(1.0)), hsv[1], clamp(hsv[2], 0.1, 0.9))
+    return [srgb_to_linear(clamp(c, 0.0, 1.0)) for c in rgb]
+
+
+def joint_dynamics(params: Column, joint: Column) -> list[Column]:
+    """stiffness, damping and friction of a joint from a map joint → map of values; 0 where missing."""
+    own = F.try_element_at(params, joint)
+    return [F.coalesce(F.try_element_at(own, F.lit(n)), F.lit(0.0)).alias(n) for n in ("stiffness", "damping", "friction")]
+
+
 def encode_normal(n: Sequence[Column]) -> list[Column]:
     """Unit normal to 0..255; the zero normal stays 0."""
     empty = (n[0] == 0) & (n[1] == 0) & (n[2] == 0)

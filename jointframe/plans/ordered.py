@@ -147,3 +147,12 @@ def asof(probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, valu
     both = facts.select(*keys, at, value, F.lit(0).alias("_probe"), F.lit(None).cast(probes.schema[ident].dataType).alias(ident)).unionByName(
         probes.select(*keys, at, F.lit(None).cast(kind).alias(value), F.lit(1).alias("_probe"), ident))
     return fill_forward(both, keys, [at, "_probe", ident], [value]).where("_probe = 1").drop("_probe")
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
+    """Largest value of the column over this and all earlier rows of the key."""
+    rows = in_blocks(df, keys, order)
+    local = rows.withColumn(name, F.max(column).over(_inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(*keys, "_blk").agg(F.max(column).alias("_t")).select(*keys, "_blk", F.max("_t").over(before).alias("_b"))
+    return local.join(base, [*keys, "_blk"]).withColumn(name, F.greatest(name, "_b")).drop("_blk", "_b")

@@ -27,6 +27,8 @@ def local_session(cpus: int | str = 8, app: str = "jointframe", memory: str = "8
 
 def prepare(spark: SparkSession) -> None:
     """Runtime settings the operators count on; safe to call again."""
+    # Times without zone become instants in streams and epochs; pin the zone.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     # A join whose big side has a hot key is split even if that costs one more shuffle later.
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -134,6 +134,29 @@ def group_links(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, every
 
 
+def converted_joints(joints: DataFrame, centroids: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joints of a converted document: world axes, origins relative to the parent part's centroid, safe limits.
+
+    ``joints`` has world origin wo0..2 and direction wd0..2 and raw limits that
+    may be null; ``centroids`` is (keys…, label, cx, cy, cz) of the parts.
+    Missing limits are ±1, continuous joints always ±1, swapped limits are put
+    in order. A joint to a helper link is named after its own type and the
+    types of the joints below the helper.
+    """
+    parent = centroids.select(*keys, F.concat(F.lit("l_"), F.col("label").cast("string")).alias("parent"), "cx", "cy", "cz")
+    below = joints.select(*keys, F.col("parent").alias("child"), F.col("type").alias("_t")).groupBy(*keys, "child").agg(F.collect_list("_t").alias("_below"))
+    df = joints.join(parent, [*keys, "parent"], "left").join(below, [*keys, "child"], "left")
+    lo, hi = F.coalesce("lower", F.lit(-1.0)), F.coalesce("upper", F.lit(1.0))
+    turning = F.col("type") == "continuous"
+    compound = F.col("child").endswith("_helper") & F.col("_below").isNotNull()
+    kinds = F.when(compound, F.array_sort(F.array_append("_below", F.col("type")))).otherwise(F.array("type"))
+    return df.select(
+        *keys, "joint", "type", "parent", "child", F.concat(F.lit("joint_"), F.array_join(kinds, "_")).alias("prefix"),
+        *[(F.col(f"wo{i}") - F.coalesce(f"c{a}", F.lit(0.0))).alias(f"o{i}") for i, a in enumerate("xyz")],
+        *[F.col(f"wd{i}").alias(f"ax{i}") for i in range(3)], *[F.lit(0.0).alias(f"rpy{i}") for i in range(3)],
+        F.when(turning, -1.0).otherwise(F.least(lo, hi)).alias("lower"), F.when(turning, 1.0).otherwise(F.greatest(lo, hi)).alias("upper"))
+
+
 def tensor_joints(rows: DataFrame) -> DataFrame:
     """Joints of the verification document from tensor rows (path, slot, c0..c11) that exist."""
     hot = F.array("c6", "c7", "c8")

@@ -26,11 +26,29 @@ TEXTURE_KINDS = ("color", "roughness", "normalgl", "metalness", "displacement")
 
 
 def texture_sets(listing: DataFrame) -> DataFrame:
-    """(category, set, kind) of texture files ``…/<category>/<set>/<set>_<kind>.<ext>``."""
-    kind = F.lower(F.regexp_extract("path", r"_([A-Za-z]+)\.[a-z]+$", 1))
+    """(category, set, kind, path) of texture images ``…/<category>/<set>/…_<kind>….jpg``; a set needs a colour image."""
     cut = F.split("path", "/")
-    return listing.select(F.element_at(cut, -3).alias("category"), F.element_at(cut, -2).alias("set"), kind.alias("kind")).where(
-        F.col("kind").isin(*TEXTURE_KINDS))
+    kind = F.regexp_extract(F.lower(F.element_at(cut, -1)), f"_({'|'.join(TEXTURE_KINDS)}).*\\.jpg$", 1)
+    rows = listing.select(F.element_at(cut, -3).alias("category"), F.element_at(cut, -2).alias("set"), kind.alias("kind"), "path").where("kind <> ''")
+    usable = rows.where("kind = 'color'").select("category", "set").distinct()
+    return rows.join(usable, ["category", "set"], "left_semi")
+
+
+def model_rows(texts: DataFrame, category: str | None = None) -> DataFrame:
+    """(category, model, folder) of ``…/<dir>/meta.json`` documents; broken ones are skipped, a missing id is the folder name."""
+    cut = F.split("path", "/")
+    meta = texts.where(F.try_parse_json("text").isNotNull()).select(
+        F.from_json("text", "model_cat string, anno_id string").alias("m"), F.element_at(cut, -2).alias("folder"))
+    rows = meta.select(F.coalesce("m.model_cat", F.lit("")).alias("category"), F.coalesce("m.anno_id", "folder").alias("model"), "folder")
+    return rows if category is None else rows.where(F.col("category") == category)
+
+
+def camera_rows(cams: DataFrame, keys: list[str]) -> DataFrame:
+    """Flat camera columns from row-major K (9), T (16, camera to world) and hw arrays."""
+    k, t = F.col("K"), F.col("T")
+    turn = [t[4 * i + j].alias(f"r{3 * i + j}") for i in range(3) for j in range(3)]
+    return cams.select(*keys, k[0].alias("fx"), k[4].alias("fy"), k[2].alias("cx"), k[5].alias("cy"), *turn,
+                       *[t[4 * i + 3].alias(f"t{i}") for i in range(3)], F.col("hw")[0].alias("height"), F.col("hw")[1].alias("width"))
 
 
 def frame_name(name: Column, strict: bool = True) -> Column:
