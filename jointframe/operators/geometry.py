@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from jointframe import fixed
 from jointframe.functions import linalg as la
 from jointframe.functions import scalar as sc
+from jointframe.session import durable
 
 AXES = ["x", "y", "z"]
 
@@ -163,14 +164,13 @@ def _cells(points: DataFrame, size: float, names: Sequence[str]) -> DataFrame:
 def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, threshold: float) -> DataFrame:
     """Distinct (keys…, a, b) with some points of a and b closer than the threshold.
 
-    First, points that share a cell with a diagonal below the threshold settle
-    their pair: there only cell occupancies meet, never points. Pairs that stay
-    open are compared point by point over adjacent cells as wide as the threshold.
-    Crowded cells mostly settle in the first step; what is left of them is split
-    by the skew join.
+    Points that share a cell with a diagonal below the threshold settle their
+    pair: there only cell occupancies meet, never points. All other pairs are
+    compared over cells of twice the threshold, each right point in the few
+    cells its ball touches; crowded cells are split by the skew join.
     """
-    left = left.select(*keys, a, *AXES).distinct()
-    right = right.select(*keys, b, *AXES).distinct()
+    left = durable(left.select(*keys, a, *AXES).distinct())
+    right = durable(right.select(*keys, b, *AXES).distinct())
     fine = threshold / math.sqrt(3) * (1 - 1e-9)
     cell = ["_i", "_j", "_k"]
     settled = (
@@ -178,17 +178,17 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b
         .join(_cells(right, fine, cell).select(*keys, b, *cell).distinct(), [*keys, *cell])
         .select(*keys, a, b).distinct()
     )
-    around = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip("ijk", (i, j, k))])
-                       for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    spread = _cells(right, threshold, cell).withColumn("_d", F.explode(around)).select(
-        *keys, b, *[F.col(x).alias(f"r{x}") for x in AXES],
-        *[(F.col(c) + F.col("_d")[n]).alias(c) for c, n in zip(cell, "ijk")])
+    # A ball of the threshold around a right point touches at most two cells of twice its width per axis.
+    wide, spread = 2 * threshold, right.select(*keys, b, *[F.col(x).alias(f"r{x}") for x in AXES])
+    for x, c in zip(AXES, cell):
+        span = F.sequence(F.floor((F.col(f"r{x}") - threshold) / wide), F.floor((F.col(f"r{x}") + threshold) / wide))
+        spread = spread.withColumn(c, F.explode(span))
     gap = la.sub(xyz(), xyz("r"))
     checked = (
-        _cells(left, threshold, cell).join(spread, [*keys, *cell])
-        .join(settled, [*keys, a, b], "left_anti")
+        _cells(left, wide, cell).join(spread, [*keys, *cell])
         .where(la.dot(gap, gap) < threshold * threshold)
         .select(*keys, a, b).distinct()
+        .join(settled, [*keys, a, b], "left_anti")
     )
     return settled.unionByName(checked)
 

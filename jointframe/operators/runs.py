@@ -175,10 +175,11 @@ def fuzzy_matches(a: DataFrame, b: DataFrame, cutoff: float, measure: str = "lcs
 
 def fuzzy_merge(a: DataFrame, b: DataFrame, key: str, cutoff: float = 1.0) -> DataFrame:
     """Rows of a with the best matching row of b, names compared in snake case; unmatched rows of a stay."""
-    left = a.select([F.col(c).alias(f"{c}_a") for c in a.columns]).withColumn("name_a", sc.snake_case(F.col(f"{key}_a")))
-    right = b.select([F.col(c).alias(f"{c}_b") for c in b.columns]).withColumn("name_b", sc.snake_case(F.col(f"{key}_b")))
-    best = fuzzy_matches(left, right, cutoff)
-    return left.join(best, "name_a", "left").join(right, "name_b", "left").drop("name_a", "name_b")
+    left = a.select([F.col(c).alias(f"{c}_a") for c in a.columns]).withColumn("_sa", sc.snake_case(F.col(f"{key}_a")))
+    right = b.select([F.col(c).alias(f"{c}_b") for c in b.columns]).withColumn("_sb", sc.snake_case(F.col(f"{key}_b")))
+    best = fuzzy_matches(left.select(F.col("_sa").alias("name_a")), right.select(F.col("_sb").alias("name_b")), cutoff)
+    best = best.withColumnsRenamed({"name_a": "_sa", "name_b": "_sb"})
+    return left.join(best, "_sa", "left").join(right, "_sb", "left").drop("_sa", "_sb")
 
 
 def crash_reason(log: Column, missing: Column) -> Column:

@@ -67,7 +67,7 @@ def metadata_records(t: Tables) -> DataFrame:
 @query("K03", f"""{GEOMETRY_CTE}, {SPLIT_SQL}, {_FRAME_SQL},
 s AS (SELECT act.obj, act.key, row_number() OVER (PARTITION BY act.obj, act.key ORDER BY act.joint) - 1 AS slot, ax.* FROM act JOIN ax ON ax.obj = act.obj AND ax.joint = act.joint)
 SELECT concat(CAST(obj AS STRING), '/', key) AS path, concat('joint_', type, '_', CAST(slot AS STRING)) AS joint, type, concat('moving_link_', CAST(slot AS STRING)) AS child,
-  {rsql(["round(wd0, 6)", "round(wd1, 6)", "round(wd2, 6)"], ["ax0", "ax1", "ax2"], 4)}, type <> 'continuous' AS limit_given, CASE WHEN type = 'continuous' THEN 0.0 ELSE round(abs(upper - lower), 4) END AS upper FROM s WHERE slot < 8""")
+  true AS axis_given, type <> 'continuous' AS limit_given, CASE WHEN type = 'continuous' THEN 0.0 ELSE round(abs(upper - lower), 4) END AS upper FROM s WHERE slot < 8""")
 def verification_urdf(t: Tables) -> DataFrame:
     """Tensor rows written as verification documents and read back."""
     ordered, moved = movable_parts(t)
@@ -79,7 +79,7 @@ def verification_urdf(t: Tables) -> DataFrame:
     links = tj.select("path", "ord", F.col("child").alias("link"), F.lit("part1.obj").alias("mesh")).unionByName(
         tj.select("path").distinct().select("path", F.lit(-1).cast("bigint").alias("ord"), F.lit("base_link").alias("link"), F.lit("part0.obj").alias("mesh")))
     back = assets.joint_rows(assets.parse_urdf(out.urdf_documents(links, tj)))
-    return back.select("path", "joint", "type", "child", *rounded(["ax0", "ax1", "ax2"], 4), "limit_given", F.round("upper", 4).alias("upper"))
+    return back.select("path", "joint", "type", "child", "axis_given", "limit_given", F.round("upper", 4).alias("upper"))
 
 
 @query("K02", f"""{GEOMETRY_CTE},

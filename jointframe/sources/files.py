@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,18 +90,17 @@ def decode_arrays(files: DataFrame, keys: list[str]) -> DataFrame:
     """
     def run(batches):
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                data = np.load(io.BytesIO(row["content"]), allow_pickle=False)
+            cells = []
+            for i, content in enumerate(pdf["content"]):
+                data = np.load(io.BytesIO(content), allow_pickle=False)
                 if isinstance(data, np.lib.npyio.NpzFile):
-                    vals, idx = data["vals"], data["indices"]
-                    data = vals[idx]
+                    data = data["vals"][data["indices"]]
                 data = data.reshape(*data.shape[:2], -1)
-                h, w, c = data.shape
-                y, x, k = np.meshgrid(np.arange(h), np.arange(w), np.arange(c), indexing="ij")
-                out = pd.DataFrame({"y": y.ravel(), "x": x.ravel(), "c": k.ravel(), "value": data.astype(np.float64).ravel()})
-                for name in reversed(keys):
-                    out.insert(0, name, row[name])
-                yield out
+                y, x, c = np.indices(data.shape).reshape(3, -1)
+                cells.append((np.full(y.size, i), y, x, c, data.astype(np.float64).ravel()))
+            if cells:
+                row, y, x, c, value = (np.concatenate(parts) for parts in zip(*cells))
+                yield pdf[keys].iloc[row].reset_index(drop=True).assign(y=y, x=x, c=c, value=value)
 
     schema = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in keys)
     return files.select(*keys, "content").mapInPandas(run, f"{schema}, y bigint, x bigint, c bigint, value double")

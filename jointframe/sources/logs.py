@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jointframe.functions import scalar as sc
-from jointframe.sources.text import captures, tokens
+from jointframe.sources.text import matches, tokens
 
 # Fixed line formats.
-ACCOUNTING = r"^([0-9]+) +(\S+) +(\S+) +([0-9]+) +([A-Z_]+) +(node[0-9]+) +(\S+)"
+ACCOUNTING = r"^([0-9]+) +(\S+) +(\S+) +([0-9]+) +([A-Z_]+) +(node[0-9]+) +(\S+).*$"
 QUEUED = r"([0-9]+) +(\S+) +(\([a-zA-Z]+\))"
 PEAK = r"([0-9]+)\.0 +.* +([0-9]*.?[0-9]*[KMG])"
 STAGE = r"\[INFO\] \| \[(.*?)\] finished in (?:([0-9]+) days?, )?([0-9]+):([0-9]+):([0-9]+)"
-CRASH = r"""\S*\s.*\s(.*\/([a-zA-Z0-9]*)\/logs\/(.*))\sreason=["'](.*)["']\snode='(.*)'"""
+CRASH = r"""^\S*\s.*\s(.*\/([a-zA-Z0-9]*)\/logs\/(.*))\sreason=["'](.*)["']\snode='(.*)'"""
 NODE = r"(\S+) +(\S+) +([0-9]+)/[0-9]+/[0-9]+/([0-9]+)"
 
 
 def _matched(lines: DataFrame, pattern: str, groups: int) -> DataFrame:
-    """Lines that match, with their groups in ``m``; other lines are dropped."""
-    return lines.withColumn("m", captures(F.col("line"), pattern, groups)).where("m is not null")
+    """One row per match with its groups in ``m``; lines without a match are dropped."""
+    return lines.withColumn("m", F.explode(matches(F.col("line"), pattern, groups)))
 
 
 def _group(i: int) -> Column:
@@ -65,7 +65,7 @@ def crash_rows(lines: DataFrame) -> DataFrame:
 
 
 def crash_rejects(lines: DataFrame) -> DataFrame:
-    return lines.where((F.length("line") > 0) & captures(F.col("line"), CRASH, 5).isNull())
+    return lines.where((F.length("line") > 0) & ~F.col("line").rlike(CRASH))
 
 
 def script_configs(lines: DataFrame) -> DataFrame:

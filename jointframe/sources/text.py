@@ -11,15 +11,14 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
     Inside a split rows come in file order, so the increasing id orders them.
     """
-    return spark.read.option("recursiveFileLookup", "true").text(path).select(
+    return spark.read.text(path, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
 
 
 def documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, text): one row per file, for formats that are one small document each."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -30,11 +29,15 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def tokens(line):
     """Whitespace-separated tokens of a line."""
-    return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
+    return F.split(F.trim(line), r"\s+")
 
 
-def captures(line, pattern: str, groups: int):
-    """All groups of the first match as an array, from one pass of the pattern; null without a match."""
-    cut = F.lit("\x01")
-    marked = F.regexp_replace(line, f"^.*?(?:{pattern}).*$", "\x01".join(["", *[f"${i}" for i in range(1, groups + 1)]]))
-    return F.when(marked.startswith(cut), F.slice(F.split(marked, "\x01"), 2, groups))
+def matches(line, pattern: str, groups: int):
+    """The groups of every match as an array of arrays, made for ``explode``.
+
+    A generator is a wall for the optimizer: filters on the groups are not
+    pushed below it, so the pattern runs once per line and once per match.
+    """
+    marked = "\x01".join(f"${i}" for i in range(1, groups + 1))
+    return F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)),
+                       lambda hit: F.split(F.regexp_replace(hit, pattern, marked), "\x01"))
