@@ -1,4 +1,8 @@
-"""Catalogue operators: mapping, classification, pools, coverage, numbering."""
+"""Catalogue operators: mapping, classification, pools, coverage, numbering.
+
+Rule tables made with ``literal_table`` carry a broadcast hint, their size
+being fixed in code. Rule tables from elsewhere are left to the planner.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +30,7 @@ def map_category(objects: DataFrame, rules: DataFrame, fallback: str | Column) -
     ``rules`` is a configuration table (category, factory).
     """
     fill = F.lit(fallback) if isinstance(fallback, str) else fallback
-    return objects.join(F.broadcast(rules), "category", "left").withColumn("factory", F.coalesce("factory", fill))
+    return objects.join(rules, "category", "left").withColumn("factory", F.coalesce("factory", fill))
 
 
 def detect_source(factories: DataFrame, registry: DataFrame, hints: Sequence[tuple[str, str]], default: str) -> DataFrame:
@@ -36,12 +40,12 @@ def detect_source(factories: DataFrame, registry: DataFrame, hints: Sequence[tup
         hit = F.col("factory").contains(part)
         guess = F.when(hit, source) if guess is None else guess.when(hit, source)
     guess = F.lit(default) if guess is None else guess.otherwise(default)
-    return factories.join(F.broadcast(registry), "factory", "left").withColumn("source", F.coalesce("source", guess))
+    return factories.join(registry, "factory", "left").withColumn("source", F.coalesce("source", guess))
 
 
 def rule_or_generic(factories: DataFrame, rules: DataFrame, pattern: str, generic: str) -> DataFrame:
     """Add ``rule``: the factory's own, else the generic one when the name matches, else null."""
-    own = factories.join(F.broadcast(rules), "factory", "left")
+    own = factories.join(rules, "factory", "left")
     return own.withColumn("rule", F.coalesce("rule", F.when(F.col("factory").rlike(pattern), F.lit(generic))))
 
 
@@ -99,7 +103,7 @@ def material_look(parts: DataFrame, looks: DataFrame, name: str = "material") ->
     names = parts.select(name).distinct()
     hit = F.lower(F.col(name)).contains(F.lower(F.col("look")))
     pick = F.struct((F.col("look") != F.col(name)).alias("inexact"), "ord")
-    best = names.join(F.broadcast(looks), hit).groupBy(name).agg(F.min_by(F.struct(*cols), pick).alias("_look"))
+    best = names.join(looks, hit).groupBy(name).agg(F.min_by(F.struct(*cols), pick).alias("_look"))
     out = parts.join(best, name, "left")
     return out.select(*parts.columns, *[F.coalesce(F.col("_look")[c], F.lit(d)).alias(c)
                                         for c, d in zip(cols, fixed.DEFAULT_LOOK)])
@@ -111,7 +115,7 @@ def part_override(parts: DataFrame, rules: DataFrame, default: tuple[float, floa
     ``rules`` is a configuration table (keyword, ord, metallic, roughness).
     """
     names = parts.select("name").distinct()
-    best = names.join(F.broadcast(rules), F.col("name").contains(F.col("keyword"))).groupBy("name").agg(
+    best = names.join(rules, F.col("name").contains(F.col("keyword"))).groupBy("name").agg(
         F.min_by(F.struct("metallic", "roughness"), "ord").alias("_rule"))
     ident = [F.col(k) for k in key]
     out = parts.join(best, "name", "left")
@@ -163,7 +167,7 @@ def moving_by_name(parts: DataFrame, rules: DataFrame, keys: Sequence[str]) -> D
 
     ``rules`` is a configuration table (factory, name, role) with role moving or exclude.
     """
-    role = {r: F.broadcast(rules.where(F.col("role") == r).select("factory", "name", F.lit(True).alias(f"_{r}")))
+    role = {r: rules.where(F.col("role") == r).select("factory", "name", F.lit(True).alias(f"_{r}"))
             for r in ("moving", "exclude")}
     hit = parts.join(role["moving"], ["factory", "name"], "left").join(role["exclude"], ["factory", "name"], "left")
     hit = hit.withColumn("_hit", F.coalesce("_moving", F.lit(False)))
@@ -185,8 +189,8 @@ def moving_with_fallback(parts: DataFrame, named: DataFrame, excluded: DataFrame
     """
     flag = F.lit(True)
     out = (
-        parts.join(F.broadcast(named.withColumn("_n", flag)), "name", "left")
-        .join(F.broadcast(excluded.withColumn("_x", flag)), "name", "left")
+        parts.join(named.withColumn("_n", flag), "name", "left")
+        .join(excluded.withColumn("_x", flag), "name", "left")
         .join(under_joint.select(*keys, label).distinct().withColumn("_j", flag), [*keys, label], "left")
         .withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_n", "_x", "_j")})
     )

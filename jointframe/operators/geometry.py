@@ -169,7 +169,7 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b
     compared over cells of twice the threshold, each right point in the few
     cells its ball touches; crowded cells are split by the skew join.
     """
-    left = durable(left.select(*keys, a, *AXES).distinct())
+    left = durable(left.select(*keys, a, *AXES))
     right = durable(right.select(*keys, b, *AXES).distinct())
     fine = threshold / math.sqrt(3) * (1 - 1e-9)
     cell = ["_i", "_j", "_k"]

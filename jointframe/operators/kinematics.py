@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from jointframe import fixed
 from jointframe.functions import linalg as la
+from jointframe.plans.ordered import ranked
 from jointframe.plans.recursion import levels
 from jointframe.session import durable
 
@@ -202,12 +203,7 @@ def frozen_links(edges: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> Da
 
 
 def breadth_first_numbers(edges: DataFrame, keys: Sequence[str], sibling: str) -> DataFrame:
-    """(keys…, link, depth, number): links numbered 0.. by depth, then by position path.
-
-    The tree of one key set is one object, whose links are few.
-    """
-    from pyspark.sql import Window
-
+    """(keys…, link, depth, number): links numbered 0.. by depth, then by position path."""
     top = roots(edges, keys).withColumnRenamed("link", "parent")
     start = edges.join(top, [*keys, "parent"], "left_semi").select(
         *keys, F.col("child").alias("link"), F.lit(1).cast("bigint").alias("depth"), F.array(sibling).alias("_path"))
@@ -218,5 +214,4 @@ def breadth_first_numbers(edges: DataFrame, keys: Sequence[str], sibling: str) -
             *keys, F.col("_child").alias("link"), (F.col("depth") + 1).alias("depth"),
             F.array_append("_path", F.col("_s")).alias("_path"))
 
-    order = Window.partitionBy(*keys).orderBy("depth", "_path")
-    return levels(start, step).withColumn("number", F.row_number().over(order).cast("bigint") - 1).drop("_path")
+    return ranked(levels(start, step), keys, ["depth", "_path"], "_rn").withColumn("number", F.col("_rn") - 1).drop("_path", "_rn")

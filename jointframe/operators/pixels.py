@@ -84,8 +84,8 @@ def shares(pixels: DataFrame, keys: Sequence[str], label: str, dictionary: DataF
     """
     counts = pixels.groupBy(*keys, label).agg(F.count("*").alias("_n"))
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    known = F.broadcast(dictionary.select(label).union(dictionary.sparkSession.createDataFrame([("untagged",)], f"{label} string")))
-    named = counts.join(F.broadcast(dictionary.select(label, F.lit(True).alias("_k"))), label, "left").groupBy(
+    known = dictionary.select(label).union(dictionary.sparkSession.createDataFrame([("untagged",)], f"{label} string"))
+    named = counts.join(dictionary.select(label, F.lit(True).alias("_k")), label, "left").groupBy(
         *keys, F.when(F.col("_k"), F.col(label)).otherwise("untagged").alias(label)).agg(F.sum("_n").alias("_n"))
     grid = total.crossJoin(known)
     return grid.join(named, [*keys, label], "left").select(

@@ -40,7 +40,7 @@ def valid_modes(objects: DataFrame, joints: DataFrame, most: DataFrame, keys: Se
     """
     types = joints.where(F.col("type").isin(*fixed.MOVABLE)).groupBy(*keys).agg(
         *[F.bool_or(F.col("type") == k).alias(f"_{k}") for k in fixed.MOVABLE])
-    ranged = objects.join(F.broadcast(most), "factory", "left").withColumn("max_mode", F.coalesce("max_mode", F.lit(0)))
+    ranged = objects.join(most, "factory", "left").withColumn("max_mode", F.coalesce("max_mode", F.lit(0)))
     both = ranged.join(types, list(keys))
     allowed = F.sequence(F.lit(0).cast("bigint"), F.col("max_mode").cast("bigint"))
     ok = F.array(*[F.col(f"_{k}") for k in fixed.TYPE_MODES])
@@ -107,8 +107,8 @@ def select_joints(joints: DataFrame, selectors: DataFrame, keys: Sequence[str])
         | ((kind == "axis") & (F.abs(F.when(F.col("arg") == "x", F.col("ax0")).when(F.col("arg") == "y", F.col("ax1")).otherwise(F.col("ax2"))) > 0.5))
         | ((kind == "sign") & F.when(F.col("arg") == "+", target > 0).otherwise(target < 0))
     )
-    modes = F.broadcast(selectors.select("factory", "mode").distinct())
-    chosen = pool.join(F.broadcast(selectors), ["factory", "type"]).where(hit).select(*keys, "mode", "joint").distinct()
+    modes = selectors.select("factory", "mode").distinct()
+    chosen = pool.join(selectors, ["factory", "type"]).where(hit).select(*keys, "mode", "joint").distinct()
     wanted = joints.select(*keys, "factory").distinct().join(modes, "factory")
     empty = wanted.join(chosen.select(*keys, "mode").distinct(), [*keys, "mode"], "left_anti")
     return chosen.unionByName(empty.join(joints.select(*keys, "joint"), list(keys)).select(*keys, "mode", "joint"))

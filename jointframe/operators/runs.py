@@ -43,7 +43,7 @@ def stage_occurrence(stages: DataFrame, scenes: DataFrame) -> DataFrame:
     step = per.groupBy("step").agg(F.sum("total").alias("_step"))
     whole = per.agg(F.sum("total").alias("_all"))
     count = scenes.agg(F.count("*").alias("_scenes"))
-    return (per.join(F.broadcast(step), "step").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(count))
+    return (per.join(step, "step").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(count))
             .select("step", "stage", "total", (100.0 * F.col("total") / F.col("_all")).alias("pct_scene"),
                     (100.0 * F.col("total") / F.col("_step")).alias("pct_step"), (F.col("_n") / F.col("_scenes")).alias("occurrence")))
 
@@ -237,7 +237,7 @@ def retention(files: DataFrame, rules: DataFrame) -> DataFrame:
     """
     literal = F.regexp_replace("glob", r"([.^$+(){}\[\]|\\])", r"\\$1")
     pattern = F.concat(F.lit("^"), F.replace(F.replace(literal, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-    compiled = F.broadcast(rules.select("ord", "action", pattern.alias("pattern")))
+    compiled = rules.select("ord", "action", pattern.alias("pattern"))
     hit = files.join(compiled, F.expr("path RLIKE pattern"), "left")
     return hit.groupBy("path").agg(F.coalesce(F.min_by("action", F.when(F.col("action").isNotNull(), F.col("ord"))), F.lit("uncovered")).alias("action"))
 
@@ -247,5 +247,5 @@ def unmet_mandatory(files: DataFrame, rules: DataFrame) -> DataFrame:
     literal = F.regexp_replace("glob", r"([.^$+(){}\[\]|\\])", r"\\$1")
     must = rules.where("action = 'KEEP_MANDATORY'").withColumn(
         "pattern", F.concat(F.lit("^"), F.replace(F.replace(literal, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$")))
-    found = files.join(F.broadcast(must), F.expr("path RLIKE pattern")).select("glob").distinct()
+    found = files.join(must, F.expr("path RLIKE pattern")).select("glob").distinct()
     return must.select("glob").join(found, "glob", "left_anti")

@@ -85,7 +85,7 @@ def related(children: DataFrame, relations: DataFrame, parents: DataFrame, relat
     ``relations`` is (scene, child, relation, target), ``implied`` a configuration
     table (relation, implied) that holds the identity pairs as well.
     """
-    kinds = F.broadcast(implied.where(F.col("implied") == relation).select("relation"))
+    kinds = implied.where(F.col("implied") == relation).select("relation")
     hits = relations.join(kinds, "relation", "left_semi").join(
         parents.select("scene", F.col("obj").alias("target")), ["scene", "target"], "left_semi")
     return children.join(hits.select("scene", F.col("child").alias("obj")).distinct(), OBJ, "left_semi")
@@ -112,7 +112,7 @@ def members(objects: DataFrame, relations: DataFrame, domain: Domain, implied: D
 
 def related_counts(parents: DataFrame, relations: DataFrame, children: DataFrame, relation: str, implied: DataFrame) -> DataFrame:
     """(scene, obj, n): per parent the number of related children, 0 included."""
-    kinds = F.broadcast(implied.where(F.col("implied") == relation).select("relation"))
+    kinds = implied.where(F.col("implied") == relation).select("relation")
     kept = relations.join(kinds, "relation", "left_semi").select("scene", F.col("child").alias("obj"), "target").distinct()
     kept = kept.join(children.select(*OBJ), OBJ, "left_semi")
     n = kept.groupBy("scene", F.col("target").alias("obj")).agg(F.count("*").alias("n"))

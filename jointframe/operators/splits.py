@@ -128,10 +128,9 @@ def tensor_rows(active: DataFrame, joints: DataFrame, n_max: int = 8) -> DataFra
     origin = [(F.col(f"wo{i}") - F.col(f"m{a}")) * F.col("scale") for i, a in enumerate(geo.AXES)]
     hot = [(F.col("type") == k).cast("double") for k in fixed.MOVABLE]
     cells = [*origin, *la.fields("wd", 3), *hot, F.lit(0.0), F.abs(F.col("upper") - F.col("lower")), F.lit(1.0)]
-    slot = F.row_number().over(w).cast("bigint") - 1
     return (
-        active.join(joints, ["obj", "joint"]).withColumn("slot", slot).where(F.col("slot") < n_max)
-        .select("obj", "key", "slot", *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+        active.join(joints, ["obj", "joint"]).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_max)
+        .select("obj", "key", (F.col("_rn") - 1).cast("bigint").alias("slot"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
     )
 
 

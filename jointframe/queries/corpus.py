@@ -101,11 +101,12 @@ def converted_urdf(t: Tables) -> DataFrame:
 # -- listings -----------------------------------------------------------------------------
 
 @query("S02", """
-WITH l AS (SELECT url AS path, max(page_id) AS modified FROM pages GROUP BY url) SELECT path, modified FROM l WHERE modified % 3 = 0 OR modified % 3 = 1""")
+WITH l AS (SELECT url AS path, max(page_id) AS modified FROM pages GROUP BY url) SELECT path, modified FROM l WHERE NOT starts_with(path, 'https') OR contains(path, '?')""")
 def catalogue_refresh(t: Tables) -> DataFrame:
-    """A third of the files was never loaded, a third has changed since, a third is current."""
+    """Plain http files were never loaded, those with a query part have changed since."""
     now = t.pages.groupBy(F.col("url").alias("path")).agg(F.max("page_id").alias("modified"))
-    loaded = now.where("modified % 3 <> 0").select("path", F.when(F.col("modified") % 3 == 1, F.col("modified") - 1).otherwise(F.col("modified")).alias("modified"))
+    changed = F.col("path").contains("?").cast("int")
+    loaded = now.where("startswith(path, 'https')").select("path", (F.col("modified") - changed).alias("modified"))
     return files.refresh(now, loaded)
 
 

@@ -167,7 +167,7 @@ SELECT DISTINCT a.obj, a.part AS a, b.part AS b FROM {V} a JOIN {V} b
 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 1.5 * 1.5""")
 def proximity_pairs(t: Tables) -> DataFrame:
     """Parts of an object with points closer than 1.5."""
-    v = ad.vertices(t)
+    v = ad.vertices(t).select("obj", "part", *geo.AXES).distinct()
     left = v.select("obj", F.col("part").alias("a"), *geo.AXES)
     right = v.select("obj", F.col("part").alias("b"), *geo.AXES)
     return geo.near_pairs(left, right, ["obj"], "a", "b", 1.5).where("a < b")
@@ -184,13 +184,13 @@ def stride_subsample(t: Tables) -> DataFrame:
 
 @query("P36", f"""
 SELECT obj, part, 'mesh_without_part' AS problem FROM (SELECT DISTINCT obj, part FROM {V}) v
-  WHERE NOT EXISTS (SELECT 1 FROM {P} p WHERE p.obj = v.obj AND p.label = v.part AND p.size % 10 <> 0)
+  WHERE NOT EXISTS (SELECT 1 FROM {P} p WHERE p.obj = v.obj AND p.label = v.part AND NOT contains(p.movement, 'frame'))
 UNION ALL
-SELECT obj, label, 'part_without_mesh' FROM {P} p WHERE size % 10 <> 0
+SELECT obj, label, 'part_without_mesh' FROM {P} p WHERE NOT contains(movement, 'frame')
   AND NOT EXISTS (SELECT 1 FROM {V} v WHERE v.obj = p.obj AND v.part = p.label)""")
 def orphan_parts(t: Tables) -> DataFrame:
-    """Meshes whose part is not described (one size in ten is left out of the description), and the reverse."""
-    described = ad.parts(t).where("size % 10 <> 0").select("obj", F.col("label").alias("part"))
+    """Meshes whose part is not described (frame parts are left out of the description), and the reverse."""
+    described = ad.parts(t).where("NOT contains(movement, 'frame')").select("obj", F.col("label").alias("part"))
     meshes = ad.vertices(t).select("obj", "part").distinct()
     return meshes.join(described, PART, "left_anti").withColumn("problem", F.lit("mesh_without_part")).unionByName(
         described.join(meshes, PART, "left_anti").withColumn("problem", F.lit("part_without_mesh")))

@@ -361,16 +361,18 @@ def shared(t: Tables) -> DataFrame:
 
 @query("A33", f"""
 WITH u AS (SELECT scene, a, b, length, n_verts FROM {_SHARED} UNION SELECT scene, b, a, length, n_verts FROM {_SHARED})
-SELECT scene, sum(length) AS length, CAST(sum(n_verts) AS BIGINT) AS n_verts FROM u WHERE a % 3 = 0 AND b % 3 <> 0 AND b IN (SELECT s_suppkey FROM supplier) GROUP BY scene""")
+SELECT scene, sum(length) AS length, CAST(sum(n_verts) AS BIGINT) AS n_verts FROM u WHERE a IN (SELECT room FROM {ROOMS} WHERE level = 0) AND b IN (SELECT room FROM {ROOMS} WHERE level > 0) GROUP BY scene""")
 def shared_boundary(t: Tables) -> DataFrame:
-    rooms = rings(t).select("scene", "room").distinct()
-    return sn.shared_boundary(shared(t), rooms.where("room % 3 = 0"), rooms.where("room % 3 <> 0"))
+    rooms = rings(t).select("scene", "room", "level").distinct()
+    return sn.shared_boundary(shared(t), rooms.where("level = 0"), rooms.where("level > 0"))
 
 
-@query("A34", f"SELECT r.scene, r.room FROM {ROOMS} r WHERE EXISTS (SELECT 1 FROM {ROOMS} c WHERE c.scene = r.scene AND c.level = r.level AND c.room % 20 = 5)")
+@query("A34", f"SELECT r.scene, r.room FROM {ROOMS} r WHERE EXISTS (SELECT 1 FROM {ROOMS} c WHERE c.scene = r.scene AND c.level = r.level AND c.w > 11)")
 def same_level(t: Tables) -> DataFrame:
-    rooms = rings(t).select("scene", "room", "level").distinct()
-    return sn.same_level(rooms, rooms.where("room % 20 = 5")).select("scene", "room")
+    """Rooms on a level that has a wide room."""
+    corners = rings(t)
+    wide = corners.groupBy("scene", "room", "level").agg(F.max("x").alias("w")).where("w > 11")
+    return sn.same_level(corners.select("scene", "room", "level").distinct(), wide).select("scene", "room")
 
 
 @query("A35", f"""

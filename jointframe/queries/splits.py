@@ -15,7 +15,7 @@ from jointframe.queries import sqltext as sx
 from jointframe.queries.geometry import _FRAME_SQL, GEOMETRY_CTE, joint_axes, rounded, rsql
 from jointframe.queries.kinematics import CLOSURE_SQL
 from jointframe.registry import query
-from jointframe.session import Tables
+from jointframe.session import Tables, durable
 
 V, J, P = ad.vertices.sql, ad.joints.sql, ad.parts.sql
 
@@ -91,9 +91,10 @@ def promoted(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Roles, active joints after promotion, and the joints with axes and frames."""
     v = ad.vertices(t)
     ordered, moved = movable_parts(t)
+    ordered, moved = durable(ordered), durable(moved)
     moving, active = sp.build_splits(ordered, moved)
-    roles = sp.split_roles(moving, ad.parts(t))
-    frames = geo.normal_frames(v, ["obj"])
+    roles, active = durable(sp.split_roles(moving, ad.parts(t))), durable(active)
+    frames = durable(geo.normal_frames(v, ["obj"]))
     axes = joint_axes(t).select("obj", "joint", *[f"w{p}{i}" for p in "od" for i in range(3)])
     joints = ordered.join(axes, ["obj", "joint"]).join(frames.drop("flat"), "obj")
     rest = geo.normalise(v, frames, ["obj"]).select("obj", "part", *geo.AXES).distinct()
