@@ -66,16 +66,15 @@ def render_plan(split_keys: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def video_mode(name: Column) -> Column:
-    """Animation mode of a finished ``…_nobg.mp4`` file; 0 without a suffix, null for other files."""
-    done = name.endswith("_nobg.mp4")
-    tagged = F.regexp_extract(name, r"_anim(\d+)_nobg\.mp4$", 1).try_cast("bigint")
-    return F.when(done & tagged.isNotNull(), tagged).when(done & ~name.contains("_anim"), F.lit(0).cast("bigint"))
+    """Animation mode of a finished ``…_nobg.mp4`` file; 0 without a suffix, null for other tags."""
+    tag = F.when(name.contains("_anim"), F.regexp_extract(name, r"_anim(\d+)_nobg\.mp4$", 1)).otherwise("0")
+    return tag.try_cast("bigint")
 
 
 def completeness(jobs: DataFrame, files: DataFrame, keys: Sequence[str], expected: int = fixed.EXPECTED_VIEWS) -> DataFrame:
     """Jobs (keys…, mode) with their number of finished videos and a complete flag. ``files`` is (keys…, name)."""
-    counts = files.select(*keys, video_mode(F.col("name")).alias("mode")).where("mode is not null").groupBy(*keys, "mode").agg(
-        F.count("*").alias("n_videos"))
+    done = files.where(F.col("name").endswith("_nobg.mp4"))
+    counts = done.groupBy(*keys, video_mode(F.col("name")).alias("mode")).agg(F.count("*").alias("n_videos"))
     out = jobs.join(counts, [*keys, "mode"], "left").withColumn("n_videos", F.coalesce("n_videos", F.lit(0).cast("bigint")))
     return out.withColumn("complete", F.col("n_videos") >= expected)
 

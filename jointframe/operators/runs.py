@@ -48,7 +48,7 @@ def stage_occurrence(stages: DataFrame, scenes: DataFrame) -> DataFrame:
                     (100.0 * F.col("total") / F.col("_step")).alias("pct_step"), (F.col("_n") / F.col("_scenes")).alias("occurrence")))
 
 
-def pipeline_durations(jobs: DataFrame) -> DataFrame:
+def scene_durations(jobs: DataFrame) -> DataFrame:
     """Per scene: elapsed of the first (coarse) and second (fine) job by id, the span to the last end and both shares.
 
     Scenes need a render job after the first two. Only two rows per scene are

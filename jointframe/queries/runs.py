@@ -66,8 +66,8 @@ WITH r AS (SELECT scene, job_id, epoch_us(start) // 1000000 AS s, elapsed_s AS e
 g AS (SELECT scene, max(CASE WHEN rn = 1 THEN s END) AS t0, max(CASE WHEN rn = 1 THEN e END) AS c, max(CASE WHEN rn = 2 THEN e END) AS f,
   max(CASE WHEN rn > 2 THEN s + e END) AS t1 FROM r GROUP BY scene HAVING count(*) > 2)
 SELECT scene, c AS coarse_s, f AS fine_s, t1 - t0 AS span_s, round(100.0 * c / nullif(t1 - t0, 0), 6) AS coarse_pct, round(100.0 * f / nullif(t1 - t0, 0), 6) AS fine_pct FROM g""")
-def pipeline_durations(t: Tables) -> DataFrame:
-    out = runs.pipeline_durations(jobs(t))
+def scene_durations(t: Tables) -> DataFrame:
+    out = runs.scene_durations(jobs(t))
     return out.withColumns({c: F.round(c, 6) for c in ("coarse_pct", "fine_pct")})
 
 
