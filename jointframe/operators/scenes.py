@@ -563,7 +563,7 @@ def graph_coherence(rooms: DataFrame, edges: DataFrame, margin: float) -> DataFr
 
 
 def access_angles(centres: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(scene, room, angle): least angle between the ways to the root and to a neighbour, π without one, 0 at the root.
+    """(scene, room, angle): least angle between the ways to the root and to a neighbour, π without one, 0 at the root; unknown rooms do not count.
 
     ``centres`` is (scene, room, cx, cy), ``edges`` (scene, a, b) both ways, ``roots`` (scene, root).
     """
@@ -573,7 +573,7 @@ def access_angles(centres: DataFrame, edges: DataFrame, roots: DataFrame) -> Dat
     ux, uy, vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("rx") - F.col("ax"), F.col("ry") - F.col("ay")
     dot = F.try_divide(ux * vx + uy * vy, F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy))
     angle = F.acos((1 - 1e-6) * sc.clamp(F.coalesce(dot, F.lit(0.0)), -1.0, 1.0))
-    best = ways.groupBy("scene", "room", "root").agg(F.least(F.lit(math.pi), F.coalesce(F.min(F.when(F.col("b").isNotNull(), angle)), F.lit(math.pi))).alias("angle"))
+    best = ways.groupBy("scene", "room", "root").agg(F.least(F.lit(math.pi), F.coalesce(F.min(F.when(F.col("bx").isNotNull(), angle)), F.lit(math.pi))).alias("angle"))
     return best.select("scene", "room", F.when(F.col("room") == F.col("root"), 0.0).otherwise(F.col("angle")).alias("angle"))
 
 
