@@ -224,11 +224,11 @@ def points_in_view(t: Tables) -> DataFrame:
 k AS (SELECT *, least(greatest(u, 0), 8) AS cu, least(greatest(v_, 0), 8) AS cv, greatest(qz, 0) AS cd FROM w WHERE u IS NOT NULL),
 b AS (SELECT *, (cu - 3.5) / 8 * cd AS bx, (cv - 3.5) / 8 * cd AS by_ FROM k),
 r AS (SELECT *, sqrt((x - (c * bx + s * cd + tx)) * (x - (c * bx + s * cd + tx)) + (y - (by_ + 0.5)) * (y - (by_ + 0.5)) + (z - (c * cd - s * bx)) * (z - (c * cd - s * bx))) AS vis FROM b)
-SELECT scene, point, bool_or(qz < 8 AND vis < 1.5) AS mask, round(coalesce(min(qz) FILTER (qz < 8 AND vis < 1.5), 1e7), 5) + 0.0 AS min_dist,
-  round(coalesce(min(vis) FILTER (qz < 8 AND vis < 1.5), 1e7), 5) + 0.0 AS min_vis FROM r GROUP BY scene, point""")
+SELECT scene, point, bool_or(qz < 8 AND vis < 1.53) AS mask, round(coalesce(min(qz) FILTER (qz < 8 AND vis < 1.53), 1e7), 5) + 0.0 AS min_dist,
+  round(coalesce(min(vis) FILTER (qz < 8 AND vis < 1.53), 1e7), 5) + 0.0 AS min_vis FROM r GROUP BY scene, point""")
 def view_distances(t: Tables) -> DataFrame:
     viewed = px.in_view(points(t), cameras(t), ["scene"], 8.0, 8.0)
-    out = px.view_distances(viewed, ["scene", "point"], 8.0, 8.0, 8.0, 1.5)
+    out = px.view_distances(viewed, ["scene", "point"], 8.0, 8.0, 8.0, 1.53)
     return out.select("scene", "point", "mask", *rounded(["min_dist", "min_vis"]))
 
 
