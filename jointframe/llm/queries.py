@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jointframe.llm import decontam, linedup, packing, quality, urlgraph
+from jointframe.llm import decontam, langid, linedup, packing, quality, toxicity, urlgraph
 from jointframe.session import Tables
 
 
@@ -14,10 +14,18 @@ def op1_quality_rules(t: Tables) -> DataFrame:
     return quality.judge(t.documents.select("doc_id", "text")).drop("text")
 
 
+def op2_language_id(t: Tables) -> DataFrame:
+    return langid.digest(t.documents.select("doc_id", "text", "lang"))
+
+
 def op4_best_fit_packing(t: Tables) -> DataFrame:
     return packing.pack_documents(t.documents)
 
 
+def op7_toxicity(t: Tables) -> DataFrame:
+    return toxicity.digest(t.documents.select("doc_id", "text"), t.labels)
+
+
 def op8_benchmark_decontamination(t: Tables) -> DataFrame:
     return decontam.verdicts(decontam.find_matches(t.documents.select("doc_id", "text"), t.benchmark)).drop("text")
 
@@ -30,7 +38,7 @@ def op10_url_filters(t: Tables) -> DataFrame:
     return urlgraph.judge(t.pages).drop("trust", "distrust")
 
 
-BUILDERS = (op1_quality_rules, op4_best_fit_packing, op8_benchmark_decontamination, op9_line_dedup, op10_url_filters)
+BUILDERS = (op1_quality_rules, op2_language_id, op4_best_fit_packing, op7_toxicity, op8_benchmark_decontamination, op9_line_dedup, op10_url_filters)
 SQL = {"op1_quality_rules": quality.SQL, "op9_line_dedup": linedup.SQL}
 
 
