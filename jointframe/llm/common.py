@@ -34,6 +34,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches put together and cut to about ``most`` bytes of text each."""
+    held, size = [], 0
+    for batch in slices(batches, text, most):
+        n = batch.column(batch.schema.get_field_index(text)).nbytes
+        if held and size + n > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
     """The texts, null as empty."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
@@ -51,4 +65,4 @@ def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     split = pc.split_pattern(texts, " ")
     words = split.flatten().dictionary_encode()
     at = split.offsets.to_numpy()
-    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), at - at[0]
+    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), at - at[0]

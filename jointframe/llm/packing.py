@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jointframe.llm.common import ranges, slices, small_batches, text_of
+from jointframe.llm.common import gathered, ranges, small_batches, text_of
 from jointframe.llm.tokens import END_ID, encoder, vocabulary_path, with_end
 from jointframe.session import durable
 
@@ -46,7 +46,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches):
+        for batch in gathered(batches):
             ids, bounds = with_end(*words.encode(text_of(batch)), end_id)
             sizes = np.diff(bounds)
             n = -(-sizes // capacity)

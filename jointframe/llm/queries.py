@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jointframe.llm import decontam, langid, linedup, packing, quality, simhash, toxicity, urlgraph
+from jointframe.llm import decontam, langid, linedup, packing, quality, simhash, tokenbin, toxicity, urlgraph
 from jointframe.session import Tables
 
 
@@ -18,6 +18,10 @@ def op2_language_id(t: Tables) -> DataFrame:
     return langid.digest(t.documents.select("doc_id", "text", "lang"))
 
 
+def op3_token_binary(t: Tables) -> DataFrame:
+    return tokenbin.round_trip(t.documents.select("doc_id", "text"))
+
+
 def op4_best_fit_packing(t: Tables) -> DataFrame:
     return packing.pack_documents(t.documents)
 
@@ -42,7 +46,7 @@ def op10_url_filters(t: Tables) -> DataFrame:
     return urlgraph.judge(t.pages).drop("trust", "distrust")
 
 
-BUILDERS = (op1_quality_rules, op2_language_id, op4_best_fit_packing, op5_simhash_near_dedup, op7_toxicity, op8_benchmark_decontamination, op9_line_dedup, op10_url_filters)
+BUILDERS = (op1_quality_rules, op2_language_id, op3_token_binary, op4_best_fit_packing, op5_simhash_near_dedup, op7_toxicity, op8_benchmark_decontamination, op9_line_dedup, op10_url_filters)
 SQL = {"op1_quality_rules": quality.SQL, "op9_line_dedup": linedup.SQL}
 
 

@@ -9,20 +9,23 @@ from __future__ import annotations
 
 import re
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from jointframe.llm.common import ranges
+from jointframe.llm.common import split_words
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Words and pieces kept by a worker; beyond it the store starts anew.
-KEPT_WORDS = 300_000
+#: Pieces kept by a worker; beyond it the store starts anew.
+KEPT_PIECES = 400_000
 _PLAIN = re.compile(r"[!-~\t\n\r]*")
 #: Fixed value: the pre-tokenizer's pattern, for printable ASCII after lower-casing.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Marks that end words; as letters are no part of such a piece, they can be cut off.
+_MARKS = ".,;:!?"
+_EXTENDED, _DOTTED = "\u0250", "\u0130"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,16 +34,30 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """Byte-level vocabularies write printable bytes as themselves, the others as letters from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+def _letters(word: str, low: str) -> bool:
+    """True for letters only whose lower case and composed form are beyond doubt."""
+    return low.isalpha() and (word.isascii() or (max(word) < _EXTENDED and _DOTTED not in word and is_normalized("NFC", word)))
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.letters = _byte_letters()
         self.pieces: dict[str, tuple[int, ...]] = {}
-        pair = self.plain(["Ab, c", "Ab,", "c"])
-        if pair[0] != pair[1] + pair[2]:
+        self.others: dict[str, tuple[int, ...]] = {}
+        sample = ["Ab, c", "Ab,", "c", "Ñé. ü", "Ñé.", "ü"]
+        got = self.plain(sample)
+        if got[0] != got[1] + got[2] or got[3] != got[4] + got[5] or [self.word(w) for w in ("Ab,", "Ñé.")] != [got[1], got[4]]:
             raise ValueError("this tokenizer keeps white space; it can't be used by word")
 
     def plain(self, texts: list[str]) -> list[tuple[int, ...]]:
@@ -48,40 +65,49 @@ class WordEncoder:
 
     def piece(self, piece: str) -> tuple[int, ...]:
         if (ids := self.pieces.get(piece)) is None:
-            ids = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(piece))
+            form = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(form))
         return ids
 
+    def word(self, word: str) -> tuple[int, ...] | None:
+        """Ids of a word by its pieces; None if it takes the whole tokenizer."""
+        low = word.lower()
+        if _letters(word, low):
+            return self.piece(low)
+        head = low.rstrip(_MARKS)
+        if _letters(word.rstrip(_MARKS), head):
+            return self.piece(head) + self.piece(low[len(head) :])
+        if "\n" in word:
+            parts = [self.word(p) for p in word.split("\n")]
+            return None if None in parts else tuple(chain.from_iterable(parts))
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return tuple(chain.from_iterable(map(self.piece, _PIECES.findall(low))))
+        return self.others.get(word)
+
     def lookup(self, words: list[str]) -> list[tuple[int, ...]]:
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        if len(self.pieces) > KEPT_WORDS:
-            self.pieces.clear()
-        known, piece, other = self.words, self.piece, []
-        for w in words:
-            if w in known:
-                continue
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                got = _PIECES.findall(w.lower())
-                known[w] = piece(got[0]) if len(got) == 1 else tuple(chain.from_iterable(map(piece, got)))
-            else:
-                other.append(w)
-        known.update(zip(other, self.plain(other), strict=True))
-        return [known[w] for w in words]
+        for kept in (self.pieces, self.others):
+            if len(kept) > KEPT_PIECES:
+                kept.clear()
+        get = self.pieces.get
+        # A word that is a piece already is the common case; no piece is "" or has capitals.
+        found = [get(w) or self.word(w) for w in words]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(rest, self.plain([words[i] for i in rest]), strict=True):
+            found[i] = self.others[words[i]] = ids
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, place of each text's first id and the total at the end)."""
-        split = pc.split_pattern(texts, " ")
-        words = split.flatten().dictionary_encode()
-        found = self.lookup(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        words, which, first = split_words(texts)
+        found = self.lookup(words)
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        which = words.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[which] if len(found) else np.zeros(0, np.int64)
-        ids = flat[ranges(starts[which], lengths)] if len(found) else flat
-        bounds = np.concatenate([[0], np.cumsum(lengths)])
-        at = split.offsets.to_numpy()
-        return ids, bounds[at - at[0]]
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        lengths = sizes[which] if len(found) else np.zeros(0, np.int32)
+        bounds = np.zeros(len(which) + 1, np.int32)
+        np.cumsum(lengths, out=bounds[1:])
+        ids = flat[np.repeat(starts[which] - bounds[:-1], lengths) + np.arange(bounds[-1], dtype=np.int32)] if len(found) else flat
+        return ids, bounds[first].astype(np.int64)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
