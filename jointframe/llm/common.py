@@ -17,6 +17,7 @@ SLICE_BYTES = 6_000_000
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Long texts: keep the batches that go to Python small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -66,3 +67,20 @@ def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     words = split.flatten().dictionary_encode()
     at = split.offsets.to_numpy()
     return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), at - at[0]
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts without nulls, and where each starts with the end of the last."""
+    _, offsets, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
+def binary(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Cuts of ``raw`` as a binary column."""
+    out = raw[ranges(starts, lengths)]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jointframe.llm import decontam, langid, linedup, packing, quality, simhash, tokenbin, toxicity, urlgraph
+from jointframe.llm import decontam, langid, linedup, packing, quality, simhash, suffix, tokenbin, toxicity, urlgraph
 from jointframe.session import Tables
 
 
@@ -30,6 +30,10 @@ def op5_simhash_near_dedup(t: Tables) -> DataFrame:
     return simhash.digest(t.documents.select("doc_id", "text"))
 
 
+def op6_suffix_dedup(t: Tables) -> DataFrame:
+    return suffix.digest(t.documents.select("doc_id", "text"))
+
+
 def op7_toxicity(t: Tables) -> DataFrame:
     return toxicity.digest(t.documents.select("doc_id", "text"), t.labels)
 
@@ -46,7 +50,7 @@ def op10_url_filters(t: Tables) -> DataFrame:
     return urlgraph.judge(t.pages).drop("trust", "distrust")
 
 
-BUILDERS = (op1_quality_rules, op2_language_id, op3_token_binary, op4_best_fit_packing, op5_simhash_near_dedup, op7_toxicity, op8_benchmark_decontamination, op9_line_dedup, op10_url_filters)
+BUILDERS = (op1_quality_rules, op2_language_id, op3_token_binary, op4_best_fit_packing, op5_simhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_benchmark_decontamination, op9_line_dedup, op10_url_filters)
 SQL = {"op1_quality_rules": quality.SQL, "op9_line_dedup": linedup.SQL}
 
 
