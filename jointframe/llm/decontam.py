@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jointframe.llm.common import ranges, slices, small_batches
+from jointframe.llm.common import columns_of, ranges, slices, small_batches, unused
 
 WINDOW = 13
 #: Words of the benchmark that a task holds at a time.
@@ -150,11 +150,11 @@ def _find(block: Block, texts: list[str | None]) -> list[dict]:
     return out
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents' columns and ``__found``: n_words, hit word places, longest matches (item_id, item_start, doc_start, length in words)."""
+def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, name: str = "__found") -> DataFrame:
+    """The documents' columns and, under a name that must be free, n_words, hit word places, longest matches (item_id, item_start, doc_start, length in words)."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__found", _FOUND)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, _FOUND)])
     i = docs.columns.index(text)
     out, first = docs, True
     for block in [*read_blocks(benchmark, window, block_words)] or [Block([], window)]:
@@ -192,8 +192,9 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not contaminated."""
-    n_hit = F.size("__found.hits")
-    return find_matches(docs, benchmark, text).where(~((n_hit > 0) & (n_hit * ONE_IN >= F.col("__found.n_words")))).drop("__found")
+    (name,) = unused(docs.columns, "__found")
+    n_hit = F.size(f"{name}.hits")
+    return find_matches(docs, benchmark, text, name=name).where(~((n_hit > 0) & (n_hit * ONE_IN >= F.col(f"{name}.n_words")))).select(*columns_of(docs))
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple]:

@@ -221,12 +221,12 @@ _OUT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score
 _OUT_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
 
-def identify(docs: DataFrame, net: Net, text: str = "text") -> DataFrame:
-    """The documents' columns and ``__lang``: language and probability."""
+def identify(docs: DataFrame, net: Net, text: str = "text", name: str = "__lang") -> DataFrame:
+    """The documents' columns and, under a name that must be free, language and probability."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(net)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", _OUT)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, _OUT)])
     names, i = schema.names, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jointframe.llm.common import columns_of, unused
+
 RATIO_PCT = 10
 MIN_PAGES = 5
 _WORD = r"[^\x20\x09-\x0D]"
@@ -38,40 +40,41 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", ratio
     return counts.join(totals, "site").where(F.col("n") * 100 > F.col("pages") * ratio_pct)
 
 
-def mark_lines(docs: DataFrame, text: str = "text", site: str = "source", ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The input's columns and one struct ``__l`` of (lines, kept): arrays of all and of the remaining lines.
+def mark_lines(docs: DataFrame, text: str = "text", site: str = "source", ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> tuple[DataFrame, str]:
+    """The input's columns and a struct of (lines, kept), arrays of all and of the remaining lines; and the struct's name.
 
     What to drop is worked out once per distinct (site, text) and joined by a
     digest of the text, so lines travel as digests, texts once.
     """
-    own = docs.select("*", F.col(f"`{site}`").alias("__site"), F.col(f"`{text}`").alias("__text"), F.md5(F.col(f"`{text}`").cast("binary")).alias("__key"))
+    at, own_text, own_key, s, k, drop_, out = unused(docs.columns, "__site", "__text", "__key", "__s", "__k", "__drop", "__lines")
+    own = docs.select("*", F.col(f"`{site}`").alias(at), F.col(f"`{text}`").alias(own_text), F.md5(F.col(f"`{text}`").cast("binary")).alias(own_key))
     bad = boilerplate(docs, text, site, ratio_pct, min_pages).select("site", "line")
-    lines = own.where("__site is not null and __text is not null").select(
-        F.col("__site").alias("site"), F.col("__key").alias("key"),
-        F.explode(F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), lambda x: x.rlike(_WORD)), _digest))).alias("line"),
+    lines = own.where(F.col(at).isNotNull() & F.col(own_text).isNotNull()).select(
+        F.col(at).alias("site"), F.col(own_key).alias("key"),
+        F.explode(F.array_distinct(F.transform(F.filter(F.split(own_text, "\n"), lambda x: x.rlike(_WORD)), _digest))).alias("line"),
     )
-    drop = lines.join(bad, ["site", "line"]).groupBy("site", "key").agg(F.collect_set("line").alias("__drop"))
-    drop = drop.select(F.col("site").alias("__s"), F.col("key").alias("__k"), "__drop")
-    joined = own.join(drop, (F.col("__site") == F.col("__s")) & (F.col("__key") == F.col("__k")), "left")
-    all_lines = F.split("__text", "\n")
-    kept = F.when(F.col("__drop").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~(x.rlike(_WORD) & F.array_contains(F.col("__drop"), _digest(x)))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(all_lines.alias("lines"), kept.alias("kept")).alias("__l"))
+    drop = lines.join(bad, ["site", "line"]).groupBy("site", "key").agg(F.collect_set("line").alias(drop_))
+    drop = drop.select(F.col("site").alias(s), F.col("key").alias(k), drop_)
+    joined = own.join(drop, (F.col(at) == F.col(s)) & (F.col(own_key) == F.col(k)), "left")
+    all_lines = F.split(own_text, "\n")
+    kept = F.when(F.col(drop_).isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~(x.rlike(_WORD) & F.array_contains(F.col(drop_), _digest(x)))))
+    return joined.select(*columns_of(docs), F.struct(all_lines.alias("lines"), kept.alias("kept")).alias(out)), out
 
 
 def drop_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
     """The input with boilerplate lines taken out of the text."""
-    marked = mark_lines(docs, text, site, ratio_pct, min_pages)
-    return marked.select(*[F.array_join("__l.kept", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    marked, out = mark_lines(docs, text, site, ratio_pct, min_pages)
+    return marked.select(*[F.array_join(f"{out}.kept", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: lines, dropped lines and the digest of what stays."""
-    marked = mark_lines(docs)
-    n = F.coalesce(F.size("__l.lines"), F.lit(0))
+    marked, out = mark_lines(docs)
+    n = F.coalesce(F.size(f"{out}.lines"), F.lit(0))
     return marked.select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(n - F.size("__l.kept")).cast("long").alias("n_dropped"),
-        F.sha2(F.coalesce(F.array_join("__l.kept", "\n"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        F.when(F.col("text").isNull(), 0).otherwise(n - F.size(f"{out}.kept")).cast("long").alias("n_dropped"),
+        F.sha2(F.coalesce(F.array_join(f"{out}.kept", "\n"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 

@@ -7,8 +7,8 @@ the work, never the verdict, since a text is kept only if no rule rejects it.
 
 Null and empty texts have no words and fail ``few_words``. Rows are judged one
 by one: ties, repeated rows, null ids and extra columns pass through. Columns
-of the input that have the name of a metric are replaced in ``with_metrics``
-and left alone in ``cascade``.
+of the input that have the name of a metric or verdict are replaced in
+``judge`` and left alone in ``cascade``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jointframe.llm.common import unused
 from jointframe.session import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,139 +54,124 @@ RULES = (
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def _covered(positions: Column) -> Column:
-    """Words covered by three-word windows at ascending positions."""
-    steps = F.transform(positions, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(positions, i + 1), p + 3) - p))
-    return F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, and only if this expression is."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-class _Metrics:
-    """Adds metric columns to a frame, each once, under private names."""
+def _repeated(words: Column) -> Column:
+    """Words covered by three-word windows that the text has twice or more."""
+    starts = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    windows = F.transform(starts, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
-    def __init__(self, df: DataFrame, text: str, mark: str = "__q_"):
-        taken = {c.lower() for c in df.columns}
-        while any(c.startswith(mark) for c in taken):
-            mark += "_"
-        self.mark, self.own = mark, df.columns
-        self.df = df.withColumn(mark + "text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    def covered(places: Column) -> Column:
+        steps = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1), p + 3) - p))
+        return F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long")
 
-    def c(self, name: str) -> Column:
-        return F.col(self.mark + name)
+    def looked_up(h: Column, twice: Column) -> Column:
+        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull())
 
-    def add(self, name: str) -> None:
-        if self.mark + name in self.df.columns:
-            return
-        for other in {"n_words": ["words"], "word_chars": ["words"], "n_dup_lines": ["lines"], "n_lines": ["lines"], "n_repeat_words": ["words"]}.get(name, []):
-            self.add(other)
-        getattr(self, "_" + name)()
+    def by_sorting(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        kept = let(pairs, lambda p: F.filter(p, lambda x, i: (x["h"] == F.get(p, i - 1)["h"]) | (x["h"] == F.get(p, i + 1)["h"])))
+        return F.sort_array(F.transform(kept, lambda x: x["p"]))
 
-    def put(self, name: str, column: Column) -> None:
-        self.df = self.df.withColumn(self.mark + name, column)
+    def of(h: Column) -> Column:
+        twice = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
+        # Only texts with many repeats pay for sorting pairs of hash and place.
+        some = let(twice, lambda t: covered_of(F.when(F.size(t) > LOOKUPS, by_sorting(h)).otherwise(looked_up(h, t))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(some)
 
-    def _words(self) -> None:
-        self.put("words", F.regexp_extract_all(self.c("text"), F.lit(WORD), F.lit(0)))
+    def covered_of(places: Column) -> Column:
+        return let(places, covered)
 
-    def _lines(self) -> None:
-        self.put("lines", F.filter(F.split(self.c("text"), "\n"), lambda x: x.rlike(WORD)))
+    return let(windows, of)
 
-    def _n_words(self) -> None:
-        self.put("n_words", F.size(self.c("words")).cast("long"))
 
-    def _word_chars(self) -> None:
-        self.put("word_chars", F.length(F.array_join(self.c("words"), "")).cast("long"))
+def metric(name: str, text: Column, words: Column) -> Column:
+    """A metric of a text (not null) and its words."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    if name == "n_words":
+        return F.size(words).cast("long")
+    if name == "word_chars":
+        return F.length(F.array_join(words, "")).cast("long")
+    if name == "n_symbols":
+        return F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long")
+    if name == "n_lines":
+        return F.size(lines).cast("long")
+    if name == "n_dup_lines":
+        return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    if name == "n_repeat_words":
+        return _repeated(words)
+    raise ValueError(f"no metric {name}")
 
-    def _n_symbols(self) -> None:
-        self.put("n_symbols", F.length(F.regexp_replace(self.c("text"), SYMBOLS, "")).cast("long"))
 
-    def _n_lines(self) -> None:
-        self.put("n_lines", F.size(self.c("lines")).cast("long"))
+def _text(text: str) -> Column:
+    return F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
-    def _n_dup_lines(self) -> None:
-        self.put("n_dup_lines", (F.size(self.c("lines")) - F.size(F.array_distinct(self.c("lines")))).cast("long"))
 
-    def _n_repeat_words(self) -> None:
-        words = self.c("words")
-        starts = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
-        self.put("windows", F.transform(starts, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
-        h = self.c("windows")
-        none = F.array().cast("array<bigint>")
-        self.put("sorted", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(h)).otherwise(none))
-        s = self.c("sorted")
-        self.put("twice", F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
-        twice = self.c("twice")
-        looked_up = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull())
-        # Only texts with many repeats pay for sorting pairs of hash and place.
-        self.put("pairs", F.when(F.size(twice) > LOOKUPS, F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
-        p = self.c("pairs")
-        kept = F.filter(p, lambda x, i: (x["h"] == F.get(p, i - 1)["h"]) | (x["h"] == F.get(p, i + 1)["h"]))
-        places = F.when(F.size(twice) == 0, F.array().cast("array<int>")).when(p.isNull(), looked_up).otherwise(F.sort_array(F.transform(kept, lambda x: x["p"])))
-        self.put("places", places)
-        self.put("n_repeat_words", _covered(self.c("places")))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """All metrics as columns beside the input's."""
-    m = _Metrics(docs, text)
-    for name in METRICS:
-        m.add(name)
-    return m.df.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in METRICS], *[m.c(n).alias(n) for n in METRICS])
+    own, words = unused([*docs.columns, *METRICS], "__text", "__words")
+    df = docs.withColumn(own, _text(text)).withColumn(words, _words(F.col(own)))
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in METRICS], *[metric(n, F.col(own), F.col(words)).alias(n) for n in METRICS])
+
+
+def fails(rule: Rule, metric_: Callable[[str], Column] = F.col) -> Column:
+    return F.coalesce(rule.fails(metric_), F.lit(False))
+
+
+def passes(rules: Sequence[Rule], text: Column) -> Column:
+    """True if no rule rejects. Rules are asked in order, and a metric is computed only if a rule that needs it is."""
 
+    def of(words: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(False))
+        for rule in rules:
+            out = out.when(fails(rule, lambda n: metric(n, text, words)), F.lit(False))
+        return out.otherwise(F.lit(True))
 
-def fails(rule: Rule, metric: Callable[[str], Column] = F.col) -> Column:
-    return F.coalesce(rule.fails(metric), F.lit(False))
+    return let(_words(text), of)
 
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per second, measured on a sample of about ``sample_rows`` rows."""
-    rows = docs.select(F.col(f"`{text}`").alias("text"))
     total = docs.select(F.lit(1)).count()
     if not total:
         return list(rules)
-    sample = durable(rows.sample(min(1.0, sample_rows / total), seed=7))
+    sample = durable(docs.select(_text(text).alias("text")).sample(min(1.0, sample_rows / total), seed=7))
 
-    def timed(needs: Sequence[str], column: Callable[[Callable[[str], Column]], Column]) -> tuple[float, int]:
-        m = _Metrics(sample, "text")
-        for name in needs:
-            m.add(name)
+    def cost(asked: Sequence[Rule]) -> tuple[float, int]:
+        counted = sample.agg(F.count_if(passes(asked, F.col("text"))), F.count("*"))
+        # The first run of a plan pays for compiling it; the second is counted.
+        counted.first()
         began = time.perf_counter()
-        hit = m.df.agg(F.count_if(column(m.c))).first()[0]
-        return time.perf_counter() - began, hit
+        kept, n = counted.first()
+        return time.perf_counter() - began, n - kept
 
-    # The first run of a plan pays for compiling it; the second is counted.
-    def cost(needs: Sequence[str], column) -> tuple[float, int]:
-        timed(needs, column)
-        return timed(needs, column)
-
-    idle, n = cost((), lambda m: m("text").isNotNull())
+    idle, _ = cost(())
     gain = {}
     for rule in rules:
-        took, hit = cost(rule.needs, lambda m, rule=rule: fails(rule, m))
-        gain[rule.name] = hit / max(n, 1) / max(took - idle, 1e-3)
+        took, hit = cost((rule,))
+        gain[rule.name] = hit / max(took - idle, 1e-3)
     return sorted(rules, key=lambda r: -gain[r.name])
 
 
 def cascade(docs: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
-    """The rows that no rule rejects. A metric is computed only for rows that all rules before its first use let pass."""
-    m = _Metrics(docs, text)
-    for rule in rules:
-        for name in rule.needs:
-            m.add(name)
-        m.df = m.df.where(~fails(rule, m.c))
-    return m.df.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def verdict(rules: Sequence[Rule]) -> Column:
-    """Over metric columns: true if no rule rejects, asked in order."""
-    out = F.when(F.lit(False), F.lit(False))
-    for rule in rules:
-        out = out.when(fails(rule), F.lit(False))
-    return out.otherwise(F.lit(True))
+    """The rows that no rule rejects."""
+    return docs.where(passes(rules, _text(text)))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """All rows with their metrics, ``base_failed`` and ``kept``."""
+    verdict = F.when(F.lit(False), F.lit(False))
+    for rule in order_rules(docs, rules, text):
+        verdict = verdict.when(fails(rule), F.lit(False))
     base = fails(BASE_RULES[0]) | fails(BASE_RULES[1])
-    return with_metrics(docs, text).withColumns({"base_failed": base}).withColumn("kept", ~F.col("base_failed") & verdict(order_rules(docs, rules, text)))
+    return with_metrics(docs, text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict.otherwise(F.lit(True)))
 
 
 SQL = r"""

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jointframe.llm.common import slices, small_batches
+from jointframe.llm.common import columns_of, slices, small_batches, unused
 from jointframe.llm.components import components
 from jointframe.session import durable
 
@@ -66,12 +66,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep_text: bool = True) -> DataFrame:
-    """The documents' columns (without the text unless kept) and ``__fp``, the fingerprint as a signed number."""
+def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep_text: bool = True, name: str = "__fp") -> DataFrame:
+    """The documents' columns (without the text unless kept) and, under a name that must be free, the fingerprint as a signed number."""
     small_batches(docs.sparkSession)
     i = docs.columns.index(text)
     fields = [f for f in docs.schema.fields if keep_text or f.name != text]
-    schema = T.StructType([*fields, T.StructField("__fp", T.LongType())])
+    schema = T.StructType([*fields, T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -296,8 +296,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each component, that of the least doc_id, with all columns."""
-    marked = durable(with_fingerprint(docs, text))
-    table = group_documents(marked.select("doc_id", "__fp")).groupBy("__fp").agg(F.first("__root").alias("__root"), F.first("component_id").alias("__least"))
-    table = table.withColumnRenamed("__fp", "__f")
-    kept = marked.join(table, marked["__fp"] == table["__f"]).where(F.col("doc_id").eqNullSafe(F.col("__least")))
-    return kept.dropDuplicates(["__root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    fp, f, root, least = unused(docs.columns, "__fp", "__f", "__root", "__least")
+    marked = durable(with_fingerprint(docs, text, name=fp))
+    table = group_documents(marked.select("doc_id", F.col(fp).alias("__fp"))).groupBy("__fp").agg(F.first("__root").alias(root), F.first("component_id").alias(least))
+    table = table.withColumnRenamed("__fp", f)
+    kept = marked.join(table, F.col(fp) == F.col(f)).where(F.col("doc_id").eqNullSafe(F.col(least)))
+    return kept.dropDuplicates([root]).select(*columns_of(docs))

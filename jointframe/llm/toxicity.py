@@ -243,12 +243,12 @@ _OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("pass
 _OUT_ARROW = pa.struct([("score", pa.float64()), ("passages", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())])))])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents' columns and ``__toxic``: score and the significant passages (first and last word, score, E-value)."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "__toxic") -> DataFrame:
+    """The documents' columns and, under a name that must be free, score and the significant passages (first and last word, score, E-value)."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # FORMS bounds it
-    schema = T.StructType([*docs.schema.fields, T.StructField("__toxic", _OUT)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, _OUT)])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
