@@ -19,7 +19,7 @@ own windows, and every window lies in exactly one.
    none of this: all but the least doc_id are removed as a whole.
 
 Null texts are empty. Documents with a null id are kept whole and count for no
-other. Repeated rows of one id do not remove each other. Extra columns are not
+other. Rows of one id do not remove each other, whatever their texts. Extra columns are not
 read; an empty table gives no rows.
 """
 
@@ -30,8 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_digest, xxh64_intdigest
 
 from jointframe.llm.common import binary, bytes_of, ranges, slices, small_batches, text_of
 from jointframe.session import durable
@@ -107,22 +108,23 @@ def _unpack(data: list[bytes]) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_ENTRIES = "bucket long, doc_id long, keys binary, which binary, docs binary, texts binary"
+_ENTRIES = "bucket long, doc_id long, hash long, keys binary, which binary, docs binary, texts binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "doc_id", "keys", "which", "docs", "texts"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "doc_id", "hash", "keys", "which", "docs", "texts"])
 
 
-def _by_doc(doc_id: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    if not len(doc_id):
+def _by_text(text: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The keys of each text."""
+    if not len(text):
         return
-    order = np.argsort(doc_id, kind="stable")
-    doc_id, key = doc_id[order], key[order]
-    at = np.flatnonzero(np.append(True, doc_id[1:] != doc_id[:-1]))
-    for a, b in zip(at.tolist(), np.append(at[1:], len(doc_id)).tolist(), strict=True):
-        yield int(doc_id[a]), _pack(key[a:b])
+    order = np.argsort(text, kind="stable")
+    text, key = text[order], key[order]
+    at = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    for a, b in zip(at.tolist(), np.append(at[1:], len(text)).tolist(), strict=True):
+        yield int(text[a]), _pack(key[a:b])
 
 
 def _send(buckets: int):
@@ -142,11 +144,12 @@ def _send(buckets: int):
                 return
             order = np.argsort(key, kind="stable")
             key, text = key[order], text[order]
-            ids, hashes = np.array(docs, np.int64), np.fromiter(seen, np.int64, len(seen))
+            docs_, hashes_ = docs[:], [*seen]
+            ids, hashes = np.array(docs_, np.int64), np.array(hashes_, np.int64)
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             count = np.diff(np.append(first, len(key)))
             known = np.repeat(count > 1, count)
-            rows = [(d % buckets, d, k, None, None, None) for d, k in _by_doc(ids[text[known]], key[known])]
+            rows = [(docs_[i] % buckets, docs_[i], hashes_[i], k, None, None, None) for i, k in _by_text(text[known], key[known])]
             entry = text[first] | np.where(count > 1, 1 << 15, 0)
             key = key[first]
             bucket = (key.astype(object) * buckets >> _KEY_BITS).astype(np.int64) if buckets >= 1 << 15 else ((key * np.uint64(buckets)) >> np.uint64(_KEY_BITS)).astype(np.int64)
@@ -154,7 +157,7 @@ def _send(buckets: int):
             for a, b in zip(at.tolist(), np.append(at[1:], len(key)).tolist(), strict=True):
                 used, index = np.unique(entry[a:b] & 0x7FFF, return_inverse=True)
                 index = index.astype(np.uint16) | (entry[a:b] & 0x8000).astype(np.uint16)
-                rows.append((int(bucket[a]), None, _pack(key[a:b]), index.astype("<u2").tobytes(), ids[used].tobytes(), hashes[used].tobytes()))
+                rows.append((int(bucket[a]), None, None, _pack(key[a:b]), index.astype("<u2").tobytes(), ids[used].tobytes(), hashes[used].tobytes()))
             for lo in range(0, len(rows), 256):
                 yield _rows(rows[lo : lo + 256])
             seen.clear()
@@ -188,10 +191,10 @@ def _send(buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, keys): which triggers of a document stand in another text too. Rows come sorted by bucket."""
+    """(doc_id, hash, keys): which triggers of a document stand in another text too. Rows come sorted by bucket."""
     held: list[dict] = []
 
-    def close() -> Iterator[tuple[int, bytes]]:
+    def close() -> Iterator[tuple[int, int, bytes]]:
         key = _unpack([r["keys"] for r in held])
         which, base, n = [], [], 0
         for r in held:
@@ -209,12 +212,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meet = (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)) | np.logical_or.reduceat(several, first)
         tell = np.repeat(meet, np.diff(np.append(first, len(key)))) & ~several
         held.clear()
-        yield from _by_doc(docs[at[tell]], key[tell])
+        for i, k in _by_text(at[tell], key[tell]):
+            yield int(docs[i]), int(texts[i]), k
 
-    def batches_of(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def batches_of(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(rows), 5000):
-            ids, keys = zip(*rows[lo : lo + 5000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "keys"])
+            ids, hashes, keys = zip(*rows[lo : lo + 5000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "hash", "keys"])
 
     for batch in batches:
         out = []
@@ -224,24 +228,51 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["doc_id"] is None:
                 held.append(row)
             else:
-                out.append((row["doc_id"], row["keys"]))
+                out.append((row["doc_id"], row["hash"], row["keys"]))
         yield from batches_of(out)
     if held:
         yield from batches_of([*close()])
 
 
+#: Seeds of the two halves of a phrase's digest; ``_code`` is the same in SQL, where a leading 7 gives the second one.
+_SEEDS = 42, int.from_bytes(xxh64_digest((7).to_bytes(8, "little"), 42), "big")
+
+
+def _digests(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Two numbers (n, 2), 128 bits, for each cut of ``raw``."""
+    data = memoryview(raw.tobytes())
+    cuts = [data[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    return np.stack([np.fromiter((xxh64_intdigest(c, seed) for c in cuts), np.uint64, len(cuts)).view(np.int64) for seed in _SEEDS], 1)
+
+
+def _code(phrase: str) -> list[Column]:
+    return [F.xxhash64(phrase).alias("a"), F.xxhash64(F.lit(7).cast("long"), F.col(phrase)).alias("b")]
+
+
 def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, phrase, doc_id, start) of the phrases asked for; rows are (doc_id, text, list of keys)."""
+    """(a, b, doc_id, hash, start, key, phrase) of the phrases asked for; of equal ones in a slice, only that of the least doc_id and that of the greatest show key and phrase. Rows are (doc_id, text, hash, list of keys)."""
     for batch in slices(batches):
         raw, bounds = bytes_of(text_of(batch))
         key, text, start, windows = phrases(raw, bounds)
-        asked = [_unpack(x) for x in batch.column(2).to_pylist()]
+        asked = [_unpack(x) for x in batch.column(3).to_pylist()]
         wanted = np.concatenate([k | (np.uint64(i) << np.uint64(_KEY_BITS)) for i, k in enumerate(asked)])
         keep = np.isin(key | (text.astype(np.uint64) << np.uint64(_KEY_BITS)), wanted)
         key, text, start, windows = key[keep], text[keep], start[keep], windows[keep]
+        if not len(key):
+            continue
+        code = _digests(raw, start, windows + SPAN - 1)
+        doc = batch.column(0).to_numpy()[text]
+        order = np.lexsort((doc, code[:, 1], code[:, 0]))
+        new = np.append(True, (np.diff(code[order], axis=0) != 0).any(1))
+        shown = np.zeros(len(key), bool)
+        shown[order[new]] = True
+        shown[order[np.append(new[1:], True)]] = True
+        size = np.where(shown, windows + SPAN - 1, 0)
+        phrase = binary(raw, start, size)
+        phrase = pa.Array.from_buffers(pa.binary(), len(key), [pa.array(shown).buffers()[1], *phrase.buffers()[1:]], null_count=int((~shown).sum()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.astype(np.int64)), binary(raw, start, windows + SPAN - 1), batch.column(0).take(pa.array(text)), pa.array((start - bounds[text]).astype(np.int64))],
-            names=["key", "phrase", "doc_id", "start"],
+            [pa.array(code[:, 0]), pa.array(code[:, 1]), pa.array(doc), batch.column(2).take(pa.array(text)), pa.array((start - bounds[text]).astype(np.int64)), pa.array(key.astype(np.int64)), phrase],
+            names=["a", "b", "doc_id", "hash", "start", "key", "phrase"],
         )
 
 
@@ -249,36 +280,40 @@ _RUNS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("first", pa
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, runs): for each phrase, runs of windows lo to hi (without hi) that first occur in document ``first``. Rows are (key, phrase, least, most, a, b), sorted by key."""
+    """(a, b, runs): for each phrase, runs of windows lo to hi (without hi) that first occur in document ``first``. Rows are (key, phrase, doc_id), sorted by key."""
     held: list[pa.RecordBatch] = []
 
     def close(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, bounds = bytes_of(part.column(1))
-        windows = np.diff(bounds) - SPAN + 1
-        owner = np.repeat(np.arange(len(windows)), windows)
-        start = ranges(bounds[:-1], windows)
-        least = part.column(2).to_numpy()[owner]
-        row = np.zeros((len(start), 8 + SPAN), np.uint8)
-        row[:, :8] = part.column(0).to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8)[owner]
-        row[:, 8:] = np.lib.stride_tricks.sliding_window_view(raw, SPAN)[start]
-        suffix = row.view(f"S{8 + SPAN}").ravel()
+        key, doc = part.column(0).to_numpy(), part.column(2).to_numpy()
+        # Equal phrases become one, with the least and the greatest document.
+        code = _digests(raw, bounds[:-1], np.diff(bounds))
+        order = np.lexsort((doc, code[:, 1], code[:, 0], key))
+        new = np.flatnonzero(np.append(True, (np.diff(code[order], axis=0) != 0).any(1)))
+        row = order[new]
+        least, most = doc[row], doc[order[np.append(new[1:], len(order)) - 1]]
+        windows = np.diff(bounds)[row] - SPAN + 1
+        owner = np.repeat(np.arange(len(row)), windows)
+        base = np.cumsum(windows) - windows
+        grid = np.zeros((len(owner), 8 + SPAN), np.uint8)
+        grid[:, :8] = key[row].astype(">i8").view(np.uint8).reshape(-1, 8)[owner]
+        grid[:, 8:] = np.lib.stride_tricks.sliding_window_view(raw, SPAN)[ranges(bounds[row], windows)]
+        suffix = grid.view(f"S{8 + SPAN}").ravel()
         order = np.argsort(suffix, kind="stable")
         suffix = suffix[order]
-        new = np.append(True, suffix[1:] != suffix[:-1])
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(np.append(True, suffix[1:] != suffix[:-1]))
         first = np.empty(len(order), np.int64)
-        first[order] = np.repeat(np.minimum.reduceat(least[order], at), np.diff(np.append(at, len(order))))
+        first[order] = np.repeat(np.minimum.reduceat(least[owner][order], at), np.diff(np.append(at, len(order))))
         turn = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (first[1:] != first[:-1])))
-        own, base = owner[turn], (np.cumsum(windows) - windows)[owner[turn]]
+        own = owner[turn]
+        lo, hi = turn - base[own], np.append(turn[1:], len(owner)) - base[own]
         # Phrases of one document only, all of whose windows first occur there, remove nothing.
-        idle = np.logical_and.reduceat(first == part.column(3).to_numpy()[owner], np.cumsum(windows) - windows)
-        lo, hi = turn - base, np.append(turn[1:], len(owner)) - base
-        show = ~idle[own]
-        per = np.bincount(own[show], minlength=len(windows))
+        show = ~np.logical_and.reduceat(first == most[owner], base)[own]
+        per = np.bincount(own[show], minlength=len(row))
         offsets = np.concatenate([[0], np.cumsum(per[per > 0])]).astype(np.int32)
         runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(lo[show]), pa.array(hi[show]), pa.array(first[turn][show])], names=["lo", "hi", "first"]))
-        kept = pa.array(np.flatnonzero(per > 0))
-        return pa.RecordBatch.from_arrays([part.column(4).take(kept), part.column(5).take(kept), runs.cast(_RUNS)], names=["a", "b", "runs"])
+        kept = code[row[per > 0]]
+        return pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1]), runs.cast(_RUNS)], names=["a", "b", "runs"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -298,36 +333,40 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _single_windows(crowded: DataFrame) -> DataFrame:
     """The same as ``_sort_suffixes`` for triggers with very many phrases, by one row for each window and no task for a trigger."""
-    windows = crowded.select("key", "least", "a", "b", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("phrase") - (SPAN - 1)), lambda i: F.substring(F.col("phrase"), i, F.lit(SPAN)))).alias("lo", "window"))
-    first = windows.groupBy("key", "window").agg(F.min("least").alias("first"))
+    windows = crowded.select("a", "b", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("phrase") - (SPAN - 1)), lambda i: F.substring(F.col("phrase"), i, F.lit(SPAN)))).alias("lo", "window"))
+    windows = windows.groupBy("a", "b", "lo", "window").agg(F.min("doc_id").alias("doc_id"))
+    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
     run = F.struct(F.col("lo").cast("long").alias("lo"), (F.col("lo") + 1).cast("long").alias("hi"), "first")
-    return windows.join(first, ["key", "window"]).groupBy("a", "b").agg(F.collect_list(run).alias("runs"))
+    return windows.join(first, "window").groupBy("a", "b").agg(F.collect_list(run).alias("runs"))
 
 
 def spans(docs: DataFrame, held: int = BUCKET, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, spans) to remove from documents that are no copies, (doc_id) of the copies) for ``docs`` (doc_id, text) without null ids."""
+    """((doc_id, hash, spans) to remove from documents that are no copies, (doc_id, hash) of the copies) for ``docs`` (doc_id, text, hash of the text) without null ids.
+
+    Triggers, copies and what documents are asked for are written out. What
+    follows is one plan, in which the shuffles of texts by document and of
+    phrases by trigger are made once and read several times.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(max(1, total * 2 // (SPAN - TRIGGER + 2) // held + 1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2))
-    same = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same"))
+    same = docs.select("doc_id", "hash", F.md5(F.col("text").cast("binary")).alias("same"))
     least = same.groupBy("same").agg(F.min("doc_id").alias("least"))
-    copies = durable(same.join(least, "same").where("doc_id > least").select("doc_id").distinct())
-    sent = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(_send(buckets), _ENTRIES)
-    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "doc_id long, keys binary")
-    asked = durable(met.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("keys").alias("keys")))
-    stand = docs.join(asked, "doc_id").select("doc_id", "text", "keys").mapInArrow(_dictionary, "key long, phrase binary, doc_id long, start long")
-    stand = stand.withColumns({"a": F.xxhash64("key", "phrase"), "b": F.xxhash64(F.lit("phrase"), "phrase", "key")})
-    entries = stand.groupBy("key", "phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("a").alias("a"), F.first("b").alias("b"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select(F.col("key").alias("crowded"))
-    marked = entries.join(sizes, F.col("key") == F.col("crowded"), "left")
-    usual = marked.where("crowded is null").select("key", "phrase", "least", "most", "a", "b").repartition("key").sortWithinPartitions("key")
+    copies = durable(same.join(least, "same").where("doc_id > least").select("doc_id", "hash").distinct())
+    sent = docs.mapInArrow(_send(buckets), _ENTRIES)
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "doc_id long, hash long, keys binary")
+    asked = durable(met.join(copies, ["doc_id", "hash"], "left_anti").groupBy("doc_id", "hash").agg(F.collect_list("keys").alias("keys")))
+    stand = docs.join(asked, ["doc_id", "hash"]).select("doc_id", "text", "hash", "keys").mapInArrow(_dictionary, "a long, b long, doc_id long, hash long, start long, key long, phrase binary")
+    entries = stand.where("phrase is not null").select("key", "phrase", "doc_id").repartition("key")
+    crowded = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key")
+    usual = entries.join(crowded, "key", "left_anti").select("key", "phrase", "doc_id").sortWithinPartitions("key")
     runs = usual.mapInArrow(_sort_suffixes, "a long, b long, runs array<struct<lo: long, hi: long, first: long>>")
-    runs = runs.unionByName(_single_windows(marked.where("crowded is not null")))
-    hit = stand.select("doc_id", "start", "a", "b").join(runs, ["a", "b"])
-    hit = hit.select("doc_id", "start", F.explode(F.filter("runs", lambda r: r["first"] < F.col("doc_id"))).alias("r"))
-    hit = hit.select("doc_id", F.struct((F.col("start") + F.col("r.lo")).alias("s"), (F.col("start") + F.col("r.hi") + (SPAN - 1)).alias("e")).alias("span"))
-    return hit.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), copies
+    runs = runs.unionByName(_single_windows(entries.join(crowded, "key", "left_semi").select(*_code("phrase"), "doc_id", "phrase")))
+    hit = stand.select("doc_id", "hash", "start", "a", "b").join(runs, ["a", "b"])
+    hit = hit.select("doc_id", "hash", "start", F.explode(F.filter("runs", lambda r: r["first"] < F.col("doc_id"))).alias("r"))
+    hit = hit.select("doc_id", "hash", F.struct((F.col("start") + F.col("r.lo")).alias("s"), (F.col("start") + F.col("r.hi") + (SPAN - 1)).alias("e")).alias("span"))
+    return hit.groupBy("doc_id", "hash").agg(F.collect_list("span").alias("spans")), copies
 
 
 def merged(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -343,10 +382,10 @@ def merged(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = docs.where("doc_id is not null")
+    named = docs.where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
     found, copies = spans(named)
-    told = found.select("doc_id", "spans", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("array<struct<s: long, e: long>>").alias("spans"), F.lit(True).alias("copy")))
-    joined = named.join(told, "doc_id", "left").select("doc_id", "text", "spans", "copy")
+    told = found.select("doc_id", "hash", "spans", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "hash", F.lit(None).cast("array<struct<s: long, e: long>>").alias("spans"), F.lit(True).alias("copy")))
+    joined = named.join(told, ["doc_id", "hash"], "left").select("doc_id", "text", "spans", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
