@@ -39,7 +39,7 @@ from jointframe.session import ensure_checkpoint_dir
 
 BLOCK = 1024
 #: Blocks coded side by side, and so the ids after which a chunk is closed.
-LANES = 4096
+LANES = 2048
 #: Ids are below this.
 IDS = 1 << 16
 MAGIC = b"TCM1"
