@@ -6,8 +6,8 @@ of the hashes. A text of fewer words is one shingle, one without words has
 fingerprint zero. Two fingerprints link at ``RADIUS`` or fewer differing bits.
 
 Index: the bits are cut into segments. Of fingerprints within the radius, some
-choice of segments agrees in full, so for every choice the bits are permuted to
-bring it to the front; equal fronts form a group. Within a group fingerprints
+choice of segments agrees in full, so for every choice the chosen segments are
+put in front; equal fronts form a group. Within a group fingerprints
 are sorted by Gray rank and factored into a tree: a node holds the bits that
 all below it share, as mask and pattern. A search goes down from the top and
 drops whole subtrees as soon as the differing shared bits exceed the radius, or
@@ -91,22 +91,19 @@ def _segments(n: int) -> list[tuple[int, int]]:
 def choices(total: int, radius: int = RADIUS, part: int = PART) -> tuple[int, list[tuple[int, ...]]]:
     """(segments, the choices of segments that must agree) for so many fingerprints: radius + a segments of which a agree."""
     agree = 1
-    while total > (part // 4) << (sum(sorted(w for _, w in _segments(radius + agree))[:agree])) and agree < 5:
+    while total > max(1, part // 4) << (sum(sorted(w for _, w in _segments(radius + agree))[:agree])) and agree < 5:
         agree += 1
     return radius + agree, list(combinations(range(radius + agree), agree))
 
 
-def _permuted(fp: Column, n: int, choice: tuple[int, ...]) -> tuple[Column, int]:
-    """The fingerprint with the chosen segments in front, and their width."""
-    segments = _segments(n)
-    order = [*choice, *(i for i in range(n) if i not in choice)]
-    out, left = F.lit(0).cast("long"), 64
-    for i in order:
+def _front(fp: Column, n: int, choice: tuple[int, ...]) -> Column:
+    """The chosen segments of the fingerprint, one after the other."""
+    out, segments = F.lit(0).cast("long"), _segments(n)
+    for i in choice:
         low, width = segments[i]
-        left -= width
         bits = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        out = out.bitwiseOR(F.shiftleft(bits, left))
-    return out, sum(segments[i][1] for i in choice)
+        out = F.shiftleft(out, width).bitwiseOR(bits)
+    return out
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -235,11 +232,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, part: int = PART) -> Da
     """(u, v): for ``fingerprints`` (fp, distinct), links that connect the same components as all pairs within the radius."""
     spark = fingerprints.sparkSession
     n, chosen = choices(fingerprints.count(), radius, part)
-    rows = []
-    for k, choice in enumerate(chosen):
-        code, width = _permuted(F.col("fp"), n, choice)
-        rows.append(F.struct(F.lit(k).cast("long").alias("k"), F.shiftrightunsigned(code, 64 - width).alias("front"), code.alias("code")))
-    # The permutation is undone for the result, so the plain fingerprint goes along; distances do not depend on the order of bits.
+    rows = [F.struct(F.lit(k).cast("long").alias("k"), _front(F.col("fp"), n, choice).alias("front")) for k, choice in enumerate(chosen)]
     spread = fingerprints.select("fp", F.explode(F.array(*rows)).alias("r")).select("fp", "r.k", "r.front")
     large = spread.groupBy("k", "front").agg(F.count("*").alias("n")).where(F.col("n") > part)
     large = large.select("k", "front", F.ceil(F.col("n") / part).cast("long").alias("parts"))
