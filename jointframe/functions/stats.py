@@ -14,7 +14,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
     h = d
-    for m in range(1, 10_000):
+    rounds = 10_000 + 20 * math.isqrt(int(a + b))
+    for m in range(1, rounds):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
@@ -23,8 +24,21 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the fraction for {a}, {b}, {x} does not settle")
+
+
+def _beta_front(a: float, b: float, x: float) -> float:
+    """x^a (1-x)^b / B(a, b). For large a and b by Stirling's series, which subtracts no large terms."""
+    if min(a, b) < 1000.0:
+        return math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    n = a + b
+
+    def rest(z: float) -> float:
+        return 1.0 / (12.0 * z) - 1.0 / (360.0 * z**3)
+
+    shape = a * math.log1p((x * n - a) / a) + b * math.log1p(((1.0 - x) * n - b) / b)
+    return math.exp(shape + 0.5 * math.log(a * b / n) - 0.5 * math.log(2.0 * math.pi) + rest(n) - rest(a) - rest(b))
 
 
 def beta_cdf(a: float, b: float, x: float) -> float:
@@ -32,7 +46,7 @@ def beta_cdf(a: float, b: float, x: float) -> float:
         return 0.0
     if x >= 1.0:
         return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    front = _beta_front(a, b, x)
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b

@@ -309,15 +309,19 @@ def faces_with_tags(faces: DataFrame, dictionary: DataFrame, required: Sequence[
 
 
 def mesh_identity(meshes: DataFrame) -> DataFrame:
-    """(scene, frame, name, n_verts, instance, first_frame): an instance keeps the id it had in the frame before.
+    """(scene, name, n_verts, frame, first_frame): a mesh keeps its identity while its instances overlap those of the frame before.
 
-    ``meshes`` is (scene, frame, name, n_verts, instance). Runs of consecutive
-    frames of one (name, n_verts, instance) share the frame they began in.
+    ``meshes`` is (scene, frame, name, n_verts, instance). A mesh of a frame
+    that shares no instance with the same (name, n_verts) one frame earlier
+    starts anew; the identity is the frame of the latest start.
     """
-    keys = ["scene", "name", "n_verts", "instance"]
-    prev = neighbours(meshes.select(*keys, "frame").distinct(), keys, ["frame"], {"_p": "frame"})
-    starts = prev.where(F.col("_p").isNull() | (F.col("frame") - F.col("_p") > 1)).select(*keys, F.col("frame").alias("_at"), F.col("frame").alias("first_frame"))
-    probes = meshes.select(*keys, F.col("frame").alias("_at")).distinct().withColumn("_id", F.col("_at"))
+    keys = ["scene", "name", "n_verts"]
+    own = meshes.select(*keys, "frame", "instance").distinct()
+    before = own.withColumn("frame", F.col("frame") + 1)
+    linked = own.join(before, [*keys, "frame", "instance"], "left_semi").select(*keys, "frame").distinct()
+    all_ = own.select(*keys, "frame").distinct()
+    starts = all_.join(linked, [*keys, "frame"], "left_anti").select(*keys, F.col("frame").alias("_at"), F.col("frame").alias("first_frame"))
+    probes = all_.select(*keys, F.col("frame").alias("_at"), F.col("frame").alias("_id"))
     return asof(probes, starts, keys, "_at", "first_frame", "_id").select(*keys, F.col("_at").alias("frame"), "first_frame")
 
 

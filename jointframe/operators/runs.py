@@ -189,8 +189,7 @@ def crash_reason(log: Column, missing: Column) -> Column:
         hit = log.contains(phrase)
         out = F.when(hit, reason) if out is None else out.when(hit, reason)
     # Only whole lines that hold an error mark meet the pattern: it backtracks badly on long text without one.
-    lines = F.split(log, "\n")
-    marked = F.filter(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x.contains("rror:"))
+    marked = F.filter(F.split(log, "\n"), lambda x: x.contains("rror:"))
     pattern = r"(?s)([^.]*[Ee]rror):(.*)$"
     found = F.transform(F.filter(marked, lambda x: x.rlike(pattern)), lambda x: F.struct(
         F.regexp_extract(x, pattern, 1).alias("e"), F.regexp_extract(x, pattern, 2).alias("m")))

@@ -119,8 +119,8 @@ def promote(roles: DataFrame, active: DataFrame, moved: DataFrame, hits: DataFra
     return new_roles, active.unionByName(passive)
 
 
-def tensor_rows(active: DataFrame, joints: DataFrame, n_max: int = 8) -> DataFrame:
-    """Joint tensor as rows (obj, key, slot, c0..c11), slots in joint order, overflow dropped.
+def tensor_rows(active: DataFrame, joints: DataFrame) -> DataFrame:
+    """Joint tensor as rows (obj, key, slot, c0..c11), slots in joint order, all of them.
 
     Columns: normalised origin, unit direction, one-hot type, range from 0, exists flag.
     """
@@ -129,13 +129,14 @@ def tensor_rows(active: DataFrame, joints: DataFrame, n_max: int = 8) -> DataFra
     hot = [(F.col("type") == k).cast("double") for k in fixed.MOVABLE]
     cells = [*origin, *la.fields("wd", 3), *hot, F.lit(0.0), F.abs(F.col("upper") - F.col("lower")), F.lit(1.0)]
     return (
-        active.join(joints, ["obj", "joint"]).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_max)
+        active.join(joints, ["obj", "joint"]).withColumn("_rn", F.row_number().over(w))
         .select("obj", "key", (F.col("_rn") - 1).cast("bigint").alias("slot"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
     )
 
 
 def tensors(rows: DataFrame, n_max: int = 8) -> DataFrame:
-    """(obj, key, tensor): fixed [n_max, 12] float arrays, zero padded. At most n_max rows meet per group."""
+    """(obj, key, tensor): fixed [n_max, 12] float arrays, zero padded. The file format ends at n_max rows; ``tensor_rejects`` has the others."""
+    rows = rows.where(F.col("slot") < n_max)
     row = F.array(*[F.col(f"c{i}").cast("float") for i in range(12)])
     listed = rows.groupBy("obj", "key").agg(F.array_sort(F.collect_list(F.struct("slot", row.alias("row")))).alias("_l"))
     zero = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), 12), n_max)
@@ -143,6 +144,11 @@ def tensors(rows: DataFrame, n_max: int = 8) -> DataFrame:
     return listed.select("obj", "key", filled.alias("tensor"))
 
 
+def tensor_rejects(rows: DataFrame, n_max: int = 8) -> DataFrame:
+    """Rows that do not fit the file format."""
+    return rows.where(F.col("slot") >= n_max)
+
+
 def text_mismatches(roles: DataFrame, parts: DataFrame) -> DataFrame:
     """Parts of the default split whose role and movement text disagree.
 

@@ -62,14 +62,14 @@ def rule_fallback_pattern(t: Tables) -> DataFrame:
 WITH ids AS (SELECT factory, obj * 8 + label AS object_id,
     row_number() OVER (PARTITION BY factory ORDER BY obj * 8 + label) - 1 AS pos,
     count(*) OVER (PARTITION BY factory) AS n FROM {P}),
-s AS (SELECT o_orderkey AS seed, CASE o_orderkey % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' ELSE 'PROMO' END AS factory FROM orders)
+s AS (SELECT o_orderkey AS seed, CASE o_orderkey % 6 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'PROMO' WHEN 3 THEN 'LARGE' WHEN 4 THEN 'MEDIUM' ELSE 'STANDARD' END AS factory FROM orders)
 SELECT s.factory, s.seed, ids.object_id, s.seed >= ids.n AS is_variant
 FROM s JOIN ids ON ids.factory = s.factory AND ids.pos = s.seed % ids.n""")
 def seed_to_object(t: Tables) -> DataFrame:
     ids = ad.parts(t).select("factory", (F.col("obj") * 8 + F.col("label")).alias("object_id"))
     seeds = t.orders.selectExpr(
         "o_orderkey AS seed",
-        "CASE o_orderkey % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' ELSE 'PROMO' END AS factory")
+        "CASE o_orderkey % 6 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'PROMO' WHEN 3 THEN 'LARGE' WHEN 4 THEN 'MEDIUM' ELSE 'STANDARD' END AS factory")
     return cat.seeds_to_objects(ids, seeds)
 
 

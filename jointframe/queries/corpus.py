@@ -67,7 +67,7 @@ def metadata_records(t: Tables) -> DataFrame:
 @query("K03", f"""{GEOMETRY_CTE}, {SPLIT_SQL}, {_FRAME_SQL},
 s AS (SELECT act.obj, act.key, row_number() OVER (PARTITION BY act.obj, act.key ORDER BY act.joint) - 1 AS slot, ax.* FROM act JOIN ax ON ax.obj = act.obj AND ax.joint = act.joint)
 SELECT concat(CAST(obj AS STRING), '/', key) AS path, concat('joint_', type, '_', CAST(slot AS STRING)) AS joint, type, concat('moving_link_', CAST(slot AS STRING)) AS child,
-  true AS axis_given, type <> 'continuous' AS limit_given, CASE WHEN type = 'continuous' THEN 0.0 ELSE round(abs(upper - lower), 4) END AS upper FROM s WHERE slot < 8""")
+  true AS axis_given, type <> 'continuous' AS limit_given, CASE WHEN type = 'continuous' THEN 0.0 ELSE round(abs(upper - lower), 4) END AS upper FROM s""")
 def verification_urdf(t: Tables) -> DataFrame:
     """Tensor rows written as verification documents and read back."""
     ordered, moved = movable_parts(t)
@@ -200,17 +200,3 @@ def joint_dynamics(t: Tables) -> DataFrame:
 def table_function(t: Tables) -> DataFrame:
     """Text to rows by a native generator used like a table function."""
     return ad.parts(t).select("obj", "label", F.posexplode(F.split("material", " ")).alias("i", "word")).withColumn("i", (F.col("i") + 1).cast("bigint"))
-
-
-SET_METHODS = {
-    "tagged": lambda df, tag: df.where(F.col("factory") == tag),
-    "large": lambda df, least: df.where(F.col("size") >= least),
-    "count": lambda df: df.groupBy("obj").agg(F.count("*").alias("n")),
-}
-
-
-@query("F01 F02", f"SELECT obj, CAST(count(*) AS BIGINT) AS n FROM {P} WHERE factory = 'SMALL' AND size >= 20 GROUP BY obj")
-def method_chain(t: Tables) -> DataFrame:
-    """Named DataFrame functions looked up in a registry and chained."""
-    m = SET_METHODS
-    return ad.parts(t).transform(m["tagged"], "SMALL").transform(m["large"], 20).transform(m["count"])

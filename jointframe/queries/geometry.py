@@ -146,7 +146,7 @@ pl AS (SELECT v.obj, v.part, v.ord1, v.ord2, v.ord3, v.ord4,
 c AS (SELECT obj, part, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM pl GROUP BY obj, part)
 SELECT obj, part, ord1, ord2, ord3, ord4, {rsql(["x - cx", "y - cy", "z - cz"], geo.AXES, 4)} FROM pl JOIN c USING (obj, part)""")
 def place_and_recentre(t: Tables) -> DataFrame:
-    poses = kin.world_transforms(ad.joints(t), ["obj"]).withColumn("part", F.substring("link", 3, 9).cast("bigint")).drop("link")
+    poses = kin.world_transforms(ad.joints(t), ["obj"]).withColumn("part", F.regexp_extract("link", "([0-9]+)$", 1).cast("bigint")).drop("link")
     poses = poses.withColumns({"v0": F.lit(0.5), "v1": F.lit(-0.25), "v2": F.lit(0.0)})
     shifted, _ = geo.recentre(geo.place(ad.vertices(t), poses, PART), PART)
     return shifted.select(*PART, "ord1", "ord2", "ord3", "ord4", *rounded(geo.AXES, 4))

@@ -292,11 +292,14 @@ def tagged_faces(t: Tables) -> DataFrame:
 
 @query("W11", f"""
 WITH m AS (SELECT DISTINCT scene, frame, tag AS name, object_id AS instance FROM {FR}),
-g AS (SELECT *, frame - row_number() OVER (PARTITION BY scene, name, instance ORDER BY frame) AS grp FROM m)
-SELECT scene, frame, name, instance, min(frame) OVER (PARTITION BY scene, name, instance, grp) AS first_frame FROM g""")
+g AS (SELECT DISTINCT scene, frame, name FROM m),
+l AS (SELECT DISTINCT a.scene, a.frame, a.name FROM m a JOIN m b ON a.scene = b.scene AND a.name = b.name AND a.instance = b.instance AND a.frame = b.frame + 1),
+s AS (SELECT g.*, count(*) FILTER (l.frame IS NULL) OVER (PARTITION BY g.scene, g.name ORDER BY g.frame) AS grp
+      FROM g LEFT JOIN l ON l.scene = g.scene AND l.frame = g.frame AND l.name = g.name)
+SELECT scene, frame, name, min(frame) OVER (PARTITION BY scene, name, grp) AS first_frame FROM s""")
 def mesh_identity(t: Tables) -> DataFrame:
     meshes = ad.fragments(t).select(*SF, F.col("tag").alias("name"), F.lit(8).cast("bigint").alias("n_verts"), F.col("object_id").alias("instance")).distinct()
-    return px.mesh_identity(meshes).select(*SF, "name", "instance", "first_frame")
+    return px.mesh_identity(meshes).select(*SF, "name", "first_frame")
 
 
 _KEYS = "(SELECT o_custkey AS obj, o_orderkey % 40 AS pos, CAST(min(o_orderkey % 11) AS DOUBLE) AS value, min(o_orderkey) % 2 AS c FROM orders GROUP BY 1, 2)"
@@ -304,7 +307,7 @@ _KEYS = "(SELECT o_custkey AS obj, o_orderkey % 40 AS pos, CAST(min(o_orderkey %
 
 @query("W12", f"""
 WITH k AS (SELECT *, lead(pos) OVER (PARTITION BY obj ORDER BY pos) AS pos1, lead(value) OVER (PARTITION BY obj ORDER BY pos) AS v1, first_value(value) OVER (PARTITION BY obj ORDER BY pos) AS f FROM {_KEYS}),
-g AS (SELECT DISTINCT obj, f, CAST(fr AS BIGINT) AS frame FROM k, range(0, 40, 4) r(fr)),
+g AS (SELECT DISTINCT obj, f, CAST(fr AS BIGINT) AS frame FROM k, range(0, 40) r(fr)),
 h AS (SELECT g.obj, g.frame, g.f, k.* EXCLUDE (obj, f), row_number() OVER (PARTITION BY g.obj, g.frame ORDER BY k.pos DESC) AS rn FROM g LEFT JOIN k ON k.obj = g.obj AND k.pos <= g.frame)
 SELECT obj, frame, round(CASE WHEN pos IS NULL THEN f WHEN pos1 IS NULL OR c = 0 THEN value ELSE value + (v1 - value) / (pos1 - pos) * (frame - pos) END, 6) AS value,
   round(CASE WHEN pos1 IS NULL OR c = 0 OR pos IS NULL THEN 0 ELSE (v1 - value) / (pos1 - pos) END, 6) AS slope FROM h WHERE rn = 1""")
@@ -313,7 +316,7 @@ def keyframe_interpolation(t: Tables) -> DataFrame:
         F.min(F.col("o_orderkey") % 11).cast("double").alias("value"), F.min("o_orderkey").alias("m"))
     keys = keys.withColumn("interp", F.when(F.col("m") % 2 == 0, "CONSTANT").otherwise("LINEAR")).drop("m")
     keys = keys.withColumns({h: F.lit(0.0) for h in ("h1x", "h1y", "h2x", "h2y")})
-    frames = keys.select("obj").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"), F.lit(4).cast("bigint"))))
+    frames = keys.select("obj").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))))
     out = px.keyframe_values(keys, frames, ["obj"])
     return out.select("obj", "frame", F.round("value", 6).alias("value"), F.round("slope", 6).alias("slope"))
 

@@ -144,7 +144,7 @@ _S45 = repr(math.sqrt(0.5))
 
 @query("X10 X11 X13 X14 X15", f"""
 WITH m AS (SELECT j.*, mutation FROM {J} j, (VALUES {values([(m,) for m in fixed.MUTATIONS])}) v(mutation)
-  WHERE type <> 'fixed' AND mutation <> 'wrong_direction'),
+  WHERE type <> 'fixed'),
 c AS (SELECT *, CASE WHEN mutation = 'wrong_joint_type' THEN CASE WHEN type = 'prismatic' THEN 10.0 ELSE CAST(0.1 AS DOUBLE) END
   WHEN mutation = 'over_motion' THEN 2.5 ELSE 1.0 END AS k,
   CASE WHEN type = 'continuous' AND abs(upper - lower) <= 1e-6 THEN 1.0 WHEN abs(upper) >= abs(lower) THEN upper ELSE lower END AS tgt FROM m)
@@ -153,15 +153,16 @@ SELECT obj, joint, mutation, type AS old_type,
        WHEN mutation = 'part_detach' THEN 'prismatic' ELSE type END AS type,
   round(CASE WHEN mutation = 'part_detach' THEN 0 ELSE lower * k END, 6) + 0.0 AS lower,
   round(CASE WHEN mutation = 'part_detach' THEN 0.5 ELSE upper * k END, 6) + 0.0 AS upper,
-  CASE WHEN mutation = 'wrong_axis' THEN CASE WHEN ax2 <> 0 THEN 1.0 ELSE 0.0 END ELSE ax0 END + 0.0 AS ax0,
-  CASE WHEN mutation = 'wrong_axis' THEN CASE WHEN ax0 <> 0 THEN 1.0 ELSE 0.0 END ELSE ax1 END + 0.0 AS ax1,
-  CASE WHEN mutation = 'wrong_axis' THEN CASE WHEN ax1 <> 0 THEN -1.0 ELSE 0.0 END ELSE ax2 END + 0.0 AS ax2,
+  CASE WHEN mutation = 'wrong_direction' THEN NULL WHEN mutation = 'wrong_axis' THEN CASE WHEN ax2 <> 0 THEN 1.0 ELSE 0.0 END ELSE ax0 END + 0.0 AS ax0,
+  CASE WHEN mutation = 'wrong_direction' THEN NULL WHEN mutation = 'wrong_axis' THEN CASE WHEN ax0 <> 0 THEN 1.0 ELSE 0.0 END ELSE ax1 END + 0.0 AS ax1,
+  CASE WHEN mutation = 'wrong_direction' THEN NULL WHEN mutation = 'wrong_axis' THEN CASE WHEN ax1 <> 0 THEN -1.0 ELSE 0.0 END ELSE ax2 END + 0.0 AS ax2,
   mutation = 'wrong_parts_moving' AS invert_movers,
   round(CASE WHEN mutation = 'jitter' THEN abs(tgt) * 0.3 ELSE 0 END, 6) + 0.0 AS jitter_std
 FROM c""")
 def mutation_expand(t: Tables) -> DataFrame:
-    """All mutation kinds but the tilted axis, which has its own query."""
-    out = mu.mutations(ad.joints(t), ["obj"]).where("mutation <> 'wrong_direction'")
+    """All mutation kinds; the tilted axis itself is compared by ``tilted_axes``."""
+    out = mu.mutations(ad.joints(t), ["obj"])
+    out = out.withColumns({f"ax{i}": F.when(F.col("mutation") != "wrong_direction", F.col(f"ax{i}")) for i in range(3)})
     return out.select("obj", "joint", "mutation", "old_type", "type", *rounded(["lower", "upper", "ax0", "ax1", "ax2"], 6),
                       "invert_movers", *rounded(["jitter_std"], 6))
 
@@ -196,12 +197,12 @@ def jittered_values(t: Tables) -> DataFrame:
 
 
 @query("W08", """
-WITH d AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS done, min(ts) OVER () AS t0 FROM events WHERE event_type = 'purchase')
+WITH d AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS done, min(ts) OVER () AS t0, (SELECT count(*) FROM events) AS total FROM events WHERE event_type = 'purchase')
 SELECT event_id, CAST(done AS BIGINT) AS done, (epoch_us(ts) - epoch_us(t0)) / 1e6 AS elapsed,
-  round((epoch_us(ts) - epoch_us(t0)) / 1e6 / done * (1000000 - done), 3) AS eta FROM d""")
+  round((epoch_us(ts) - epoch_us(t0)) / 1e6 / done * (total - done), 3) AS eta FROM d""")
 def progress_eta(t: Tables) -> DataFrame:
     done = t.events.where("event_type = 'purchase'").select("event_id", "ts")
-    out = pl.progress(done, 1_000_000, "ts", "event_id")
+    out = pl.progress(done, t.events.count(), "ts", "event_id")
     return out.select("event_id", "done", "elapsed", F.round("eta", 3).alias("eta"))
 
 

@@ -108,11 +108,14 @@ def state_rollup(t: Tables) -> DataFrame:
         *[F.coalesce(c, F.lit("all")).alias(c) for c in ("state", "stage")], "n")
 
 
+TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query("A22", f"""
-SELECT concat('gpu', CAST(size % 7 AS STRING)) AS gpu, {", ".join(f"CAST(coalesce(sum(label) FILTER (factory = '{f}'), 0) AS BIGINT) AS {f}" for f in ("ECONOMY", "SMALL", "LARGE"))} FROM {P} GROUP BY size % 7""")
+SELECT concat('gpu', CAST(size % 7 AS STRING)) AS gpu, {", ".join(f"CAST(coalesce(sum(label) FILTER (factory = '{f}'), 0) AS BIGINT) AS {f}" for f in TYPES)} FROM {P} GROUP BY size % 7""")
 def inventory_pivot(t: Tables) -> DataFrame:
     rows = ad.parts(t).select(F.concat(F.lit("gpu"), (F.col("size") % 7).cast("string")).alias("gpu"), F.col("factory").alias("partition"), F.col("label").alias("n_gpu"))
-    return runs.gpu_inventory(rows, ["ECONOMY", "SMALL", "LARGE"])
+    return runs.gpu_inventory(rows, TYPES)
 
 
 @query("J26 S23", f"""
@@ -188,13 +191,13 @@ def fuzzy_match_lcs(t: Tables) -> DataFrame:
 
 _LOG = ("concat(text, CASE doc_id % 9 WHEN 0 THEN ' System is out of GPU memory' WHEN 1 THEN ' DUE TO TIME LIMIT' WHEN 2 THEN ' SIGCONT' "
         "WHEN 3 THEN '{nl}ValueError: bad shape{nl}srun: error: task 0{nl}KeyError: none{nl}' WHEN 4 THEN '{nl}CalledProcessError: exit 1{nl}' "
-        "WHEN 5 THEN '{nl}MemError: Not freed memory blocks 3{nl}' ELSE '' END)")
+        "WHEN 5 THEN '{nl}MemError: Not freed memory blocks 3{nl}' WHEN 6 THEN '{nl}TypeError: last line' WHEN 7 THEN '{nl}AError: b{nl}{nl}srun: error: x{nl}OSError: disk' ELSE '' END)")
 _SQL_LOG = "(SELECT doc_id, " + _LOG.replace("{nl}", "' || chr(10) || '") + " AS log FROM documents)"
 _SQL_CASE = " ".join(f"WHEN contains(log, '{p}') THEN '{r}'" for p, r in fixed.CRASH_PHRASES)
 
 
 @query("P28", f"""
-WITH e AS (SELECT doc_id, log, regexp_extract_all(log, '([^\\.\\n]*[Ee]rror):(.*)\\n', 1) AS e, regexp_extract_all(log, '([^\\.\\n]*[Ee]rror):(.*)\\n', 2) AS m FROM {_SQL_LOG}),
+WITH e AS (SELECT doc_id, log, regexp_extract_all(log || chr(10), '([^\\.\\n]*[Ee]rror):(.*)\\n', 1) AS e, regexp_extract_all(log || chr(10), '([^\\.\\n]*[Ee]rror):(.*)\\n', 2) AS m FROM {_SQL_LOG}),
 k AS (SELECT doc_id, log, list_filter(list_zip(e, m), lambda x: x[1] NOT IN ('FailedProcessError', 'CalledProcessError', 'srun: error', 'FailedJobError') AND NOT contains(x[2], 'Not freed memory blocks')) AS z FROM e)
 SELECT doc_id, CASE {_SQL_CASE} WHEN len(z) > 0 THEN array_to_string(list_transform(z, lambda x: concat(x[1], ': ', x[2])), ',') ELSE 'unknown' END AS reason FROM k""")
 def crash_reasons(t: Tables) -> DataFrame:

@@ -57,12 +57,12 @@ def split_active_joints(t: Tables) -> DataFrame:
 
 
 @query("U02", f"""{CLOSURE_SQL}, {SPLIT_SQL}
-SELECT obj, key, CAST(nullif(count(*) FILTER (role = 'body'), 0) AS BIGINT) AS n_movers FROM roles GROUP BY obj, key HAVING n_movers IS NOT NULL""")
+SELECT obj, key, CAST(nullif(count(*) FILTER (role = 'body'), 0) AS BIGINT) AS n_movers FROM roles GROUP BY obj, key""")
 def complement_movers(t: Tables) -> DataFrame:
-    """Size of the complement; splits without a body have none."""
+    """Size of the complement; null where the split has no body."""
     moving, _ = sp.build_splits(*movable_parts(t))
-    body = sp.split_roles(moving, ad.parts(t)).where("role = 'body'")
-    return body.groupBy("obj", "key").agg(F.count("*").alias("n_movers"))
+    body = F.count_if(F.col("role") == "body")
+    return sp.split_roles(moving, ad.parts(t)).groupBy("obj", "key").agg(F.nullif(body, F.lit(0)).alias("n_movers"))
 
 
 THRESHOLD = 0.01
@@ -120,7 +120,7 @@ _NAMES = [f"c{i}" for i in range(12)]
 @query("A08 K05", f"""{GEOMETRY_CTE}, {SPLIT_SQL}, {_FRAME_SQL},
 s AS (SELECT act.obj, act.key, row_number() OVER (PARTITION BY act.obj, act.key ORDER BY act.joint) - 1 AS slot, ax.*, mx, my, mz, scale
   FROM act JOIN ax ON ax.obj = act.obj AND ax.joint = act.joint JOIN f ON f.obj = act.obj)
-SELECT obj, key, CAST(slot AS BIGINT) AS slot, {rsql(_CELLS, _NAMES)} FROM s WHERE slot < 8""")
+SELECT obj, key, CAST(slot AS BIGINT) AS slot, {rsql(_CELLS, _NAMES)} FROM s""")
 def joint_tensor_rows(t: Tables) -> DataFrame:
     ordered, moved = movable_parts(t)
     _, active = sp.build_splits(ordered, moved)

@@ -121,11 +121,11 @@ def late_completion(t: Tables) -> DataFrame:
 
 
 @query("T08", f"""
-WITH e AS (SELECT event_id * 7919 % 1000003 AS arrival, ts FROM {EV}), m AS (SELECT *, max(ts) OVER (ORDER BY arrival) AS newest FROM e)
+WITH e AS (SELECT event_id * 7919 % 1000003 * 1099511627776 + event_id AS arrival, ts FROM {EV}), m AS (SELECT *, max(ts) OVER (ORDER BY arrival) AS newest FROM e)
 SELECT arrival, epoch_us(ts) AS us FROM m WHERE epoch_us(newest) - epoch_us(ts) > 25 * 86400000000""")
 def late_events(t: Tables) -> DataFrame:
     """Rows far behind the newest one when events arrive in a scattered order."""
-    scattered = ad.task_events(t).withColumn("event_id", F.col("event_id") * 7919 % 1000003)
+    scattered = ad.task_events(t).withColumn("event_id", F.col("event_id") * 7919 % 1000003 * (1 << 40) + F.col("event_id"))
     return st.late_rows(scattered, 25 * 86400).select(F.col("event_id").alias("arrival"), micros("ts").alias("us"))
 
 
