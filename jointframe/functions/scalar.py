@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jointframe import fixed
+
 
 # -- hashing and seeded draws -------------------------------------------------------------
 
@@ -95,6 +97,28 @@ def table_lerp(values: Column, x: Column) -> Column:
     return lerp(F.get(values, lo.cast("int")), F.get(values, hi.cast("int")), x - lo)
 
 
+def inverse_table_lerp(values: Column, d: Column) -> Column:
+    """Fractional 0-based index at which an ascending table first reaches d; null outside of the table."""
+    at = F.size(F.filter(values, lambda v: v < d))
+    low, high = F.get(values, at - 1), F.get(values, at)
+    return F.when(at == 0, F.when(d >= F.get(values, F.lit(0)), F.lit(0.0))).otherwise(at - 1 + (d - low) / (high - low))
+
+
+def homogenise(p: Sequence[Column]) -> list[Column]:
+    return [*p, F.lit(1.0)]
+
+
+def dehomogenise(p: Sequence[Column]) -> list[Column]:
+    return [x / p[-1] for x in p[:-1]]
+
+
+def reflect_axis_angle(turn: Sequence[Column], n: Sequence[Column]) -> list[Column]:
+    """(angle, axis) seen in a mirror with unit normal n: the axis is mirrored and the turn goes the other way."""
+    angle, *axis = turn
+    along = sum((a * b for a, b in zip(axis, n, strict=True)), F.lit(0.0))
+    return [-angle, *[a - 2 * along * b for a, b in zip(axis, n, strict=True)]]
+
+
 def smoothstep(x: Column) -> Column:
     c = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     return c * c * (3 - 2 * c)
@@ -139,6 +163,14 @@ def hsv_to_rgb(h: Column, s: Column, v: Column) -> list[Column]:
     return [channel(5), channel(3), channel(1)]
 
 
+def rgb_to_hsv(r: Column, g: Column, b: Column) -> list[Column]:
+    """RGB to HSV, all in [0,1]; greys have hue 0, black also saturation 0."""
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = top - low
+    sector = F.when(top == r, (g - b) / span).when(top == g, (b - r) / span + 2.0).otherwise((r - g) / span + 4.0)
+    return [F.when(span == 0, 0.0).otherwise(F.pmod(sector / 6.0, F.lit(1.0))), F.when(top == 0, 0.0).otherwise(span / top), top]
+
+
 def srgb_to_linear(c: Column) -> Column:
     return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
 
@@ -223,3 +255,33 @@ def snake_case(name: Column) -> Column:
     """Last path segment, CamelCase to snake_case."""
     leaf = F.element_at(F.split(name, "/"), -1)
     return F.lower(F.regexp_replace(leaf, "(?<!^)(?=[A-Z][a-z])", "_"))
+
+
+# -- names ---------------------------------------------------------------------------------
+
+def _whole(name: Column, pattern: str, group: int = 1) -> Column:
+    """A group of a pattern that matches the whole name, else null."""
+    return F.when(name.rlike(f"^(?:{pattern})$"), F.regexp_extract(name, f"^(?:{pattern})$", group))
+
+
+def asset_name(name: Column) -> list[Column]:
+    """(factory, factory seed, kind, asset seed) of the name of a spawned asset, null for other names."""
+    return [_whole(name, fixed.ASSET_NAME, i) for i in range(1, 5)]
+
+
+def group_name(name: Column) -> Column:
+    return F.coalesce(*[_whole(name, p) for p in fixed.GROUP_NAMES])
+
+
+def semantic_name(name: Column) -> Column:
+    """The class of a name: its group's leading word without the factory and fineness marks, each word capitalised."""
+    group = F.coalesce(group_name(name), name)
+    word = F.coalesce(*[_whole(group, p) for p in fixed.SEMANTIC_NAMES])
+    for mark in fixed.SEMANTIC_MARKS:
+        word = F.replace(word, F.lit(mark), F.lit(""))
+    return F.replace(F.initcap(F.replace(word, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("_"))
+
+
+def room_name(name: Column) -> list[Column]:
+    """(type, level) of a room name ``type_level/number``."""
+    return [F.split_part(name, F.lit("_"), F.lit(1)), F.split_part(F.split_part(name, F.lit("/"), F.lit(1)), F.lit("_"), F.lit(2)).try_cast("bigint")]

@@ -204,14 +204,14 @@ def depth_normals(t: Tables) -> DataFrame:
 
 
 # Points: parts as points, seen by the cameras of a scene chosen by the object.
-PT = f"(SELECT obj % 97 AS scene, obj * 8 + label AS point, CAST(size AS DOUBLE) / 5 - 5 AS x, CAST(label AS DOUBLE) - 3 AS y, CAST(obj % 13 AS DOUBLE) - 2 AS z FROM {P})"
+PT = f"(SELECT obj % (SELECT count(*) FROM supplier) + 1 AS scene, obj * 8 + label AS point, CAST(size AS DOUBLE) / 5 - 5 AS x, CAST(label AS DOUBLE) - 3 AS y, CAST(obj % 13 AS DOUBLE) - 2 AS z FROM {P})"
 _VIEW = f"""
 v AS (SELECT p.scene, p.point, c.frame, p.x, p.y, p.z, c.c, c.s, c.tx, c.c * (x - tx) - c.s * z AS qx, y - 0.5 AS qy, c.s * (x - tx) + c.c * z AS qz FROM {PT} p JOIN {CAM} c USING (scene)),
 w AS (SELECT *, 8 * qx / nullif(qz, 0) + 3.5 AS u, 8 * qy / nullif(qz, 0) + 3.5 AS v_ FROM v)"""
 
 
 def points(t: Tables) -> DataFrame:
-    return ad.parts(t).selectExpr("obj % 97 AS scene", "obj * 8 + label AS point", "CAST(size AS DOUBLE) / 5 - 5 AS x", "CAST(label AS DOUBLE) - 3 AS y", "CAST(obj % 13 AS DOUBLE) - 2 AS z")
+    return ad.parts(t).selectExpr(f"obj % {t.supplier.count()} + 1 AS scene", "obj * 8 + label AS point", "CAST(size AS DOUBLE) / 5 - 5 AS x", "CAST(label AS DOUBLE) - 3 AS y", "CAST(obj % 13 AS DOUBLE) - 2 AS z")
 
 
 @query("P19", f"""WITH {_VIEW}
@@ -244,12 +244,12 @@ def camera_quality(t: Tables) -> DataFrame:
 
 @query("X23", f"""
 WITH b AS (SELECT obj, {BOX_SQL} FROM {V} GROUP BY obj),
-c AS (SELECT obj % 97 AS scene, obj, CAST(k AS BIGINT) AS corner, {", ".join(f"(CASE WHEN (k >> {i}) & 1 = 1 THEN hi_{a} ELSE lo_{a} END) / 10 + {2 * (a == 'z')} AS {a}" for i, a in enumerate(geo.AXES))} FROM b, range(8) r(k)),
+c AS (SELECT obj % (SELECT count(*) FROM supplier) + 1 AS scene, obj, CAST(k AS BIGINT) AS corner, {", ".join(f"(CASE WHEN (k >> {i}) & 1 = 1 THEN hi_{a} ELSE lo_{a} END) / 10 + {2 * (a == 'z')} AS {a}" for i, a in enumerate(geo.AXES))} FROM b, range(8) r(k)),
 v AS (SELECT q.scene, q.obj, q.corner, m.frame, c * (x - tx) - s * z AS qx, y - 0.5 AS qy, s * (x - tx) + c * z AS qz FROM c q JOIN {CAM} m USING (scene)),
 n AS (SELECT *, min(qz) OVER (PARTITION BY scene, obj, frame) AS near FROM v)
 SELECT scene, obj, corner, frame, round(8 * qx / qz + 3.5, 4) + 0.0 AS u, round(8 * qy / qz + 3.5, 4) + 0.0 AS v FROM n WHERE near > 0""")
 def box_projection(t: Tables) -> DataFrame:
-    box = geo.corners(geo.boxes(ad.vertices(t), ["obj"])).select((F.col("obj") % 97).alias("scene"), "obj", "corner", *[(F.col(a) / 10 + 2 * (a == "z")).alias(a) for a in geo.AXES])
+    box = geo.corners(geo.boxes(ad.vertices(t), ["obj"])).select((F.col("obj") % t.supplier.count() + 1).alias("scene"), "obj", "corner", *[(F.col(a) / 10 + 2 * (a == "z")).alias(a) for a in geo.AXES])
     out = px.box_views(box, cameras(t), ["scene"], ["obj", "frame"])
     return out.select("scene", "obj", "corner", "frame", *rounded(["u", "v"], 4))
 

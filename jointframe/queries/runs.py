@@ -263,11 +263,30 @@ def run_totals(t: Tables) -> DataFrame:
     return runs.run_totals(jobs(t).withColumn("run", F.col("priority")))
 
 
-@query("P30", """
-SELECT DISTINCT p_name, lower(split_part(p_name, ' ', 1)) AS level, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS label, CAST(regexp_extract(p_brand, '#([0-9]+)$', 1) AS BIGINT) AS num FROM part""")
+# Names of all kinds from the parts; both engines read the expression.
+_NAME = ("CASE p_partkey % 7 WHEN 0 THEN concat(split_part(p_name, ' ', 1), 'Factory(', CAST(p_partkey AS STRING), ').spawn_placeholder_', lower(split_part(p_type, ' ', 2)), '(', CAST(p_size AS STRING), ')') "
+         "WHEN 1 THEN concat(split_part(p_name, ' ', 1), 'Factory(', CAST(p_partkey AS STRING), ').spawn_asset(', CAST(p_size AS STRING), ')') "
+         "WHEN 2 THEN concat('scatter:', split_part(p_name, ' ', 1), '_fine(', CAST(p_size AS STRING), ')') WHEN 3 THEN concat(split_part(p_type, ' ', 1), '_fine') "
+         "WHEN 4 THEN concat(lower(split_part(p_type, ' ', 2)), '_', CAST(p_partkey % 3 AS STRING), '/', CAST(p_size AS STRING)) WHEN 5 THEN p_name ELSE '' END")
+
+
+def _full(pattern: str, group: int, name: str = "name") -> str:
+    return f"CASE WHEN regexp_full_match({name}, '{pattern}') THEN regexp_extract({name}, '^(?:{pattern})$', {group}) END"
+
+
+@query("P30", f"""
+WITH n AS (SELECT p_partkey, {_NAME} AS name FROM part),
+g AS (SELECT *, coalesce({", ".join(_full(p, 1) for p in fixed.GROUP_NAMES)}) AS grp FROM n),
+s AS (SELECT *, coalesce(grp, name) AS whole FROM g),
+w AS (SELECT *, replace(replace(coalesce({", ".join(_full(p, 1, "whole") for p in fixed.SEMANTIC_NAMES)}), 'Factory', ''), '_fine', '') AS word FROM s)
+SELECT p_partkey, name, {", ".join(f"{_full(fixed.ASSET_NAME, i)} AS {c}" for i, c in enumerate(("factory", "factory_seed", "kind", "asset_seed"), 1))}, grp,
+  array_to_string(list_transform(string_split(word, '_'), lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))), '_') AS semantic,
+  split_part(name, '_', 1) AS room_type, TRY_CAST(split_part(split_part(name, '/', 1), '_', 2) AS BIGINT) AS room_level FROM w""")
 def name_parsing(t: Tables) -> DataFrame:
-    return t.part.select("p_name", F.lower(F.split("p_name", " ")[0]).alias("level"), F.initcap(F.lower("p_type")).alias("label"),
-                         F.regexp_extract("p_brand", r"#([0-9]+)$", 1).cast("bigint").alias("num")).distinct()
+    n = F.col("name")
+    parts = [*sc.asset_name(n), sc.group_name(n), sc.semantic_name(n), *sc.room_name(n)]
+    names = ("factory", "factory_seed", "kind", "asset_seed", "grp", "semantic", "room_type", "room_level")
+    return t.part.select("p_partkey", F.expr(_NAME).alias("name")).select("p_partkey", "name", *[c.alias(k) for c, k in zip(parts, names, strict=True)])
 
 
 @query("X28", f"""

@@ -488,3 +488,26 @@ def plane_math(t: Tables) -> DataFrame:
     q = [F.cos(F.col("yaw") / 2), F.lit(0.0), F.lit(0.0), F.sin(F.col("yaw") / 2)]
     return objects(t).select("obj", F.round(sn.plane_distance(p, at, n), 6).alias("dist"), F.round(r[0], 6).alias("rx"), F.round(r[1], 6).alias("ry"),
                              F.round(sn.quaternion_angle(q, ident), 6).alias("turn"))
+
+
+_HSV = "CASE WHEN mx = mn THEN 0.0 ELSE (h6 / 6.0) - floor(h6 / 6.0) END"
+
+
+@query("X16 X17 X24 X25", f"""
+WITH o AS (SELECT *, x / 47 AS r, y / 43 AS g, w / 50 AS b FROM {OBJS}),
+m AS (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM o),
+k AS (SELECT *, CASE WHEN mx = mn THEN 0.0 WHEN mx = r THEN (g - b) / (mx - mn) WHEN mx = g THEN (b - r) / (mx - mn) + 2.0 ELSE (r - g) / (mx - mn) + 4.0 END AS h6 FROM m)
+SELECT obj, round(x / (z + 1), 6) AS ux, round(y / (z + 1), 6) AS uy, 1.0 AS one,
+  round(CASE WHEN w < 0 THEN NULL WHEN w <= 0 THEN 0 WHEN w <= 7 THEN w / 7 WHEN w <= 19 THEN 1 + (w - 7) / 12 WHEN w <= 60 THEN 2 + (w - 19) / 41 END, 6) AS place,
+  round(-yaw, 6) + 0.0 AS turn, round(1 * 0.6 - 2 * (0.6 * 0.6 + 0.0 * 0.8) * 0.6, 6) AS a0, round(0 - 2 * (0.6 * 0.6) * 0.8, 6) + 0.0 AS a1, 0.8 AS a2,
+  round({_HSV}, 6) AS h, round(CASE WHEN mx = 0 THEN 0.0 ELSE (mx - mn) / mx END, 6) AS s, round(mx, 6) AS v FROM k""")
+def scalar_inverses(t: Tables) -> DataFrame:
+    """Homogeneous points, inverse interpolation, mirrored turns and HSV."""
+    c = {n: F.col(n) for n in "xyzw"}
+    whole = sc.homogenise([c["x"], c["y"]])
+    flat = sc.dehomogenise([c["x"], c["y"], c["z"] + 1])
+    place = sc.inverse_table_lerp(F.array(*[F.lit(float(v)) for v in (0, 7, 19, 60)]), c["w"])
+    turn = sc.reflect_axis_angle([F.col("yaw"), F.lit(0.6), F.lit(0.0), F.lit(0.8)], [F.lit(0.6), F.lit(0.8), F.lit(0.0)])
+    h, s, v = sc.rgb_to_hsv(c["x"] / 47, c["y"] / 43, c["w"] / 50)
+    named = {"ux": flat[0], "uy": flat[1], "one": whole[2], "place": place, "turn": turn[0], "a0": turn[1], "a1": turn[2], "a2": turn[3], "h": h, "s": s, "v": v}
+    return objects(t).select("obj", *[(F.round(e, 6) + 0.0).alias(k) for k, e in named.items()])
