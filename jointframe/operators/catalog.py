@@ -6,7 +6,7 @@ being fixed in code. Rule tables from elsewhere are left to the planner.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,32 +97,31 @@ def classify_material(name: Column) -> Column:
     return F.struct(F.coalesce(best["cat"], F.lit("plastic")).alias("category"), composite.alias("composite"))
 
 
-def material_look(parts: DataFrame, looks: DataFrame, name: str = "material") -> DataFrame:
+def _first(rules: Sequence[tuple], names: Sequence[str], hit: Callable[[Column], Column], rank: Callable[[Column], Column]) -> Column:
+    """Of configuration rows (struct of ``names``), the hit of least rank, as an expression; null without a hit."""
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rules])
+    return F.array_min(F.transform(F.filter(table, hit), lambda r: F.struct(rank(r).alias("rank"), r.alias("row"))))["row"]
+
+
+def material_look(parts: DataFrame, looks: Sequence[tuple], name: str = "material") -> DataFrame:
     """Add metallic, roughness, r, g, b: exact name, else first table name contained, else default.
 
-    ``looks`` is a configuration table (look, ord, metallic, roughness, r, g, b).
-    Looked up once per distinct name.
+    ``looks`` is configuration: (look, ord, metallic, roughness, r, g, b).
     """
-    cols = ["metallic", "roughness", "r", "g", "b"]
-    names = parts.select(name).distinct()
-    hit = F.lower(F.col(name)).contains(F.lower(F.col("look")))
-    pick = F.struct((F.col("look") != F.col(name)).alias("inexact"), "ord")
-    best = names.join(looks, hit).groupBy(name).agg(F.min_by(F.struct(*cols), pick).alias("_look"))
-    out = parts.join(best, name, "left")
-    return out.select(*parts.columns, *[F.coalesce(F.col("_look")[c], F.lit(d)).alias(c)
-                                        for c, d in zip(cols, fixed.DEFAULT_LOOK)])
+    cols, own = ["metallic", "roughness", "r", "g", "b"], F.col(name)
+    best = _first(looks, ["look", "ord", *cols], lambda r: F.contains(F.lower(own), F.lower(r["look"])), lambda r: F.struct(r["look"] != own, r["ord"]))
+    out = parts.withColumn("_look", best)
+    return out.select(*parts.columns, *[F.coalesce(F.col("_look")[c], F.lit(d)).alias(c) for c, d in zip(cols, fixed.DEFAULT_LOOK)])
 
 
-def part_override(parts: DataFrame, rules: DataFrame, default: tuple[float, float], key: Sequence[str]) -> DataFrame:
+def part_override(parts: DataFrame, rules: Sequence[tuple], default: tuple[float, float], key: Sequence[str]) -> DataFrame:
     """Metallic and roughness by the first rule keyword in the part name, with keyed variation, clamped.
 
-    ``rules`` is a configuration table (keyword, ord, metallic, roughness).
+    ``rules`` is configuration: (keyword, ord, metallic, roughness).
     """
-    names = parts.select("name").distinct()
-    best = names.join(rules, F.col("name").contains(F.col("keyword"))).groupBy("name").agg(
-        F.min_by(F.struct("metallic", "roughness"), "ord").alias("_rule"))
+    best = _first(rules, ["keyword", "ord", "metallic", "roughness"], lambda r: F.contains("name", r["keyword"]), lambda r: r["ord"])
     ident = [F.col(k) for k in key]
-    out = parts.join(best, "name", "left")
+    out = parts.withColumn("_rule", best)
     base_m = F.coalesce(F.col("_rule")["metallic"], F.lit(default[0]))
     base_r = F.coalesce(F.col("_rule")["roughness"], F.lit(default[1]))
     return out.withColumns({

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -229,22 +230,27 @@ def processing_order(items: DataFrame) -> DataFrame:
     return items.withColumn("rank", F.when(F.col("has_folder"), 0).when(F.col("has_archive"), 1).otherwise(2)).orderBy("rank", "name")
 
 
-def retention(files: DataFrame, rules: DataFrame) -> DataFrame:
+def _glob(path: Column, glob: str) -> Column:
+    """Whether a path as a whole meets a glob with * and ?."""
+    return path.rlike("(?s)^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob) + "$")
+
+
+def retention(files: DataFrame, rules: Sequence[tuple[int, str, str]]) -> DataFrame:
     """(path, action): the first matching rule in order decides; files without a rule are ``uncovered``.
 
-    ``rules`` is a configuration table (ord, glob, action) with * and ? globs.
+    ``rules`` is configuration: (ord, glob, action).
     """
-    literal = F.regexp_replace("glob", r"([.^$+(){}\[\]|\\])", r"\\$1")
-    pattern = F.concat(F.lit("^"), F.replace(F.replace(literal, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-    compiled = rules.select("ord", "action", pattern.alias("pattern"))
-    hit = files.join(compiled, F.expr("path RLIKE pattern"), "left")
-    return hit.groupBy("path").agg(F.coalesce(F.min_by("action", F.when(F.col("action").isNotNull(), F.col("ord"))), F.lit("uncovered")).alias("action"))
+    action = F.when(F.lit(False), F.lit(""))
+    for _, glob, name in sorted(rules):
+        action = action.when(_glob(F.col("path"), glob), F.lit(name))
+    return files.select("path", action.otherwise(F.lit("uncovered")).alias("action"))
 
 
-def unmet_mandatory(files: DataFrame, rules: DataFrame) -> DataFrame:
+def unmet_mandatory(files: DataFrame, rules: Sequence[tuple[int, str, str]]) -> DataFrame:
     """Mandatory globs without any file."""
-    literal = F.regexp_replace("glob", r"([.^$+(){}\[\]|\\])", r"\\$1")
-    must = rules.where("action = 'KEEP_MANDATORY'").withColumn(
-        "pattern", F.concat(F.lit("^"), F.replace(F.replace(literal, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$")))
-    found = files.join(must, F.expr("path RLIKE pattern")).select("glob").distinct()
-    return must.select("glob").join(found, "glob", "left_anti")
+    must = [glob for _, glob, name in sorted(rules) if name == "KEEP_MANDATORY"]
+    if not must:
+        return files.sparkSession.createDataFrame([], "glob string")
+    met = files.agg(*[F.coalesce(F.bool_or(_glob(F.col("path"), glob)), F.lit(False)).alias(f"m{i}") for i, glob in enumerate(must)])
+    pairs = F.array(*[F.struct(F.lit(glob).alias("glob"), F.col(f"m{i}").alias("met")) for i, glob in enumerate(must)])
+    return met.select(F.explode(pairs).alias("g")).where(~F.col("g.met")).select("g.glob")

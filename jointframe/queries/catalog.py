@@ -108,7 +108,6 @@ def material_class_earliest(t: Tables) -> DataFrame:
 
 
 LOOKS = [(r[0], i, *r[1:]) for i, r in enumerate(fixed.MATERIAL_LOOKS)]
-LOOK_SCHEMA = "look string, ord int, metallic double, roughness double, r double, g double, b double"
 
 
 @query("P13", f"""
@@ -119,8 +118,7 @@ SELECT p.obj, p.label, coalesce(h.metallic, 0.10) AS metallic, coalesce(h.roughn
   coalesce(h.r, 0.6) AS r, coalesce(h.g, 0.6) AS g, coalesce(h.b, 0.6) AS b
 FROM {P} p LEFT JOIN h ON h.material = p.material AND h.rn = 1""")
 def material_properties(t: Tables) -> DataFrame:
-    looks = cat.literal_table(t.spark, LOOKS, LOOK_SCHEMA)
-    out = cat.material_look(ad.parts(t), looks)
+    out = cat.material_look(ad.parts(t), LOOKS)
     return out.select("obj", "label", "metallic", "roughness", "r", "g", "b")
 
 
@@ -148,8 +146,7 @@ SELECT p.obj, p.label,
   round(least(greatest(coalesce(h.r, 0.5) + {uniform_sql("obj", "label", "'r'")} * 0.16 - 0.08, 0), 1), 6) AS roughness
 FROM {P} p LEFT JOIN h ON h.name = p.name AND h.rn = 1""")
 def part_name_override(t: Tables) -> DataFrame:
-    rules = cat.literal_table(t.spark, OVERRIDES, "keyword string, ord int, metallic double, roughness double")
-    out = cat.part_override(ad.parts(t), rules, (0.1, 0.5), ["obj", "label"])
+    out = cat.part_override(ad.parts(t), OVERRIDES, (0.1, 0.5), ["obj", "label"])
     return out.select("obj", "label", F.round("metallic", 6).alias("metallic"), F.round("roughness", 6).alias("roughness"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from jointframe import adapters as ad
 from jointframe import fixed
 from jointframe.functions import scalar as sc
-from jointframe.operators import catalog as cat
 from jointframe.operators import runs
 from jointframe.queries.catalog import hash_sql, values
 from jointframe.registry import query
@@ -246,14 +245,12 @@ _RX = "(VALUES (0, '^.*index.*$', 'KEEP_MANDATORY'), (1, '^http://.*\\.com/.*$',
 WITH f AS (SELECT DISTINCT url FROM pages), h AS (SELECT f.url, r.action, row_number() OVER (PARTITION BY f.url ORDER BY r.ord) AS rn FROM f JOIN {_RX} r(ord, rx, action) ON regexp_matches(f.url, r.rx))
 SELECT f.url AS path, coalesce(h.action, 'uncovered') AS action FROM f LEFT JOIN h ON h.url = f.url AND h.rn = 1""")
 def file_retention(t: Tables) -> DataFrame:
-    rules = cat.literal_table(t.spark, GLOBS, "ord int, glob string, action string")
-    return runs.retention(t.pages.select(F.col("url").alias("path")).distinct(), rules)
+    return runs.retention(t.pages.select(F.col("url").alias("path")).distinct(), GLOBS)
 
 
 @query("P27", "SELECT g AS glob FROM (VALUES ('*index*', 'index'), ('*#absent#*', '#absent#')) v(g, s) WHERE NOT EXISTS (SELECT 1 FROM pages WHERE contains(url, s))")
 def unmet_mandatory(t: Tables) -> DataFrame:
-    rules = cat.literal_table(t.spark, GLOBS, "ord int, glob string, action string")
-    return runs.unmet_mandatory(t.pages.select(F.col("url").alias("path")), rules)
+    return runs.unmet_mandatory(t.pages.select(F.col("url").alias("path")), GLOBS)
 
 
 @query("A49", f"""
