@@ -168,9 +168,24 @@ def keyed_draws(t: Tables) -> DataFrame:
         F.round(sc.power10(-1, 2, k), 6).alias("p10"), F.round(sc.clipped_normal(10.0, 2.0, 8.0, 12.0, k), 6).alias("cn"))
 
 
-@query("X33")
+def _z(i: int) -> str:
+    u, v = (uniform_sql("o_orderkey", f"'z{i}'", f"'{c}'") for c in "uv")
+    return f"least(greatest(sqrt(-2 * ln(greatest({u}, 1e-12))) * cos(2 * pi() * {v}), -1), 1) AS z{i}"
+
+
+_SHOWN = {n: f"least(greatest(v - v * s * greatest(0, least({k}, 4 - {k}, 1)), 0), 1)" for n, k in (("r", "k5"), ("g", "k3"), ("b", "k1"))}
+
+
+@query("X33", f"""
+WITH d AS (SELECT o_orderkey, {uniform_sql("o_orderkey", "'component'")} < 0.7 AS first, {", ".join(map(_z, range(3)))} FROM orders),
+h AS (SELECT o_orderkey, CASE WHEN first THEN 0.1 + 0.02 * z0 ELSE 0.6 + 0.01 * z0 END AS h, CASE WHEN first THEN 0.5 + 0.01 * z0 + 0.05 * z1 ELSE 0.4 + 0.04 * z1 END AS s,
+  least(greatest(CASE WHEN first THEN 0.6 + 0.02 * z1 + 0.1 * z2 ELSE 0.5 + 0.01 * z0 + 0.2 * z2 END, 0.1), 0.9) AS v FROM d),
+w AS (SELECT o_orderkey, s, v, (h - floor(h)) * 6 AS h6 FROM h),
+k AS (SELECT *, {", ".join(f"({n} + h6) - 6 * floor(({n} + h6) / 6) AS k{n}" for n in (1, 3, 5))} FROM w),
+c AS (SELECT o_orderkey, {", ".join(f"{e} AS {n}" for n, e in _SHOWN.items())} FROM k)
+SELECT o_orderkey, {", ".join(f"round(CASE WHEN {n} <= 0.04045 THEN {n} / 12.92 ELSE power(({n} + 0.055) / 1.055, 2.4) END, 6) AS {n}" for n in "rgb")} FROM c""")
 def palette_samples(t: Tables) -> DataFrame:
-    """One colour per order from a two-part palette; checked in the tests for range and share."""
+    """One colour per order from a two-part palette."""
     comps = [(0.7, (0.1, 0.5, 0.6), (0.02, 0, 0, 0.01, 0.05, 0, 0, 0.02, 0.1)), (0.3, (0.6, 0.4, 0.5), (0.01, 0, 0, 0, 0.04, 0, 0.01, 0, 0.2))]
     rgb = sc.palette_colour(comps, F.col("o_orderkey"))
     return t.orders.select("o_orderkey", *[F.round(c, 6).alias(n) for c, n in zip(rgb, "rgb")])
