@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch, and bytes of text worked on at a time inside a task.
@@ -36,6 +36,19 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def few_of_each(df: DataFrame, label: str, ident: str, rows: int, salt: str, labels: int = 1000) -> DataFrame:
+    """(ident, label): ``rows`` rows of each label by keyed draws, of the ``labels`` most frequent labels.
+
+    Counts first, so that only a few times as many rows as asked for leave their
+    tasks, however many tasks and rows there are.
+    """
+    counts = df.groupBy(label).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), label).limit(labels)
+    draw = F.pmod(F.xxhash64(ident, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = df.select(ident, label).join(F.broadcast(counts), label).withColumn("__draw", draw).where(F.col("__draw") * F.col("__n") < 4 * rows)
+    ranked = near.withColumn("__i", F.row_number().over(Window.partitionBy(label).orderBy("__draw", ident)))
+    return ranked.where(F.col("__i") <= rows).select(ident, label)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about ``most`` bytes of text; a longer text stands alone."""
     for batch in batches:

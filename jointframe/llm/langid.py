@@ -21,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jointframe.llm.common import slices, small_batches
+from jointframe.llm.common import few_of_each, slices, small_batches
 from jointframe.session import durable
 
 #: Labelled documents of each language, and windows of a document, that training sees at most.
@@ -194,10 +194,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE) -> Net:
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("langid")), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample_rows)
+    ids = few_of_each(known, "lang", "doc_id", sample_rows, "langid")
     # So many rows of each language at most, so they may be sent to all.
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("lang", "text")
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -293,5 +293,6 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = durable(with_fingerprint(docs, text, name=fp))
     table = group_documents(marked.select("doc_id", F.col(fp).alias("__fp"))).groupBy("__fp").agg(F.first("__root").alias(root), F.first("component_id").alias(least))
     table = table.withColumnRenamed("__fp", f)
-    kept = marked.join(table, F.col(fp) == F.col(f)).where(F.col("doc_id").eqNullSafe(F.col(least)))
+    # By document and fingerprint, so that copies are no hot key.
+    kept = marked.join(table, (F.col(fp) == F.col(f)) & F.col("doc_id").eqNullSafe(F.col(least)))
     return kept.dropDuplicates([root]).select(*columns_of(docs))

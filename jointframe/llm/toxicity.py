@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jointframe.llm.common import slices, small_batches, split_words, text_of
+from jointframe.llm.common import few_of_each, slices, small_batches, split_words, text_of
 from jointframe.session import durable
 
 #: Labelled documents of each label used for training, and forms kept in the model.
@@ -145,11 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id", F.lit("toxicity"))
-    ids = None
-    for value in (1, 0):
-        part = known.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(sample_rows)
-        ids = part if ids is None else ids.unionByName(part)
+    ids = few_of_each(known, "toxic", "doc_id", sample_rows, "toxicity")
     # At most two times sample_rows ids, so they may be sent to all.
     sample = durable(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"))
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
