@@ -109,3 +109,23 @@ def test_palette_range_and_share(spark):
     rows = spark.range(4000).select(*[c.alias(n) for c, n in zip(sc.palette_colour(comps, F.col("id")), "rgb")]).toPandas()
     assert rows.min().min() >= 0 and rows.max().max() <= 1
     assert rows.value_counts().iloc[0] / 4000 == pytest.approx(0.7, abs=0.03)
+
+
+def test_last_line_of_a_log_counts(spark):
+    logs = spark.createDataFrame([(1, "a\nKeyError: x"), (2, "a\nKeyError: x\n"), (3, ""), (4, "srun: error: y\nOSError: z")], "id int, log string")
+    got = {r.id: r.reason for r in logs.select("id", runs.crash_reason(F.col("log"), F.lit("unknown")).alias("reason")).collect()}
+    assert got == {1: "KeyError:  x", 2: "KeyError:  x", 3: "unknown", 4: "OSError:  z"}
+
+
+def test_beta_of_large_counts():
+    assert abs(st.beta_cdf(1e10, 1e10 + 1, 0.5) - 0.5) < 4e-6
+    near = st.beta_cdf(999.0, 1500.0, 0.41), st.beta_cdf(1001.0, 1500.0, 0.41)
+    assert near[0] > st.beta_cdf(1000.0, 1500.0, 0.41) > near[1]
+
+
+def test_globs_meet_whole_paths(spark):
+    files = spark.createDataFrame([("a/b.txt",), ("a/b.txt.bak",), ("x.y",)], "path string")
+    rules = [(1, "*.txt", "KEEP"), (0, "a/?.txt", "DELETE"), (2, "x?y", "KEEP_MANDATORY"), (3, "none", "KEEP_MANDATORY")]
+    assert {tuple(r) for r in runs.retention(files, rules).collect()} == {("a/b.txt", "DELETE"), ("a/b.txt.bak", "uncovered"), ("x.y", "KEEP_MANDATORY")}
+    assert [r[0] for r in runs.unmet_mandatory(files, rules).collect()] == ["none"]
+    assert runs.unmet_mandatory(files, []).count() == 0
