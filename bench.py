@@ -14,7 +14,7 @@ import sys
 import time
 
 from jointframe.queries import load_all
-from jointframe.session import Tables, local_session
+from jointframe.session import Tables, discard_tables, local_session
 
 HEADLINE = [
     "kinematic_closure", "world_poses", "forward_kinematics", "seed_to_object", "material_class_earliest", "material_properties",
@@ -43,6 +43,7 @@ def main() -> None:
 
         first = once()
         times[name] = round(statistics.median([once() for _ in range(runs)]) if runs else first, 3)
+        discard_tables(spark)
         print(f"{name} {first:.2f} {times[name]:.2f}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total query seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(folder.rstrip("/"))}))

@@ -49,17 +49,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+#: Folders of the tables that ``durable`` has written in this process.
+_WRITTEN: list[str] = []
+
+
+def discard_tables(spark: SparkSession) -> int:
+    """Delete the tables written by ``durable`` so far; how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return found
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write the rows to a new table in the shared checkpoint folder and read on from there.
 
     Unlike ``checkpoint()`` this evaluates the plan once, keeps the rows
     columnar and gives the planner real sizes. Lineage ends here, so a lost
-    executor costs the work since the last cut. The table is left to the
-    owner of the checkpoint folder to clean.
+    executor costs the work since the last cut. ``discard_tables`` removes the
+    tables when no result that reads them is needed any more.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/durable-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

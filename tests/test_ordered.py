@@ -76,3 +76,15 @@ def test_row_order_does_not_matter(spark, rows, many_blocks):
     a = sorted_rows(o.ranked(spark.createDataFrame(rows), ["k"], ["t"]))
     b = sorted_rows(o.ranked(spark.createDataFrame(shuffled), ["k"], ["t"]))
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_written_tables_are_discarded(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from jointframe.session import discard_tables, durable
+
+    table = durable(spark.range(5).toDF("x"))
+    folder = os.path.dirname(urlparse(table.inputFiles()[0]).path)
+    assert table.count() == 5 and os.path.isdir(folder)
+    assert discard_tables(spark) >= 1 and not os.path.isdir(folder) and discard_tables(spark) == 0
