@@ -1,11 +1,15 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Training: tokens (words) and their stems (prefixes of ``STEMS`` letters) are
+Tokens are the letter runs of a text, whatever stands between them; in scripts
+written without spaces each letter is one. A word without letters (words end at
+any white space) is a token without a score of its own.
+
+Training: tokens and their stems (prefixes of ``STEMS`` letters) are
 counted in toxic and other documents of a labelled sample of at most
 ``SAMPLE`` documents of each label. A token's score is its log-odds ratio with
 a Dirichlet prior in proportion to its overall count, less a drift that makes
-the expected score negative. A word takes the score of its most significant
-form, word or stem.
+the expected score negative. A token takes the score of its most significant
+form, token or stem.
 
 Scoring: over the whole text, all maximal scoring segments are found in one
 pass. A segment's score follows an extreme-value law: ``lambda`` solves
@@ -28,11 +32,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jointframe.llm.common import few_of_each, slices, small_batches, split_words, text_of
+from jointframe.llm.common import few_of_each, ranges, slices, small_batches, text_of
 from jointframe.session import durable
 
 #: Labelled documents of each label used for training, and forms kept in the model.
@@ -44,7 +49,9 @@ PRIOR = 2000.0
 LEAST = 5
 DRIFT = 1.0
 SIGNIFICANT = 0.5
-_WORD = re.compile(r"[^\W\d_]+")
+#: Thai to Myanmar, Khmer, kana and Han.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"(?=[^\W\d_])[{_ALONE}]|[^\W\d_{_ALONE}]+")
 
 
 def forms(word: str) -> list[str]:
@@ -55,6 +62,24 @@ def parts_of(token: str) -> list[str]:
     return _WORD.findall(token.lower())
 
 
+def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct tokens, which of them stands at each place, and each text's first place with the total at the end. A word without letters is the empty token."""
+    split = pc.utf8_split_whitespace(texts)
+    words = split.flatten().dictionary_encode()
+    at = split.offsets.to_numpy()
+    numbers: dict[str, int] = {}
+    tokens: list[int] = []
+    ends = [0]
+    for word in words.dictionary.to_pylist():
+        if word:
+            tokens.extend([numbers.setdefault(x, len(numbers)) for x in parts_of(word) or [""]])
+        ends.append(len(tokens))
+    which, bounds = words.indices.to_numpy(zero_copy_only=False), np.array(ends, np.int64)
+    n = np.diff(bounds)[which]
+    first = np.concatenate([[0], np.cumsum(n)])[at - at[0]]
+    return list(numbers), np.array(tokens, np.int64)[ranges(bounds[which], n)], first
+
+
 @dataclass(frozen=True)
 class Model:
     scores: dict[str, tuple[float, float]]
@@ -70,17 +95,16 @@ def _counts(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, which, first = split_words(text_of(batch))
+            tokens, which, first = tokens_of(text_of(batch))
             toxic = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(first))
-            n = np.bincount(which, minlength=len(words))
-            t = np.bincount(which[toxic == 1], minlength=len(words))
+            n = np.bincount(which, minlength=len(tokens))
+            t = np.bincount(which[toxic == 1], minlength=len(tokens))
             total: Counter = Counter()
             bad: Counter = Counter()
-            for word, a, b in zip(words, n.tolist(), t.tolist(), strict=True):
-                for part in parts_of(word):
-                    for form in forms(part):
-                        total[form] += a
-                        bad[form] += b
+            for token, a, b in zip(tokens, n.tolist(), t.tolist(), strict=True):
+                for form in forms(token) if token else ():
+                    total[form] += a
+                    bad[form] += b
             keys = list(total)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad[x] for x in keys], pa.int64()), pa.array([total[x] - bad[x] for x in keys], pa.int64())], names=["form", "toxic", "other"])
 
@@ -104,22 +128,21 @@ def segments(at: list[int], score: list[float], total: list[float]) -> list[tupl
     return [(b - a, int(c), int(d)) for a, b, c, d in found]
 
 
-def _word_scores(model: Model, words: list[str]) -> np.ndarray:
-    get, out = model.scores.get, np.full(len(words), -DRIFT)
-    for i, word in enumerate(words):
+def _token_scores(model: Model, tokens: list[str]) -> np.ndarray:
+    get, out = model.scores.get, np.full(len(tokens), -DRIFT)
+    for i, token in enumerate(tokens):
         best, z = 0.0, 0.0
-        for part in parts_of(word):
-            for form in forms(part):
-                if (x := get(form)) and abs(x[1]) > z:
-                    best, z = x[0], abs(x[1])
+        for form in forms(token):
+            if (x := get(form)) and abs(x[1]) > z:
+                best, z = x[0], abs(x[1])
         out[i] = best - DRIFT
     return out
 
 
 def passages(model: Model, texts: pa.Array) -> list[list[tuple[float, int, int, float]]]:
-    """For each text its maximal segments (score, first, last word, E-value), words being those between spaces."""
-    words, which, first = split_words(texts)
-    s = _word_scores(model, words)[which] if len(words) else np.zeros(0)
+    """For each text its maximal segments (score, first, last token, E-value)."""
+    tokens, which, first = tokens_of(texts)
+    s = _token_scores(model, tokens)[which]
     before = np.concatenate([[0.0], np.cumsum(s)])
     places = np.flatnonzero(s > 0)
     bounds = np.searchsorted(places, first)
@@ -161,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
     z = delta / F.sqrt(1 / (t + prior) + 1 / (o + prior))
     top = counts.where(t + o >= LEAST).select("form", delta.alias("delta"), z.alias("z")).where(F.abs("z") > 1.5).orderBy(F.desc(F.abs("z")), "form").limit(FORMS)
     model = Model({r.form: (r.delta, r.z) for r in top.collect()}, 1.0, 1.0, 0.0, 0.0, share)
-    # Background law: the scores of words in the other documents, then their best segments.
+    # Background law: the scores of tokens in the other documents, then their best segments.
     other = sample.where("toxic = 0")
     spread = _map(other, model, "value double, n long", _spread).groupBy("value").agg(F.sum("n").alias("n")).collect()  # LEVELS bounds it
     model = replace(model, lam=_lambda(np.array([r.value for r in spread]), np.array([float(r.n) for r in spread])))
@@ -189,8 +212,8 @@ def _map(sample: DataFrame, model: Model, schema: str, function) -> DataFrame:
 
 
 def _spread(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
-    words, which, _ = split_words(text_of(batch))
-    s = _word_scores(model, words)[which] if len(words) else np.zeros(0)
+    tokens, which, _ = tokens_of(text_of(batch))
+    s = _token_scores(model, tokens)[which]
     top = max((abs(x) for x, _ in model.scores.values()), default=1.0) + DRIFT
     values, n = np.unique(np.round(s / top * LEVELS) * top / LEVELS, return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), pa.array(n, pa.int64())], names=["value", "n"])
@@ -198,7 +221,7 @@ def _spread(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _best(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
     texts = text_of(batch)
-    n = np.diff(split_words(texts)[2])
+    n = np.diff(tokens_of(texts)[2])
     return pa.RecordBatch.from_arrays([pa.array([max((x for x, *_ in p), default=0.0) for p in passages(model, texts)], pa.float64()), pa.array(np.maximum(n, 1), pa.int64())], names=["best", "n"])
 
 
@@ -240,7 +263,7 @@ _OUT_ARROW = pa.struct([("score", pa.float64()), ("passages", pa.list_(pa.struct
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "__toxic") -> DataFrame:
-    """The documents' columns and, under a name that must be free, score and the significant passages (first and last word, score, E-value)."""
+    """The documents' columns and, under a name that must be free, score and the significant passages (first and last token, score, E-value)."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # FORMS bounds it

@@ -269,6 +269,19 @@ def test_lambda_solves_its_equation():
     assert (n / n.sum() * np.exp(lam * values)).sum() == pytest.approx(1.0, abs=1e-9) and lam > 0
 
 
+@pytest.mark.parametrize("sep", ["\n", "\t", "\u00a0", "/", ",", "\r\n", "  ", "\u3000", "_", "7"])
+def test_toxic_words_count_in_any_layout(sep):
+    model = toxicity.Model({"bad": (3.0, 9.0), "坏": (3.0, 9.0)}, 1.0, 1.0, 1.0, 0.0, 0.5)
+    plain, other, alone = toxicity.passages(model, pa.array(["so bad bad bad bad ok", sep.join(["so", *["bad"] * 4, "ok"]), "啊坏坏坏坏啊"]))
+    assert [x[:3] for x in plain] == [(8.0, 1, 4)]
+    assert other == plain == alone
+
+
+def test_toxicity_tokens():
+    tokens, which, first = toxicity.tokens_of(pa.array(["A,b\tc", "", " \n", "1 +x", "don't ไทย a"]))
+    assert [[tokens[i] for i in which[a:b]] for a, b in zip(first, first[1:], strict=False)] == [["a", "b", "c"], [], [], ["", "x"], ["don", "t", "ไ", "ท", "ย", "a"]]
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     rng = random.Random(1)
     docs = [(i, words(rng.randrange(5, 120), i) + (" vileword gruesomely vileword" if i % 6 == 0 else "")) for i in range(600)]
