@@ -179,13 +179,27 @@ def fuzzy_match(t: Tables) -> DataFrame:
     return runs.fuzzy_matches(a, b, 85.0, "levenshtein").withColumn("score", F.round("score", 6))
 
 
-@query("J10 F05")
-def fuzzy_match_lcs(t: Tables) -> DataFrame:
-    """The subsequence ratio; checked by brute force in the tests."""
+def _names(t: Tables) -> tuple[DataFrame, DataFrame]:
     p = ad.parts(t)
     a = p.select(F.concat_ws(" ", "name", "brand").alias("name_a"))
-    b = p.where("factory IN ('SMALL', 'LARGE', 'PROMO')").select(F.concat(F.expr("substr(name, 2)"), F.lit("s "), F.col("brand")).alias("name_b"))
-    return runs.fuzzy_matches(a, b, 88.0, "lcs").withColumn("score", F.round("score", 6))
+    return a, p.select(F.concat(F.expr("substr(name, 2)"), F.lit("s "), F.col("brand")).alias("name_b"))
+
+
+_NB_ALL = f"(SELECT DISTINCT concat(substr(name, 2), 's ', brand) AS name_b FROM {P})"
+
+
+@query("J10", f"""
+WITH s AS (SELECT name_a, name_b, 100.0 * (1.0 - CAST(levenshtein(name_a, name_b) AS DOUBLE) / greatest(length(name_a), length(name_b))) AS score FROM {_NA}, {_NB_ALL})
+SELECT name_a, name_b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name_a ORDER BY score DESC, name_b) AS rn FROM s WHERE score >= 85) WHERE rn = 1""")
+def fuzzy_match_all(t: Tables) -> DataFrame:
+    """Partners of every type."""
+    return runs.fuzzy_matches(*_names(t), 85.0, "levenshtein").withColumn("score", F.round("score", 6))
+
+
+@query("J10 F05")
+def fuzzy_match_lcs(t: Tables) -> DataFrame:
+    """The subsequence ratio, partners of every type; checked by brute force in the tests."""
+    return runs.fuzzy_matches(*_names(t), 88.0, "lcs").withColumn("score", F.round("score", 6))
 
 
 _LOG = ("concat(text, CASE doc_id % 9 WHEN 0 THEN ' System is out of GPU memory' WHEN 1 THEN ' DUE TO TIME LIMIT' WHEN 2 THEN ' SIGCONT' "
