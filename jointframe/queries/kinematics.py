@@ -164,16 +164,19 @@ def world_joint_axes(t: Tables) -> DataFrame:
 
 
 FRAMES = 5
-_Q = f"sin((frame - 1) / {float(FRAMES - 1)} * pi()) * target"
+#: Frames of the reference clip.
+CLIP_FRAMES = 120
 _LOCAL_R = sx.axis_angle(["ax0", "ax1", "ax2"], "turn")
 
 
-@query("J06 X04 X06 F04", f"""
-WITH RECURSIVE f AS (SELECT CAST(unnest(range(1, {FRAMES + 1})) AS BIGINT) AS frame),
+def _poses_sql(frames: int) -> str:
+    q = f"sin((frame - 1) / {float(frames - 1)} * pi()) * target"
+    return f"""
+WITH RECURSIVE f AS (SELECT CAST(unnest(range(1, {frames + 1})) AS BIGINT) AS frame),
 a AS (SELECT *, CASE WHEN type = 'fixed' THEN 0.0 WHEN type = 'continuous' AND abs(upper - lower) <= 1e-6 THEN 1.0
         WHEN abs(upper) >= abs(lower) THEN upper ELSE lower END AS target FROM {ad.joints.sql}, f),
-q AS (SELECT *, CASE WHEN type IN ('revolute', 'continuous') THEN {_Q} ELSE 0.0 END AS turn,
-        CASE WHEN type = 'prismatic' THEN {_Q} ELSE 0.0 END AS slide FROM a),
+q AS (SELECT *, CASE WHEN type IN ('revolute', 'continuous') THEN {q} ELSE 0.0 END AS turn,
+        CASE WHEN type = 'prismatic' THEN {q} ELSE 0.0 END AS slide FROM a),
 l AS (SELECT obj, frame, parent, child, {sx.named(_LOCAL_R, _R)},
         o0 + ax0 * slide AS t0, o1 + ax1 * slide AS t1, o2 + ax2 * slide AS t2 FROM q),
 w(obj, frame, link, {", ".join(_R + _T)}) AS (
@@ -182,12 +185,25 @@ w(obj, frame, link, {", ".join(_R + _T)}) AS (
   SELECT w.obj, w.frame, l.child, {", ".join(sx.matmul(sx.of("w", _R), sx.of("l", _R)))},
          {", ".join(sx.add(sx.matvec(sx.of("w", _R), sx.of("l", _T)), sx.of("w", _T)))}
   FROM w JOIN l ON l.obj = w.obj AND l.frame = w.frame AND l.parent = w.link)
-SELECT obj, link, frame, {", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _R + _T)} FROM w""")
-def forward_kinematics(t: Tables) -> DataFrame:
-    out = kin.forward_kinematics(ad.joints(t), KEYS, FRAMES)
+SELECT obj, link, frame, {", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _R + _T)} FROM w"""
+
+
+def _poses(t: Tables, frames: int) -> DataFrame:
+    out = kin.forward_kinematics(ad.joints(t), KEYS, frames)
     return out.select("obj", "link", "frame", *[(F.round(c, 5) + 0.0).alias(c) for c in _R + _T])
 
 
+@query("J06 X04 X06 F04", _poses_sql(FRAMES))
+def forward_kinematics(t: Tables) -> DataFrame:
+    return _poses(t, FRAMES)
+
+
+@query("J06 X04 X06 F04", _poses_sql(CLIP_FRAMES))
+def forward_kinematics_clip(t: Tables) -> DataFrame:
+    """Every frame of the clip."""
+    return _poses(t, CLIP_FRAMES)
+
+
 @query("W17", f"""
 WITH d AS (SELECT obj, child AS link, label, CAST(floor(log2(label + 1)) AS BIGINT) + 1 AS depth FROM {ad.joints.sql})
 SELECT obj, link, depth, CAST(row_number() OVER (PARTITION BY obj ORDER BY depth, label) AS BIGINT) - 1 AS number FROM d""")

@@ -22,6 +22,13 @@ def con():
     return c
 
 
+def test_every_frame_of_the_clip(spark, con):
+    q = load_all()["forward_kinematics_clip"]
+    got = q.build(Tables(spark, FOLDER)).toPandas()
+    assert sorted(got.frame.unique()) == list(range(1, 121))
+    assert compare(got, con.execute(q.sql).df()).startswith("ok")
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
