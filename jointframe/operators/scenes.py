@@ -437,14 +437,15 @@ def edge_distance(px: Column, py: Column, e: Mapping[str, Column]) -> Column:
 
 
 def angle_alignment(objects: DataFrame, edges: DataFrame) -> DataFrame:
-    """(scene, score): per object the better of both normals of its nearest edge, −dot/2 + ½, summed. Edges are a room's walls."""
+    """(scene, score): per object the better of both normals of its nearest edge, −dot/2 + ½, summed. Edges are (scene, room, edge, x0..y1), the first by room and edge among equally near ones; a scene without edges scores 0."""
     both = objects.join(edges, "scene")
     e = {c: F.col(c) for c in ("x0", "y0", "x1", "y1")}
     d = F.round(edge_distance(F.col("x"), F.col("y"), e), 9)
-    near = both.groupBy("scene", "obj", "yaw").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), F.struct(d, F.col("edge"))).alias("e"))
+    near = both.groupBy("scene", "obj", "yaw").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), F.struct(d, F.col("room"), F.col("edge"))).alias("e"))
     dx, dy = F.col("e.x1") - F.col("e.x0"), F.col("e.y1") - F.col("e.y0")
     dot = (F.cos("yaw") * dy - F.sin("yaw") * dx) / F.sqrt(dx * dx + dy * dy)
-    return near.groupBy("scene").agg(F.sum(0.5 - F.abs(dot) / 2).alias("score"))
+    scored = near.groupBy("scene").agg(F.sum(0.5 - F.abs(dot) / 2).alias("score"))
+    return objects.select("scene").distinct().join(scored, "scene", "left").select("scene", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def focus(objects: DataFrame, targets: DataFrame) -> DataFrame:

@@ -409,7 +409,18 @@ SELECT scene, round(sum(0.5 - abs((cos(yaw) * dy - sin(yaw) * dx) / sqrt(dx * dx
 def angle_alignment(t: Tables) -> DataFrame:
     """Objects against the walls of the room with the scene's number."""
     walls = sn.ring_edges(rings(t), ROOM).withColumn("scene", F.col("room"))
-    return sn.angle_alignment(sn.tagged(objects(t)), walls).withColumn("score", F.round("score", 6))
+    known = sn.tagged(objects(t)).join(walls.select("scene").distinct(), "scene", "left_semi")
+    return sn.angle_alignment(known, walls).withColumn("score", F.round("score", 6))
+
+
+@query("A41 O03 X17", f"""
+WITH e AS (SELECT o.scene, o.obj, o.yaw, o.x, o.y, e.room, e.ring_idx, e.x AS x0, e.y AS y0, e.x1 - e.x AS dx, e.y1 - e.y AS dy FROM {_ACT} o LEFT JOIN (SELECT * FROM {EDGES} WHERE abs(x - x1) > 1e-8 OR abs(y - y1) > 1e-8) e ON e.scene = o.scene),
+s AS (SELECT *, least(greatest(((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy), 0), 1) AS s FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY scene, obj ORDER BY round(sqrt((x - x0 - s * dx) * (x - x0 - s * dx) + (y - y0 - s * dy) * (y - y0 - s * dy)), 9), room, ring_idx) AS rn FROM s)
+SELECT scene, round(coalesce(sum(0.5 - abs((cos(yaw) * dy - sin(yaw) * dx) / sqrt(dx * dx + dy * dy)) / 2), 0), 6) AS score FROM k WHERE rn = 1 GROUP BY scene""")
+def angle_alignment_scene(t: Tables) -> DataFrame:
+    """Objects against the walls of all rooms of their scene; 0 for a scene without walls."""
+    return sn.angle_alignment(sn.tagged(objects(t)), sn.ring_edges(rings(t), ROOM)).withColumn("score", F.round("score", 6))
 
 
 @query("A41", f"""

@@ -29,6 +29,13 @@ def test_every_frame_of_the_clip(spark, con):
     assert compare(got, con.execute(q.sql).df()).startswith("ok")
 
 
+def test_walls_of_all_rooms_of_a_scene(spark, con):
+    q = load_all()["angle_alignment_scene"]
+    got = q.build(Tables(spark, FOLDER)).toPandas()
+    assert set(got.scene) == {r[0] for r in con.execute("SELECT DISTINCT CAST(floor(c_custkey / 50.0) AS BIGINT) FROM customer WHERE c_custkey % 9 <> 0").fetchall()}
+    assert compare(got, con.execute(q.sql).df()).startswith("ok")
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
