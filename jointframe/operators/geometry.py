@@ -135,11 +135,11 @@ def hinge_points(box: DataFrame, kind: str = "rule") -> DataFrame:
     })
 
 
-def surface_samples(triangles: DataFrame, keys: Sequence[str], face: str, most: int = 10_000,
+def surface_samples(triangles: DataFrame, keys: Sequence[str], face: str, most: int | None = None,
                     least: int = 1_000) -> DataFrame:
     """Points spread over the triangles of each part in proportion to area.
 
-    n = min(most, max(faces, least)) per part. A face gets the whole part of its
+    n = max(faces, least) per part, no more than ``most`` if given. A face gets the whole part of its
     share plus one more with the chance of the fraction; draws are keyed, so
     reruns give the same points. Triangle corners are p0..2, q0..2, s0..2.
     """
@@ -148,7 +148,8 @@ def surface_samples(triangles: DataFrame, keys: Sequence[str], face: str, most:
     sized = triangles.withColumn("_area", area)
     total = sized.groupBy(*keys).agg(F.sum("_area").alias("_sum"), F.count("*").alias("_faces"))
     ident = [F.col(k) for k in [*keys, face]]
-    want = F.least(F.lit(most), F.greatest(F.col("_faces"), F.lit(least))) * F.try_divide(F.col("_area"), F.col("_sum"))
+    points = F.greatest(F.col("_faces"), F.lit(least))
+    want = (points if most is None else F.least(F.lit(most), points)) * F.try_divide(F.col("_area"), F.col("_sum"))
     n = (F.floor(want) + F.when(sc.uniform(*ident) < want - F.floor(want), 1).otherwise(0)).cast("int")
     rows = sized.join(total, list(keys)).where(n > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), n)))
     u, v = sc.uniform(*ident, F.col("_i"), F.lit("a")), sc.uniform(*ident, F.col("_i"), F.lit("b"))

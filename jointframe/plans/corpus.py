@@ -28,12 +28,13 @@ class Corpus:
 
 
 def build(joints: DataFrame, parts: DataFrame, vertices: DataFrame, threshold: float = 0.01,
-          least_motion: float = fixed.MIN_NORMALISED_MOTION) -> Corpus:
+          least_motion: float = fixed.MIN_NORMALISED_MOTION, faces: DataFrame | None = None) -> Corpus:
     """Closure, world axes, normalisation, motion filter, splits, collision promotion and tensors.
 
     ``joints`` is (obj, joint, type, parent, child, lower, upper, ax0..2, o0..2,
-    rpy0..2), ``parts`` (obj, label), ``vertices`` (obj, part, x, y, z). Results
-    that feed several branches are cut once.
+    rpy0..2), ``parts`` (obj, label), ``vertices`` (obj, part, x, y, z). With ``faces``
+    (obj, part, face, p0..2, q0..2, s0..2) promotion compares area samples of
+    them, else the vertices. Results that feed several branches are cut once.
     """
     frames = durable(geo.normal_frames(vertices, ["obj"]))
     moved = durable(kin.descendant_parts(joints, ["obj"]))
@@ -45,7 +46,8 @@ def build(joints: DataFrame, parts: DataFrame, vertices: DataFrame, threshold: f
     live = moved.join(ordered.select("obj", "joint"), ["obj", "joint"], "left_semi")
     moving, active = sp.build_splits(ordered.select("obj", "joint", "type", "ord"), live)
     roles = sp.split_roles(moving, parts)
-    rest = durable(geo.normalise(vertices, frames, ["obj"]).select("obj", "part", *geo.AXES).distinct())
+    points = vertices if faces is None else geo.surface_samples(faces, ["obj", "part"], "face")
+    rest = durable(geo.normalise(points, frames, ["obj"]).select("obj", "part", *geo.AXES).distinct())
     posed = sp.posed_points(rest, live, ordered.drop("ord"))
     hits = geo.near_pairs(posed, rest.withColumnRenamed("part", "label"), ["obj"], "joint", "label", threshold)
     roles, active = sp.promote(durable(roles), durable(active), live, hits)

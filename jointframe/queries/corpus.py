@@ -13,10 +13,11 @@ from jointframe.operators import catalog as cat
 from jointframe.operators import geometry as geo
 from jointframe.operators import splits as sp
 from jointframe.plans import corpus
+from jointframe.plans.ordered import neighbours
 from jointframe.queries.catalog import uniform_sql
 from jointframe.queries.geometry import _FRAME_SQL, _RAD, GEOMETRY_CTE, joint_axes, rounded, rsql
 from jointframe.queries.kinematics import CLOSURE_SQL
-from jointframe.queries.splits import SPLIT_SQL, movable_parts
+from jointframe.queries.splits import PROMOTE_SQL, SPLIT_SQL, THRESHOLD, movable_parts
 from jointframe.registry import query
 from jointframe.session import Tables
 from jointframe.sinks import text as out
@@ -25,6 +26,12 @@ from jointframe.sources import assets, files
 P, J, V = ad.parts.sql, ad.joints.sql, ad.vertices.sql
 
 
+def _split_sizes(c: corpus.Corpus) -> DataFrame:
+    n = c.active.groupBy("obj", "key").agg(F.count("*").alias("n_joints"))
+    sizes = c.roles.groupBy("obj", "key").agg(F.count_if(F.col("role") == "moving").alias("n_moving"), F.count_if(F.col("role") == "body").alias("n_body"))
+    return sizes.join(n, ["obj", "key"])
+
+
 @query("P08 A06 A07 A08 K05", f"""{GEOMETRY_CTE}, {_RAD}, {_FRAME_SQL},
 mo AS (SELECT j.obj, j.joint FROM {J} j JOIN f USING (obj) LEFT JOIN rad ON rad.obj = j.obj AND rad.joint = j.joint WHERE j.type <> 'fixed' AND abs(j.upper - j.lower) >= 1e-6
   AND CASE WHEN j.type = 'prismatic' THEN abs(j.upper - j.lower) * scale ELSE abs(j.upper - j.lower) * coalesce(radius, 0) * scale END >= 0.1),
@@ -36,9 +43,56 @@ FROM roles r JOIN s ON s.obj = r.obj AND s.key = r.key GROUP BY r.obj, r.key""")
 def corpus_splits(t: Tables) -> DataFrame:
     """The whole corpus job with the motion filter, without promotion distance, as split sizes."""
     c = corpus.build(ad.joints(t), ad.parts(t).select("obj", "label"), ad.vertices(t), threshold=1e-12)
-    n = c.active.groupBy("obj", "key").agg(F.count("*").alias("n_joints"))
-    sizes = c.roles.groupBy("obj", "key").agg(F.count_if(F.col("role") == "moving").alias("n_moving"), F.count_if(F.col("role") == "body").alias("n_body"))
-    return sizes.join(n, ["obj", "key"])
+    return _split_sizes(c)
+
+
+def strip_faces(t: Tables) -> DataFrame:
+    """Each part as a strip of triangles over its vertices in order."""
+    rows = neighbours(ad.vertices(t), ["obj", "part"], ad.VERTEX_ORDER, {f"q{i}": a for i, a in enumerate(geo.AXES)}, ahead=True)
+    rows = neighbours(rows, ["obj", "part"], ad.VERTEX_ORDER, {f"s{i}": f"q{i}" for i in range(3)}, ahead=True).where("s0 is not null")
+    face = (F.col("ord1") * 8 + F.col("ord2")).alias("face")
+    return rows.select("obj", "part", face, *[F.col(a).alias(f"p{i}") for i, a in enumerate(geo.AXES)], *[f"{c}{i}" for c in "qs" for i in range(3)])
+
+
+_STRIP = ", ".join(f"lead({a}, {k}) OVER o AS {c}{i}" for k, c in ((1, "q"), (2, "s")) for i, a in enumerate(geo.AXES))
+_A, _B = [f"(q{i} - p{i})" for i in range(3)], [f"(s{i} - p{i})" for i in range(3)]
+_CROSS = [f"({_A[(i + 1) % 3]} * {_B[(i + 2) % 3]} - {_A[(i + 2) % 3]} * {_B[(i + 1) % 3]})" for i in range(3)]
+_DRAWN = [f"p{i} + {_A[i]} * a + {_B[i]} * b" for i in range(3)]
+#: Area samples of the strips in normalised space.
+SAMPLE_SQL = f"""
+sf AS (SELECT * FROM (SELECT obj, part, ord1 * 8 + ord2 AS face, {", ".join(f"{a} AS p{i}" for i, a in enumerate(geo.AXES))}, {_STRIP} FROM {V} WINDOW o AS (PARTITION BY obj, part ORDER BY {", ".join(ad.VERTEX_ORDER)})) WHERE s0 IS NOT NULL),
+sa AS (SELECT *, sqrt({" + ".join(f"{c} * {c}" for c in _CROSS)}) / 2 AS area FROM sf),
+sw AS (SELECT *, greatest(count(*) OVER (PARTITION BY obj, part), 1000) * area / nullif(sum(area) OVER (PARTITION BY obj, part), 0) AS want FROM sa),
+sn AS (SELECT *, CAST(floor(want) AS BIGINT) + CASE WHEN {uniform_sql("obj", "part", "face")} < want - floor(want) THEN 1 ELSE 0 END AS n FROM sw WHERE want IS NOT NULL),
+si AS (SELECT *, unnest(range(1, n + 1)) AS i FROM sn),
+su AS (SELECT *, {uniform_sql("obj", "part", "face", "i", "'a'")} AS u, {uniform_sql("obj", "part", "face", "i", "'b'")} AS v FROM si),
+sb AS (SELECT *, CASE WHEN u + v > 1 THEN 1 - u ELSE u END AS a, CASE WHEN u + v > 1 THEN 1 - v ELSE v END AS b FROM su),
+sx AS (SELECT obj, part, {", ".join(f"{e} AS {a}" for e, a in zip(_DRAWN, geo.AXES))} FROM sb),
+dv AS MATERIALIZED (SELECT DISTINCT sx.obj, part AS label, {", ".join(f"CASE WHEN flat THEN sx.{a} ELSE (sx.{a} - m{a}) * scale END AS {a}" for a in geo.AXES)} FROM sx JOIN f USING (obj)),"""
+
+_POSED_SQL = PROMOTE_SQL.split("dv AS (SELECT DISTINCT * FROM nv),", 1)[1].split("hit AS", 1)[0]
+_GAIN_SQL = PROMOTE_SQL.split("tch AS", 1)[1]
+#: Points meet in cells of the threshold and the cells around them.
+HIT_SQL = f"""
+dc AS (SELECT dv.*, {", ".join(f"CAST(floor({a} / {THRESHOLD}) AS BIGINT) + d{a} AS c{a}" for a in geo.AXES)} FROM dv, {", ".join(f"(VALUES (-1), (0), (1)) t{a}(d{a})" for a in geo.AXES)}),
+pc AS (SELECT *, {", ".join(f"CAST(floor({a} / {THRESHOLD}) AS BIGINT) AS c{a}" for a in geo.AXES)} FROM pp),
+hit AS MATERIALIZED (SELECT DISTINCT pc.obj, pc.joint, dc.label FROM pc JOIN dc ON dc.obj = pc.obj AND {" AND ".join(f"dc.c{a} = pc.c{a}" for a in geo.AXES)}
+   WHERE {" + ".join(f"(pc.{a} - dc.{a}) * (pc.{a} - dc.{a})" for a in geo.AXES)} < {THRESHOLD} * {THRESHOLD}),"""
+
+
+@query("P08 A06 A07 A08 K05 J12", f"""{GEOMETRY_CTE}, {_RAD}, {_FRAME_SQL},
+mo AS (SELECT j.obj, j.joint FROM {J} j JOIN f USING (obj) LEFT JOIN rad ON rad.obj = j.obj AND rad.joint = j.joint WHERE j.type <> 'fixed' AND abs(j.upper - j.lower) >= 1e-6
+  AND CASE WHEN j.type = 'prismatic' THEN abs(j.upper - j.lower) * scale ELSE abs(j.upper - j.lower) * coalesce(radius, 0) * scale END >= 0.1),
+mv AS (SELECT m.* FROM moved m JOIN mo ON mo.obj = m.obj AND mo.joint = m.joint),
+{SPLIT_SQL.split("AND abs(upper - lower) >= 1e-6),", 1)[1]}, {SAMPLE_SQL} {_POSED_SQL} {HIT_SQL} tch AS {_GAIN_SQL},
+s AS (SELECT obj, key, count(*) AS n_joints FROM (SELECT obj, key, joint FROM act UNION ALL SELECT obj, key, joint FROM pas) GROUP BY obj, key),
+rw AS (SELECT r.obj, r.key, r.role = 'moving' OR g.label IS NOT NULL AS moves FROM roles r LEFT JOIN gain g ON g.obj = r.obj AND g.key = r.key AND g.label = r.label)
+SELECT rw.obj, rw.key, CAST(count(*) FILTER (moves) AS BIGINT) AS n_moving, CAST(count(*) FILTER (NOT moves) AS BIGINT) AS n_body, CAST(max(s.n_joints) AS BIGINT) AS n_joints
+FROM rw JOIN s ON s.obj = rw.obj AND s.key = rw.key GROUP BY rw.obj, rw.key""")
+def corpus_splits_promoted(t: Tables) -> DataFrame:
+    """The whole corpus job with the motion filter and promotion over area samples of the faces, as split sizes."""
+    c = corpus.build(ad.joints(t), ad.parts(t).select("obj", "label"), ad.vertices(t), faces=strip_faces(t))
+    return _split_sizes(c)
 
 
 @query("K01", f"""{CLOSURE_SQL}, {SPLIT_SQL},

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from jointframe.operators import geometry as geo
 from jointframe.queries import load_all
 from jointframe.session import Tables
 from tools.check_oracle import NAMES, compare
@@ -57,3 +58,16 @@ def test_partners_of_every_type(spark, con):
         if best:
             want[x] = best[1]
     assert want and {r.name_a: r.name_b for r in load_all()["fuzzy_match_lcs"].build(Tables(spark, FOLDER)).collect()} == want
+
+
+def test_promotion_over_area_samples(spark, con):
+    q = load_all()["corpus_splits_promoted"]
+    got = q.build(Tables(spark, FOLDER)).toPandas()
+    assert compare(got, con.execute(q.sql).df()).startswith("ok")
+    assert got.n_moving.sum() > con.execute(load_all()["corpus_splits"].sql).df().n_moving.sum()
+
+
+def test_surface_samples_have_no_ceiling(spark):
+    p = [f"CAST({v} AS DOUBLE) AS {c}{i}" for c, vs in (("p", "000"), ("q", "100"), ("s", "010")) for i, v in enumerate(vs)]
+    tri = spark.range(12_000).selectExpr("1 AS obj", "id AS face", *p)
+    assert geo.surface_samples(tri, ["obj"], "face").count() == 12_000
