@@ -114,3 +114,9 @@ def test_url_filters(spark):
     ]
     assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()) == Counter(want)
     assert urlgraph.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_links_without_a_scheme_are_edges(spark):
+    html = '<a href="//Other.org/x">x</a> <a href=//third.org>y</a> <a href="/in//page">z</a> <a href="https://other.org/y">w</a>'
+    got = urlgraph.host_edges(spark.createDataFrame([("own.org", html)], "host string, html string")).collect()
+    assert {(r.src, r.dst): r.n for r in got} == {("own.org", "other.org"): 2, ("own.org", "third.org"): 1}
