@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jointframe.llm import decontam, langid, linedup, packing, quality, simhash, suffix, tokenbin, toxicity, urlgraph
+from jointframe.llm import decontam, fim, langid, lattice, linedup, packing, quality, resample, simhash, suffix, tokenbin, toxicity, urlgraph
 from jointframe.session import Tables
 
 
@@ -50,8 +50,26 @@ def op10_url_filters(t: Tables) -> DataFrame:
     return urlgraph.judge(t.pages).drop("trust", "distrust")
 
 
-BUILDERS = (op1_quality_rules, op2_language_id, op3_token_binary, op4_best_fit_packing, op5_simhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_benchmark_decontamination, op9_line_dedup, op10_url_filters)
-SQL = {"op1_quality_rules": quality.SQL, "op9_line_dedup": linedup.SQL}
+def op11_fill_in_middle(t: Tables) -> DataFrame:
+    return fim.digest(t.documents.select("doc_id", "text"))
+
+
+def op12_embedding_near_dedup(t: Tables) -> DataFrame:
+    return lattice.digest(t.embeddings)
+
+
+def op13_importance_resampling(t: Tables) -> DataFrame:
+    return resample.digest(t.documents.select("doc_id", "text"), t.benchmark)
+
+
+BUILDERS = (
+    op1_quality_rules, op2_language_id, op3_token_binary, op4_best_fit_packing, op5_simhash_near_dedup, op6_suffix_dedup, op7_toxicity,
+    op8_benchmark_decontamination, op9_line_dedup, op10_url_filters, op11_fill_in_middle, op12_embedding_near_dedup, op13_importance_resampling,
+)
+SQL = {
+    "op1_quality_rules": quality.SQL, "op9_line_dedup": linedup.SQL, "op11_fill_in_middle": fim.SQL, "op12_embedding_near_dedup": lattice.SQL,
+    "op13_importance_resampling": resample.SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
