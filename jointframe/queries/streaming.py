@@ -20,18 +20,39 @@ def stream(t: Tables) -> DataFrame:
     return raw.selectExpr(*[f"{e} AS {n}" for n, e in ad.task_events.columns.items()]).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(t: Tables, df: DataFrame, mode: str = "append") -> DataFrame:
-    return st.run_to_table(df, st.work_folder(t.spark), mode)
+def run(t: Tables, df: DataFrame) -> DataFrame:
+    return st.run_to_table(df, st.work_folder(t.spark))
 
 
-def micros(c: str):
-    return F.unix_micros(F.col(c).cast("timestamp"))
+#: The events again in four polls of eight days; the stream is stopped after each and taken up again for the next.
+POLLS = 4
+POLL = f"CAST(least({POLLS - 1}, floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / (8.0 * 86400000000))) AS BIGINT)"
+
+
+def polled(t: Tables, step) -> None:
+    """Call ``step`` with the stream each time another poll's events have arrived; each poll is one micro-batch."""
+    events = ad.task_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    poll_of = F.least(F.lit(POLLS - 1), F.floor((F.unix_micros("ts") - start) / (8.0 * 86400000000)))
+    source = st.work_folder(t.spark)
+    for poll in range(POLLS):
+        events.where(poll_of == poll).write.mode("append").parquet(source)
+        step(st.file_stream(t.spark, source, events.schema))
 
 
 @query("T01", f"""
 SELECT scene, task, {STATE.format(e="max_by(event, (ts, event_id))")} AS state, epoch_us(max(ts)) AS us FROM {EV} GROUP BY scene, task""")
 def latest_state(t: Tables) -> DataFrame:
-    return run(t, st.latest_states(stream(t)), "complete").select("scene", "task", "state", micros("ts").alias("us"))
+    return st.latest_states_stream(stream(t), st.work_folder(t.spark)).select("scene", "task", "state", micros("ts").alias("us"))
+
+
+@query("T01", f"""
+SELECT scene, task, {STATE.format(e="max_by(event, (ts, event_id))")} AS state, epoch_us(max(ts)) AS us FROM {EV} GROUP BY scene, task""")
+def latest_state_polls(t: Tables) -> DataFrame:
+    """The same over several micro-batches and a restart."""
+    folder, out = st.work_folder(t.spark), []
+    polled(t, lambda events: out.append(st.latest_states_stream(events, folder)))
+    return out[-1].select("scene", "task", "state", micros("ts").alias("us"))
 
 
 _CLOSED = "(SELECT max(ts) - INTERVAL {d} AS wm FROM events)"
@@ -51,7 +72,15 @@ def live_state_counts(t: Tables) -> DataFrame:
 
 @query("T03 K08", f"SELECT DISTINCT scene, task FROM {EV} WHERE event = 'failed'")
 def crash_once(t: Tables) -> DataFrame:
-    return run(t, st.first_crashes(stream(t)))
+    return st.first_crashes(stream(t), st.work_folder(t.spark)).drop("batch")
+
+
+@query("T03", f"SELECT scene, task, min({POLL}) AS batch FROM {EV} WHERE event = 'failed' GROUP BY scene, task")
+def crash_once_polls(t: Tables) -> DataFrame:
+    """Crashes with the micro-batch that reported them, over several of these and a restart."""
+    folder, out = st.work_folder(t.spark), []
+    polled(t, lambda events: out.append(st.first_crashes(events, folder)))
+    return out[-1]
 
 
 CHAIN = [("coarse", "prev_succeeded"), ("populate", "prev_succeeded"), ("fine", "prev_redundant"), ("render", "prev_failed")]
@@ -62,19 +91,52 @@ c AS (SELECT scene, CASE WHEN coarse <> 'succeeded' THEN 'coarse' WHEN populate
   CASE WHEN coarse <> 'succeeded' THEN coarse WHEN populate <> 'succeeded' THEN populate WHEN fine = 'crashed' THEN render ELSE fine END AS state FROM l)"""
 
 
+STRICT = [(n, "prev_succeeded" if n == "fine" else c) for n, c in CHAIN]
+
+
+def board(t: Tables) -> st.SceneBoard:
+    return st.SceneBoard(t.spark, st.work_folder(t.spark), STRICT)
+
+
 @query("T04", f"""WITH {_CHAIN_SQL.replace("'prev_redundant'", "''")}
 SELECT scene, reached, state, state = 'crashed' AS fatal FROM c""")
 def task_chain(t: Tables) -> DataFrame:
     """Coarse, populate and fine in order, render only as the fallback of fine."""
-    chain = [(n, "prev_succeeded" if n == "fine" else c) for n, c in CHAIN]
-    return run(t, st.scene_chain(stream(t), chain), "complete").select("scene", "reached", "state", "fatal")
+    return board(t).run(stream(t)).snapshot().drop("all_done")
 
 
 @query("T05", f"""WITH {_CHAIN_SQL}
 SELECT scene, CASE WHEN state = 'crashed' THEN 'crashed' ELSE 'done' END AS outcome FROM c WHERE state = 'crashed' OR (reached = 'render' AND state = 'succeeded')""")
 def scene_termination(t: Tables) -> DataFrame:
-    chain = [(n, "prev_succeeded" if n == "fine" else c) for n, c in CHAIN]
-    return st.terminations(run(t, st.scene_chain(stream(t), chain), "complete"))
+    return board(t).run(stream(t)).seed_lists().drop("poll")
+
+
+# Every scene at every poll, as far as it has come by then; the first poll at which it is over counts.
+_POLL_LAST = _LAST.replace("FILTER (task", "FILTER (e.poll <= p.poll AND task")
+_BOARD_SQL = f"""
+e AS (SELECT *, {POLL} AS poll FROM {EV}), p AS (SELECT CAST(range AS BIGINT) AS poll FROM range({POLLS})),
+l AS (SELECT scene, p.poll, {_POLL_LAST} FROM e, p GROUP BY scene, p.poll HAVING min(e.poll) <= p.poll),
+c AS (SELECT scene, poll, {_CHAIN_SQL.partition("SELECT scene, ")[2].partition("SELECT scene, ")[2].rpartition(" FROM l)")[0]} FROM l),
+o AS (SELECT *, state = 'crashed' OR (reached = 'render' AND state = 'succeeded') AS ended FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY ended DESC, CASE WHEN ended THEN poll ELSE -poll END) AS i FROM o)"""
+
+
+@query("K08 T05", f"""WITH {_BOARD_SQL}
+SELECT scene, CASE WHEN state = 'crashed' THEN 'crashed' ELSE 'done' END AS outcome, poll FROM n WHERE i = 1 AND ended""")
+def seed_lists(t: Tables) -> DataFrame:
+    """Finished and crashed seeds with the poll that closed them, over several polls and a restart."""
+    scenes = board(t)
+    polled(t, scenes.run)
+    return scenes.seed_lists()
+
+
+@query("K08 T04", f"""WITH {_BOARD_SQL}
+SELECT scene, reached, state, state = 'crashed' AS fatal, CASE WHEN ended THEN CASE WHEN state = 'crashed' THEN 'crashed' ELSE 'done' END END AS all_done FROM n WHERE i = 1""")
+def scene_snapshot(t: Tables) -> DataFrame:
+    """The scene table after the last poll; what came after a scene's end does not count."""
+    scenes = board(t)
+    polled(t, scenes.run)
+    return scenes.snapshot()
 
 
 @query("T06", f"""
@@ -117,7 +179,7 @@ WITH p AS (SELECT scene, task, max(ts) FILTER (event = 'failed') AS f, max(ts) F
 SELECT scene, task, CASE WHEN f IS NULL AND g IS NULL THEN 'open' WHEN f IS NULL THEN 'succeeded' WHEN g IS NULL THEN 'crashed'
   WHEN epoch_us(g) - epoch_us(f) BETWEEN 0 AND 86400000000 THEN 'succeeded' ELSE 'crashed' END AS state FROM p""")
 def late_completion(t: Tables) -> DataFrame:
-    return run(t, st.corrected_states(stream(t), 86400), "complete")
+    return st.corrected_states(stream(t), st.work_folder(t.spark), 86400)
 
 
 @query("T08", f"""

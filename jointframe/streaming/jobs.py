@@ -1,8 +1,12 @@
 """Job-state monitoring on Structured Streaming.
 
-Events are rows (scene, task, ts, event, event_id). State is kept as built-in
-aggregates, which combine on the map side, so a hot scene or task sends one
-partial row per task and no Python state holds its events.
+Events are rows (scene, task, ts, event, event_id). Jobs that need to remember
+keys for good keep nothing in the stream's state: every micro-batch is folded
+by built-in aggregates, which combine on the map side, so a hot scene sends one
+partial row per task, and merged into the buckets of a ``KeyedTable`` that its
+keys fall into. Scenes that are over leave the live table. A batch that is run
+again after a failure changes nothing. Windows, sessions and joins use
+watermarks.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jointframe.plans.ordered import in_blocks, neighbours, running_max, running_sum
-from jointframe.session import ensure_checkpoint_dir
+from jointframe.session import durable, ensure_checkpoint_dir
+from jointframe.streaming.tables import KeyedTable
 
 STATES = {"submitted": "queued", "running": "running", "finished": "succeeded", "failed": "crashed", "cancelled": "cancelled"}
 
@@ -34,37 +39,23 @@ def work_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream over what is available into parquet and return the table.
 
-    Append streams write files with exactly-once commits. Complete results
-    replace the table of the batch before. Run again with the same folder to
-    take up new input only.
+    Files are committed exactly once. Run again with the same folder to take up
+    new input only.
     """
     spark = stream.sparkSession
     out, checkpoint = f"{folder}/table", f"{folder}/checkpoint"
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).outputMode("append").start()
-    else:
-        query = writer.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
+    writer.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def append_once(keys: Sequence[str], path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink that adds keys not yet in the table; repeating a batch changes nothing."""
-    def write(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        rows = df.dropDuplicates(list(keys))
-        try:
-            seen = spark.read.parquet(path).select(*keys)
-            rows = rows.join(seen, list(keys), "left_anti")
-        except Exception as e:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        rows.write.mode("append").parquet(path)
-    return write
+def run_batches(stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over what is available, one micro-batch after the other; the folder remembers where it stands."""
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(step).start().awaitTermination()
 
 
 # -- state --------------------------------------------------------------------------------
@@ -76,10 +67,37 @@ def state_of(event: Column) -> Column:
     return out.otherwise("not_queued")
 
 
+def last_events(events: DataFrame) -> DataFrame:
+    """(scene, task, last: the latest event with its ts and id)."""
+    return events.groupBy("scene", "task").agg(F.max(F.struct("ts", "event_id", "event")).alias("last"))
+
+
+def as_states(last: DataFrame) -> DataFrame:
+    return last.select("scene", "task", state_of(F.col("last.event")).alias("state"), "last.ts")
+
+
 def latest_states(events: DataFrame) -> DataFrame:
     """(scene, task, state, ts): the latest event decides."""
-    last = F.max_by(F.struct("event", "ts"), F.struct("ts", "event_id")).alias("l")
-    return events.groupBy("scene", "task").agg(last).select("scene", "task", state_of(F.col("l.event")).alias("state"), "l.ts")
+    return as_states(last_events(events))
+
+
+LAST = "last struct<ts: timestamp, event_id: bigint, event: string>"
+
+
+def latest_states_stream(events: DataFrame, folder: str, buckets: int = 16) -> DataFrame:
+    """The same over a stream: each micro-batch is merged into the buckets of its scenes."""
+    spark = events.sparkSession
+    table = KeyedTable(spark, f"{folder}/table", f"scene bigint, task string, {LAST}", ["scene", "task"], buckets)
+
+    def step(batch: DataFrame, number: int) -> None:
+        if not table.done(number):
+            new = durable(last_events(batch))
+            touched = table.touched(new)
+            merged = table.read(touched).unionByName(new).groupBy("scene", "task").agg(F.max("last").alias("last"))
+            table.replace(number, touched, merged)
+
+    run_batches(events, folder, step)
+    return as_states(table.read())
 
 
 def state_counts(events: DataFrame, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -88,29 +106,34 @@ def state_counts(events: DataFrame, window: str = "5 minutes", delay: str = "10
     return counted.select(F.col("window.start").alias("start"), "state", "task", "n")
 
 
-def first_crashes(events: DataFrame) -> DataFrame:
-    """(scene, task) of crashes, each reported once for good; the keys kept are bounded by the tasks that crashed."""
-    return events.where("event = 'failed'").select("scene", "task").dropDuplicates(["scene", "task"])
+def first_crashes(events: DataFrame, folder: str, buckets: int = 16) -> DataFrame:
+    """(scene, task, batch) of crashes over a stream, each reported once for good with the micro-batch that saw it first."""
+    spark = events.sparkSession
+    table = KeyedTable(spark, f"{folder}/table", "scene bigint, task string, batch bigint", ["scene", "task"], buckets)
 
+    def step(batch: DataFrame, number: int) -> None:
+        if not table.done(number):
+            new = durable(batch.where("event = 'failed'").select("scene", "task").distinct())
+            known = table.read(table.touched(new)).select("scene", "task")
+            table.append(number, new.join(known, ["scene", "task"], "left_anti").withColumn("batch", F.lit(number)))
 
-def scene_chain(events: DataFrame, tasks: Sequence[tuple[str, str]]) -> DataFrame:
-    """(scene, reached, state, fatal, finished, crashed): progress of each scene through an ordered task list.
+    run_batches(events, folder, step)
+    return table.read()
 
-    ``tasks`` is (name, condition) with condition prev_succeeded, prev_failed or
-    prev_redundant. A scene stops at the first task whose condition asks for
-    success and does not find it; a prev_failed task is skipped unless the one
-    before failed. A failure is fatal unless a prev_failed fallback follows.
-    The chain is a pure function of the latest state per task, so one partial
-    aggregate per scene is all the state.
-    """
-    order = F.struct("ts", "event_id")
-    per = events.groupBy("scene").agg(*[
-        F.max_by(F.col("event"), F.when(F.col("task") == name, order)).alias(f"_{name}") for name, _ in tasks])
+
+def last_by_task(events: DataFrame, tasks: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row a scene: the latest event of each task of the list as a column of the task's name."""
+    event = F.struct("ts", "event_id", "event")
+    return events.groupBy("scene").agg(*[F.max(F.when(F.col("task") == name, event)).alias(name) for name, _ in tasks])
+
+
+def chain_of(per: DataFrame, tasks: Sequence[tuple[str, str]]) -> DataFrame:
+    """The progress of each scene of ``last_by_task``; see ``scene_chain``."""
     prev, stopped = F.lit("succeeded"), F.lit(False)
     reached, state, fatal = F.lit("none"), F.lit("succeeded"), F.lit(False)
     running = F.lit(False)
     for i, (name, condition) in enumerate(tasks):
-        own = F.coalesce(state_of(F.col(f"_{name}")), F.lit("not_queued"))
+        own = F.coalesce(state_of(F.col(f"{name}.event")), F.lit("not_queued"))
         if condition == "prev_succeeded":
             stopped = stopped | (prev != "succeeded")
             runs = ~stopped
@@ -123,15 +146,81 @@ def scene_chain(events: DataFrame, tasks: Sequence[tuple[str, str]]) -> DataFram
         fatal = fatal | (runs & (own == "crashed") & F.lit(not fallback))
         running = running | (runs & own.isin("queued", "running"))
         prev = F.when(runs, own).otherwise(prev)
-    last = tasks[-1][0]
-    finished = (reached == last) & (state == "succeeded")
-    return per.select("scene", reached.alias("reached"), state.alias("state"), fatal.alias("fatal"),
+    finished = (reached == tasks[-1][0]) & (state == "succeeded")
+    return per.select("*", reached.alias("reached"), state.alias("state"), fatal.alias("fatal"),
                       finished.alias("finished"), (fatal & ~running).alias("crashed"))
 
 
+def scene_chain(events: DataFrame, tasks: Sequence[tuple[str, str]]) -> DataFrame:
+    """(scene, reached, state, fatal, finished, crashed): progress of each scene through an ordered task list.
+
+    ``tasks`` is (name, condition) with condition prev_succeeded, prev_failed or
+    prev_redundant. A scene stops at the first task whose condition asks for
+    success and does not find it; a prev_failed task is skipped unless the one
+    before failed. A failure is fatal unless a prev_failed fallback follows.
+    The chain is a pure function of the latest event per task.
+    """
+    return chain_of(last_by_task(events, tasks), tasks).select("scene", "reached", "state", "fatal", "finished", "crashed")
+
+
+def outcome() -> Column:
+    return F.when(F.col("crashed"), "crashed").otherwise("done").alias("outcome")
+
+
 def terminations(chain: DataFrame) -> DataFrame:
     """(scene, outcome) of scenes that are done or crashed for good."""
-    return chain.where("finished or crashed").select("scene", F.when(F.col("crashed"), "crashed").otherwise("done").alias("outcome"))
+    return chain.where("finished or crashed").select("scene", outcome())
+
+
+class SceneBoard:
+    """All scenes under way and those that are over, brought forward by one poll per micro-batch.
+
+    ``live`` holds the latest event per task of scenes under way. A scene whose
+    chain is finished or crashed at a poll moves to ``over`` with its outcome
+    and the number of the poll, and later events of it are not looked at. Both
+    tables are read and written only in the buckets of the poll's scenes, so
+    what a poll costs does not grow with the scenes that are over.
+
+    If a poll is broken off between the two tables, the next attempt finds its
+    scenes in ``over`` already and takes them out of ``live`` by that.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, tasks: Sequence[tuple[str, str]], buckets: int = 16):
+        self.folder, self.tasks = folder, list(tasks)
+        lasts = ", ".join(f"{name} {LAST.split(' ', 1)[1]}" for name, _ in tasks)
+        self.live = KeyedTable(spark, f"{folder}/live", f"scene bigint, {lasts}", ["scene"], buckets)
+        self.over = KeyedTable(spark, f"{folder}/over", "scene bigint, outcome string, poll bigint, reached string, state string, fatal boolean", ["scene"], buckets)
+
+    def poll(self, events: DataFrame, number: int) -> None:
+        if self.live.done(number):
+            return
+        new = durable(last_by_task(events, self.tasks))
+        touched = self.live.touched(new)
+        over = self.over.read(touched).select("scene")
+        both = self.live.read(touched).unionByName(new).join(over, "scene", "left_anti")
+        merged = both.groupBy("scene").agg(*[F.max(name).alias(name) for name, _ in self.tasks])
+        chain = durable(chain_of(merged, self.tasks))
+        ended = F.col("finished") | F.col("crashed")
+        self.over.append(number, chain.where(ended).select("scene", outcome(), F.lit(number).alias("poll"), "reached", "state", "fatal"))
+        self.live.replace(number, touched, chain.where(~ended))
+
+    def run(self, events: DataFrame) -> SceneBoard:
+        run_batches(events, self.folder, self.poll)
+        return self
+
+    def snapshot(self) -> DataFrame:
+        """(scene, reached, state, fatal, all_done): every scene; all_done is null while it is under way."""
+        live = chain_of(self.live.read(), self.tasks).select("scene", "reached", "state", "fatal", F.lit(None).cast("string").alias("all_done"))
+        return live.unionByName(self.over.read().select("scene", "reached", "state", "fatal", F.col("outcome").alias("all_done")))
+
+    def seed_lists(self) -> DataFrame:
+        """(scene, outcome, poll): the finished and the crashed seeds."""
+        return self.over.read().select("scene", "outcome", "poll")
+
+    def write_lists(self, folder: str) -> None:
+        """One seed a line, in text folders ``finished_seeds`` and ``crashed_seeds``."""
+        for kind, name in (("done", "finished_seeds"), ("crashed", "crashed_seeds")):
+            self.over.read().where(F.col("outcome") == kind).select(F.col("scene").cast("string")).write.mode("overwrite").text(f"{folder}/{name}")
 
 
 # -- time ---------------------------------------------------------------------------------
@@ -171,19 +260,33 @@ def late_rows(events: DataFrame, delay_seconds: int) -> DataFrame:
     return seen.where(micros("_newest") - micros("ts") > delay_seconds * 1_000_000).drop("_newest")
 
 
-def corrected_states(events: DataFrame, delay_seconds: int) -> DataFrame:
-    """(scene, task, state): a finish counts over an earlier failure only if it came within the delay.
+def ends_of(events: DataFrame) -> DataFrame:
+    """(scene, task, f, g): the last failure and the last finish of each task."""
+    return events.groupBy("scene", "task").agg(*[F.max(F.when(F.col("event") == e, F.col("ts"))).alias(c) for e, c in (("failed", "f"), ("finished", "g"))])
 
-    Per task the last failure and the last finish decide; both are plain aggregates.
-    """
-    per = events.groupBy("scene", "task").agg(
-        F.max(F.when(F.col("event") == "failed", F.col("ts"))).alias("f"), F.max(F.when(F.col("event") == "finished", F.col("ts"))).alias("g"))
+
+def corrected(ends: DataFrame, delay_seconds: int) -> DataFrame:
+    """(scene, task, state): a finish counts over an earlier failure only if it came within the delay."""
     def micros(c: str) -> Column:
         return F.unix_micros(F.col(c).cast("timestamp"))
     in_time = (micros("g") - micros("f")).between(0, delay_seconds * 1_000_000)
     state = (F.when(F.col("f").isNull() & F.col("g").isNull(), "open").when(F.col("f").isNull(), "succeeded")
              .when(F.col("g").isNull(), "crashed").when(in_time, "succeeded").otherwise("crashed"))
-    return per.select("scene", "task", state.alias("state"))
+    return ends.select("scene", "task", state.alias("state"))
+
+
+def corrected_states(events: DataFrame, folder: str, delay_seconds: int, buckets: int = 16) -> DataFrame:
+    """The same over a stream, with both ends merged into the buckets of each micro-batch's tasks."""
+    table = KeyedTable(events.sparkSession, f"{folder}/table", "scene bigint, task string, f timestamp, g timestamp", ["scene", "task"], buckets)
+
+    def step(batch: DataFrame, number: int) -> None:
+        if not table.done(number):
+            new = durable(ends_of(batch))
+            touched = table.touched(new)
+            table.replace(number, touched, table.read(touched).unionByName(new).groupBy("scene", "task").agg(F.max("f").alias("f"), F.max("g").alias("g")))
+
+    run_batches(events, folder, step)
+    return corrected(table.read(), delay_seconds)
 
 
 def ramp_alerts(events: DataFrame, config: DataFrame, window: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
