@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from jointframe import fixed
 from jointframe.functions import linalg as la
 from jointframe.plans.ordered import ranked
-from jointframe.plans.recursion import levels
+from jointframe.plans.recursion import all_above, below_roots, depths, fold_down, path_order
 from jointframe.session import durable
 
 
@@ -31,26 +31,13 @@ def edge_pairs(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ancestor_pairs(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys…, node, ancestor, dist) for every strict ancestor.
+    """(keys…, node, ancestor, dist) for every strict ancestor; cycles end."""
+    return all_above(edges, keys)
 
-    Walks upwards: each row meets one parent row, so a level never fans out,
-    and a hot ancestor only makes the probing side of the join hot, which AQE
-    splits. A walk that would revisit a node stops, so cycles end.
-    """
-    edges = durable(edges.select(*keys, "parent", "child"))
-    up = edges.select(*keys, F.col("child").alias("ancestor"), F.col("parent").alias("_next"))
-    start = edges.select(
-        *keys, F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("dist"),
-        F.array("child", "parent").alias("_seen"),
-    )
-
-    def step(rows: DataFrame) -> DataFrame:
-        return rows.join(up, [*keys, "ancestor"]).where(~F.array_contains("_seen", F.col("_next"))).select(
-            *keys, "node", F.col("_next").alias("ancestor"), (F.col("dist") + 1).alias("dist"),
-            F.array_append("_seen", F.col("_next")).alias("_seen"),
-        )
 
-    return levels(start, step).drop("_seen")
+def links_of(edges: DataFrame, keys: Sequence[str], *columns: Column | str) -> DataFrame:
+    """(keys…, node, up, columns…): the child links as nodes, ``up`` null below a root."""
+    return below_roots(edges.select(*keys, F.col("child").alias("node"), F.col("parent").alias("up"), *columns), keys)
 
 
 def descendant_parts(joints: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,32 +68,24 @@ def significant(joints: DataFrame) -> DataFrame:
 
 
 def link_depth(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys…, node, depth): number of joints between a link and its root."""
-    return ancestor_pairs(edges, keys).groupBy(*keys, "node").agg(F.max("dist").alias("depth"))
+    """(keys…, node, depth): number of joints between a link and its root; links of a cycle have none."""
+    return depths(links_of(edges, keys), keys)
+
+
+POSE = [f"r{i}" for i in range(9)] + [f"t{i}" for i in range(3)]
+
+
+def _chained(upper, lower) -> list[Column]:
+    """The pose of a frame inside another one."""
+    m, v = la.rigid_mul(*[([of(f"r{i}") for i in range(9)], [of(f"t{i}") for i in range(3)]) for of in (upper, lower)])
+    return [*m, *v]
 
 
 def world_transforms(joints: DataFrame, keys: Sequence[str], use_rpy: bool = True) -> DataFrame:
     """World pose of every child link: rotation r0..r8 (row major) and translation t0..t2."""
-    origin = la.fields("o", 3)
     turn = la.rpy_matrix(la.fields("rpy", 3)) if use_rpy else la.lits(la.IDENTITY)
-    local = durable(joints.select(
-        *keys, "parent", "child",
-        *[c.alias(f"r{i}") for i, c in enumerate(turn)], *[c.alias(f"t{i}") for i, c in enumerate(origin)],
-    ))
-    pose = [f"r{i}" for i in range(9)] + [f"t{i}" for i in range(3)]
-    top = roots(joints.select(*keys, "parent", "child"), keys).withColumnRenamed("link", "parent")
-    start = local.join(top, [*keys, "parent"], "left_semi").select(*keys, F.col("child").alias("link"), *pose)
-    child = local.select(*keys, F.col("parent").alias("link"), F.col("child").alias("_child"),
-                         *[F.col(p).alias(f"c{p}") for p in pose])
-
-    def step(rows: DataFrame) -> DataFrame:
-        m, v = la.rigid_mul((la.fields("r", 9), la.fields("t", 3)), (la.fields("cr", 9), la.fields("ct", 3)))
-        return rows.join(child, [*keys, "link"]).select(
-            *keys, F.col("_child").alias("link"),
-            *[c.alias(p) for c, p in zip([*m, *v], pose)],
-        )
-
-    return levels(start, step)
+    own = [c.alias(p) for c, p in zip([*turn, *la.fields("o", 3)], POSE)]
+    return fold_down(links_of(joints, keys, *own), keys, POSE, _chained).withColumnRenamed("node", "link")
 
 
 def world_axes(joints: DataFrame, poses: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -143,56 +122,23 @@ def joint_value(kind: Column, lower: Column, upper: Column, frame: Column, n_fra
     return F.sin(t * F.pi()) * joint_target(kind, lower, upper)
 
 
-def joint_paths(joints: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys…, link, path): the joints from the root down to each link, as one array per link."""
-    axis = [c.alias(f"ax{i}") for i, c in enumerate(la.normalise(la.fields("ax", 3)))]
-    step_fields = F.struct("type", "lower", "upper", *[f"o{i}" for i in range(3)], *axis)
-    local = durable(joints.select(*keys, "parent", "child", step_fields.alias("_joint")))
-    top = roots(joints.select(*keys, "parent", "child"), keys).withColumnRenamed("link", "parent")
-    start = local.join(top, [*keys, "parent"], "left_semi").select(
-        *keys, F.col("child").alias("link"), F.array("_joint").alias("path"))
-    child = local.select(*keys, F.col("parent").alias("link"), F.col("child").alias("_child"), "_joint")
-
-    def step(rows: DataFrame) -> DataFrame:
-        return rows.join(child, [*keys, "link"]).select(
-            *keys, F.col("_child").alias("link"), F.array_append("path", F.col("_joint")).alias("path"))
-
-    return levels(start, step)
-
-
 def forward_kinematics(joints: DataFrame, keys: Sequence[str], n_frames: int, value=joint_value) -> DataFrame:
     """World translation t0..t2 and rotation r0..r8 of every link at the frames 1..n.
 
-    The walk over the tree is done once per link; frames multiply the finished
-    paths and fold them in order. ``value(kind, lower, upper, frame, n)`` may be
-    any Column-valued function.
+    Each joint's own motion at each frame is one row; rows of a frame are folded
+    along the tree in rounds of doubled distance. ``value(kind, lower, upper,
+    frame, n)`` may be any Column-valued function.
     """
-    pose = [f"r{i}" for i in range(9)] + [f"t{i}" for i in range(3)]
-    framed = joint_paths(joints, keys).withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(n_frames))))
-
-    def motion(j: Column) -> Column:
-        q = value(j["type"], j["lower"], j["upper"], F.col("frame"), n_frames)
-        turns = j["type"].isin("revolute", "continuous")
-        return F.struct(j.alias("j"), F.when(turns, q).otherwise(0.0).alias("turn"),
-                        F.when(j["type"] == "prismatic", q).otherwise(0.0).alias("slide"))
-
-    def trig(m: Column) -> Column:
-        return F.struct(m.alias("m"), F.cos(m["turn"]).alias("c"), F.sin(m["turn"]).alias("s"))
-
-    def local(k: Column) -> Column:
-        j, axis = k["m"]["j"], la.fields("ax", 3, k["m"]["j"])
-        shift = la.add(la.fields("o", 3, j), la.scale(axis, k["m"]["slide"]))
-        return F.struct(*[c.alias(p) for c, p in zip([*la.turn_matrix(axis, k["c"], k["s"]), *shift], pose)])
-
-    def fold(acc: Column, own: Column) -> Column:
-        m, v = la.rigid_mul((la.fields("r", 9, acc), la.fields("t", 3, acc)), (la.fields("r", 9, own), la.fields("t", 3, own)))
-        return F.struct(*[c.alias(p) for c, p in zip([*m, *v], pose)])
-
-    # Lambdas are interpreted, so every shared value is computed once by its own transform.
-    steps = F.transform(F.transform(F.transform("path", motion), trig), local)
-    start = F.struct(*[c.alias(p) for c, p in zip(la.lits([*la.IDENTITY, 0, 0, 0]), pose)])
-    out = framed.withColumn("_pose", F.aggregate(steps, start, fold))
-    return out.select(*keys, "link", F.col("frame").cast("bigint").alias("frame"), "_pose.*")
+    axis = [c.alias(f"ax{i}") for i, c in enumerate(la.normalise(la.fields("ax", 3)))]
+    links = durable(links_of(joints, keys, "type", "lower", "upper", *[f"o{i}" for i in range(3)], *axis))
+    framed = links.withColumn("frame", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_frames).cast("bigint"))))
+    q = value(F.col("type"), F.col("lower"), F.col("upper"), F.col("frame"), n_frames)
+    turns = F.col("type").isin("revolute", "continuous")
+    moved = framed.withColumns({"turn": F.when(turns, q).otherwise(0.0), "slide": F.when(F.col("type") == "prismatic", q).otherwise(0.0)})
+    shift = la.add(la.fields("o", 3), la.scale(la.fields("ax", 3), F.col("slide")))
+    own = [*la.turn_matrix(la.fields("ax", 3), F.cos("turn"), F.sin("turn")), *shift]
+    rows = moved.select(*keys, "frame", "node", "up", *[c.alias(p) for c, p in zip(own, POSE)])
+    return fold_down(rows, [*keys, "frame"], POSE, _chained).withColumnRenamed("node", "link")
 
 
 def frozen_links(edges: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -203,15 +149,6 @@ def frozen_links(edges: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> Da
 
 
 def breadth_first_numbers(edges: DataFrame, keys: Sequence[str], sibling: str) -> DataFrame:
-    """(keys…, link, depth, number): links numbered 0.. by depth, then by position path."""
-    top = roots(edges, keys).withColumnRenamed("link", "parent")
-    start = edges.join(top, [*keys, "parent"], "left_semi").select(
-        *keys, F.col("child").alias("link"), F.lit(1).cast("bigint").alias("depth"), F.array(sibling).alias("_path"))
-    child = edges.select(*keys, F.col("parent").alias("link"), F.col("child").alias("_child"), F.col(sibling).alias("_s"))
-
-    def step(rows: DataFrame) -> DataFrame:
-        return rows.join(child, [*keys, "link"]).select(
-            *keys, F.col("_child").alias("link"), (F.col("depth") + 1).alias("depth"),
-            F.array_append("_path", F.col("_s")).alias("_path"))
-
-    return ranked(levels(start, step), keys, ["depth", "_path"], "_rn").withColumn("number", F.col("_rn") - 1).drop("_path", "_rn")
+    """(keys…, link, depth, number): links numbered 0.. by depth, then by the siblings on the way down."""
+    placed = path_order(links_of(edges, keys, sibling), keys, sibling).withColumnRenamed("node", "link")
+    return ranked(placed, keys, ["depth", "name", "link"], "_rn").select(*keys, "link", "depth", (F.col("_rn") - 1).alias("number"))

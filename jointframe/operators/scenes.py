@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from jointframe.functions import linalg as la
 from jointframe.functions import scalar as sc
 from jointframe.operators.geometry import AXES
+from jointframe.operators.nearest import box_pairs, closest
 from jointframe.plans.ordered import neighbours, ranked
-from jointframe.session import durable
 
 SCENE = ["scene"]
 OBJ = ["scene", "obj"]
@@ -181,52 +182,10 @@ def bernoulli_surprise(count: Column, p: float) -> Column:
 
 # -- boxes --------------------------------------------------------------------------------
 
-def _gap(a: str, b: str) -> Column:
-    """Distance of two boxes; 0 when they touch."""
-    total = None
-    for x in AXES:
-        g = F.greatest(F.col(f"{b}lo_{x}") - F.col(f"{a}hi_{x}"), F.col(f"{a}lo_{x}") - F.col(f"{b}hi_{x}"), F.lit(0.0))
-        total = g * g if total is None else total + g * g
-    return F.sqrt(total)
-
-
-def box_pairs(left: DataFrame, right: DataFrame, reach: DataFrame | None = None, keys: Sequence[str] = SCENE) -> DataFrame:
-    """Pairs (keys…, a, b, gap, a_/b_ box ends) of different boxes not farther apart than ``reach`` per axis.
-
-    Boxes are (keys…, obj, lo_x..hi_z); ``reach`` is (keys…, reach), 0 if not
-    given. Boxes meet in the floor cells they cover. The cell is as wide as the
-    largest box of its group, so a box covers few cells, and a pair is kept in
-    one cell only: the one of the low corner of its overlap.
-    """
-    keys = list(keys)
-    widest = F.max(F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"), F.lit(1e-6))).alias("_w")
-    size = left.select(*keys, "lo_x", "hi_x", "lo_y", "hi_y").unionByName(right.select(*keys, "lo_x", "hi_x", "lo_y", "hi_y")).groupBy(*keys).agg(widest)
-    size = size.join(reach, keys) if reach is not None else size.withColumn("reach", F.lit(0.0))
-    size = size.withColumn("_w", F.greatest("_w", "reach"))
-    ends = [f"{p}_{x}" for p in ("lo", "hi") for x in AXES]
-
-    def cells(df: DataFrame, tag: str, grow: bool) -> DataFrame:
-        wide = df.select(*keys, "obj", *ends).join(size, keys)
-        extra = F.col("reach") if grow else F.lit(0.0)
-        def span(x: str) -> Column:
-            return F.sequence(F.floor((F.col(f"lo_{x}") - extra) / F.col("_w")), F.floor((F.col(f"hi_{x}") + extra) / F.col("_w")))
-        wide = wide.withColumn("_i", F.explode(span("x"))).withColumn("_j", F.explode(span("y")))
-        keep = ["reach", "_w"] if grow else []
-        return wide.select(*keys, "_i", "_j", *keep, F.col("obj").alias(tag), *[F.col(e).alias(f"{tag}_{e}") for e in ends])
-
-    rows = cells(left, "a", True).join(cells(right, "b", False), [*keys, "_i", "_j"]).where("a <> b")
-    def corner(x: str) -> Column:
-        return F.floor(F.greatest(F.col(f"a_lo_{x}") - F.col("reach"), F.col(f"b_lo_{x}")) / F.col("_w"))
-    close = (F.col("_i") == corner("x")) & (F.col("_j") == corner("y"))
-    for x in AXES:
-        close = close & (F.col(f"a_lo_{x}") - F.col("reach") <= F.col(f"b_hi_{x}")) & (F.col(f"b_lo_{x}") <= F.col(f"a_hi_{x}") + F.col("reach"))
-    return rows.where(close).select(*keys, "a", "b", _gap("a_", "b_").alias("gap"), *[f"{t}_{e}" for t in "ab" for e in ends])
-
-
 def touching(left: DataFrame, right: DataFrame) -> DataFrame:
     """Touching pairs with the depth of their overlap."""
     depth = F.least(*[F.least(F.col(f"a_hi_{x}"), F.col(f"b_hi_{x}")) - F.greatest(F.col(f"a_lo_{x}"), F.col(f"b_lo_{x}")) for x in AXES])
-    return box_pairs(left, right).withColumn("depth", depth)
+    return box_pairs(left, right, SCENE, AXES).withColumn("depth", depth)
 
 
 def contained(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -235,34 +194,22 @@ def contained(left: DataFrame, right: DataFrame) -> DataFrame:
     for x in AXES:
         c = (F.col(f"a_lo_{x}") <= F.col(f"b_lo_{x}")) & (F.col(f"b_hi_{x}") <= F.col(f"a_hi_{x}"))
         inside = c if inside is None else inside & c
-    return box_pairs(left, right).where(inside)
+    return box_pairs(left, right, SCENE, AXES).where(inside)
 
 
-def min_distances(left: DataFrame, right: DataFrame, scenes: DataFrame) -> DataFrame:
-    """(scene, dist): least box distance between two sets, 0 if either is empty.
+def _side(df: DataFrame, tag: str, ends: dict[str, str], more: Sequence[str] = ()) -> DataFrame:
+    """(scene, a or b, alo_…, ahi_…): the rows as items of a search; ``ends`` maps lo_/hi_ names to columns."""
+    return df.select("scene", F.col("obj").alias(tag), *[F.col(c).alias(f"{tag}{e}") for e, c in ends.items()], *more)
+
+
+BOX_ENDS = {f"{p}_{x}": f"{p}_{x}" for p in ("lo", "hi") for x in AXES}
 
-    The reach starts at the widest box and doubles for scenes that found no
-    pair yet, so crowded scenes are settled by their close pairs alone.
-    """
-    both = left.select("scene").distinct().join(right.select("scene").distinct(), "scene", "left_semi")
-    ends = [F.min("lo_x"), F.max("hi_x"), F.min("lo_y"), F.max("hi_y"), F.min("lo_z"), F.max("hi_z")]
-    every = left.select("scene", *[f"{p}_{x}" for p in ("lo", "hi") for x in AXES]).unionByName(
-        right.select("scene", *[f"{p}_{x}" for p in ("lo", "hi") for x in AXES]))
-    stats = every.groupBy("scene").agg(
-        F.max(F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"), F.lit(1e-6))).alias("reach"),
-        (F.greatest(ends[1] - ends[0], ends[3] - ends[2], ends[5] - ends[4])).alias("_far"))
-    open_ = durable(both.join(stats, "scene"))
-    found = None
-    while not open_.isEmpty():
-        pairs = box_pairs(left, right, open_.select("scene", "reach"))
-        hit = durable(pairs.groupBy("scene").agg(F.min("gap").alias("dist")).join(open_, "scene").where(
-            (F.col("dist") <= F.col("reach")) | (F.col("reach") >= F.col("_far"))).select("scene", "dist"))
-        found = hit if found is None else found.unionByName(hit)
-        open_ = durable(open_.join(hit, "scene", "left_anti").where(F.col("reach") < F.col("_far")).withColumn("reach", F.col("reach") * 2))
-    base = scenes.select("scene")
-    if found is None:
-        return base.withColumn("dist", F.lit(0.0))
-    return base.join(found, "scene", "left").withColumn("dist", F.coalesce("dist", F.lit(0.0)))
+
+def min_distances(left: DataFrame, right: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(scene, dist): least distance of two different boxes of two sets, 0 if there are none."""
+    gap = F.sqrt(reduce(lambda p, q: p + q, [F.pow(F.greatest(F.col(f"blo_{x}") - F.col(f"ahi_{x}"), F.col(f"alo_{x}") - F.col(f"bhi_{x}"), F.lit(0.0)), 2) for x in AXES]))
+    found = closest(_side(left, "a", BOX_ENDS), _side(right, "b", BOX_ENDS), SCENE, AXES, gap, ["a", "b"], each=False, distinct=True)
+    return scenes.select("scene").join(found.select("scene", "dist"), "scene", "left").withColumn("dist", F.coalesce("dist", F.lit(0.0)))
 
 
 def soft_contact(touch: DataFrame, dist: DataFrame) -> DataFrame:
@@ -272,44 +219,10 @@ def soft_contact(touch: DataFrame, dist: DataFrame) -> DataFrame:
 
 
 def nearest_between(left: DataFrame, right: DataFrame, dims: Sequence[str] = ("x", "y"), same: bool = False) -> DataFrame:
-    """(scene, a, b, dist): the nearest right point per left point; ties take the smaller id.
-
-    A search in grid cells of the mean spacing settles points whose nearest
-    partner is closer than a cell; the rest retries with doubled cells. A point
-    still open has no partner within the last cell, so a round only compares
-    points with what lies about one cell away. With ``same`` both sides are one
-    set and a point does not meet itself.
-    """
-    dims = list(dims)
-    x, y = dims[:2]
-    far = left.select("scene", x, y).unionByName(right.select("scene", x, y)).groupBy("scene").agg(
-        F.count("*").alias("_n"), F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y), F.lit(1e-9)).alias("_far"))
-    enough = right.groupBy("scene").agg(F.count("*").alias("_r")).where(F.col("_r") > (1 if same else 0)).select("scene")
-    far = far.join(enough, "scene").withColumn("_w", F.col("_far") / F.sqrt("_n")).drop("_n")
-    open_ = durable(left.select("scene", F.col("obj").alias("a"), *[F.col(d).alias(f"a{d}") for d in dims]).join(far, "scene"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    gap = None
-    for d in dims:
-        g = F.pow(F.col(f"a{d}") - F.col(f"b{d}"), 2)
-        gap = g if gap is None else gap + g
-    found = None
-    while not open_.isEmpty():
-        width = open_.groupBy("scene").agg(F.max("_w").alias("_w"))
-        cand = right.select("scene", F.col("obj").alias("b"), *[F.col(d).alias(f"b{d}") for d in dims]).join(width, "scene")
-        def cell(tag: str, d: str) -> Column:
-            return F.floor(F.col(f"{tag}{d}") / F.col("_w"))
-        cand = cand.withColumn("_o", F.explode(around)).select(
-            "scene", "b", *[f"b{d}" for d in dims], (cell("b", x) + F.col("_o.i")).alias("_i"), (cell("b", y) + F.col("_o.j")).alias("_j"))
-        met = open_.withColumns({"_i": cell("a", x), "_j": cell("a", y)}).join(cand, ["scene", "_i", "_j"])
-        met = met.where("a <> b") if same else met
-        best = met.withColumn("dist", F.sqrt(gap)).groupBy("scene", "a", "_w", "_far").agg(
-            F.min_by(F.struct("b", "dist"), F.struct("dist", "b")).alias("m"))
-        # The 3 x 3 block reaches at least one cell width around the point.
-        hit = durable(best.where((F.col("m.dist") <= F.col("_w")) | (F.col("_w") > F.col("_far"))).select("scene", "a", "m.*"))
-        found = hit if found is None else found.unionByName(hit)
-        open_ = durable(open_.join(hit.select("scene", "a"), ["scene", "a"], "left_anti").where(
-            F.col("_w") <= F.col("_far")).withColumn("_w", F.col("_w") * 2))
-    return found
+    """(scene, a, b, dist): the nearest right point per left point; ties take the smaller id. With ``same`` a point does not meet itself."""
+    ends = {f"{p}_{d}": d for p in ("lo", "hi") for d in dims}
+    gap = F.sqrt(reduce(lambda p, q: p + q, [F.pow(F.col(f"alo_{d}") - F.col(f"blo_{d}"), 2) for d in dims]))
+    return closest(_side(left, "a", ends), _side(right, "b", ends), SCENE, dims, gap, ["b"], distinct=same).select("scene", "a", "b", "dist")
 
 
 def box_of(objects: DataFrame) -> DataFrame:
@@ -437,13 +350,14 @@ def edge_distance(px: Column, py: Column, e: Mapping[str, Column]) -> Column:
 
 
 def angle_alignment(objects: DataFrame, edges: DataFrame) -> DataFrame:
-    """(scene, score): per object the better of both normals of its nearest edge, −dot/2 + ½, summed. Edges are (scene, room, edge, x0..y1), the first by room and edge among equally near ones; a scene without edges scores 0."""
-    both = objects.join(edges, "scene")
+    """(scene, score): per object the better of both normals of its nearest edge, −dot/2 + ½, summed. Edges are (scene, room, edge, x0..y1), the first by room and edge among equally near ones; an edge without length faces nowhere and gives ½, a scene without edges scores 0."""
     e = {c: F.col(c) for c in ("x0", "y0", "x1", "y1")}
-    d = F.round(edge_distance(F.col("x"), F.col("y"), e), 9)
-    near = both.groupBy("scene", "obj", "yaw").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), F.struct(d, F.col("room"), F.col("edge"))).alias("e"))
-    dx, dy = F.col("e.x1") - F.col("e.x0"), F.col("e.y1") - F.col("e.y0")
-    dot = (F.cos("yaw") * dy - F.sin("yaw") * dx) / F.sqrt(dx * dx + dy * dy)
+    points = _side(objects, "a", {f"{p}_{d}": d for p in ("lo", "hi") for d in "xy"}, ["yaw"])
+    walls = edges.select("scene", F.struct("room", "edge").alias("b"), *[f(f"{d}0", f"{d}1").alias(f"b{p}_{d}") for p, f in (("lo", F.least), ("hi", F.greatest)) for d in "xy"], "room", "edge", *e)
+    gap = F.round(edge_distance(F.col("alo_x"), F.col("alo_y"), e), 9)
+    near = closest(points, walls, SCENE, ("x", "y"), gap, ["room", "edge"])
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    dot = F.coalesce(F.try_divide(F.cos("yaw") * dy - F.sin("yaw") * dx, F.sqrt(dx * dx + dy * dy)), F.lit(0.0))
     scored = near.groupBy("scene").agg(F.sum(0.5 - F.abs(dot) / 2).alias("score"))
     return objects.select("scene").distinct().join(scored, "scene", "left").select("scene", F.coalesce("score", F.lit(0.0)).alias("score"))
 

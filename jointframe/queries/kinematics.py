@@ -163,20 +163,18 @@ def world_joint_axes(t: Tables) -> DataFrame:
     return out.select("obj", "joint", *[(F.round(f"{p}{i}", 5) + 0.0).alias(f"{p}{i}") for p in ("wo", "wd") for i in range(3)])
 
 
-FRAMES = 5
 #: Frames of the reference clip.
-CLIP_FRAMES = 120
+FRAMES = 120
 _LOCAL_R = sx.axis_angle(["ax0", "ax1", "ax2"], "turn")
 
 
-def _poses_sql(frames: int) -> str:
-    q = f"sin((frame - 1) / {float(frames - 1)} * pi()) * target"
-    return f"""
-WITH RECURSIVE f AS (SELECT CAST(unnest(range(1, {frames + 1})) AS BIGINT) AS frame),
+_Q = f"sin((frame - 1) / {float(FRAMES - 1)} * pi()) * target"
+_POSES_SQL = f"""
+WITH RECURSIVE f AS (SELECT CAST(unnest(range(1, {FRAMES + 1})) AS BIGINT) AS frame),
 a AS (SELECT *, CASE WHEN type = 'fixed' THEN 0.0 WHEN type = 'continuous' AND abs(upper - lower) <= 1e-6 THEN 1.0
         WHEN abs(upper) >= abs(lower) THEN upper ELSE lower END AS target FROM {ad.joints.sql}, f),
-q AS (SELECT *, CASE WHEN type IN ('revolute', 'continuous') THEN {q} ELSE 0.0 END AS turn,
-        CASE WHEN type = 'prismatic' THEN {q} ELSE 0.0 END AS slide FROM a),
+q AS (SELECT *, CASE WHEN type IN ('revolute', 'continuous') THEN {_Q} ELSE 0.0 END AS turn,
+        CASE WHEN type = 'prismatic' THEN {_Q} ELSE 0.0 END AS slide FROM a),
 l AS (SELECT obj, frame, parent, child, {sx.named(_LOCAL_R, _R)},
         o0 + ax0 * slide AS t0, o1 + ax1 * slide AS t1, o2 + ax2 * slide AS t2 FROM q),
 w(obj, frame, link, {", ".join(_R + _T)}) AS (
@@ -188,20 +186,11 @@ w(obj, frame, link, {", ".join(_R + _T)}) AS (
 SELECT obj, link, frame, {", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _R + _T)} FROM w"""
 
 
-def _poses(t: Tables, frames: int) -> DataFrame:
-    out = kin.forward_kinematics(ad.joints(t), KEYS, frames)
-    return out.select("obj", "link", "frame", *[(F.round(c, 5) + 0.0).alias(c) for c in _R + _T])
-
-
-@query("J06 X04 X06 F04", _poses_sql(FRAMES))
+@query("J06 X04 X06 F04", _POSES_SQL)
 def forward_kinematics(t: Tables) -> DataFrame:
-    return _poses(t, FRAMES)
-
-
-@query("J06 X04 X06 F04", _poses_sql(CLIP_FRAMES))
-def forward_kinematics_clip(t: Tables) -> DataFrame:
     """Every frame of the clip."""
-    return _poses(t, CLIP_FRAMES)
+    out = kin.forward_kinematics(ad.joints(t), KEYS, FRAMES)
+    return out.select("obj", "link", "frame", *[(F.round(c, 5) + 0.0).alias(c) for c in _R + _T])
 
 
 @query("W17", f"""

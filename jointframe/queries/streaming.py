@@ -40,6 +40,10 @@ def polled(t: Tables, step) -> None:
         step(st.file_stream(t.spark, source, events.schema))
 
 
+def micros(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
 @query("T01", f"""
 SELECT scene, task, {STATE.format(e="max_by(event, (ts, event_id))")} AS state, epoch_us(max(ts)) AS us FROM {EV} GROUP BY scene, task""")
 def latest_state(t: Tables) -> DataFrame:

@@ -1,11 +1,15 @@
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from jointframe.operators import geometry as geo
 from jointframe.operators import kinematics as kin
 from jointframe.operators import mutate as mu
 from jointframe.operators import splits as sp
+from jointframe.plans import recursion
+from jointframe.session import durable
 
 COLS = "obj bigint, joint string, type string, parent string, child string, lower double, upper double, " + ", ".join(
     f"{c}{i} double" for c in ("ax", "o", "rpy") for i in range(3))
@@ -40,9 +44,43 @@ def test_cycle_ends(spark):
     assert kin.ancestor_pairs(edges, []).count() == 6
 
 
-def test_deep_chain(spark):
-    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)], "parent string, child string")
-    assert kin.link_depth(edges, []).agg(F.max("depth")).first()[0] == 30
+def test_tail_into_a_cycle(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "t"), ("t", "u"), ("r", "s")], "parent string, child string")
+    got = {(r.node, r.ancestor): r.dist for r in kin.ancestor_pairs(edges, []).collect()}
+    cycle = {(x, y): d for x, y, d in (("b", "a", 1), ("b", "c", 2), ("c", "b", 1), ("c", "a", 2), ("a", "c", 1), ("a", "b", 2))}
+    assert got == {**cycle, ("t", "c"): 1, ("t", "b"): 2, ("t", "a"): 3, ("u", "t"): 1, ("u", "c"): 2, ("u", "b"): 3, ("u", "a"): 4, ("s", "r"): 1}
+    assert [tuple(r) for r in kin.link_depth(edges, []).collect()] == [("s", 1)]
+
+
+def test_deep_chain_takes_few_joins(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(recursion, "durable", lambda df: written.append(1) or durable(df))
+    n = 1000
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(n)], "parent string, child string")
+    assert {r.node: r.depth for r in kin.link_depth(edges, []).collect()} == {f"n{i}": i for i in range(1, n + 1)}
+    assert len(written) <= 12
+    joints = spark.createDataFrame([joint(f"j{i}", "fixed", f"n{i}", f"n{i + 1}", origin=(1, 0, 0)) for i in range(n)], COLS)
+    poses = {r.link: r.t0 for r in kin.world_transforms(joints, ["obj"]).collect()}
+    assert poses == {f"n{i}": float(i) for i in range(1, n + 1)} and len(written) <= 24
+    assert kin.ancestor_pairs(edges.limit(200), []).count() == 200 * 201 // 2
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 10**6), st.integers(0, 10**6)), min_size=1, max_size=60))
+def test_breadth_first_numbers_match_a_queue(spark, picks):
+    parent = {i + 1: (a % (i + 1)) for i, (a, _) in enumerate(picks)}
+    sibling = {i + 1: b * 100 + i for i, (_, b) in enumerate(picks)}
+    below = {}
+    for c, p in parent.items():
+        below.setdefault(p, []).append(c)
+    queue, order = [(0, 0)], []
+    while queue:
+        node, depth = queue.pop(0)
+        order += [(node, depth)] if node else []
+        queue += [(c, depth + 1) for c in sorted(below.get(node, []), key=sibling.get)]
+    edges = spark.createDataFrame([(1, f"n{p}", f"n{c}", sibling[c]) for c, p in parent.items()], "obj bigint, parent string, child string, label bigint")
+    got = {r.link: (r.depth, r.number) for r in kin.breadth_first_numbers(edges, ["obj"], "label").collect()}
+    assert got == {f"n{c}": (d, i) for i, (c, d) in enumerate(order)}
 
 
 def test_world_rotation_is_orthonormal(spark):

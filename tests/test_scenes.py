@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jointframe.functions import scalar as sc
+from jointframe.operators import nearest as near
 from jointframe.operators import scenes as sn
 
 
@@ -46,27 +47,108 @@ def test_min_distance(spark):
     assert got == {1: 1.0, 2: 0.0, 3: 499.0}
 
 
-def test_box_pairs_brute_force(spark):
+def brute_touching(rows):
+    return {(a[1], b[1]) for a in rows for b in rows if a[1] != b[1] and all(abs(a[2 + i] - b[2 + i]) <= (a[5 + i] + b[5 + i]) / 2 for i in range(3))}
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.0])
+def test_box_pairs_brute_force(spark, spread):
     rng = np.random.default_rng(2)
-    rows = [(1, i, *map(float, rng.random(3) * 20), *map(float, rng.random(3) * 4 + 0.1), 0.0) for i in range(80)]
+    sizes = lambda: [float(x) * (1 + spread * float(2.0 ** rng.integers(-8, 3))) for x in rng.random(3) * 4 + 0.1]
+    rows = [(1, i, *map(float, rng.random(3) * 20 - 10), *sizes(), 0.0) for i in range(80)] + [(1, 80, 0.0, 0.0, 0.0, 4000.0, 3.0, 5.0, 0.0), (1, 81, 5.0, 5.0, 0.0, 0.0, 0.0, 0.0, 0.0), (1, 82, 5.0, 5.0, 0.0, 0.0, 0.0, 0.0, 0.0)]
     df = sn.box_of(objects(spark, rows))
-    want = set()
-    for a in rows:
-        for b in rows:
-            if a[1] != b[1] and all(abs(a[2 + i] - b[2 + i]) <= (a[5 + i] + b[5 + i]) / 2 for i in range(3)):
-                want.add((a[1], b[1]))
     got = [(r.a, r.b) for r in sn.touching(df, df).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    assert len(got) == len(set(got)) and set(got) == brute_touching(rows)
+
+
+def near_rows(df):
+    """Output rows of the joins of an executed frame."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+            continue
+        if "Join" in node.nodeName():
+            out.append(node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
+def test_giant_box_compares_a_linear_number_of_pairs(spark):
+    """Small boxes apart from each other below one that covers all: the joins give a few rows a box."""
+    rows = [(1, i, float(i % 60) * 3, float(i // 60) * 3, 0.0, 1.0, 1.0, 1.0, 0.0) for i in range(1200)] + [(1, 9999, 90.0, 30.0, 0.0, 500.0, 500.0, 9.0, 0.0)]
+    df = sn.box_of(objects(spark, rows))
+    met = near.box_pairs(df, df, sn.SCENE, sn.AXES)
+    assert met.count() == 2 * 1200
+    # Nobody meets more than a cell's worth of others and the giant: the plan's joins make a few rows a box.
+    met.collect()
+    made = near_rows(met)
+    assert made and max(made) <= 8 * 1200
+
 
+def nearest_brute(d, left, right):
+    return {i: (right[int(j)], pytest.approx(d[k, j])) for k, (i, j) in enumerate(zip(left, d.argmin(axis=1), strict=True))}
 
-def test_nearest_brute_force(spark):
+
+@pytest.fixture(params=[near.PAIRS, 4, 64])
+def leaf(request, monkeypatch):
+    monkeypatch.setattr(near, "PAIRS", request.param)
+
+
+def test_nearest_brute_force(spark, leaf):
     rng = np.random.default_rng(4)
-    pts = np.concatenate([rng.random((60, 2)), rng.random((40, 2)) * 0.001 + 7, [[900.0, 900.0]]])
+    pts = np.concatenate([rng.random((60, 2)), rng.random((40, 2)) * 0.001 + 7, [[9e6, 9e6]], [[3.0, 3.0]] * 5])
     df = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(pts)], "scene int, obj int, x double, y double")
     d = np.linalg.norm(pts[:, None] - pts[None], axis=2)
     np.fill_diagonal(d, np.inf)
-    got = {r.a: r.b for r in sn.nearest_between(df, df, same=True).collect()}
-    assert got == {i: int(j) for i, j in enumerate(d.argmin(axis=1))}
+    got = {r.a: (r.b, r.dist) for r in sn.nearest_between(df, df, same=True).collect()}
+    assert got == nearest_brute(d, range(len(pts)), list(range(len(pts))))
+
+
+def test_two_far_sets(spark, leaf):
+    rng = np.random.default_rng(6)
+    a, b = rng.random((50, 3)), rng.random((70, 3)) * 2 + 1e5
+    frames = [spark.createDataFrame([(s, i, *map(float, p)) for s in (1, 2) for i, p in enumerate(x)], "scene int, obj int, x double, y double, z double") for x in (a, b)]
+    d = np.linalg.norm(a[:, None] - b[None], axis=2)
+    got = sn.nearest_between(*frames, dims=("x", "y", "z")).collect()
+    assert {r.a: (r.b, r.dist) for r in got if r.scene == 2} == nearest_brute(d, range(50), list(range(70))) and len(got) == 100
+    boxes = [sn.box_of(f.selectExpr("*", "0.5D AS w", "0.25D AS d", "1D AS h")) for f in frames]
+    gaps = np.maximum(np.abs(a[:, None] - b[None]) - np.array([0.5, 0.25, 1.0]), 0)
+    want = np.sqrt((gaps**2).sum(axis=2)).min()
+    scenes = spark.createDataFrame([(1,), (2,), (3,)], "scene int")
+    assert {r.scene: r.dist for r in sn.min_distances(*boxes, scenes).collect()} == {1: pytest.approx(want), 2: pytest.approx(want), 3: 0.0}
+
+
+def test_far_sets_are_narrowed_before_items_meet(spark, monkeypatch):
+    monkeypatch.setattr(near, "PAIRS", 256)
+    rng = np.random.default_rng(8)
+    left, right = [spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(rng.random((600, 2)) + shift)], "scene int, obj int, x double, y double") for shift in (0, 50)]
+    items = [sn._side(df, t, {f"{p}_{d}": d for p in ("lo", "hi") for d in "xy"}) for df, t in ((left, "a"), (right, "b"))]
+    large = spark.createDataFrame([(1, 600, 600)], "scene int, _na bigint, _nb bigint")
+    compared = sum(df.count() for df in near._descend(*items, large, ["scene"], ["x", "y"], False, False))
+    assert 0 < compared < 600 * 600 / 20
+
+
+def test_walls_without_length_and_far_scenes(spark, leaf):
+    rng = np.random.default_rng(10)
+    obs = [(1, i, float(x), float(y), float(a)) for i, (x, y, a) in enumerate(rng.random((30, 3)) * 6)] + [(2, 0, 0.0, 0.0, 0.0), (3, 0, 1.0, 1.0, 0.0)]
+    walls = [(1, r, e, *map(float, rng.random(4) * 6)) for r in range(5) for e in range(4)] + [(2, 0, 0, 1.0, 1.0, 1.0, 1.0)]
+    got = {r.scene: r.score for r in sn.angle_alignment(spark.createDataFrame(obs, "scene int, obj int, x double, y double, yaw double"), spark.createDataFrame(walls, "scene int, room int, edge int, x0 double, y0 double, x1 double, y1 double")).collect()}
+    want = 0.0
+    for _, _, x, y, yaw in obs[:30]:
+        best = None
+        for _, room, edge, x0, y0, x1, y1 in walls[:-1]:
+            dx, dy = x1 - x0, y1 - y0
+            s = min(max(((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy), 0), 1)
+            k = (round(math.hypot(x - x0 - s * dx, y - y0 - s * dy), 9), room, edge, dx, dy)
+            best = k if best is None or k < best else best
+        want += 0.5 - abs((math.cos(yaw) * best[4] - math.sin(yaw) * best[3]) / math.hypot(best[3], best[4])) / 2
+    assert got == {1: pytest.approx(want), 2: 0.5, 3: 0.0}
 
 
 def test_circle_of_six(spark):
