@@ -146,29 +146,82 @@ def _prefixes(names: DataFrame, col: str, use: DataFrame, need: float) -> DataFr
     return firsts.join(names, col)
 
 
-def fuzzy_matches(a: DataFrame, b: DataFrame, cutoff: float, measure: str = "lcs") -> DataFrame:
-    """(name_a, name_b, score): the best name of b per name of a with a score ≥ cutoff (percent); ties take the first name.
-
-    ``lcs`` is 100·2·LCS/(la+lb), ``levenshtein`` 100·(1 − distance/longer).
-    Distinct names meet only through their rarest tokens, which loses no pair
-    that can reach the cutoff; candidates with enough common characters are
-    then scored exactly.
-    """
-    c = cutoff / 100.0
+def _by_characters(a: DataFrame, b: DataFrame, c: float, measure: str) -> DataFrame:
+    """Candidate pairs for low cutoffs, at which no longer piece of a name need be shared: by the rarest characters."""
     need = c / (2.0 - c) if measure == "lcs" else c
-    left, right = [durable(df.select(c).distinct().withColumn("toks", _tokens(F.col(c)))) for df, c in ((a, "name_a"), (b, "name_b"))]
+    left, right = [durable(df.withColumn("toks", _tokens(F.col(df.columns[0])))) for df in (a, b)]
     use = left.select(F.explode("toks").alias("tok")).union(right.select(F.explode("toks"))).groupBy("tok").agg(F.count("*").alias("uses"))
     la, lb = F.length("name_a"), F.length("name_b")
     lp = _prefixes(left, "name_a", use, need).withColumnRenamed("toks", "ta")
     rp = _prefixes(right, "name_b", use, need).withColumnRenamed("toks", "tb")
     shared = F.size(F.array_intersect("ta", "tb"))
     enough = 2 * shared >= c * (la + lb) - 1e-9 if measure == "lcs" else shared >= c * F.greatest(la, lb) - 1e-9
-    pairs = lp.join(rp, "tok").where(F.least(la, lb) >= need * F.greatest(la, lb) - 1e-9).where(enough).select(
-        "name_a", "name_b").distinct()
+    return lp.join(rp, "tok").where(F.least(la, lb) >= need * F.greatest(la, lb) - 1e-9).where(enough).select("name_a", "name_b").distinct()
+
+
+#: Letters of a segment, as far as a name has enough of them.
+SEGMENT = 3
+
+
+def _by_segments(a: DataFrame, b: DataFrame, c: float, measure: str) -> DataFrame:
+    """Candidate pairs by an index of segments.
+
+    A pair that reaches the cutoff is ``t`` edits apart at most, which follows
+    from its lengths. A name of b is cut into more than t segments; t edits
+    leave all but t of them whole, so of any t + 1, here the rarest ones, one
+    stands in the name of a, moved by what the edits before it add or take. A
+    name of a looks up its substrings at these few places. Frequent segments,
+    such as a brand that thousands of names share, are looked at only if a name
+    has no rarer ones.
+    """
+    need = c / (2.0 - c) if measure == "lcs" else c
+
+    def edits(la: Column, lb: Column) -> Column:
+        return F.floor((1 - c) * ((la + lb) if measure == "lcs" else F.greatest(la, lb)) + 1e-9).cast("int")
+
+    def partners(n: Column) -> Column:
+        """The lengths that a partner may have."""
+        return F.sequence(F.ceil(need * n - 1e-9).cast("int"), F.floor(n / need + 1e-9).cast("int"))
+
+    def cuts(df: DataFrame) -> DataFrame:
+        """One row a segment of names of length ``lb`` that bear ``t`` edits: its number, place from 0 and length."""
+        n = F.greatest(F.col("t") + 1, F.floor(F.col("lb") / SEGMENT).cast("int"))
+        df = df.withColumn("_n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        at = [F.floor((F.col("i") + k) * F.col("lb") / F.col("_n")).cast("int") for k in (0, 1)]
+        return df.withColumns({"at": at[0], "len": at[1] - at[0]}).drop("_n")
+
+    la, lb = F.length("name_a"), F.length("name_b")
+    shapes = b.where(lb > 0).select("name_b", lb.alias("lb"), F.explode(F.array_distinct(F.transform(partners(lb), lambda n: edits(n, lb)))).alias("t"))
+    key = ["lb", "t", "i", "piece"]
+    pieces = durable(cuts(shapes).select("name_b", "lb", "t", "i", F.substr("name_b", F.col("at") + 1, F.col("len")).alias("piece")))
+    ranked_ = pieces.join(pieces.groupBy(*key).agg(F.count("*").alias("uses")), key)
+    # A name has few segments, so this list is as short as the name.
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("uses", "i", "piece"))), F.lit(1), F.col("t") + 1)
+    index = ranked_.groupBy("name_b", "lb", "t").agg(rarest.alias("_r")).select("name_b", "lb", "t", F.explode("_r").alias("_s")).select("name_b", "lb", "t", "_s.i", "_s.piece")
+    probes = a.where(la > 0).select("name_a", la.alias("la"), F.explode(partners(la)).alias("lb")).withColumn("t", edits(F.col("la"), F.col("lb")))
+    more = F.col("la") - F.col("lb")
+    moves = F.sequence(F.ceil((more - F.col("t")) / 2).cast("int"), F.floor((more + F.col("t")) / 2).cast("int"))
+    probes = cuts(probes.where((F.col("lb") > 0) & (F.abs(more) <= F.col("t")))).withColumn("_move", F.explode(moves)).withColumn("at", F.col("at") + F.col("_move"))
+    probes = probes.where((F.col("at") >= 0) & (F.col("at") + F.col("len") <= F.col("la")))
+    probes = probes.select("name_a", "lb", "t", "i", F.substr("name_a", F.col("at") + 1, F.col("len")).alias("piece")).distinct()
+    return probes.join(index, key).select("name_a", "name_b").distinct()
+
+
+def fuzzy_matches(a: DataFrame, b: DataFrame, cutoff: float, measure: str = "lcs") -> DataFrame:
+    """(name_a, name_b, score): the best name of b per name of a with a score ≥ cutoff (percent); ties take the first name.
+
+    ``lcs`` is 100·2·LCS/(la+lb), ``levenshtein`` 100·(1 − distance/longer).
+    Distinct names meet through an index that loses no pair that can reach the
+    cutoff, of segments or, if the cutoff leaves no whole segment, of characters;
+    candidates are then scored exactly. Names without a letter match nothing.
+    """
+    c = cutoff / 100.0
+    a, b = [durable(df.select(n).distinct()) for df, n in ((a, "name_a"), (b, "name_b"))]
+    pairs = (_by_segments if c / (2.0 - c) > 0.5 else _by_characters)(a, b, c, measure)
     if measure == "lcs":
         score = st.lcs_ratio("name_a", "name_b")
     else:
-        score = 100.0 * (1.0 - F.levenshtein("name_a", "name_b") / F.greatest(la, lb))
+        score = 100.0 * (1.0 - F.levenshtein("name_a", "name_b") / F.greatest(F.length("name_a"), F.length("name_b")))
     best = pairs.withColumn("score", score).where(F.col("score") >= cutoff).groupBy("name_a").agg(
         F.min_by(F.struct("name_b", "score"), F.struct(-F.col("score"), "name_b")).alias("m"))
     return best.select("name_a", "m.name_b", "m.score")

@@ -166,17 +166,7 @@ def compare_runs(t: Tables) -> DataFrame:
 
 
 _NA = f"(SELECT DISTINCT concat(name, ' ', brand) AS name_a FROM {P})"
-_NB = f"(SELECT DISTINCT concat(substr(name, 2), 's ', brand) AS name_b FROM {P} WHERE factory IN ('SMALL', 'LARGE', 'PROMO'))"
-
-
-@query("J10", f"""
-WITH s AS (SELECT name_a, name_b, 100.0 * (1.0 - CAST(levenshtein(name_a, name_b) AS DOUBLE) / greatest(length(name_a), length(name_b))) AS score FROM {_NA}, {_NB})
-SELECT name_a, name_b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name_a ORDER BY score DESC, name_b) AS rn FROM s WHERE score >= 85) WHERE rn = 1""")
-def fuzzy_match(t: Tables) -> DataFrame:
-    p = ad.parts(t)
-    a = p.select(F.concat_ws(" ", "name", "brand").alias("name_a"))
-    b = p.where("factory IN ('SMALL', 'LARGE', 'PROMO')").select(F.concat(F.expr("substr(name, 2)"), F.lit("s "), F.col("brand")).alias("name_b"))
-    return runs.fuzzy_matches(a, b, 85.0, "levenshtein").withColumn("score", F.round("score", 6))
+_NB = f"(SELECT DISTINCT concat(substr(name, 2), 's ', brand) AS name_b FROM {P})"
 
 
 def _names(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -185,20 +175,24 @@ def _names(t: Tables) -> tuple[DataFrame, DataFrame]:
     return a, p.select(F.concat(F.expr("substr(name, 2)"), F.lit("s "), F.col("brand")).alias("name_b"))
 
 
-_NB_ALL = f"(SELECT DISTINCT concat(substr(name, 2), 's ', brand) AS name_b FROM {P})"
-
-
 @query("J10", f"""
-WITH s AS (SELECT name_a, name_b, 100.0 * (1.0 - CAST(levenshtein(name_a, name_b) AS DOUBLE) / greatest(length(name_a), length(name_b))) AS score FROM {_NA}, {_NB_ALL})
+WITH s AS (SELECT name_a, name_b, 100.0 * (1.0 - CAST(levenshtein(name_a, name_b) AS DOUBLE) / greatest(length(name_a), length(name_b))) AS score FROM {_NA}, {_NB})
 SELECT name_a, name_b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name_a ORDER BY score DESC, name_b) AS rn FROM s WHERE score >= 85) WHERE rn = 1""")
-def fuzzy_match_all(t: Tables) -> DataFrame:
-    """Partners of every type."""
+def fuzzy_match(t: Tables) -> DataFrame:
     return runs.fuzzy_matches(*_names(t), 85.0, "levenshtein").withColumn("score", F.round("score", 6))
 
 
-@query("J10 F05")
+# Longest common subsequence over the bits of a row: bit i is 0 where letter i of name_a ends a longer one.
+@query("J10 F05", f"""
+WITH a AS (SELECT name_a, length(name_a) AS la, (CAST(1 AS BIGINT) << length(name_a)) - 1 AS everything, string_split(name_a, '') AS letters FROM {_NA}),
+m AS (SELECT name_a, map_from_entries(list((letter, bits))) AS bits_of FROM (SELECT name_a, letters[i] AS letter, CAST(sum(CAST(1 AS BIGINT) << (i - 1)) AS BIGINT) AS bits FROM a, unnest(range(1, la + 1)) u(i) GROUP BY ALL) GROUP BY name_a),
+b AS (SELECT name_b, length(name_b) AS lb, string_split(name_b, '') AS letters FROM {_NB}),
+p AS (SELECT name_a, name_b, la, lb, la - bit_count(list_reduce(list_prepend(everything, [coalesce(bits_of[c], 0) FOR c IN b.letters]),
+  lambda r, h: ((r + (r & h)) | (r - (r & h))) & everything)) AS common FROM a JOIN m USING (name_a), b WHERE 2 * least(la, lb) >= 0.88 * (la + lb)),
+s AS (SELECT *, 200.0 * CAST(common AS DOUBLE) / (la + lb) AS score FROM p)
+SELECT name_a, name_b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name_a ORDER BY score DESC, name_b) AS rn FROM s WHERE score >= 88) WHERE rn = 1""")
 def fuzzy_match_lcs(t: Tables) -> DataFrame:
-    """The subsequence ratio, partners of every type; checked by brute force in the tests."""
+    """By the ratio of the longest common subsequence."""
     return runs.fuzzy_matches(*_names(t), 88.0, "lcs").withColumn("score", F.round("score", 6))
 
 

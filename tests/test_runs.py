@@ -61,6 +61,23 @@ def test_fuzzy_brute_force(spark, measure):
         assert {r.name_a: r.name_b for r in runs.fuzzy_matches(A, B, cutoff, measure).collect()} == want
 
 
+@pytest.mark.parametrize("measure", ["lcs", "levenshtein"])
+def test_segment_candidates_stay_few(spark, measure):
+    """Names with a brand in common: four times the names, no more candidates for each."""
+    rng = np.random.default_rng(3)
+    def names(n):
+        return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 16)) + f" Brand#{i % 5}" for i in range(n)]
+    per = []
+    for n in (300, 1200):
+        x = names(n)
+        a = spark.createDataFrame([(v,) for v in x], "name_a string")
+        b = spark.createDataFrame([(v[:4] + "-" + v[5:],) for v in x], "name_b string")
+        pairs = runs._by_segments(a, b, 0.9, measure).collect()
+        assert {(v, v[:4] + "-" + v[5:]) for v in x} <= {tuple(r) for r in pairs}
+        per.append(len(pairs) / n)
+    assert per[1] < 2 and per[1] < 2 * per[0]
+
+
 def test_fuzzy_merge_keeps_unmatched(spark):
     a = spark.createDataFrame([("run/BigTree", 1), ("run/zzz", 2)], "name string, v int")
     b = spark.createDataFrame([("other/big_tree", 7)], "name string, w int")

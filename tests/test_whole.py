@@ -49,7 +49,7 @@ def lcs(a, b):
 
 
 def test_partners_of_every_type(spark, con):
-    q = load_all()["fuzzy_match_all"]
+    q = load_all()["fuzzy_match"]
     got = q.build(Tables(spark, FOLDER)).toPandas()
     assert compare(got, con.execute(q.sql).df()).startswith("ok")
     rows = con.execute("SELECT DISTINCT p_name || ' ' || p_brand, substr(p_name, 2) || 's ' || p_brand FROM part").fetchall()
