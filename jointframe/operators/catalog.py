@@ -97,20 +97,28 @@ def classify_material(name: Column) -> Column:
     return F.struct(F.coalesce(best["cat"], F.lit("plastic")).alias("category"), composite.alias("composite"))
 
 
-def _first(rules: Sequence[tuple], names: Sequence[str], hit: Callable[[Column], Column], rank: Callable[[Column], Column]) -> Column:
-    """Of configuration rows (struct of ``names``), the hit of least rank, as an expression; null without a hit."""
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rules])
-    return F.array_min(F.transform(F.filter(table, hit), lambda r: F.struct(rank(r).alias("rank"), r.alias("row"))))["row"]
+def _first(rules: Sequence[tuple], names: Sequence[str], hits: Sequence[Callable[[tuple], Column]]) -> Column:
+    """Struct of the first configuration row that hits, rows being asked in order for each of ``hits`` in turn; null without a hit.
+
+    One chain of conditions on literals, which stays in generated code and stops at the first hit.
+    """
+    out = None
+    for hit in hits:
+        for row in rules:
+            found = F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)])
+            out = F.when(hit(row), found) if out is None else out.when(hit(row), found)
+    return out
 
 
 def material_look(parts: DataFrame, looks: Sequence[tuple], name: str = "material") -> DataFrame:
-    """Add metallic, roughness, r, g, b: exact name, else first table name contained, else default.
+    """Add metallic, roughness, r, g, b: exact name, else first table name contained in any case, else default.
 
     ``looks`` is configuration: (look, ord, metallic, roughness, r, g, b).
     """
-    cols, own = ["metallic", "roughness", "r", "g", "b"], F.col(name)
-    best = _first(looks, ["look", "ord", *cols], lambda r: F.contains(F.lower(own), F.lower(r["look"])), lambda r: F.struct(r["look"] != own, r["ord"]))
-    out = parts.withColumn("_look", best)
+    cols, own, low = ["metallic", "roughness", "r", "g", "b"], F.col(name), F.col("_low")
+    table = sorted(looks, key=lambda r: r[1])
+    best = _first(table, ["look", "ord", *cols], [lambda r: own == r[0], lambda r: low.contains(r[0].lower())])
+    out = parts.withColumn("_low", F.lower(own)).withColumn("_look", best)
     return out.select(*parts.columns, *[F.coalesce(F.col("_look")[c], F.lit(d)).alias(c) for c, d in zip(cols, fixed.DEFAULT_LOOK)])
 
 
@@ -119,7 +127,7 @@ def part_override(parts: DataFrame, rules: Sequence[tuple], default: tuple[float
 
     ``rules`` is configuration: (keyword, ord, metallic, roughness).
     """
-    best = _first(rules, ["keyword", "ord", "metallic", "roughness"], lambda r: F.contains("name", r["keyword"]), lambda r: r["ord"])
+    best = _first(sorted(rules, key=lambda r: r[1]), ["keyword", "ord", "metallic", "roughness"], [lambda r: F.col("name").contains(r[0])])
     ident = [F.col(k) for k in key]
     out = parts.withColumn("_rule", best)
     base_m = F.coalesce(F.col("_rule")["metallic"], F.lit(default[0]))

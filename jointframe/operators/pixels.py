@@ -6,7 +6,7 @@ columns and objects of interest are chosen.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from jointframe.functions import linalg as la
 from jointframe.functions import stats as st
 from jointframe.plans.ordered import asof, neighbours, ranked
+from jointframe.session import durable
 
 PIXEL = ["y", "x"]
 CAMERA = ["fx", "fy", "cx", "cy", *[f"r{i}" for i in range(9)], *[f"t{i}" for i in range(3)]]
@@ -77,19 +78,19 @@ def depth_codes(pixels: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> Da
     return pixels.join(ranges, list(keys)).withColumn("code", F.when(depth_valid(F.col("depth")), code).otherwise(255))
 
 
-def shares(pixels: DataFrame, keys: Sequence[str], label: str, dictionary: DataFrame) -> DataFrame:
+def shares(pixels: DataFrame, keys: Sequence[str], label: str, words: Sequence[str]) -> DataFrame:
     """(keys…, label, share): percent of pixels per dictionary label and frame; absent labels are 0.
 
-    Pixels without a dictionary label count as ``untagged``.
+    Pixels without a dictionary label count as ``untagged``. A frame's counts
+    are folded into a map of its labels, at most one entry for each word of the
+    dictionary, and what it lacks is filled in by an expression; the
+    ``words`` of the dictionary are configuration and travel as literals.
     """
-    counts = pixels.groupBy(*keys, label).agg(F.count("*").alias("_n"))
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    known = dictionary.select(label).union(dictionary.sparkSession.createDataFrame([("untagged",)], f"{label} string"))
-    named = counts.join(dictionary.select(label, F.lit(True).alias("_k")), label, "left").groupBy(
-        *keys, F.when(F.col("_k"), F.col(label)).otherwise("untagged").alias(label)).agg(F.sum("_n").alias("_n"))
-    grid = total.crossJoin(known)
-    return grid.join(named, [*keys, label], "left").select(
-        *keys, label, (100.0 * F.coalesce("_n", F.lit(0)) / F.col("_all")).alias("share"))
+    named = F.when(F.col(label).isin(words), F.col(label)).otherwise("untagged").alias(label)
+    counts = pixels.groupBy(*keys, named).agg(F.count("*").alias("_n"))
+    frames = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(label, "_n"))).alias("_by"), F.sum("_n").alias("_all"))
+    every = frames.withColumn(label, F.explode(F.array(*[F.lit(w) for w in [*words, "untagged"]])))
+    return every.select(*keys, label, (100.0 * F.coalesce(F.try_element_at("_by", F.col(label)), F.lit(0)) / F.col("_all")).alias("share"))
 
 
 def instance_boxes(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -172,33 +173,55 @@ def induced_flow(pixels: DataFrame, pairs: DataFrame, keys: Sequence[str], frame
     return rows.select(*keys, f"a_{frame}", f"b_{frame}", *PIXEL, "u", "v", (F.col("u") - F.col("x")).alias("fu"), (F.col("v") - F.col("y")).alias("fv"))
 
 
-def bilinear(points: DataFrame, image: DataFrame, keys: Sequence[str], ident: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Values of an image at fractional positions u, v; pixels that are missing or outside count 0.
+#: Pixels along the side of a tile.
+TILE = 8
 
-    Four weighted neighbours per point meet the image on (keys, y, x).
+
+def on_tiles(points: DataFrame, image: DataFrame, keys: Sequence[str], values: Sequence[str], before: int, after: int) -> tuple[DataFrame, Callable[[int, int, str], Column]]:
+    """Points (keys…, u, v) with the image tile they fall into, and a function (dx, dy, value) for the pixel so far from (⌊u⌋, ⌊v⌋).
+
+    A tile holds its own pixels and a border of ``before`` and ``after`` pixels
+    of its neighbours, so all that is looked up around a point is in one row:
+    pixels and points are exchanged once, and nothing is multiplied. Pixels that
+    are missing or outside count 0; a pixel stands in the image once.
     """
-    x0, y0 = F.floor("u"), F.floor("v")
-    wx, wy = F.col("u") - x0, F.col("v") - y0
-    near = F.array(*[F.struct((x0 + dx).alias("nx"), (y0 + dy).alias("ny"),
-                              ((wx if dx else 1 - wx) * (wy if dy else 1 - wy)).alias("w")) for dx in (0, 1) for dy in (0, 1)])
-    spread = points.select(*keys, *ident, F.explode(near).alias("_n")).select(*keys, *ident, "_n.*")
-    side = image.select(*keys, F.col("x").alias("nx"), F.col("y").alias("ny"), *values)
-    hit = spread.join(side, [*keys, "nx", "ny"], "left")
-    return hit.groupBy(*keys, *ident).agg(*[F.sum(F.coalesce(F.col(v) * F.col("w"), F.lit(0.0))).alias(v) for v in values])
+    wide = TILE + before + after
+
+    def reached(c: str) -> Column:
+        """The tiles along one axis that hold a pixel."""
+        return F.explode(F.sequence(*[F.floor((F.col(c) + k) / TILE) for k in (-after, before)]))
+
+    at = ["_ty", "_tx"]
+    held = image.withColumn("_ty", reached("y")).withColumn("_tx", reached("x"))
+    place = (F.col("y") - F.col("_ty") * TILE + before) * wide + F.col("x") - F.col("_tx") * TILE + before
+    entries = F.collect_list(F.struct(place.cast("int").alias("k"), F.struct(*values).alias("v")))
+    tiles = held.groupBy(*keys, *at).agg(F.map_from_entries(entries).alias("_tile"))
+    base = {c: F.floor(F.col(p)) for c, p in (("y", "v"), ("x", "u"))}
+    placed = points.withColumns({f"_t{c}": F.floor(e / TILE) for c, e in base.items()})
+    own = (base["y"] - F.col("_ty") * TILE + before) * wide + base["x"] - F.col("_tx") * TILE + before
+    found = placed.withColumn("_own", own.cast("int")).join(tiles, [*keys, *at], "left").drop(*at)
+
+    def pixel(dx: int, dy: int, value: str) -> Column:
+        return F.coalesce(F.try_element_at("_tile", F.col("_own") + dy * wide + dx)[value], F.lit(0.0))
+
+    return found, pixel
+
+
+def bilinear(pixel: Callable[[int, int, str], Column], value: str, dx: int = 0, dy: int = 0) -> Column:
+    """The image at a point of ``on_tiles``, or so many pixels from it."""
+    wx, wy = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
+    rows = [(1 - wx) * pixel(dx, dy + k, value) + wx * pixel(dx + 1, dy + k, value) for k in (0, 1)]
+    return (1 - wy) * rows[0] + wy * rows[1]
 
 
 def covisibility(pixels: DataFrame, cams: DataFrame, keys: Sequence[str], frame: str, most: float = 1.0) -> DataFrame:
     """(keys…, a, b, score): share of pixels whose flow there and back misses by less than ``most`` pixels."""
-    flow = induced_flow(pixels, view_pairs(cams, keys, frame), keys, frame)
+    flow = durable(induced_flow(pixels, view_pairs(cams, keys, frame), keys, frame))
     a, b = f"a_{frame}", f"b_{frame}"
-    back = flow.select(*keys, F.col(a).alias(b), F.col(b).alias(a), *PIXEL, F.col("fu").alias("gu"), F.col("fv").alias("gv"))
-    there = flow.where("u is not null")
-    sampled = bilinear(
-        there.withColumnsRenamed({"y": "py", "x": "px"}), back, [*keys, a, b], ["py", "px", "fu", "fv"], ["gu", "gv"])
-    miss = F.sqrt(F.pow(F.col("gu") + F.col("fu"), 2) + F.pow(F.col("gv") + F.col("fv"), 2))
-    good = sampled.groupBy(*keys, a, b).agg(F.count_if(miss < most).alias("_good"))
-    total = flow.groupBy(*keys, a, b).agg(F.count("*").alias("_n"))
-    return total.join(good, [*keys, a, b], "left").select(*keys, a, b, (F.coalesce("_good", F.lit(0)) / F.col("_n")).alias("score"))
+    back = flow.where("u is not null").select(*keys, F.col(a).alias(b), F.col(b).alias(a), *PIXEL, F.col("fu").alias("gu"), F.col("fv").alias("gv"))
+    seen, pixel = on_tiles(flow.select(*keys, a, b, "u", "v", "fu", "fv"), back, [*keys, a, b], ["gu", "gv"], 0, 1)
+    miss = F.sqrt(F.pow(bilinear(pixel, "gu") + F.col("fu"), 2) + F.pow(bilinear(pixel, "gv") + F.col("fv"), 2))
+    return seen.groupBy(*keys, a, b).agg((F.count_if(F.coalesce(miss < most, F.lit(False))) / F.count("*")).alias("score"))
 
 
 def occlusion(pixels: DataFrame, following: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -207,16 +230,14 @@ def occlusion(pixels: DataFrame, following: DataFrame, keys: Sequence[str]) -> D
     ``pixels`` has depth and flow f0 (x), f1 (y), f2 (depth), in half pixels;
     ``following`` the next depth. Targets outside the image see depth 0.
     """
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))])
     size = following.groupBy(*keys).agg(F.max("x").alias("_w"), F.max("y").alias("_h"))
-    moved = pixels.withColumn("_d", F.explode(around)).select(
-        *keys, F.col("y").alias("py"), F.col("x").alias("px"), (F.col("depth") + F.col("f2")).alias("target"),
-        (F.col("x") + F.col("f0") * 2 + F.col("_d.dx")).alias("u"), (F.col("y") + F.col("f1") * 2 + F.col("_d.dy")).alias("v"))
-    inside = moved.join(size, list(keys), "left").withColumn("_in", F.col("u").between(0, F.col("_w")) & F.col("v").between(0, F.col("_h")))
-    seen = bilinear(inside, following.withColumnRenamed("depth", "next"), keys, ["py", "px", "target", "u", "v", "_in"], ["next"])
-    ahead = F.when(F.coalesce("_in", F.lit(False)), F.col("next")).otherwise(0.0)
-    hit = (F.col("target") >= 0) & (F.col("target") <= ahead)
-    return seen.groupBy(*keys, F.col("py").alias("y"), F.col("px").alias("x")).agg(F.bool_or(hit).alias("visible"))
+    moved = pixels.select(*keys, *PIXEL, (F.col("depth") + F.col("f2")).alias("target"), (F.col("x") + F.col("f0") * 2).alias("u"), (F.col("y") + F.col("f1") * 2).alias("v"))
+    seen, pixel = on_tiles(moved.join(size, list(keys), "left"), following.withColumnRenamed("depth", "next"), keys, ["next"], 1, 2)
+    hit = F.lit(False)
+    for dx, dy in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)):
+        inside = (F.col("u") + dx).between(0, F.col("_w")) & (F.col("v") + dy).between(0, F.col("_h"))
+        hit = hit | (F.col("target") <= F.when(F.coalesce(inside, F.lit(False)), bilinear(pixel, "next", dx, dy)).otherwise(0.0))
+    return seen.select(*keys, *PIXEL, ((F.col("target") >= 0) & hit).alias("visible"))
 
 
 def depth_normals(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -75,8 +75,7 @@ WITH t AS (SELECT scene, frame, count(*) AS n FROM {FR} GROUP BY scene, frame),
 c AS (SELECT scene, frame, CASE WHEN tag IN ('A', 'R', 'Z') THEN tag ELSE 'untagged' END AS tag, count(*) AS n FROM {FR} GROUP BY 1, 2, 3)
 SELECT t.scene, t.frame, d.tag, round(100.0 * coalesce(c.n, 0) / t.n, 6) AS share FROM t CROSS JOIN d LEFT JOIN c ON c.scene = t.scene AND c.frame = t.frame AND c.tag = d.tag""")
 def pixel_share(t: Tables) -> DataFrame:
-    dictionary = cat.literal_table(t.spark, [("A",), ("R",), ("Z",)], "tag string")
-    return px.shares(ad.fragments(t), SF, "tag", dictionary).withColumn("share", F.round("share", 6))
+    return px.shares(ad.fragments(t), SF, "tag", ["A", "R", "Z"]).withColumn("share", F.round("share", 6))
 
 
 @query("A25", f"SELECT scene, frame, object_id, instance_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {FR} GROUP BY ALL")
