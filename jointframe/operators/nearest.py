@@ -140,8 +140,10 @@ def box_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Sequ
 
     a, b = classed(left, "a"), classed(right, "b")
     own = {t: celled(df.withColumn("_level", F.col("_own")), t) for t, df in (("a", a), ("b", b))}
-    at = [*keys, "_level", "_i", "_j"]
-    met = own["a"].join(own["b"].unionByName(looking(b, a, "b")), at).unionByName(looking(a, b, "a").join(own["b"], at))
+    # Of two that both only look into a cell, neither may meet the other there: owners of b stand in both rounds, each looker in its own.
+    lefts = own["a"].withColumn("_round", F.lit(0)).unionByName(looking(a, b, "a").withColumn("_round", F.lit(1)))
+    rights = own["b"].withColumn("_round", F.explode(F.array(F.lit(0), F.lit(1)))).unionByName(looking(b, a, "b").withColumn("_round", F.lit(0)))
+    met = lefts.join(rights, [*keys, "_round", "_level", "_i", "_j"])
     close = F.col("a") != F.col("b")
     for c, i in ((x, "_i"), (y, "_j")):
         close = close & (F.col(i) == F.floor(F.greatest(f"a_lo_{c}", f"b_lo_{c}") / F.pow(F.lit(2.0), "_level")))

@@ -195,7 +195,8 @@ def on_tiles(points: DataFrame, image: DataFrame, keys: Sequence[str], values: S
     held = image.withColumn("_ty", reached("y")).withColumn("_tx", reached("x"))
     place = (F.col("y") - F.col("_ty") * TILE + before) * wide + F.col("x") - F.col("_tx") * TILE + before
     entries = F.collect_list(F.struct(place.cast("int").alias("k"), F.struct(*values).alias("v")))
-    tiles = held.groupBy(*keys, *at).agg(F.map_from_entries(entries).alias("_tile"))
+    # Dealt out first: pixels of a tile come from many tasks, so partial lists would only be copied.
+    tiles = held.repartition(*keys, *at).groupBy(*keys, *at).agg(F.map_from_entries(entries).alias("_tile"))
     base = {c: F.floor(F.col(p)) for c, p in (("y", "v"), ("x", "u"))}
     placed = points.withColumns({f"_t{c}": F.floor(e / TILE) for c, e in base.items()})
     own = (base["y"] - F.col("_ty") * TILE + before) * wide + base["x"] - F.col("_tx") * TILE + before
@@ -216,7 +217,7 @@ def bilinear(pixel: Callable[[int, int, str], Column], value: str, dx: int = 0,
 
 def covisibility(pixels: DataFrame, cams: DataFrame, keys: Sequence[str], frame: str, most: float = 1.0) -> DataFrame:
     """(keys…, a, b, score): share of pixels whose flow there and back misses by less than ``most`` pixels."""
-    flow = durable(induced_flow(pixels, view_pairs(cams, keys, frame), keys, frame))
+    flow = induced_flow(pixels, view_pairs(cams, keys, frame), keys, frame)
     a, b = f"a_{frame}", f"b_{frame}"
     back = flow.where("u is not null").select(*keys, F.col(a).alias(b), F.col(b).alias(a), *PIXEL, F.col("fu").alias("gu"), F.col("fv").alias("gv"))
     seen, pixel = on_tiles(flow.select(*keys, a, b, "u", "v", "fu", "fv"), back, [*keys, a, b], ["gu", "gv"], 0, 1)

@@ -90,11 +90,7 @@ def latest_states_stream(events: DataFrame, folder: str, buckets: int = 16) -> D
     table = KeyedTable(spark, f"{folder}/table", f"scene bigint, task string, {LAST}", ["scene", "task"], buckets)
 
     def step(batch: DataFrame, number: int) -> None:
-        if not table.done(number):
-            new = durable(last_events(batch))
-            touched = table.touched(new)
-            merged = table.read(touched).unionByName(new).groupBy("scene", "task").agg(F.max("last").alias("last"))
-            table.replace(number, touched, merged)
+        table.update(number, last_events(batch), lambda both: both.groupBy("scene", "task").agg(F.max("last").alias("last")))
 
     run_batches(events, folder, step)
     return as_states(table.read())
@@ -280,10 +276,7 @@ def corrected_states(events: DataFrame, folder: str, delay_seconds: int, buckets
     table = KeyedTable(events.sparkSession, f"{folder}/table", "scene bigint, task string, f timestamp, g timestamp", ["scene", "task"], buckets)
 
     def step(batch: DataFrame, number: int) -> None:
-        if not table.done(number):
-            new = durable(ends_of(batch))
-            touched = table.touched(new)
-            table.replace(number, touched, table.read(touched).unionByName(new).groupBy("scene", "task").agg(F.max("f").alias("f"), F.max("g").alias("g")))
+        table.update(number, ends_of(batch), lambda both: both.groupBy("scene", "task").agg(F.max("f").alias("f"), F.max("g").alias("g")))
 
     run_batches(events, folder, step)
     return corrected(table.read(), delay_seconds)

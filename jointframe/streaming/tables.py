@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jointframe.session import durable
+
 BUCKET = "_bucket"
 
 
@@ -91,7 +93,8 @@ class KeyedTable:
         """The buckets in which the version has rows."""
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema], self.bucket().alias(BUCKET))
         target = f"{self.folder}/data/{batch}"
-        rows.write.mode("overwrite").partitionBy(BUCKET).parquet(target)
+        # Few files a bucket: small partitions are put together, large ones split.
+        rows.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(target)
         return [int(n.split("=")[1]) for s in self._fs().listStatus(self._path(f"data/{batch}")) if (n := s.getPath().getName()).startswith(BUCKET)]
 
     def done(self, batch: int) -> bool:
@@ -104,6 +107,16 @@ class KeyedTable:
             have = self._write(batch, rows)
             self._switch(batch, {**{b: v for b, v in versions.items() if b not in set(buckets)}, **{b: [batch] for b in have}})
 
+    def update(self, batch: int, rows: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> None:
+        """Put rows, one a key, into the buckets of their keys; ``merge`` makes one row a key of old and new ones."""
+        last, versions = self.pointer()
+        if last < batch and not versions:
+            self.replace(batch, [], rows)
+        elif last < batch:
+            new = durable(rows)
+            touched = self.touched(new)
+            self.replace(batch, touched, merge(self.read(touched).unionByName(new)))
+
     def append(self, batch: int, rows: DataFrame) -> None:
         """Add rows whose keys are not in the table."""
         last, versions = self.pointer()

@@ -65,7 +65,7 @@ def test_deep_chain_takes_few_joins(spark, monkeypatch):
     assert kin.ancestor_pairs(edges.limit(200), []).count() == 200 * 201 // 2
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 10**6), st.integers(0, 10**6)), min_size=1, max_size=60))
 def test_breadth_first_numbers_match_a_queue(spark, picks):
     parent = {i + 1: (a % (i + 1)) for i, (a, _) in enumerate(picks)}

@@ -95,7 +95,7 @@ def nearest_brute(d, left, right):
     return {i: (right[int(j)], pytest.approx(d[k, j])) for k, (i, j) in enumerate(zip(left, d.argmin(axis=1), strict=True))}
 
 
-@pytest.fixture(params=[near.PAIRS, 4, 64])
+@pytest.fixture(params=[near.PAIRS, 16])
 def leaf(request, monkeypatch):
     monkeypatch.setattr(near, "PAIRS", request.param)
 
