@@ -10,7 +10,7 @@ from jointframe.functions import scalar as sc
 from jointframe.plans.ordered import in_blocks, ranked
 from jointframe.queries.geometry import rounded
 from jointframe.registry import query
-from jointframe.session import Tables
+from jointframe.session import Tables, new_folder
 from jointframe.sinks import text as out
 from jointframe.sources import assets, files, logs
 
@@ -140,7 +140,8 @@ def meshes(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 def mesh_records(t: Tables) -> DataFrame:
     v, faces, materials = meshes(t)
     order = ["sec", "pos", "sub"]
-    lines = in_blocks(out.obj_lines(v.select("path", "idx", "x", "y", "z"), faces, materials=materials), ["path"], order)
+    libraries = v.where("idx = 1").select("path", F.lit(1).alias("ord"), F.concat("obj", F.lit(".mtl")).alias("value"))
+    lines = in_blocks(out.obj_lines(v.select("path", "idx", "x", "y", "z"), faces, materials=materials, libraries=libraries), ["path"], order)
     return assets.obj_records(lines, order)
 
 
@@ -162,7 +163,9 @@ def obj_faces(t: Tables) -> DataFrame:
                                                     c[0]["vn"].alias("vn0"), c[1]["v"].alias("v1"))
 
 
-@query("S06 K04", f"SELECT path, 'usemtl' AS directive, concat('m', CAST(idx % 5 AS STRING)) AS value, idx - 1 AS n_faces FROM {_IDX} WHERE idx % 3 = 1")
+@query("S06 K04", f"""
+SELECT path, 'usemtl' AS directive, concat('m', CAST(idx % 5 AS STRING)) AS value, idx - 1 AS n_faces, CAST((idx + 2) // 3 + 1 AS BIGINT) AS ord FROM {_IDX} WHERE idx % 3 = 1
+UNION ALL SELECT path, 'mtllib', concat(split_part(path, '/', 1), '.mtl'), CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM {_IDX} WHERE idx = 1""")
 def obj_material_runs(t: Tables) -> DataFrame:
     return assets.obj_materials(mesh_records(t))
 
@@ -303,6 +306,42 @@ def crash_scan(t: Tables) -> DataFrame:
     return rows.withColumn("reason", F.substring("reason", 1, 60))
 
 
+_SCRIPTS = f"""(SELECT scene, s AS stage, concat(CASE scene % 3 WHEN 0 THEN 'forest' WHEN 1 THEN 'desert' ELSE 'coast' END, ' ', s, '_', CAST(scene % 5 AS STRING), '.gin') AS configs
+  FROM (SELECT DISTINCT scene FROM {JOBS} WHERE scene % 7 <> 0), (VALUES ('coarse'), ('populate'), ('fine'), ('render_1')) v(s))"""
+
+
+def script_lines(t: Tables) -> DataFrame:
+    """Run scripts of all scenes but one in seven: a line a stage, another without configurations before it and one with others after it."""
+    scenes = ad.jobs(t).select("scene").distinct().where("scene % 7 <> 0")
+    stages = F.array(*[F.lit(s) for s in ("coarse", "populate", "fine", "render_1", "render_2")])
+    rows = scenes.select("scene", F.posexplode(stages).alias("i", "stage"))
+    biome = F.when(F.col("scene") % 3 == 0, "forest").when(F.col("scene") % 3 == 1, "desert").otherwise("coast")
+    own = F.concat(F.lit("python gen.py --task "), "stage", F.lit(" -g "), biome, F.lit(" "), "stage", F.lit("_"), (F.col("scene") % 5).cast("string"), F.lit(".gin -p a=1"))
+    bare, later = F.concat(F.lit("echo --task "), F.col("stage")), F.concat(F.lit("python gen.py --task "), F.col("stage"), F.lit(" -g later.gin -p a=1"))
+    path = F.concat(F.lit("file:///runs//s"), F.col("scene").cast("string"), F.lit("/run_pipeline.sh"))
+    lines = rows.select("scene", "i", F.posexplode(F.array(bare, own, later)).alias("j", "line"))
+    return lines.select(path.alias("path"), F.lit(0).cast("bigint").alias("_blk"), (F.col("i") * 3 + F.col("j")).cast("bigint").alias("seq"), "line")
+
+
+@query("S17", f"""
+SELECT j.job_id AS id, s.configs, split_part(s.configs, ' ', 1) AS scenetype FROM {JOBS} j LEFT JOIN {_SCRIPTS} s ON s.scene = j.scene AND s.stage = CASE j.stage WHEN 'render_2' THEN 'render_1' ELSE j.stage END WHERE j.state = 'FAILED'""")
+def crash_configs(t: Tables) -> DataFrame:
+    """Crash lines with the configurations of their stage from the scene's run script."""
+    failed = ad.jobs(t).where("state = 'FAILED'")
+    line = F.concat(F.lit("01/02 03:04PM x /runs/s"), F.col("scene").cast("string"), F.lit("/logs/"), "stage", F.lit('.err reason="R" node=\''), F.col("job_id").cast("string"), F.lit("'"))
+    out_ = logs.with_configs(logs.crash_rows(as_lines(failed, line)), script_lines(t))
+    return out_.select(F.col("node").cast("bigint").alias("id"), "configs", "scenetype")
+
+
+@query("S17", f"SELECT job_id AS id FROM {JOBS} WHERE state = 'FAILED' AND job_id % 5 = 0")
+def crash_line_rejects(t: Tables) -> DataFrame:
+    """Crash lines that have lost their node; empty lines are none."""
+    failed = ad.jobs(t).where("state = 'FAILED'")
+    good = F.concat(F.lit("a b /r/s1/logs/fine.err reason=\"R"), F.col("job_id").cast("string"), F.lit('" node=\'n\''))
+    line = F.when(F.col("job_id") % 5 == 0, F.substring_index(good, " node", 1)).when(F.col("job_id") % 5 == 1, "").otherwise(good)
+    return logs.crash_rejects(as_lines(failed, line)).select(F.regexp_extract("line", 'R([0-9]+)"', 1).cast("bigint").alias("id"))
+
+
 @query("S18", f"SELECT CAST(scene AS STRING) AS path, stage AS key, elapsed_s AS value FROM {JOBS}")
 def polycount_scan(t: Tables) -> DataFrame:
     good = F.concat("stage", F.lit(":"), F.format_number("elapsed_s", 0))
@@ -317,6 +356,46 @@ def list_literal_scan(t: Tables) -> DataFrame:
     return ad.jobs(t).select("job_id", logs.list_literal(text).alias("l")).select("job_id", F.col("l")[0].alias("first"), F.size("l").cast("bigint").alias("n"))
 
 
+@query("S19", f"""
+SELECT concat('job ', CAST(job_id AS STRING)) AS name, CASE WHEN job_id % 11 = 3 THEN '-' WHEN state <> 'FAILED' THEN 'true' ELSE 'false' END AS ran, CASE WHEN job_id % 11 <> 0 THEN elapsed_s * 1000 END AS mem_at_finish, cpus AS obj_count,
+  CASE WHEN job_id % 11 <> 1 THEN gpus END AS instance_count, job_id % 11 IN (0, 3) AS corrupt FROM {JOBS}""")
+def stage_csv_scan(t: Tables) -> DataFrame:
+    """Stage results written as CSV files and read back; one row in eleven has no number for its memory, one an empty count, one a word for its flag."""
+    j, k = ad.jobs(t), F.col("job_id") % 11
+    text = j.select(F.concat(F.lit("job "), F.col("job_id").cast("string")).alias("name"), F.when(k == 3, "maybe").otherwise((F.col("state") != "FAILED").cast("string")).alias("ran"),
+                    F.when(k == 0, "n/a").otherwise((F.col("elapsed_s") * 1000).cast("string")).alias("mem_at_finish"), F.col("cpus").cast("string").alias("obj_count"),
+                    F.when(k != 1, F.col("gpus").cast("string")).alias("instance_count"))
+    folder = new_folder(t.spark)
+    text.write.option("header", "true").csv(folder)
+    return logs.stage_results(t.spark, folder).drop("path").withColumns({"corrupt": F.col("corrupt").isNotNull(), "ran": F.coalesce(F.col("ran").cast("string"), F.lit("-"))})
+
+
+@query("S19", f"""
+SELECT job_id AS seed, CAST(2 + job_id % 2 AS BIGINT) AS n, priority AS first, CASE WHEN job_id % 2 = 1 THEN concat(stage, ', it''s "x" \\') END AS third, state FROM {JOBS}""")
+def scene_db_scan(t: Tables) -> DataFrame:
+    """The scene table as CSV with a list-valued column, written and read back; quotes of both kinds, commas and backslashes stand in the lists."""
+    escaped = F.concat(F.col("stage"), F.lit(", it\\'s \"x\" \\\\"))
+    items = F.concat(F.lit("['"), "priority", F.lit('\', "'), "stage", F.lit('"'), F.when(F.col("job_id") % 2 == 1, F.concat(F.lit(", '"), escaped, F.lit("'"))).otherwise(""), F.lit("]"))
+    folder = new_folder(t.spark)
+    ad.jobs(t).select(F.col("job_id").alias("seed"), items.alias("configs"), "state").write.option("header", "true").option("escape", '"').csv(folder)
+    c = F.col("configs")
+    return logs.scene_db(t.spark, folder, "seed bigint, configs string, state string").select("seed", F.size(c).cast("bigint").alias("n"), F.get(c, F.lit(0)).alias("first"), F.get(c, F.lit(2)).alias("third"), "state")
+
+
+@query("S26", f"""
+WITH d AS (SELECT DISTINCT factory, brand FROM {P})
+SELECT concat(factory, '.', brand) AS name, CAST(row_number() OVER (ORDER BY factory, brand) AS BIGINT) AS id, factory AS first, CAST(2 AS BIGINT) AS n FROM d""")
+def tag_dictionary_scan(t: Tables) -> DataFrame:
+    """A tag dictionary written as one JSON document a folder and read back."""
+    d = ranked(ad.parts(t).select("factory", "brand").distinct(), [], ["factory", "brand"], "id")
+    # One document for each brand, so no task holds more than a brand's names.
+    docs = d.groupBy("brand").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(".", "factory", "brand"), "id")))).alias("value"))
+    folder = new_folder(t.spark)
+    docs.select("value").write.text(folder)
+    texts = t.spark.read.text(folder).select(F.lit(folder).alias("path"), F.col("value").alias("text"))
+    return assets.tag_rows(texts).select("name", "id", F.col("tags")[0].alias("first"), F.size("tags").cast("bigint").alias("n"))
+
+
 @query("S22", f"SELECT CAST(obj AS STRING) AS path, CAST(label AS DOUBLE) AS t, o0 AS x, o1 AS y, o2 AS z, ax0 AS qx, ax1 AS qy, ax2 AS qz, upper AS qw FROM {J}")
 def track_scan(t: Tables) -> DataFrame:
     """Pose tracks rendered as text and read back, header lines included."""
@@ -407,18 +486,27 @@ def release_bundles(t: Tables) -> DataFrame:
     return out.bundles(rows, ["scene", "dtype", "camera", "ext"])
 
 
+@query("K10", f"""
+SELECT DISTINCT concat(CAST(scene AS STRING), '_', tag, '_', CAST(object_id AS STRING)) AS bundle, concat(CAST(scene AS STRING), '/', tag, '/', CAST(frame AS STRING), '.npy') AS path FROM {_FR}""")
+def release_members(t: Tables) -> DataFrame:
+    """The member paths of every bundle."""
+    rows = ad.fragments(t).select("scene", F.col("tag").alias("dtype"), F.col("object_id").alias("camera"), F.concat_ws("/", "scene", "tag", F.concat(F.col("frame").cast("string"), F.lit(".npy"))).alias("path"))
+    return out.bundle_members(rows.distinct(), ["scene", "dtype", "camera"])
+
+
 @query("K11", f"""
-SELECT scene, max(frame) AS last_frame, CAST(count(DISTINCT (tag, object_id, frame)) AS BIGINT) AS n_paths FROM {_FR} GROUP BY scene""")
+SELECT scene, max(frame) AS last_frame, CAST(count(DISTINCT (tag, object_id, frame)) AS BIGINT) AS n_paths, CAST(0 AS BIGINT) AS n_second FROM {_FR} GROUP BY scene""")
 def run_summary(t: Tables) -> DataFrame:
-    """Nested summaries, checked by what they hold."""
+    """Nested summaries, checked by what they hold; one frame in three has a second path, which stands in none."""
     rows = ad.fragments(t).select("scene", F.col("tag").alias("dtype"), F.lit("npy").alias("ext"), F.lit(0).alias("rig"), F.col("object_id").alias("subcam"), "frame").distinct()
-    docs = out.run_summary(rows.withColumn("path", F.concat_ws("/", "dtype", "subcam", "frame")))
+    rows = rows.withColumn("path", F.concat_ws("/", "dtype", "subcam", "frame"))
+    docs = out.run_summary(rows.unionByName(rows.where("frame % 3 = 0").withColumn("path", F.concat("path", F.lit("_second")))))
     schema = "files map<string,map<string,map<string,map<string,map<string,string>>>>>, stats struct<`Max Frame`:bigint>"
     doc = docs.select("scene", F.from_json("text", schema).alias("d"))
     leaf = doc.select("scene", F.col("d.stats.`Max Frame`").alias("last_frame"), F.explode("d.files").alias("dtype", "m"))
     for name in ("ext", "rig", "subcam", "frame"):
         leaf = leaf.select("scene", "last_frame", F.explode("m").alias(name, "m"))
-    return leaf.groupBy("scene", "last_frame").agg(F.count("*").alias("n_paths"))
+    return leaf.groupBy("scene", "last_frame").agg(F.count("*").alias("n_paths"), F.count_if(F.col("m").endswith("_second")).alias("n_second"))
 
 
 @query("K12", f"SELECT job_id, round(elapsed_s / 7.0, 6) AS a, round(cpus / 3.0, 6) AS b FROM {JOBS}")

@@ -63,6 +63,13 @@ def discard_tables(spark: SparkSession) -> int:
     return found
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared checkpoint folder; ``discard_tables`` deletes it."""
+    ensure_checkpoint_dir(spark)
+    _WRITTEN.append(f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write the rows to a new table in the shared checkpoint folder and read on from there.
 

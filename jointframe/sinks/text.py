@@ -31,11 +31,12 @@ def corner_token(c: Column) -> Column:
 
 
 def obj_lines(vertices: DataFrame, faces: DataFrame, texcoords: DataFrame | None = None, normals: DataFrame | None = None,
-              materials: DataFrame | None = None) -> DataFrame:
+              materials: DataFrame | None = None, libraries: DataFrame | None = None) -> DataFrame:
     """(path, sec, pos, sub, line): vertices, texture points, normals, then faces with material lines before theirs.
 
     vertices and normals are (path, idx, x, y, z), texcoords (path, idx, u, w),
-    faces (path, idx, corners), materials (path, n_faces, ord, directive, value).
+    faces (path, idx, corners), materials (path, n_faces, ord, directive, value),
+    libraries (path, ord, value), which stand first.
     """
     def rows(df: DataFrame, sec: int, pos: Column, sub: Column, line: Column) -> DataFrame:
         return df.select("path", F.lit(sec).alias("sec"), pos.cast("bigint").alias("pos"), sub.cast("bigint").alias("sub"), line.alias("line"))
@@ -51,6 +52,8 @@ def obj_lines(vertices: DataFrame, faces: DataFrame, texcoords: DataFrame | None
         out = out.unionByName(rows(normals, 3, idx, first, point("vn", "xyz")))
     if materials is not None:
         out = out.unionByName(rows(materials, 4, F.col("n_faces") + 1, F.col("ord"), F.concat_ws(" ", "directive", "value")))
+    if libraries is not None:
+        out = out.unionByName(rows(libraries, 0, first, F.col("ord"), F.concat_ws(" ", F.lit("mtllib"), "value")))
     last = F.lit(1 << 40)
     face = F.concat(F.lit("f "), F.array_join(F.transform("corners", corner_token), " "))
     return out.unionByName(rows(faces, 4, idx, last, face))
@@ -229,7 +232,8 @@ RENAMED = {"T": "Camera Pose", "K": "Camera Intrinsics"}
 def run_summary(files: DataFrame) -> DataFrame:
     """(scene, text): dtype → ext → rig → subcam → frame → path as nested JSON, with the last frame.
 
-    ``files`` is (scene, dtype, ext, rig, subcam, frame, path); a document covers one scene.
+    ``files`` is (scene, dtype, ext, rig, subcam, frame, path); a document covers
+    one scene. Of several paths for one frame the first by name stands.
     """
     names = F.create_map(*[F.lit(x) for kv in RENAMED.items() for x in kv])
     df = files.withColumn("dtype", F.coalesce(names[F.col("dtype")], F.col("dtype")))
@@ -239,6 +243,7 @@ def run_summary(files: DataFrame) -> DataFrame:
         return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
 
     levels, value = ["dtype", "ext", "rig", "subcam", "frame"], F.col("path")
+    df = df.groupBy("scene", *levels).agg(F.min("path").alias("path"))
     for i in range(len(levels) - 1, -1, -1):
         df = df.groupBy("scene", *levels[:i]).agg(
             F.map_from_entries(F.array_sort(

@@ -120,8 +120,11 @@ def joint_rows(parsed: DataFrame) -> DataFrame:
 
 # -- OBJ and MTL --------------------------------------------------------------------------
 
+DIRECTIVES = ("mtllib", "usemtl", "o", "g", "s")
+
+
 def obj_records(lines: DataFrame, order: Sequence[str] = ("seq",), blocked: bool = True) -> DataFrame:
-    """OBJ lines with their tokens and, per file, 1-based record numbers and the count of faces before each line.
+    """OBJ lines with their tokens and, per file, 1-based record numbers (``n_d`` for directives) and the count of faces before each line.
 
     The numbers are running sums over blocks, so a huge file stays spread out.
     """
@@ -129,10 +132,11 @@ def obj_records(lines: DataFrame, order: Sequence[str] = ("seq",), blocked: bool
     n = F.size("tok")
     valid = (
         (F.col("kind").isin("v", "vn") & (n >= 4)) | ((F.col("kind") == "vt") & (n >= 3))
-        | F.col("kind").isin("f", "mtllib", "usemtl", "o", "g", "s")
+        | F.col("kind").isin("f", *DIRECTIVES)
     )
     kept = kept.where(valid).drop("line")
     one = {f"n_{k}": (F.col("kind") == k).cast("bigint") for k in ("v", "vn", "vt", "f")}
+    one["n_d"] = F.col("kind").isin(*DIRECTIVES).cast("bigint")
     return running_sum(kept, ["path"], list(order), one, blocked=blocked)
 
 
@@ -159,10 +163,10 @@ def obj_faces(records: DataFrame) -> DataFrame:
 
 
 def obj_materials(records: DataFrame) -> DataFrame:
-    """(path, directive, value, n_faces, ord…): material and group lines keyed by the number of faces before them."""
+    """(path, directive, value, n_faces, ord): library, material and group lines with the number of faces before them, 1.. in the file's order."""
     rest = F.array_join(F.slice("tok", F.lit(2), F.size("tok")), " ")
-    return records.where(F.col("kind").isin("usemtl", "o", "g", "s")).select(
-        "path", F.col("kind").alias("directive"), rest.alias("value"), F.col("n_f").alias("n_faces"))
+    return records.where(F.col("kind").isin(*DIRECTIVES)).select(
+        "path", F.col("kind").alias("directive"), rest.alias("value"), F.col("n_f").alias("n_faces"), F.col("n_d").alias("ord"))
 
 
 def merge_offsets(counts: DataFrame, keys: Sequence[str], part: str, names: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,11 +70,30 @@ def crash_rejects(lines: DataFrame) -> DataFrame:
     return lines.where((F.length("line") > 0) & ~F.col("line").rlike(CRASH))
 
 
-def script_configs(lines: DataFrame) -> DataFrame:
-    """(path, configs, scenetype) from the ``-g … -p`` part of run scripts; the first token is the scene type."""
-    conf = F.trim(F.regexp_extract("line", "-g(.*)-p", 1))
-    rows = lines.where(F.col("line").rlike("-g(.*)-p")).groupBy("path").agg(F.min_by(conf, F.struct("_blk", "seq")).alias("configs"))
-    return rows.withColumn("scenetype", F.substring_index("configs", " ", 1))
+def _folder(path: Column, tail: str) -> Column:
+    """The folder above a tail, as an absolute path without scheme and doubled slashes; null if the path ends otherwise."""
+    plain = F.regexp_replace(F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:/*", "/"), "/{2,}", "/")
+    return F.nullif(F.regexp_extract(plain, f"^(.+)/{tail}$", 1), F.lit(""))
+
+
+def script_tasks(lines: DataFrame, name: str = "run_pipeline.sh") -> DataFrame:
+    """(folder, _blk, seq, line, configs) of the lines of run scripts that start a task with configurations (``-g … -p``)."""
+    told = lines.where(F.col("line").contains("--task ") & F.col("line").rlike("-g.*-p"))
+    return told.select(_folder(F.col("path"), name.replace(".", "[.]")).alias("folder"), "_blk", "seq", "line", F.trim(F.regexp_extract("line", "-g(.*)-p", 1)).alias("configs"))
+
+
+def with_configs(crashes: DataFrame, scripts: DataFrame) -> DataFrame:
+    """Crash rows with ``configs`` and ``scenetype``: from the first line of their scene's run script that starts their stage; null without one.
+
+    A log lies in the folder ``logs`` of its scene, the script beside that. The
+    stage may be the beginning of the task's name. The scene type is the first
+    configuration.
+    """
+    own = crashes.withColumn("_folder", _folder(F.col("log_path"), "logs/[^/]*"))
+    wanted = own.select(F.col("_folder").alias("folder"), "stage").distinct()
+    hits = wanted.join(script_tasks(scripts), "folder").where(F.contains("line", F.concat(F.lit("--task "), "stage")))
+    first = hits.groupBy(F.col("folder").alias("_folder"), "stage").agg(F.min_by("configs", F.struct("_blk", "seq")).alias("configs"))
+    return own.join(first, ["_folder", "stage"], "left").drop("_folder").withColumn("scenetype", F.substring_index("configs", " ", 1))
 
 
 def polycount_rows(lines: DataFrame) -> DataFrame:
@@ -83,16 +104,24 @@ def polycount_rows(lines: DataFrame) -> DataFrame:
 
 
 def list_literal(text: Column) -> Column:
-    """A Python list literal of strings as an array."""
-    return F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>")
+    """A Python list literal of strings as an array; a string stands in quotes of either kind, with backslash escapes of quotes and backslashes."""
+    quoted = F.regexp_extract_all(text, F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""), F.lit(0))
+    return F.transform(quoted, lambda q: F.regexp_replace(F.substr(q, F.lit(2), F.length(q) - 2), r"\\(.)", "$1"))
 
 
 STAGE_SCHEMA = "name string, ran boolean, mem_at_finish bigint, obj_count bigint, instance_count bigint"
 
 
 def stage_results(spark, path: str) -> DataFrame:
-    """Stage result CSV files with their path."""
-    return spark.read.option("header", "true").schema(STAGE_SCHEMA).csv(path).withColumn("path", F.input_file_name())
+    """Stage result CSV files with their path; what does not fit its type is null, and ``corrupt`` then holds the line."""
+    read = spark.read.option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt")
+    return read.schema(f"{STAGE_SCHEMA}, corrupt string").csv(path).withColumn("path", F.input_file_name())
+
+
+def scene_db(spark, path: str, schema: str, lists: Sequence[str] = ("configs",)) -> DataFrame:
+    """A scene table from CSV files whose ``lists`` columns hold list literals."""
+    rows = spark.read.option("header", "true").option("escape", '"').schema(schema).csv(path)
+    return rows.withColumns({c: list_literal(F.col(c)) for c in lists})
 
 
 def node_rows(lines: DataFrame) -> DataFrame:

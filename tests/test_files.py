@@ -47,7 +47,7 @@ def test_obj(spark, tmp_path, split):
     rec = assets.obj_records(lines(spark, str(tmp_path / "m"))).withColumn("path", F.element_at(F.split("path", "/"), -1)).where("path = 'a.obj'").cache()
     faces = {r.idx: [tuple(c) for c in r.corners] for r in assets.obj_faces(rec).collect()}
     assert faces[1] == [(1, 0, 0), (2, 0, 0), (3, 0, 0)] and faces[2][0] == (1, 1, 0) and faces[3][0] == (1, 0, 1) and faces[4][0] == (-1, 1, 1)
-    assert {(r.directive, r.value, r.n_faces) for r in assets.obj_materials(rec).collect()} == {("usemtl", "first", 0), ("usemtl", "second", 2), ("g", "grp one", 2)}
+    assert {(r.directive, r.value, r.n_faces) for r in assets.obj_materials(rec).collect()} == {("mtllib", "a.mtl", 0), ("usemtl", "first", 0), ("usemtl", "second", 2), ("g", "grp one", 2)}
     assert [(r.idx, r.x, r.y) for r in assets.obj_points(rec).orderBy("idx").collect()] == [(1, 0, 0), (2, 1, 0), (3, 1, 1)]
     assert assets.obj_points(rec, "vt").count() == 1 and assets.obj_points(rec, "vn").count() == 1
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -132,10 +132,33 @@ def test_stage_results_csv(spark, tmp_path):
     assert [(r.name, r.ran, r.mem_at_finish) for r in logs.stage_results(spark, str(tmp_path / "c")).orderBy("name").collect()] == [("rocks", False, None), ("trees", True, 10)]
 
 
-def test_script_configs(spark, tmp_path):
-    write(str(tmp_path), "s/run.sh", "echo\npython x -g desert simple -p a=1\n")
-    r = logs.script_configs(lines(spark, str(tmp_path / "s"))).first()
-    assert (r.configs, r.scenetype) == ("desert simple", "desert")
+def test_configs_of_crashes(spark):
+    scripts = spark.createDataFrame([("file:///a//s1/run_pipeline.sh", 0, i, x) for i, x in enumerate((
+        "run --task fine", "run --task coarse -g desert simple -p a=1", "run --task finecpu -g forest -p b", "run --task fine -g late -p b"))] + [("/a/s2/other.sh", 0, 0, "--task fine -g x -p")],
+        "path string, _blk long, seq long, line string")
+    crashes = spark.createDataFrame([("/a/s1/logs/x.err", "coarse"), ("/a/s1/logs/y.err", "fine"), ("/a/s1/logs/y.err", "fine"), ("/a/s2/logs/z.err", "fine"), ("odd", "fine")], "log_path string, stage string")
+    got = sorted((r.log_path, r.stage, r.configs or "", r.scenetype or "") for r in logs.with_configs(crashes, scripts).collect())
+    assert got == [("/a/s1/logs/x.err", "coarse", "desert simple", "desert"), ("/a/s1/logs/y.err", "fine", "forest", "forest"), ("/a/s1/logs/y.err", "fine", "forest", "forest"), ("/a/s2/logs/z.err", "fine", "", ""), ("odd", "fine", "", "")]
+
+
+def test_list_literals(spark):
+    lists = [[], ["a"], ["it's", 'x "y"', "a, b", "back\\slash"], ["", "'", '"', """'mixed" one"""]]
+    df = spark.createDataFrame([(i, repr(v)) for i, v in enumerate(lists)], "i int, t string").orderBy("i")
+    assert [r.v for r in df.select("i", logs.list_literal(df.t).alias("v")).orderBy("i").collect()] == lists
+
+
+def test_obj_round_trip_by_line(spark):
+    text = ["mtllib a.mtl", "mtllib b.mtl", "v 1.0 2.0 3.0", "v 0.5 0.0 -1.0", "v 0.0 1.0 0.0", "o first", "usemtl m1", "f 1 2 3", "g part", "usemtl m2", "f 3 2 1"]
+    src = spark.createDataFrame([("p", i, x) for i, x in enumerate(text)], "path string, seq long, line string")
+    rec = assets.obj_records(src, ["seq"], blocked=False)
+    d = assets.obj_materials(rec)
+    lines_ = out.obj_lines(assets.obj_points(rec), assets.obj_faces(rec), materials=d.where("directive <> 'mtllib'"), libraries=d.where("directive = 'mtllib'"))
+    assert [r.line for r in lines_.orderBy("sec", "pos", "sub").collect()] == text
+
+
+def test_run_summary_of_two_paths_for_a_frame(spark):
+    rows = spark.createDataFrame([(1, "Depth", "npy", 0, 0, 3, "b"), (1, "Depth", "npy", 0, 0, 3, "a"), (1, "Depth", "npy", 0, 0, 4, "c")], "scene int, dtype string, ext string, rig int, subcam int, frame int, path string")
+    assert [r.text for r in out.run_summary(rows).collect()] == ['{"files":{"Depth":{"npy":{"0":{"0":{"0003":"a","0004":"c"}}}}},"stats":{"Max Frame":4}}']
 
 
 def test_gpu_rows(spark, tmp_path):
