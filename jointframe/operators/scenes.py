@@ -78,6 +78,77 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+# -- statements about relations -----------------------------------------------------------
+
+ANY = "any"
+
+
+@dataclass(frozen=True)
+class Statement:
+    """Columns of a relation that is asked for: its kind (``any`` for every relation), whether it is refused, and the tags wanted and refused of child and parent."""
+
+    kind: Column
+    negated: Column
+    child: tuple[Column, Column]
+    parent: tuple[Column, Column]
+
+    @classmethod
+    def of(cls, row: Column) -> Statement:
+        """From a struct (kind, negated, child_pos, child_neg, parent_pos, parent_neg)."""
+        return cls(row["kind"], row["negated"], (row["child_pos"], row["child_neg"]), (row["parent_pos"], row["parent_neg"]))
+
+
+@dataclass(frozen=True)
+class RelationLogic:
+    """What follows from what among statements; ``below`` has the pairs (kind, a kind that is a special case of it)."""
+
+    below: tuple[tuple[str, str], ...]
+
+    def _covers(self, a: Statement, b: Statement) -> Column:
+        """b's kind is a's or a special case of it."""
+        pairs = [f"{x}>{y}" for x, y in self.below]
+        return (a.kind == b.kind) | F.concat(a.kind, F.lit(">"), b.kind).isin(pairs)
+
+    def _entails(self, a: Statement, b: Statement) -> Column:
+        """Of statements taken without their negation."""
+        tags = implies(*a.child, *b.child) & implies(*a.parent, *b.parent)
+        return F.when(a.kind == ANY, b.kind == ANY).when(b.kind == ANY, True).otherwise(self._covers(a, b) & tags)
+
+    def _excludes(self, a: Statement, b: Statement) -> Column:
+        """a without its negation entails that b without its does not hold: a has b's tags the other way round."""
+        tags = implies(*a.child, *b.child[::-1]) & implies(*a.parent, *b.parent[::-1])
+        return F.when((a.kind == ANY) | (b.kind == ANY), False).otherwise(self._covers(a, b) & tags)
+
+    def _beside(self, a: Statement, refused: Statement) -> Column:
+        """a can hold where ``refused`` does not."""
+        return F.when(a.kind == ANY, True).when(refused.kind == ANY, False).otherwise(~self._entails(refused, a))
+
+    def implies(self, a: Statement, b: Statement) -> Column:
+        """Whoever meets a meets b."""
+        refusal = F.when(b.kind == ANY, False).otherwise(~self._entails(a, b) & ~self._beside(b, a))
+        return (F.when(a.negated & b.negated, self._entails(a, b)).when(a.negated, refusal)
+                .when(b.negated, self._excludes(a, b)).otherwise(self._entails(a, b)))
+
+    def intersects(self, a: Statement, b: Statement) -> Column:
+        """Something can meet both; of two refusals this is taken for granted unless one refuses everything."""
+        clash = [contradiction(F.array_union(x[0], y[0]), F.array_union(x[1], y[1])) for x, y in ((a.child, b.child), (a.parent, b.parent))]
+        plain = F.when((a.kind == ANY) | (b.kind == ANY), True).otherwise(self._covers(a, b) & ~clash[0] & ~clash[1])
+        return (F.when(a.negated & b.negated, (a.kind != ANY) & (b.kind != ANY)).when(a.negated, self._beside(b, a))
+                .when(b.negated, self._beside(a, b)).otherwise(plain))
+
+
+def compared_statements(left: DataFrame, asked: Sequence[tuple], logic: RelationLogic) -> DataFrame:
+    """The rows of ``left`` (with a struct ``statement``) for each statement asked: (…, question, implied, met).
+
+    ``asked`` is configuration: (question, kind, negated, child_pos, child_neg, parent_pos, parent_neg).
+    """
+    names = ("kind", "negated", "child_pos", "child_neg", "parent_pos", "parent_neg")
+    rows = [F.struct(F.lit(q[0]).alias("question"), *[(_strings(v) if isinstance(v, (list, tuple)) else F.lit(v)).alias(n) for n, v in zip(names, q[1:], strict=True)]) for q in asked]
+    both = left.withColumn("_q", F.explode(F.array(*rows)))
+    a, b = Statement.of(F.col("statement")), Statement.of(F.col("_q"))
+    return both.select(*left.columns, F.col("_q.question").alias("question"), logic.implies(a, b).alias("implied"), logic.intersects(a, b).alias("met"))
+
+
 # -- relations ----------------------------------------------------------------------------
 
 def related(children: DataFrame, relations: DataFrame, parents: DataFrame, relation: str, implied: DataFrame) -> DataFrame:

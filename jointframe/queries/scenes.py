@@ -98,6 +98,62 @@ def relation_semi(t: Tables) -> DataFrame:
     return sn.related(sn.tagged(o), relations(t), sn.tagged(o, ["wide"]), "touching", implied(t)).select("scene", "obj")
 
 
+#: Kinds of relations and their special cases, and what is asked: (question, kind, negated, child tags wanted and refused, parent tags wanted and refused).
+BELOW = (("touching", "supported_by"),)
+ASKED = [
+    (0, "any", False, [], [], [], []), (1, "any", True, [], [], [], []), (2, "supported_by", False, ["wide"], [], [], []), (3, "supported_by", True, ["wide"], ["small"], ["tall"], []),
+    (4, "touching", False, [], [], ["tall"], ["small"]), (5, "stable_against", False, ["wide", "tall"], [], [], []), (6, "stable_against", True, ["wide"], [], ["tall"], []), (7, "coplanar", False, [], ["small"], [], []),
+]
+_KIND = "CASE WHEN o_orderkey % 11 = 0 THEN 'any' WHEN o_orderkey % 3 = 0 THEN 'touching' ELSE relation END"
+_TAGGED = f"""(SELECT scene, obj, list_filter([CASE WHEN w > 2 THEN 'wide' END, CASE WHEN h > 3 THEN 'tall' END], lambda x: x IS NOT NULL) AS pos, CASE WHEN d > 2 THEN ['small'] ELSE [] END AS neg FROM {OBJS})"""
+
+
+def _follows(p: str, q: str, flip: bool = False) -> str:
+    """Tags of q follow from those of p, for child and parent, in SQL; with ``flip`` q's are the other way round."""
+    x, y = ("n", "p") if flip else ("p", "n")
+    return " AND ".join(f"NOT list_has_any({p}.{s}p, {p}.{s}n) AND list_has_all({p}.{s}p, {q}.{s}{x}) AND list_has_all({p}.{s}n, {q}.{s}{y})" for s in "cr")
+
+
+def _covers_sql(p: str, q: str) -> str:
+    return f"({p}.kind = {q}.kind OR ({p}.kind = 'touching' AND {q}.kind = 'supported_by'))"
+
+
+def _entails_sql(p: str, q: str) -> str:
+    return f"(CASE WHEN {p}.kind = 'any' THEN {q}.kind = 'any' WHEN {q}.kind = 'any' THEN true ELSE {_covers_sql(p, q)} AND {_follows(p, q)} END)"
+
+
+def _beside_sql(p: str, q: str) -> str:
+    return f"(CASE WHEN {p}.kind = 'any' THEN true WHEN {q}.kind = 'any' THEN false ELSE NOT {_entails_sql(q, p)} END)"
+
+
+_ASKED_SQL = "(VALUES " + ", ".join(f"({q[0]}, '{q[1]}', {str(q[2]).lower()}, " + ", ".join(f"CAST({v} AS VARCHAR[])" for v in q[3:]) + ")" for q in ASKED) + ") q(question, kind, neg, cp, cn, rp, rn)"
+_COMPATIBLE = " AND ".join(f"NOT list_has_any(list_concat(s.{s}p, q.{s}p), list_concat(s.{s}n, q.{s}n))" for s in "cr")
+
+
+@query("J22", f"""
+WITH r AS (SELECT *, {_KIND} AS kind, o_orderkey % 5 = 0 AS neg FROM (SELECT *, {RELS.partition("SELECT ")[2].rpartition(" FROM orders)")[0]} FROM orders)),
+s AS (SELECT r.kind, r.neg, c.pos AS cp, c.neg AS cn, p.pos AS rp, p.neg AS rn FROM r JOIN {_TAGGED} c ON c.scene = r.scene AND c.obj = r.child JOIN {_TAGGED} p ON p.scene = r.scene AND p.obj = r.target)
+SELECT CAST(q.question AS INTEGER) AS question, CAST(count(*) AS BIGINT) AS n,
+  CAST(count(*) FILTER (CASE WHEN s.neg AND q.neg THEN {_entails_sql("s", "q")} WHEN s.neg THEN q.kind <> 'any' AND NOT {_entails_sql("s", "q")} AND NOT {_beside_sql("q", "s")}
+    WHEN q.neg THEN s.kind <> 'any' AND q.kind <> 'any' AND {_covers_sql("s", "q")} AND {_follows("s", "q", True)} ELSE {_entails_sql("s", "q")} END) AS BIGINT) AS n_implied,
+  CAST(count(*) FILTER (CASE WHEN s.neg AND q.neg THEN s.kind <> 'any' AND q.kind <> 'any' WHEN s.neg THEN {_beside_sql("q", "s")} WHEN q.neg THEN {_beside_sql("s", "q")}
+    ELSE s.kind = 'any' OR q.kind = 'any' OR ({_covers_sql("s", "q")} AND {_COMPATIBLE}) END) AS BIGINT) AS n_met
+FROM s, {_ASKED_SQL} GROUP BY q.question""")
+def relation_statements(t: Tables) -> DataFrame:
+    """Statements made of the relations and the tags of both ends, one in five refused, against the statements asked."""
+    rel = t.orders.selectExpr(
+        "o_orderkey", "CAST(floor(o_custkey / 50.0) AS BIGINT) AS scene", "o_custkey AS child",
+        "CASE o_orderstatus WHEN 'F' THEN 'stable_against' WHEN 'O' THEN 'supported_by' ELSE 'coplanar' END AS relation", "CAST(floor(o_custkey / 50.0) AS BIGINT) * 50 + o_orderkey % 50 AS target")
+    tags = ad.scene_objects(t).select("scene", "obj", F.array_compact(F.array(F.when(F.col("w") > 2, "wide"), F.when(F.col("h") > 3, "tall"))).alias("pos"), F.array_compact(F.array(F.when(F.col("d") > 2, "small"))).alias("neg"))
+    ends = [tags.select("scene", F.col("obj").alias(k), F.col("pos").alias(f"{e}_pos"), F.col("neg").alias(f"{e}_neg")) for k, e in (("child", "child"), ("target", "parent"))]
+    rel = rel.withColumns({"kind": F.expr(_KIND), "negated": F.col("o_orderkey") % 5 == 0}).join(ends[0], ["scene", "child"]).join(ends[1], ["scene", "target"])
+    # Few statements differ: each is compared once, with its number.
+    statement = F.struct("kind", "negated", "child_pos", "child_neg", "parent_pos", "parent_neg").alias("statement")
+    made = rel.select(statement).groupBy("statement").agg(F.count("*").alias("n"))
+    out = sn.compared_statements(made, ASKED, sn.RelationLogic(BELOW))
+    return out.groupBy("question").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).alias(f"n_{c}") for c in ("implied", "met")])
+
+
 @query("J21", f"""
 WITH r AS (SELECT r.*, i.imp FROM {RELS} r JOIN {_IMP} i(rel, imp) ON i.rel = r.relation),
 tall AS (SELECT scene, obj FROM {OBJS} WHERE active AND h > 3), wide AS (SELECT o.scene, o.obj FROM {OBJS} o WHERE active AND w > 2

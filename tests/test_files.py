@@ -148,7 +148,7 @@ def test_list_literals(spark):
 
 
 def test_obj_round_trip_by_line(spark):
-    text = ["mtllib a.mtl", "mtllib b.mtl", "v 1.0 2.0 3.0", "v 0.5 0.0 -1.0", "v 0.0 1.0 0.0", "o first", "usemtl m1", "f 1 2 3", "g part", "usemtl m2", "f 3 2 1"]
+    text = ["mtllib a.mtl", "mtllib b.mtl", "v 1.000000 2.000000 3.000000", "v 0.500000 0.000000 -1.000000", "v 0.000000 1.000000 0.000000", "o first", "usemtl m1", "f 1 2 3", "g part", "usemtl m2", "f 3 2 1"]
     src = spark.createDataFrame([("p", i, x) for i, x in enumerate(text)], "path string, seq long, line string")
     rec = assets.obj_records(src, ["seq"], blocked=False)
     d = assets.obj_materials(rec)

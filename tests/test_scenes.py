@@ -168,3 +168,53 @@ def test_contradiction_is_an_error(spark):
     a, b = sn._strings(["a"]), sn._strings([])
     with pytest.raises(Exception, match="contradicting"):
         value(spark, sn.intersection(a, b, b, a)[0])
+
+
+def statement(kind="stable_against", child=(), parent=(), negated=False):
+    """Tags with a leading minus are refused."""
+    def split(tags):
+        return [[t for t in tags if t[0] != "-"], [t[1:] for t in tags if t[0] == "-"]]
+    return (kind, negated, *split(child), *split(parent))
+
+
+EXAMPLE = statement(child=("top", "-bottom"), parent=("object", "-top"))
+ANYTHING, NOTHING = statement("any"), statement("any", negated=True)
+
+
+def negated(s):
+    return (s[0], not s[1], *s[2:])
+
+
+def logic_of(spark, left, asked, below=()):
+    one = spark.range(1).select(F.struct(*[(sn._strings(v) if isinstance(v, list) else F.lit(v)).alias(n) for n, v in zip(("kind", "negated", "child_pos", "child_neg", "parent_pos", "parent_neg"), left)]).alias("statement"))
+    rows = sn.compared_statements(one, [(i, *a) for i, a in enumerate(asked)], sn.RelationLogic(below)).orderBy("question").collect()
+    return [(r.implied, r.met) for r in rows]
+
+
+def test_statements_imply(spark):
+    sf, sfi = statement("supported_by", ("support",)), statement("supported_by", ("support", "visible"))
+    assert logic_of(spark, sf, [sf, sfi, ANYTHING, NOTHING, statement("touching")], (("touching", "supported_by"),)) == [(True, True), (False, True), (True, True), (False, False), (False, False)]
+    assert [i for i, _ in logic_of(spark, sfi, [sf, ANYTHING])] == [True, True]
+    assert [i for i, _ in logic_of(spark, ANYTHING, [sf, sfi, ANYTHING])] == [False, False, True]
+    assert [i for i, _ in logic_of(spark, statement(), [statement("touching")])] == [False]
+    # A general relation covers its special case, and tags the other way round exclude.
+    assert [i for i, _ in logic_of(spark, statement("touching", ("support",)), [sf], (("touching", "supported_by"),))] == [True]
+    assert [i for i, _ in logic_of(spark, statement(child=("-a",), parent=("b",)), [statement(child=("a",), parent=("-b",), negated=True), statement(child=("a",), negated=True)])] == [True, True]
+    assert [i for i, _ in logic_of(spark, negated(sf), [negated(sf), negated(sfi), sf, sfi, ANYTHING])] == [True, False, False, False, False]
+
+
+@pytest.mark.parametrize("other,plain,refused,flipped", [
+    (statement("touching", ("top", "-bottom"), ("object", "-top")), False, True, True),
+    (statement(child=("top",), parent=("object",)), True, True, False),
+    (statement(child=("top", "-bottom", "support"), parent=("object", "-top", "-side")), True, False, True),
+    (statement(child=("top", "visible"), parent=("object", "furniture")), True, True, True),
+    (statement(child=("top", "bottom"), parent=("object",)), False, True, True),
+    (statement(child=("top",), parent=("object", "top")), False, True, True),
+])
+def test_statements_meet(spark, other, plain, refused, flipped):
+    """Both ways round: the statement with another, with its refusal, and the refused statement with the other."""
+    assert [m for _, m in logic_of(spark, EXAMPLE, [other, negated(other)])] == [plain, refused]
+    assert [m for _, m in logic_of(spark, negated(EXAMPLE), [other])] == [flipped]
+    assert [m for _, m in logic_of(spark, other, [EXAMPLE, negated(EXAMPLE)])] == [plain, flipped]
+    assert [m for _, m in logic_of(spark, negated(other), [EXAMPLE])] == [refused]
+    assert [m for _, m in logic_of(spark, EXAMPLE, [ANYTHING, NOTHING])] == [True, False] and [m for _, m in logic_of(spark, negated(EXAMPLE), [ANYTHING])] == [True]
