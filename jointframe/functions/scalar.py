@@ -172,7 +172,8 @@ def rgb_to_hsv(r: Column, g: Column, b: Column) -> list[Column]:
 
 
 def srgb_to_linear(c: Column) -> Column:
-    return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+    """Linear light of a channel; below 0 it is 0."""
+    return F.when(c < 0, 0.0).when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
 
 
 def hex_to_rgb(text: Column) -> list[Column]:

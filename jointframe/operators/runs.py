@@ -116,6 +116,11 @@ def stage_deltas(stages: DataFrame, keys: Sequence[str], order: Sequence[str], v
     return out.withColumns({f"d_{v}": F.col(v) - F.col(f"_p_{v}") for v in values}).drop(*[f"_p_{v}" for v in values])
 
 
+def stage_changes(stages: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], by: str) -> DataFrame:
+    """The deltas of stages that ran and changed ``by``; a stage without a predecessor or without a change is left out."""
+    return stage_deltas(stages, keys, order, values).where(F.col(f"d_{by}") != 0)
+
+
 def compare_runs(a: DataFrame, b: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Full outer join of two runs with _a and _b columns; the category comes from a."""
     left = a.select(F.col(key), "category", *[F.col(v).alias(f"{v}_a") for v in values])

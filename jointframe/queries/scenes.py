@@ -80,6 +80,17 @@ def tag_implication(t: Tables) -> DataFrame:
     return o.select("scene", "obj", sn.implies(F.col("pos"), neg, want, refuse).alias("implies"), sn.contradiction(F.col("pos"), neg).alias("contradiction"))
 
 
+@query("U06", f"""
+SELECT scene, obj, CAST(2 + (w > 2)::INT AS BIGINT) AS n_pos, CAST((d > 2)::INT + (h > 4)::INT AS BIGINT) AS n_neg FROM {OBJS} WHERE NOT (w > 2 AND h > 4)""")
+def tag_intersection(t: Tables) -> DataFrame:
+    """Own tags together with tall wanted, and wide refused from the tallest; objects to which that is a contradiction are left out first."""
+    o = objects(t)
+    want, refuse = F.array(F.lit("tall")), F.array_compact(F.array(F.when(F.col("h") > 4, "wide")))
+    both = o.where(~sn.contradiction(F.array_union("pos", want), F.array_union("neg", refuse)))
+    p, n = sn.intersection(F.col("pos"), F.col("neg"), want, refuse)
+    return both.select("scene", "obj", F.size(p).cast("bigint").alias("n_pos"), F.size(n).cast("bigint").alias("n_neg"))
+
+
 @query("P23 U06", f"""
 SELECT scene, obj, CAST(1 + (w > 2)::INT + (h > 3)::INT + (d <= 2)::INT AS BIGINT) AS n_pos, CAST((d > 2)::INT + (CASE WHEN w > 2 THEN 0 ELSE 1 END) AS BIGINT) AS n_neg FROM {OBJS}""")
 def tag_difference(t: Tables) -> DataFrame:
