@@ -320,6 +320,28 @@ def keyframe_interpolation(t: Tables) -> DataFrame:
     return out.select("obj", "frame", F.round("value", 6).alias("value"), F.round("slope", 6).alias("slope"))
 
 
+_X, _Y = [f"((1 - {{s}}) ** 3 * {a} + 3 * (1 - {{s}}) ** 2 * {{s}} * {b} + 3 * (1 - {{s}}) * {{s}} ** 2 * {c} + {{s}} ** 3 * {d})" for a, b, c, d in (
+    ("pos", "(pos + 0.3)", "(pos + 0.6)", "pos1"), ("value", "(value + 2)", "(value - 1)", "v1"))]
+_AT = f"list_reduce(list_prepend(0.0::DOUBLE, [2.0::DOUBLE ** -k FOR k IN range(1, 60)]), lambda r, h: CASE WHEN {_X.format(s='(r + h)')} <= frame THEN r + h ELSE r END)"
+
+
+@query("W12", f"""
+WITH o AS (SELECT o_custkey AS obj, o_orderkey % 40 AS pos, CAST(min(o_orderkey % 11) AS DOUBLE) AS value, min(o_orderkey) % 3 AS c FROM orders GROUP BY 1, 2),
+k AS (SELECT *, lead(pos) OVER w AS pos1, lead(value) OVER w AS v1, first_value(value) OVER w AS f FROM o WINDOW w AS (PARTITION BY obj ORDER BY pos)),
+g AS (SELECT DISTINCT obj, f, CAST(fr AS BIGINT) AS frame FROM k, range(0, 40) r(fr)),
+h AS (SELECT g.obj, g.frame, g.f, k.* EXCLUDE (obj, f), row_number() OVER (PARTITION BY g.obj, g.frame ORDER BY k.pos DESC) AS rn FROM g LEFT JOIN k ON k.obj = g.obj AND k.pos <= g.frame),
+s AS (SELECT *, CASE WHEN c = 2 AND pos1 IS NOT NULL THEN {_AT} END AS s FROM h WHERE rn = 1)
+SELECT obj, frame, round(CASE WHEN pos IS NULL THEN f WHEN pos1 IS NULL OR c = 0 THEN value WHEN c = 1 THEN value + (v1 - value) / (pos1 - pos) * (frame - pos) ELSE {_Y.format(s='s')} END, 6) + 0.0 AS value FROM s""")
+def bezier_channels(t: Tables) -> DataFrame:
+    """Channels whose keys hold, go straight or follow a cubic, at every frame."""
+    keys = t.orders.groupBy(F.col("o_custkey").alias("obj"), (F.col("o_orderkey") % 40).alias("at")).agg(
+        F.min(F.col("o_orderkey") % 11).cast("double").alias("value"), (F.min("o_orderkey") % 3).alias("c"))
+    keys = keys.withColumn("interp", F.when(F.col("c") == 0, "CONSTANT").when(F.col("c") == 1, "LINEAR").otherwise("BEZIER")).drop("c")
+    keys = keys.withColumns({"h1x": F.col("at") + 0.3, "h1y": F.col("value") + 2, "h2x": F.col("at") + 0.6, "h2y": F.col("value") - 1})
+    frames = keys.select("obj").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))))
+    return px.keyframe_values(keys, frames, ["obj"]).select("obj", "frame", (F.round("value", 6) + 0.0).alias("value"))
+
+
 @query("W13", """
 SELECT user_id AS track, event_id, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 60)""")
 def clean_tracks(t: Tables) -> DataFrame:

@@ -143,6 +143,17 @@ def joint_tensors(t: Tables) -> DataFrame:
                       F.size(F.col("tensor")[0]).cast("bigint").alias("n_cols"), used.cast("bigint").alias("n_used"))
 
 
+@query("K05", f"""{CLOSURE_SQL}, {SPLIT_SQL}, s AS (SELECT obj, key, row_number() OVER (PARTITION BY obj, key ORDER BY joint) - 1 AS slot FROM act)
+SELECT obj, key, CAST(slot AS BIGINT) AS slot FROM s WHERE slot >= 4""")
+def tensor_overflow(t: Tables) -> DataFrame:
+    """What tensors of four rows leave out."""
+    ordered, moved = movable_parts(t)
+    _, active = sp.build_splits(ordered, moved)
+    axes = joint_axes(t).select("obj", "joint", *[f"w{p}{i}" for p in "od" for i in range(3)])
+    joints = ordered.join(axes, ["obj", "joint"]).join(geo.normal_frames(ad.vertices(t), ["obj"]).drop("flat"), "obj")
+    return sp.tensor_rejects(sp.tensor_rows(active, joints), 4).select("obj", "key", "slot")
+
+
 @query("J18", f"""{CLOSURE_SQL}, {SPLIT_SQL},
 t AS (SELECT obj, label, regexp_matches(lower(movement), '{"|".join(fixed.MOVE_STEMS)}')
   AND NOT regexp_matches(lower(movement), '{"|".join(fixed.ANCHOR_PHRASES)}') AS mvt FROM {P})
