@@ -36,9 +36,14 @@ EMBEDDING, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
 STEPS, BATCH, RATE = 900, 48, 4e-3
 #: Windows worked on at a time.
 CHUNK = 512
+#: Letters, and characters such as fractions that only look like some to the pattern.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class Net:
     """Weights: bytes to embedding, (width * embedding) to filters for each width, pooled filters to languages."""
@@ -158,7 +163,7 @@ def predict(reader: Reader, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, probability) of each whole text."""
     out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
     langs = reader.net.langs
-    todo = [i for i, t in enumerate(texts) if t and langs and _LETTER.search(t)]
+    todo = [i for i, t in enumerate(texts) if t and langs and has_letter(t)]
     rows, owner, size = [], [], 0
     sums = np.zeros((len(texts), len(langs)))
 

@@ -359,3 +359,9 @@ def test_stages_keep_columns_and_bear_odd_input(spark, clashing_docs, no_docs):
         assert out.count() <= clashing_docs.count()
         assert stage(spark, no_docs, SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, clashing_docs, SF).count() > 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("½²①٣Ⅷ_ 1a\n-漢é🙂ª"), max_size=8))
+def test_letters_are_told_from_numbers(text):
+    assert langid.has_letter(text) == any(c.isalpha() for c in text)
