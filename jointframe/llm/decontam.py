@@ -7,26 +7,37 @@ of the benchmark; every benchmark suffix is looked up in it by binary search
 for its window of ``WINDOW`` words (an item of fewer words is one window).
 Neighbouring windows on one diagonal are joined into longest verbatim matches.
 
-The benchmark is sent to the tasks in blocks of bounded size; documents pass
-the blocks one after the other, so neither side has to fit in memory whole.
+The benchmark is cut into blocks of bounded size by a Spark job, whose files
+the executors fetch; a task holds one block at a time against a run of its
+documents, so neither side passes the driver or has to fit in memory whole.
+Only one item is never divided.
 
 Null texts have no words and are clean; so are empty tables and benchmarks.
-Items with a null id or no words are not looked for, items with equal ids
-count once. Repeated rows are judged alike; extra columns pass through.
+Items without words are not looked for; items with equal ids count once. Words
+of an item with a null id are hit like those of others, but the item has no
+name to be counted by: it is in neither n_items nor items_sha256. Very long
+texts are searched whole, each in a slice of its own. Repeated rows are judged
+alike; extra columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jointframe.llm.common import columns_of, ranges, slices, small_batches, unused
+from jointframe.llm.common import SLICE_BYTES, columns_of, gathered, ranges, slices, small_batches, unused
+from jointframe.session import durable
 
 WINDOW = 13
 #: Words of the benchmark that a task holds at a time.
@@ -41,18 +52,21 @@ def words_of(text: str | None) -> list[bytes]:
 class Block:
     """Items of one block: the vocabulary and the distinct windows in sort order."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.names = sorted({name for name, _ in items})
+        self.names: list[str | None] = sorted({name for name, _ in items if name is not None})
         rank = {n: i for i, n in enumerate(self.names)}
         found: dict[bytes, list[tuple[int, int]]] = {}
         self.width = window * 4
         for name, words in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], ">u4").tobytes()
             k = min(window, len(words))
+            if name is None:
+                self.names.append(None)
+            own = len(self.names) - 1 if name is None else rank[name]
             for q in range(len(words) - k + 1):
-                found.setdefault(ids[4 * q : 4 * (q + k)], []).append((rank[name], q))
+                found.setdefault(ids[4 * q : 4 * (q + k)], []).append((own, q))
         keys = sorted(found)
         self.low = np.array(keys, f"S{self.width}")
         self.high = np.array([k + b"\xff" * (self.width - len(k)) for k in keys], f"S{self.width}")
@@ -86,20 +100,27 @@ class Block:
         return window, start[order[ranges(lo, hi - lo)]]
 
 
-def read_blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark in blocks of about ``most`` words, read one partition at a time."""
-    items, n = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    for row in rows.toLocalIterator():
-        words = words_of(row.text)
-        if words:
-            items.append((row.item_id, words))
-            n += len(words)
-        if n >= most:
-            yield Block(items, window)
-            items, n = [], 0
-    if items:
-        yield Block(items, window)
+def block_files(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> tuple[list[str], int]:
+    """The benchmark in blocks of about ``most`` words, built in tasks: the files they were written to, and how many blocks."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    words = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0
+    n = max(1, math.ceil(words / most))
+
+    def build(items: pd.DataFrame) -> pd.DataFrame:
+        cut = [(name, words_of(text)) for name, text in zip(items["item_id"], items["text"], strict=True)]
+        block = Block([(None if pd.isna(name) else name, words) for name, words in cut if words], window)
+        return pd.DataFrame({"block": [pickle.dumps(block)]})
+
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return list(durable(rows.groupBy(part.alias("part")).applyInPandas(build, "block binary")).inputFiles()), n
+
+
+def _read_blocks(names: list[str]) -> Iterator[Block]:
+    """The blocks of files that the executor has fetched, one at a time."""
+    for name in names:
+        for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(batch_size=1):
+            for block in batch.column(0):
+                yield pickle.loads(block.as_py())
 
 
 _FOUND = T.StructType([
@@ -150,29 +171,41 @@ def _find(block: Block, texts: list[str | None]) -> list[dict]:
     return out
 
 
+#: Bytes of text that meet one block after the other when there are several.
+_RUN_BYTES = 8 * SLICE_BYTES
+
+
+def _both(a: dict, b: dict) -> dict:
+    """What two blocks have found in one text."""
+    return {"n_words": a["n_words"], "hits": sorted({*a["hits"], *b["hits"]}), "matches": a["matches"] + b["matches"]}
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, name: str = "__found") -> DataFrame:
     """The documents' columns and, under a name that must be free, n_words, hit word places, longest matches (item_id, item_start, doc_start, length in words)."""
     spark = docs.sparkSession
     small_batches(spark)
+    files, n_blocks = block_files(benchmark, window, block_words)
+    for file in files:
+        spark.sparkContext.addFile(file)
+    names = [file.rsplit("/", 1)[-1] for file in files]
     schema = T.StructType([*docs.schema.fields, T.StructField(name, _FOUND)])
     i = docs.columns.index(text)
-    out, first = docs, True
-    for block in [*read_blocks(benchmark, window, block_words)] or [Block([], window)]:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text):
-                found = _find(shared.value, batch.column(i).to_pylist())
-                columns = batch.columns
-                if not first:
-                    for new, old in zip(found, columns[-1].to_pylist(), strict=True):
-                        new["hits"] = sorted({*new["hits"], *old["hits"]})
-                        new["matches"] += old["matches"]
-                    columns = columns[:-1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _FOUND_ARROW)], names=schema.names)
-
-        out, first = out.mapInArrow(run, schema), False
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = Block([], window)
+        # With one block it stays; with more, each is read again for every run of documents, so runs are longer.
+        kept = (list(_read_blocks(names)) or [empty]) if n_blocks == 1 else None
+        for run_of_docs in slices(batches, text) if kept else gathered(batches, text, _RUN_BYTES):
+            pieces = list(slices([run_of_docs], text))
+            found: list[list[dict]] = [[] for _ in pieces]
+            for block in kept or _read_blocks(names):
+                for j, piece in enumerate(pieces):
+                    new = _find(block, piece.column(i).to_pylist())
+                    found[j] = [_both(a, b) for a, b in zip(found[j], new, strict=True)] if found[j] else new
+            for piece, rows in zip(pieces, found, strict=True):
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(rows, _FOUND_ARROW)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 #: Contaminated: at least one word in 20 is hit.
@@ -182,7 +215,7 @@ ONE_IN = 20
 def verdicts(found: DataFrame) -> DataFrame:
     """``__found`` replaced by its digest: n_words, n_hit, n_items, items_sha256, contaminated."""
     own = [F.col(f"`{c}`") for c in found.columns if c != "__found"]
-    items = F.array_sort(F.array_distinct("__found.matches.item_id"))
+    items = F.array_sort(F.array_compact(F.array_distinct("__found.matches.item_id")))
     n_words, n_hit = F.col("__found.n_words"), F.size("__found.hits").cast("long")
     return found.select(
         *own, n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
@@ -209,6 +242,6 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str |
                 for p in range(len(words) - k + 1):
                     if words[p : p + k] == other[q : q + k]:
                         hit.update(range(p, p + k))
-                        names.add(name)
+                        names |= {name} - {None}
         out.append((doc_id, len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and ONE_IN * len(hit) >= len(words)))
     return out
