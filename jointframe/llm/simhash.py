@@ -267,15 +267,19 @@ def _distinct_then(run):
     return both
 
 
-def group_documents(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``prints`` (doc_id, __fp) with ``__root``, the component, and ``component_id``, its least doc_id."""
+def group_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(__f, __root, component_id): each distinct fingerprint of ``prints`` (doc_id, __fp), its component and that one's least doc_id."""
     distinct = durable(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp"), radius))
     known = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = durable(known)
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = known.select("fp", "root").join(least, "root").select(F.col("fp").alias("__f"), F.col("root").alias("__root"), "component_id")
-    return prints.join(table, prints["__fp"] == F.col("__f"), "left").drop("__f")
+    return known.select("fp", "root").join(least, "root").select(F.col("fp").alias("__f"), F.col("root").alias("__root"), "component_id")
+
+
+def group_documents(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``prints`` (doc_id, __fp) with ``__root``, the component, and ``component_id``, its least doc_id."""
+    return prints.join(group_fingerprints(prints, radius), prints["__fp"] == F.col("__f"), "left").drop("__f")
 
 
 def hex_of(fp: Column) -> Column:
@@ -288,11 +292,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each component, that of the least doc_id, with all columns."""
-    fp, f, root, least = unused(docs.columns, "__fp", "__f", "__root", "__least")
+    """One row of each component, that of the least doc_id, with all columns.
+
+    Of rows that share this doc_id, the one with the least text digest stays;
+    of those with one text too, the one whose row is least as JSON.
+    """
+    fp, f, root, least, row, rank = unused(docs.columns, "__fp", "__f", "__root", "__least", "__row", "__rank")
     marked = durable(with_fingerprint(docs, text, name=fp))
-    table = group_documents(marked.select("doc_id", F.col(fp).alias("__fp"))).groupBy("__fp").agg(F.first("__root").alias(root), F.first("component_id").alias(least))
-    table = table.withColumnRenamed("__fp", f)
+    table = group_fingerprints(marked.select("doc_id", F.col(fp).alias("__fp"))).toDF(f, root, least)
     # By document and fingerprint, so that copies are no hot key.
     kept = marked.join(table, (F.col(fp) == F.col(f)) & F.col("doc_id").eqNullSafe(F.col(least)))
-    return kept.dropDuplicates([root]).select(*columns_of(docs))
+    whole = F.struct(*columns_of(docs))
+    ties = kept.select(root, whole.alias(row), F.struct(F.sha2(F.col(f"`{text}`").cast("binary"), 256), F.sha2(F.to_json(whole), 256)).alias(rank))
+    return ties.groupBy(root).agg(F.min_by(row, rank).alias(row)).select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
