@@ -262,6 +262,12 @@ def factories_with_all(tags: DataFrame, wanted: Sequence[str]) -> DataFrame:
     )
 
 
+def usages_of_factories(tags: DataFrame, generator: str = "generator") -> DataFrame:
+    """(factory, tag): all tags of each factory of ``tags`` and the tag that names the factory itself."""
+    own = tags.select("factory").distinct().select("factory", F.concat(F.lit(f"{generator}:"), F.col("factory").cast("string")).alias("tag"))
+    return tags.select("factory", "tag").distinct().unionByName(own)
+
+
 def merge_rules(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """Rules of both tables; those of the first win."""
     return first.unionByName(second.join(first.select(key), key, "left_anti"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jointframe import fixed
 from jointframe.functions import linalg as la
 from jointframe.functions import stats as st
 from jointframe.plans.ordered import asof, neighbours, ranked
@@ -304,10 +305,18 @@ def box_views(corners: DataFrame, cams: DataFrame, keys: Sequence[str], box: Seq
     return rows.join(front, [*keys, *box], "left_semi")
 
 
-def faces_camera(q: Sequence[Sequence[Column]]) -> Column:
-    """Sign of a projected face from its first three corners."""
+def face_turn(q: Sequence[Sequence[Column]]) -> Column:
+    """Cross product of the edges from the first corner of a projected face to the second and third."""
     (ax, ay), (bx, by), (cx, cy) = q
-    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) > 0
+    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
+
+def box_faces(views: DataFrame, box: Sequence[str]) -> DataFrame:
+    """(box…, face, facing) from the projected corners (box…, corner, u, v), in whole pixels; a face seen edge-on does not face."""
+    at = [F.max(F.when(F.col("corner") == k, F.struct(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")))).alias(f"_c{k}") for k in range(8)]
+    seen = [face_turn([(F.col(f"_c{k}.u"), F.col(f"_c{k}.v")) for k in face[:3]]) * sign < 0 for face, sign in zip(fixed.BOX_FACES, fixed.BOX_SIGNS, strict=True)]
+    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("face"), c.alias("facing")) for i, c in enumerate(seen)])
+    return views.groupBy(*box).agg(*at).select(*box, F.inline(rows))
 
 
 # -- tags, identity, tracks ---------------------------------------------------------------
@@ -381,6 +390,19 @@ def clean_tracks(points: DataFrame, ident: Sequence[str], values: Sequence[str])
     return points.join(broken, list(ident), "left_anti")
 
 
+def grid_tracks(steps: DataFrame, keys: Sequence[str], height: int, width: int, side: int = fixed.TRACK_GRID, margin: int = fixed.TRACK_MARGIN) -> DataFrame:
+    """(keys…, gy, gx, frame, x, y): tracks that start on an even grid of ``side`` by ``side`` points of an image.
+
+    ``steps`` is (keys…, frame, row, col, dx, dy) with twice the image's resolution in row and col. Tracks without
+    a number in some frame leave as a whole. The grid has side² rows whatever the data.
+    """
+    def at(size: int) -> list[int]:
+        return [int(margin + i / (side - 1) * (size - 2 * margin)) for i in range(side)]
+    grid = steps.sparkSession.createDataFrame([(y, x, 2 * y, 2 * x) for y in at(height) for x in at(width)], "gy long, gx long, row long, col long")
+    placed = steps.join(F.broadcast(grid.distinct()), ["row", "col"]).select(*keys, "gy", "gx", "frame", (F.col("gx") + F.col("dx")).alias("x"), (F.col("gy") + F.col("dy")).alias("y"))
+    return clean_tracks(placed, [*keys, "gy", "gx"], ["x", "y"])
+
+
 def block_size(folders: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys…, first, last, block): frame bounds and the step between the first two frame folders."""
     w = Window.partitionBy(*keys).orderBy("frame")

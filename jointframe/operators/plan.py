@@ -79,6 +79,19 @@ def completeness(jobs: DataFrame, files: DataFrame, keys: Sequence[str], expecte
     return out.withColumn("complete", F.col("n_videos") >= expected)
 
 
+def named_views_complete(folders: DataFrame, files: DataFrame, keys: Sequence[str], views: Sequence[str] = fixed.RENDER_VIEWS, variants: Sequence[str] = fixed.RENDER_VARIANTS) -> DataFrame:
+    """Folders (keys…) with the number of wanted ``<view>_<variant>.mp4`` they hold and whether that is all of them.
+
+    ``files`` is (keys…, name); a name twice counts once, other names do not. Without variants every folder is complete.
+    """
+    wanted = [f"{view}_{variant}.mp4" for view in views for variant in variants]
+    # One bit a name, so that partial aggregation needs no set of names.
+    bit = F.coalesce(*[F.when(F.col("name") == name, F.lit(1 << i)) for i, name in enumerate(wanted)], F.lit(0)).cast("bigint")
+    held = files.groupBy(*keys).agg(F.bit_count(F.bit_or(bit)).cast("bigint").alias("n_files"))
+    out = folders.select(*keys).distinct().join(held, list(keys), "left").withColumn("n_files", F.coalesce("n_files", F.lit(0).cast("bigint")))
+    return out.withColumn("complete", F.col("n_files") == len(wanted))
+
+
 def pending(jobs: DataFrame, files: DataFrame, keys: Sequence[str], expected: int = fixed.EXPECTED_VIEWS) -> DataFrame:
     """Jobs that are not finished yet."""
     done = completeness(jobs, files, keys, expected).where("complete").select(*keys, "mode")

@@ -276,6 +276,26 @@ def gpu_inventory(nodes: DataFrame, partitions: Sequence[str]) -> DataFrame:
     return nodes.groupBy("gpu").pivot("partition", list(partitions)).agg(F.sum("n_gpu")).na.fill(0)
 
 
+def node_lines(lines: DataFrame) -> DataFrame:
+    """(node, partition, gres, total_mb) with gpu and n_gpu, null where the node has none, and n_cpus, the total after the last slash."""
+    def group(pattern: str, i: int) -> Column:
+        return F.nullif(F.regexp_extract("gres", f"^(?:{pattern})$", i), F.lit(""))
+    return lines.select("node", "partition", "total_mb", group(fixed.GRES_GPU, 1).alias("gpu"),
+                        group(fixed.GRES_GPU, 2).cast("bigint").alias("n_gpu"), group(fixed.GRES_CPUS, 1).cast("bigint").alias("n_cpus"))
+
+
+def nodes_with(nodes: DataFrame, gpus: Sequence[str] | None = None) -> DataFrame:
+    """(gpu, node) once each, of the given types or of all; rows of the partition of all nodes do not count."""
+    own = nodes.where((F.col("partition") != "all") & F.col("gpu").isNotNull())
+    return (own if gpus is None else own.where(F.col("gpu").isin(*gpus))).select("gpu", "node").distinct()
+
+
+def memory_per_cpu(nodes: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """(node, gb): whole gigabytes a processor of the nodes in shared partitions; the largest if lines differ, null without processors."""
+    gb = F.try_divide(F.col("total_mb") / 1024, F.col("n_cpus")).cast("bigint")
+    return nodes.where(F.col("partition").isin(*shared)).groupBy("node").agg(F.max(gb).alias("gb"))
+
+
 def run_totals(jobs: DataFrame) -> DataFrame:
     """Scenes, succeeded scenes and generation time (coarse + populate + fine) per run."""
     made = F.col("stage").isin("coarse", "populate", "fine")

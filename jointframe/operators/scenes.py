@@ -573,15 +573,59 @@ def capped_candidates(objects: DataFrame, forbidden: DataFrame, limit: int) -> D
     return free.withColumn("rn", F.row_number().over(Window.partitionBy("scene").orderBy("obj")).cast("bigint")).where(F.col("rn") <= limit)
 
 
-def palette(pixels: DataFrame, colours: int, seed: int = 0) -> DataFrame:
-    """(component, weight, mean, cov) of a colour mixture over h, s, v pixels, heaviest first."""
+def cholesky(cov: Sequence[Sequence[float]]) -> list[list[float]]:
+    """Lower factor of a small positive semi-definite matrix; a direction without spread gives a zero column."""
+    n = len(cov)
+    low = [[0.0] * n for _ in range(n)]
+    for j in range(n):
+        low[j][j] = math.sqrt(max(cov[j][j] - sum(v * v for v in low[j][:j]), 0.0))
+        for i in range(j + 1, n):
+            rest = cov[i][j] - sum(low[i][k] * low[j][k] for k in range(j))
+            low[i][j] = rest / low[j][j] if low[j][j] > 0 else 0.0
+    return low
+
+
+_PALETTE = "component int, weight double, mean array<double>, cov array<array<double>>, chol array<array<double>>, log_likelihood double, rounds int, converged boolean"
+
+
+def palette(pixels: DataFrame, colours: int, seed: int = 0, rounds: int = 20) -> DataFrame:
+    """Colour mixture over h, s, v pixels: one row a component, numbered from the heaviest.
+
+    With each its weight, mean, covariance and the lower Cholesky factor of it, which ``palette_colour`` draws with;
+    the fit's log-likelihood, its number of rounds and whether it settled before the last allowed one. Pixels with a
+    null are left out; without pixels there is no row. The model has ``colours`` rows, so it passes the driver.
+    """
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=["h", "s", "v"], outputCol="features").transform(pixels)
-    model = GaussianMixture(k=colours, seed=seed, maxIter=20).fit(data)
     spark = pixels.sparkSession
-    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.weights)], "component int, weight double")
-    shapes = model.gaussiansDF.withColumn("_id", F.monotonically_increasing_id())
-    shapes = ranked(shapes.select("_id", F.col("mean").cast("string").alias("mean"), F.col("cov").cast("string").alias("cov")), [], ["_id"]).withColumn("component", (F.col("rn") - 1).cast("int"))
-    return weights.join(shapes.select("component", "mean", "cov"), "component").orderBy(F.desc("weight"))
+    whole = pixels.select("h", "s", "v").dropna()
+    if whole.isEmpty():
+        return spark.createDataFrame([], _PALETTE)
+    model = GaussianMixture(k=colours, seed=seed, maxIter=rounds).fit(VectorAssembler(inputCols=["h", "s", "v"], outputCol="features").transform(whole))
+    fit = model.summary
+    shapes = sorted(zip(model.weights, model.gaussians, strict=True), key=lambda x: (-x[0], x[1].mean.toArray().tolist()))
+    rows = []
+    for i, (weight, shape) in enumerate(shapes):
+        cov = shape.cov.toArray().tolist()
+        rows.append((i, float(weight), shape.mean.toArray().tolist(), cov, cholesky(cov), float(fit.logLikelihood), fit.numIter, fit.numIter < rounds))
+    return spark.createDataFrame(rows, _PALETTE)
+
+
+def mixture_moments(mixture: DataFrame) -> DataFrame:
+    """One row of total weight, means and covariances (m0.., c00, c01..) of a whole mixture, from weights, means and Cholesky factors.
+
+    Right after a fit these are the moments of the data, whatever the components are.
+    """
+    def mean(i: int) -> Column:
+        return F.col("mean")[i]
+
+    def cov(i: int, j: int) -> Column:
+        return reduce(lambda a, b: a + b, [F.col("chol")[i][k] * F.col("chol")[j][k] for k in range(3)])
+
+    def total(c: Column) -> Column:
+        return F.sum(F.col("weight") * c)
+
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    return mixture.agg(F.sum("weight").alias("weight"), *[total(mean(i)).alias(f"m{i}") for i in range(3)],
+                       *[(total(cov(i, j) + mean(i) * mean(j)) - total(mean(i)) * total(mean(j))).alias(f"c{i}{j}") for i, j in pairs])

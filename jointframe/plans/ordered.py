@@ -65,7 +65,20 @@ def running_sum(
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
     """Row number 1.. inside each key."""
-    return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")})
+    return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}) if keys else _numbered(df, order, name)
+
+
+def _numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Row number 1.. over all rows by one exchange: blocks are sorted before they are written, with each row's place."""
+    cut = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    # The low 33 bits count the rows of a partition as they come, the others are its number.
+    rows = durable(cut.withColumn("_id", F.monotonically_increasing_id()))
+    block = F.shiftright("_id", 33)
+    ends = rows.groupBy(block.alias("_blk")).agg(F.count("*").alias("_n"))
+    base = ends.select("_blk", F.coalesce(F.sum("_n").over(_across([]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    # A row for each partition of the exchange, so its size does not grow with the data.
+    placed = rows.withColumn("_blk", block).join(F.broadcast(base), "_blk")
+    return placed.withColumn(name, F.col("_b") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_blk", "_b", "_id")
 
 
 def neighbours(

@@ -283,6 +283,13 @@ def usage_division(t: Tables) -> DataFrame:
     return cat.factories_with_all(tags, ["SMALL", "LARGE"])
 
 
+@query("J19", f"""
+SELECT DISTINCT obj AS factory, factory AS tag FROM {P} UNION ALL SELECT DISTINCT obj, concat('generator:', CAST(obj AS STRING)) FROM {P}""")
+def factory_usages(t: Tables) -> DataFrame:
+    """Reverse lookup: the part types of every object and its generator tag."""
+    return cat.usages_of_factories(ad.parts(t).select(F.col("obj").alias("factory"), F.col("factory").alias("tag")))
+
+
 @query("J01 P05", f"""
 SELECT j.obj, j.joint, p.label, p.name FROM {ad.joints.sql} j JOIN {P} p
   ON p.obj = j.obj AND (p.label = j.label OR p.label = (j.label + 1) % 8) WHERE j.type <> 'fixed'""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jointframe import adapters as ad
+from jointframe import fixed
 from jointframe.functions import scalar as sc
 from jointframe.operators import catalog as cat
 from jointframe.operators import geometry as geo
@@ -253,6 +254,22 @@ def box_projection(t: Tables) -> DataFrame:
     return out.select("scene", "obj", "corner", "frame", *rounded(["u", "v"], 4))
 
 
+@query("X23", f"""
+WITH b AS (SELECT obj, {BOX_SQL} FROM {V} GROUP BY obj),
+c AS (SELECT obj % (SELECT count(*) FROM supplier) + 1 AS scene, obj, CAST(k AS BIGINT) AS corner, {", ".join(f"(CASE WHEN (k >> {i}) & 1 = 1 THEN hi_{a} ELSE lo_{a} END) / 10 + {2 * (a == 'z')} AS {a}" for i, a in enumerate(geo.AXES))} FROM b, range(8) r(k)),
+v AS (SELECT q.scene, q.obj, q.corner, m.frame, c * (x - tx) - s * z AS qx, y - 0.5 AS qy, s * (x - tx) + c * z AS qz FROM c q JOIN {CAM} m USING (scene)),
+n AS (SELECT *, min(qz) OVER (PARTITION BY scene, obj, frame) AS near FROM v),
+p AS (SELECT scene, obj, frame, corner, trunc(round(8 * qx / qz + 3.5, 4)) AS u, trunc(round(8 * qy / qz + 3.5, 4)) AS v FROM n WHERE near > 0),
+f AS (SELECT * FROM (VALUES {values([(i, *face[:3], sign) for i, (face, sign) in enumerate(zip(fixed.BOX_FACES, fixed.BOX_SIGNS))])}) f(face, a, b, c, sign))
+SELECT p.scene, p.obj, p.frame, CAST(face AS BIGINT) AS face, ((q.u - p.u) * (r.v - p.v) - (q.v - p.v) * (r.u - p.u)) * sign < 0 AS facing
+FROM f JOIN p ON p.corner = a JOIN p q ON (q.scene, q.obj, q.frame, q.corner) = (p.scene, p.obj, p.frame, b) JOIN p r ON (r.scene, r.obj, r.frame, r.corner) = (p.scene, p.obj, p.frame, c)""")
+def box_facing(t: Tables) -> DataFrame:
+    """Which of the six faces of every projected box turn towards the camera."""
+    box = geo.corners(geo.boxes(ad.vertices(t), ["obj"])).select((F.col("obj") % t.supplier.count() + 1).alias("scene"), "obj", "corner", *[(F.col(a) / 10 + 2 * (a == "z")).alias(a) for a in geo.AXES])
+    views = px.box_views(box, cameras(t), ["scene"], ["obj", "frame"])
+    return px.box_faces(views.withColumns({c: F.round(c, 4) for c in ("u", "v")}), ["scene", "obj", "frame"])
+
+
 @query("X25 X26", f"""
 WITH h AS (SELECT DISTINCT object_id, scene, ({hash_sql("scene * 10 + object_id")} % 360) / CAST(360 AS DOUBLE) AS h FROM {FR}),
 k AS (SELECT *, h * 6 AS a, (5 + h * 6) - 6 * floor((5 + h * 6) / 6) AS k5, (3 + h * 6) - 6 * floor((3 + h * 6) / 6) AS k3, (1 + h * 6) - 6 * floor((1 + h * 6) / 6) AS k1 FROM h)
@@ -351,6 +368,20 @@ def clean_tracks(t: Tables) -> DataFrame:
     return px.clean_tracks(rows, ["track"], ["value"])
 
 
+_STEP = """SELECT l_suppkey % 50 AS scene, CAST(l_linenumber AS BIGINT) AS frame, CAST(l_orderkey % 128 AS BIGINT) AS "row", CAST(l_partkey % 128 AS BIGINT) AS col,
+  max(CASE WHEN l_quantity >= 49 THEN NULL ELSE CAST(l_quantity AS DOUBLE) / 8 END) AS dx, CAST(min(l_suppkey) AS DOUBLE) / 4 AS dy FROM lineitem GROUP BY 1, 2, 3, 4"""
+
+
+@query("W13", f"""
+WITH s AS ({_STEP}), g AS (SELECT DISTINCT CAST(trunc(8 + i / CAST(31 AS DOUBLE) * 48) AS BIGINT) AS at FROM range(32) r(i)),
+p AS (SELECT scene, y.at AS gy, x.at AS gx, frame, x.at + dx AS x, y.at + dy AS y FROM s JOIN g y ON s."row" = 2 * y.at JOIN g x ON s.col = 2 * x.at)
+SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.scene = p.scene AND q.gy = p.gy AND q.gx = p.gx AND q.x IS NULL)""")
+def grid_tracks(t: Tables) -> DataFrame:
+    """Tracks that start on the grid of 32 by 32 points and have a position in every frame."""
+    steps = t.spark.sql(_STEP.replace('"row"', "`row`").replace("FROM lineitem", "FROM {lines}"), lines=t.lineitem)
+    return px.grid_tracks(steps, ["scene"], 64, 64)
+
+
 @query("W16", """
 WITH d AS (SELECT DISTINCT o_custkey AS scene, o_orderkey AS frame FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY frame) AS rn FROM d)
 SELECT scene, min(frame) AS first, max(frame) AS last, max(frame) FILTER (rn <= 2) - min(frame) AS block FROM r GROUP BY scene""")

@@ -107,6 +107,19 @@ def output_completeness(t: Tables) -> DataFrame:
     return pl.completeness(*_files(t), ["obj"], expected=2)
 
 
+_VIEW_FILE = """concat(CASE l_linenumber % 4 WHEN 0 THEN 'front' WHEN 1 THEN 'side' WHEN 2 THEN 'back' ELSE 'threequarter' END,
+  CASE WHEN l_suppkey % 3 = 0 THEN '_bg' WHEN l_suppkey % 3 = 1 THEN '_nobg' ELSE '_raw' END, '.mp4')"""
+
+
+@query("A12", f"""
+WITH f AS (SELECT DISTINCT l_partkey AS obj, {_VIEW_FILE} AS name FROM lineitem),
+n AS (SELECT obj, count(*) AS n FROM f WHERE name NOT LIKE '%!_raw.mp4' ESCAPE '!' GROUP BY obj)
+SELECT p_partkey AS obj, CAST(coalesce(n, 0) AS BIGINT) AS n_files, coalesce(n, 0) = 8 AS complete FROM part LEFT JOIN n ON obj = p_partkey""")
+def named_view_completeness(t: Tables) -> DataFrame:
+    """Folders that hold all four named views with and without background."""
+    return pl.named_views_complete(t.part.select(F.col("p_partkey").alias("obj")), t.lineitem.selectExpr("l_partkey AS obj", f"{_VIEW_FILE} AS name"), ["obj"])
+
+
 @query("P35", f"WITH {_DONE} SELECT j.obj, j.mode FROM j WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.obj = j.obj AND c.mode = j.mode AND n_videos >= 2)")
 def plan_minus_done(t: Tables) -> DataFrame:
     return pl.pending(*_files(t), ["obj"], expected=2)

@@ -117,6 +117,31 @@ def inventory_pivot(t: Tables) -> DataFrame:
     return runs.gpu_inventory(rows, TYPES)
 
 
+_NODES = """SELECT DISTINCT concat('node', CAST(l_suppkey AS STRING)) AS node,
+  CASE l_linenumber % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'own' WHEN 2 THEN 'lent' ELSE 'guests' END AS "partition",
+  concat('1/2/0/', CAST(l_suppkey % 60 + 4 AS STRING), CASE WHEN l_suppkey % 5 = 0 THEN '(null)' ELSE concat('gpu:rtx_', CAST(l_suppkey % 7 AS STRING), ':', CAST(l_suppkey % 8 + 1 AS STRING), '(S:0-1)') END) AS gres,
+  64000 + l_suppkey * 1000 AS total_mb FROM lineitem WHERE l_suppkey % 3 > 0 OR l_linenumber % 4 = 0"""
+_NODE_GROUPS = """g AS (SELECT *, regexp_extract(gres, '^.*gpu:([^:]+):([0-9]+).*$', 1) AS gpu, regexp_extract(gres, '^.+/([0-9]+)[^/]+$', 1) AS cpus FROM n)"""
+
+
+def _nodes(t: Tables) -> DataFrame:
+    return runs.node_lines(t.spark.sql(_NODES.replace('"partition"', "`partition`").replace("FROM lineitem", "FROM {lines}"), lines=t.lineitem))
+
+
+@query("A22", f"""
+WITH n AS ({_NODES}), {_NODE_GROUPS} SELECT DISTINCT gpu, node FROM g WHERE "partition" <> 'all' AND gpu <> ''""")
+def gpu_nodes(t: Tables) -> DataFrame:
+    """The nodes of each GPU type."""
+    return runs.nodes_with(_nodes(t))
+
+
+@query("A22", f"""
+WITH n AS ({_NODES}), {_NODE_GROUPS} SELECT node, max(CAST(trunc(total_mb / 1024.0 / CAST(cpus AS BIGINT)) AS BIGINT)) AS gb FROM g WHERE "partition" IN ('own', 'lent') GROUP BY node""")
+def node_memory(t: Tables) -> DataFrame:
+    """Memory a processor of the nodes in shared partitions."""
+    return runs.memory_per_cpu(_nodes(t), ["own", "lent"])
+
+
 @query("J26 S23", f"""
 SELECT j.job_id, coalesce(n.part, 'none') AS part FROM {JB} j LEFT JOIN (SELECT concat('node', CAST(s_suppkey AS STRING)) AS node, concat('p', CAST(s_nationkey AS STRING)) AS part FROM supplier) n USING (node)""")
 def job_partition(t: Tables) -> DataFrame:

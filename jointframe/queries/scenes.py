@@ -527,6 +527,19 @@ def colour_palette(t: Tables) -> DataFrame:
     return sn.palette(hsv, 3).select("component", F.round("weight", 3).alias("weight"))
 
 
+_SHADES = [("depth / 50", "h"), ("shade", "s"), ("object_id / 7", "v")]
+
+
+@query("A46", f"""
+WITH p AS (SELECT depth / CAST(50 AS DOUBLE) AS a0, CAST(shade AS DOUBLE) AS a1, object_id / CAST(7 AS DOUBLE) AS a2 FROM {ad.fragments.sql})
+SELECT CAST(1 AS DOUBLE) AS weight, {", ".join(f"round(avg(a{i}), 6) AS m{i}" for i in range(3))}, {", ".join(f"round(covar_pop(a{i}, a{j}), 6) + 0.0 AS c{i}{j}" for i in range(3) for j in range(i, 3))} FROM p""")
+def colour_moments(t: Tables) -> DataFrame:
+    """Moments of the fitted colour mixture, rebuilt from weights, means and Cholesky factors; they are those of the pixels."""
+    hsv = ad.fragments(t).select(*[F.expr(e).alias(n) for e, n in _SHADES])
+    out = sn.mixture_moments(sn.palette(hsv, 3))
+    return out.select(*[(F.round(c, 6) + 0.0).alias(c) for c in out.columns])
+
+
 # -- scalar expressions -------------------------------------------------------------------
 
 @query("X30 X18 X17 X16 X08", f"""

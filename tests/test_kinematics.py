@@ -140,3 +140,23 @@ def test_tilted_axis_angle(spark):
     r = mu.with_tilted_axis(df, [F.col(f"ax{i}") for i in range(3)]).first()
     a, d = np.array([r.ax0, r.ax1, r.ax2]), np.array([r.d0, r.d1, r.d2])
     assert a @ d / np.linalg.norm(a) == pytest.approx(np.cos(np.pi / 4)) and np.linalg.norm(d) == pytest.approx(1)
+
+
+def test_box_faces_show_one_side_of_each_pair(spark):
+    from jointframe.operators import pixels as px
+
+    corners = [(1, k, 10.2 * (k & 1) + 2.5 * (k >> 2), 10.2 * (k >> 1 & 1) + 1.5 * (k >> 2)) for k in range(8)]
+    flat = [(2, k, 0.0, float(k & 1)) for k in range(8)]
+    df = spark.createDataFrame(corners + flat, "box long, corner long, u double, v double")
+    got = {(r.box, r.face): r.facing for r in px.box_faces(df, ["box"]).collect()}
+    assert [got[1, f] for f in range(6)] == [True, False, False, True, False, True]
+    assert not any(got[2, f] for f in range(6))
+
+
+def test_grid_tracks_drop_broken_tracks_whole(spark):
+    from jointframe.operators import pixels as px
+
+    steps = [(1, f, y, x, 0.5 * f, float("nan") if (y, x, f) == (16, 16, 2) else 1.0) for f in (1, 2) for y in range(0, 80, 2) for x in range(0, 80, 2)]
+    got = px.grid_tracks(spark.createDataFrame(steps, "scene long, frame long, row long, col long, dx double, dy double"), ["scene"], 40, 40, side=3).collect()
+    assert {(r.gy, r.gx) for r in got} == {(y, x) for y in (8, 20, 32) for x in (8, 20, 32)} - {(8, 8)} and len(got) == 16
+    assert {(r.x, r.y) for r in got if (r.gy, r.gx, r.frame) == (20, 32, 2)} == {(33.0, 21.0)}

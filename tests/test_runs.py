@@ -146,3 +146,21 @@ def test_globs_meet_whole_paths(spark):
     assert {tuple(r) for r in runs.retention(files, rules).collect()} == {("a/b.txt", "DELETE"), ("a/b.txt.bak", "uncovered"), ("x.y", "KEEP_MANDATORY")}
     assert [r[0] for r in runs.unmet_mandatory(files, rules).collect()] == ["none"]
     assert runs.unmet_mandatory(files, []).count() == 0
+
+
+def test_node_listing(spark):
+    rows = [("n1", "own", "1/2/0/16gpu:a_1:4(S:0-1)", 65536), ("n1", "all", "1/2/0/16gpu:b:2", 65536), ("n2", "guests", "0/0/0/8gpu:a_1:1", 1000),
+            ("n3", "own", "0/0/0/0(null)", 1000), ("n4", "lent", "0/0/0/12(null)", 40000), ("n5", "all", "0/0/0/8gpu:a_1:1", 1000), (None, "own", None, None)]
+    nodes = runs.node_lines(spark.createDataFrame(rows, "node string, partition string, gres string, total_mb long"))
+    assert {tuple(r) for r in runs.nodes_with(nodes).collect()} == {("a_1", "n1"), ("a_1", "n2")}
+    assert runs.nodes_with(nodes, ["b"]).count() == 0
+    assert {tuple(r) for r in runs.memory_per_cpu(nodes, ["own", "lent"]).collect()} == {("n1", 4), ("n3", None), ("n4", 3), (None, None)}
+
+
+def test_named_views(spark):
+    every = [f"{v}_{w}.mp4" for v in ("front", "side", "back", "threequarter") for w in ("bg", "nobg")]
+    files = [(1, n) for n in every] + [(2, n) for n in every[1:]] + [(2, every[1]), (2, "front_bg.png"), (3, None), (5, every[0])]
+    folders = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 4)], "obj long")
+    df = spark.createDataFrame(files, "obj long, name string")
+    assert {tuple(r) for r in pl.named_views_complete(folders, df, ["obj"]).collect()} == {(1, 8, True), (2, 7, False), (3, 0, False), (4, 0, False)}
+    assert {r.obj for r in pl.named_views_complete(folders, df, ["obj"], variants=["nobg"]).where("complete").collect()} == {1, 2}

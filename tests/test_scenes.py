@@ -218,3 +218,29 @@ def test_statements_meet(spark, other, plain, refused, flipped):
     assert [m for _, m in logic_of(spark, other, [EXAMPLE, negated(EXAMPLE)])] == [plain, flipped]
     assert [m for _, m in logic_of(spark, negated(other), [EXAMPLE])] == [refused]
     assert [m for _, m in logic_of(spark, EXAMPLE, [ANYTHING, NOTHING])] == [True, False] and [m for _, m in logic_of(spark, negated(EXAMPLE), [ANYTHING])] == [True]
+
+
+@pytest.mark.parametrize("cov", [[[4.0, 2.0, 0.5], [2.0, 3.0, 0.1], [0.5, 0.1, 1.0]], [[1.0, 1.0, 0.0], [1.0, 1.0, 0.0], [0.0, 0.0, 0.0]]])
+def test_cholesky_rebuilds_the_covariance(cov):
+    low = np.array(sn.cholesky(cov))
+    assert np.allclose(low @ low.T, cov) and np.allclose(low, np.tril(low))
+
+
+def test_palette_finds_two_colours(spark):
+    rng = np.random.default_rng(4)
+    a = rng.multivariate_normal([0.2, 0.3, 0.4], np.diag([1e-3, 2e-3, 1e-3]), 900)
+    b = rng.multivariate_normal([0.8, 0.7, 0.6], np.diag([1e-3, 1e-3, 3e-3]), 300)
+    both = np.vstack([a, b])
+    df = spark.createDataFrame([*map(tuple, both.tolist()), (None, 0.1, 0.1)], "h double, s double, v double")
+    rows = sn.palette(df, 2, rounds=60).collect()
+    assert [r.component for r in rows] == [0, 1] and rows[0].converged and rows[0].rounds < 60
+    for r, own in zip(rows, (a, b)):
+        assert r.weight == pytest.approx(len(own) / len(both), abs=0.01)
+        assert r.mean == pytest.approx(own.mean(0), abs=0.01) and np.allclose(r.cov, np.cov(own.T, bias=True), atol=1e-3)
+        assert np.allclose(np.array(r.chol) @ np.array(r.chol).T, r.cov)
+    got = sn.mixture_moments(sn.palette(df, 2)).first()
+    cov = np.cov(both.T, bias=True)
+    assert [got.m0, got.m1, got.m2] == pytest.approx(both.mean(0)) and [got.c00, got.c01, got.c12] == pytest.approx([cov[0, 0], cov[0, 1], cov[1, 2]])
+    components = [(r.weight, r.mean, [x for line in r.chol for x in line]) for r in rows]
+    assert spark.range(5).select(*sc.palette_colour(components, F.col("id"))).count() == 5
+    assert sn.palette(df.limit(0), 2).count() == 0
