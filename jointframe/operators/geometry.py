@@ -162,13 +162,14 @@ def _cells(points: DataFrame, size: float, names: Sequence[str]) -> DataFrame:
     return points.withColumns({n: F.floor(F.col(a) / size) for n, a in zip(names, AXES)})
 
 
-def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, threshold: float) -> DataFrame:
-    """Distinct (keys…, a, b) with some points of a and b closer than the threshold.
+def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, threshold: float, only: str = "true") -> DataFrame:
+    """Distinct (keys…, a, b) with some points of a and b closer than the threshold; ``only`` is a condition on keys, a and b.
 
     Points that share a cell with a diagonal below the threshold settle their
     pair: there only cell occupancies meet, never points. All other pairs are
     compared over cells of twice the threshold, each right point in the few
-    cells its ball touches; crowded cells are split by the skew join.
+    cells its ball touches: occupancies of these cells meet first and leave out
+    what is settled, then points of the open pairs meet in their shared cells.
     """
     left = durable(left.select(*keys, a, *AXES))
     right = durable(right.select(*keys, b, *AXES).distinct())
@@ -177,19 +178,24 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b
     settled = (
         _cells(left, fine, cell).select(*keys, a, *cell).distinct()
         .join(_cells(right, fine, cell).select(*keys, b, *cell).distinct(), [*keys, *cell])
-        .select(*keys, a, b).distinct()
+        .where(only).select(*keys, a, b).distinct()
     )
     # A ball of the threshold around a right point touches at most two cells of twice its width per axis.
     wide, spread = 2 * threshold, right.select(*keys, b, *[F.col(x).alias(f"r{x}") for x in AXES])
     for x, c in zip(AXES, cell):
         span = F.sequence(F.floor((F.col(f"r{x}") - threshold) / wide), F.floor((F.col(f"r{x}") + threshold) / wide))
         spread = spread.withColumn(c, F.explode(span))
+    near, far = _cells(left, wide, cell), spread
+    unsettled = (
+        near.select(*keys, a, *cell).distinct()
+        .join(far.select(*keys, b, *cell).distinct(), [*keys, *cell]).where(only)
+        .join(settled, [*keys, a, b], "left_anti")
+    )
     gap = la.sub(xyz(), xyz("r"))
     checked = (
-        _cells(left, wide, cell).join(spread, [*keys, *cell])
+        near.join(unsettled, [*keys, a, *cell]).join(far, [*keys, b, *cell])
         .where(la.dot(gap, gap) < threshold * threshold)
         .select(*keys, a, b).distinct()
-        .join(settled, [*keys, a, b], "left_anti")
     )
     return settled.unionByName(checked)
 

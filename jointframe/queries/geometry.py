@@ -170,7 +170,7 @@ def proximity_pairs(t: Tables) -> DataFrame:
     v = ad.vertices(t).select("obj", "part", *geo.AXES).distinct()
     left = v.select("obj", F.col("part").alias("a"), *geo.AXES)
     right = v.select("obj", F.col("part").alias("b"), *geo.AXES)
-    return geo.near_pairs(left, right, ["obj"], "a", "b", 1.5).where("a < b")
+    return geo.near_pairs(left, right, ["obj"], "a", "b", 1.5, "a < b")
 
 
 @query("O09", f"""

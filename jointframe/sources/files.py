@@ -90,17 +90,15 @@ def decode_arrays(files: DataFrame, keys: list[str]) -> DataFrame:
     """
     def run(batches):
         for pdf in batches:
-            cells = []
+            # One frame at a time leaves the task, so a batch of many frames is never held as pixels.
             for i, content in enumerate(pdf["content"]):
                 data = np.load(io.BytesIO(content), allow_pickle=False)
                 if isinstance(data, np.lib.npyio.NpzFile):
                     data = data["vals"][data["indices"]]
                 data = data.reshape(*data.shape[:2], -1)
                 y, x, c = np.indices(data.shape).reshape(3, -1)
-                cells.append((np.full(y.size, i), y, x, c, data.astype(np.float64).ravel()))
-            if cells:
-                row, y, x, c, value = (np.concatenate(parts) for parts in zip(*cells))
-                yield pdf[keys].iloc[row].reset_index(drop=True).assign(y=y, x=x, c=c, value=value)
+                own = pdf[keys].iloc[np.full(y.size, i)].reset_index(drop=True)
+                yield own.assign(y=y, x=x, c=c, value=data.astype(np.float64).ravel())
 
     schema = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in keys)
     return files.select(*keys, "content").mapInPandas(run, f"{schema}, y bigint, x bigint, c bigint, value double")
