@@ -122,23 +122,70 @@ def joint_value(kind: Column, lower: Column, upper: Column, frame: Column, n_fra
     return F.sin(t * F.pi()) * joint_target(kind, lower, upper)
 
 
+#: Rounds of doubling before frames are multiplied: a row then holds the motions of the last 2^3 joints.
+CHAIN_ROUNDS = 3
+
+
+def joint_chains(links: DataFrame, keys: Sequence[str], motion: Sequence[str], rounds: int = CHAIN_ROUNDS) -> DataFrame:
+    """(keys…, node, up, path): the last 2^rounds joints down to each link, uppermost first; ``up`` is the link above them, null from a root on."""
+    chains = links.select(*keys, "node", "up", F.array(F.struct(*motion)).alias("path"))
+    for _ in range(rounds):
+        if chains.where("up IS NOT NULL").isEmpty():
+            break
+        above = chains.select(*keys, F.col("node").alias("up"), F.col("up").alias("_next"), F.col("path").alias("_path"))
+        longer = F.coalesce(F.concat("_path", "path"), "path").alias("path")
+        chains = durable(chains.join(above, [*keys, "up"], "left").select(*keys, "node", F.col("_next").alias("up"), longer))
+    return chains
+
+
+def _moved(joint: Column, frame: Column, n_frames: int, value) -> tuple[Column, list[Column], list[Column]]:
+    """A joint's turn, axis and shift at a frame."""
+    q = value(joint["type"], joint["lower"], joint["upper"], frame, n_frames)
+    turn = F.when(joint["type"].isin("revolute", "continuous"), q).otherwise(0.0)
+    slide = F.when(joint["type"] == "prismatic", q).otherwise(0.0)
+    axis = la.fields("ax", 3, joint)
+    return turn, axis, la.add(la.fields("o", 3, joint), la.scale(axis, slide))
+
+
 def forward_kinematics(joints: DataFrame, keys: Sequence[str], n_frames: int, value=joint_value) -> DataFrame:
     """World translation t0..t2 and rotation r0..r8 of every link at the frames 1..n.
 
-    Each joint's own motion at each frame is one row; rows of a frame are folded
-    along the tree in rounds of doubled distance. ``value(kind, lower, upper,
-    frame, n)`` may be any Column-valued function.
+    The joints above each link are gathered first, without frames; frames are
+    multiplied last, so none is exchanged or written. Links deeper than a row's
+    joints are folded on in rounds of doubled distance, frame by frame.
+    ``value(kind, lower, upper, frame, n)`` may be any Column-valued function.
     """
     axis = [c.alias(f"ax{i}") for i, c in enumerate(la.normalise(la.fields("ax", 3)))]
-    links = durable(links_of(joints, keys, "type", "lower", "upper", *[f"o{i}" for i in range(3)], *axis))
-    framed = links.withColumn("frame", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_frames).cast("bigint"))))
-    q = value(F.col("type"), F.col("lower"), F.col("upper"), F.col("frame"), n_frames)
-    turns = F.col("type").isin("revolute", "continuous")
-    moved = framed.withColumns({"turn": F.when(turns, q).otherwise(0.0), "slide": F.when(F.col("type") == "prismatic", q).otherwise(0.0)})
-    shift = la.add(la.fields("o", 3), la.scale(la.fields("ax", 3), F.col("slide")))
-    own = [*la.turn_matrix(la.fields("ax", 3), F.cos("turn"), F.sin("turn")), *shift]
-    rows = moved.select(*keys, "frame", "node", "up", *[c.alias(p) for c, p in zip(own, POSE)])
-    return fold_down(rows, [*keys, "frame"], POSE, _chained).withColumnRenamed("node", "link")
+    motion = ["type", "lower", "upper", *[f"o{i}" for i in range(3)], *[f"ax{i}" for i in range(3)]]
+    links = durable(links_of(joints, keys, *motion[:6], *axis))
+    chains = joint_chains(links, keys, motion)
+    deep = chains.where("up IS NOT NULL").select(*keys).distinct()
+    if deep.isEmpty():
+        return _posed_chains(chains, keys, n_frames, value).drop("up").withColumnRenamed("node", "link")
+    # Only trees with a link that deep are folded frame by frame.
+    shallow, below = [chains.join(deep, list(keys), kind) for kind in ("left_anti", "left_semi")] if keys else [chains.limit(0), chains]
+    folded = fold_down(_posed_chains(below, keys, n_frames, value), [*keys, "frame"], POSE, _chained)
+    return _posed_chains(shallow, keys, n_frames, value).drop("up").unionByName(folded).withColumnRenamed("node", "link")
+
+
+def _posed_chains(chains: DataFrame, keys: Sequence[str], n_frames: int, value) -> DataFrame:
+    """(keys…, frame, node, up, pose): the motions of each row's joints at the frames 1..n, folded into one pose."""
+    longest = chains.agg(F.max(F.size("path"))).first()[0] or 1
+    # Frames make many rows of one, so a small table is dealt out to all tasks first.
+    tasks = int(chains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = chains.repartition(tasks, *keys, "node").withColumn("frame", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_frames).cast("bigint"))))
+    # The first joint's pose, then one more joint a step; rows with fewer joints stay as they are.
+    for i in range(longest):
+        turn, ax, shift = _moved(F.get("path", F.lit(i)), F.col("frame"), n_frames, value)
+        rows = rows.withColumns({"_c": F.cos(turn), "_s": F.sin(turn), **{f"_a{k}": c for k, c in enumerate(ax)}, **{f"_t{k}": c for k, c in enumerate(shift)}})
+        own = dict(zip(POSE, [*la.turn_matrix(la.fields("_a", 3), F.col("_c"), F.col("_s")), *la.fields("_t", 3)]))
+        if i == 0:
+            rows = rows.withColumns(own)
+            continue
+        rows = rows.withColumns({f"_own_{p}": c for p, c in own.items()})
+        chained = _chained(F.col, lambda p: F.col(f"_own_{p}"))
+        rows = rows.withColumns({p: F.when(F.size("path") > i, c).otherwise(F.col(p)) for p, c in zip(POSE, chained)})
+    return rows.select(*keys, "frame", "node", "up", *POSE)
 
 
 def frozen_links(edges: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -106,6 +106,27 @@ def test_custom_joint_value(spark):
     assert {(r.frame, r.t2) for r in out} == {(1, 10.0), (2, 20.0)}
 
 
+@pytest.mark.parametrize("length", [4, 21])
+def test_frames_are_multiplied_last(spark, length):
+    from jointframe import session
+
+    rng = np.random.default_rng(7)
+    spec = [(rng.normal(size=3), rng.normal(size=3), float(rng.random())) for _ in range(length)]
+    rows = [joint(f"j{i}", "revolute", "world" if i == 0 else f"l_{i - 1}", f"l_{i}", u, tuple(map(float, a)), tuple(map(float, o))) for i, (a, o, u) in enumerate(spec)]
+    before = len(session._WRITTEN)
+    out = {(r.link, r.frame): np.array([r[p] for p in kin.POSE]) for r in kin.forward_kinematics(spark.createDataFrame(rows, COLS), ["obj"], 9).collect()}
+    assert len(out) == 9 * length
+    for frame in (1, 4, 5, 9):
+        m, v = np.eye(3), np.zeros(3)
+        for i, (a, o, u) in enumerate(spec):
+            x, q = a / np.linalg.norm(a), np.sin((frame - 1) / 8 * np.pi) * u
+            skew = np.array([[0, -x[2], x[1]], [x[2], 0, -x[0]], [-x[1], x[0], 0]])
+            m, v = m @ (np.eye(3) + np.sin(q) * skew + (1 - np.cos(q)) * skew @ skew), v + m @ o
+            assert np.allclose(out[f"l_{i}", frame], [*m.ravel(), *v])
+    if length <= 8:
+        assert all(spark.read.parquet(path).count() <= length for path in session._WRITTEN[before:])
+
+
 def test_normalised_range(spark):
     v = spark.createDataFrame([(1, float(x), float(2 * x), 5.0) for x in range(10)] + [(2, 1.0, 1.0, 1.0)], "obj bigint, x double, y double, z double")
     out = geo.normalise(v, geo.normal_frames(v, ["obj"]), ["obj"]).toPandas()
