@@ -244,3 +244,7 @@ def test_palette_finds_two_colours(spark):
     components = [(r.weight, r.mean, [x for line in r.chol for x in line]) for r in rows]
     assert spark.range(5).select(*sc.palette_colour(components, F.col("id"))).count() == 5
     assert sn.palette(df.limit(0), 2).count() == 0
+
+
+def test_stages_too_long_to_compile_are_split(spark):
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
