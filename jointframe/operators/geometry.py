@@ -162,17 +162,45 @@ def _cells(points: DataFrame, size: float, names: Sequence[str]) -> DataFrame:
     return points.withColumns({n: F.floor(F.col(a) / size) for n, a in zip(names, AXES)})
 
 
+#: Keys with at most so many points on the right are met point by point.
+FEW = 1 << 10
+
+
 def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, threshold: float, only: str = "true") -> DataFrame:
     """Distinct (keys…, a, b) with some points of a and b closer than the threshold; ``only`` is a condition on keys, a and b.
 
-    Points that share a cell with a diagonal below the threshold settle their
+    Points of keys with few points meet in slabs along x, by one exchange of
+    each side; a point then meets ``FEW`` others at most. Keys with more
+    points meet as cells first.
+    """
+    left, right = left.select(*keys, a, *AXES), durable(right.select(*keys, b, *AXES).distinct())
+    large = durable(right.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(*keys))
+    if large.isEmpty():
+        return _near_in_slabs(left, right, keys, a, b, threshold, only)
+    left = durable(left)
+    few, many = [[df.join(large, list(keys), kind) for df in (left, right)] for kind in ("left_anti", "left_semi")]
+    return _near_in_slabs(*few, keys, a, b, threshold, only).unionByName(_near_in_cells(*many, keys, a, b, threshold, only))
+
+
+def _touched(c: str, threshold: float) -> Column:
+    """The slabs of twice the threshold that a ball of it touches, two at most."""
+    return F.explode(F.sequence(*[F.floor((F.col(c) + s * threshold) / (2 * threshold)) for s in (-1, 1)]))
+
+
+def _near_in_slabs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, threshold: float, only: str) -> DataFrame:
+    spread = right.select(*keys, b, *[F.col(x).alias(f"r{x}") for x in AXES]).withColumn("_i", _touched("rx", threshold))
+    gap = la.sub(xyz(), xyz("r"))
+    met = _cells(left, 2 * threshold, ["_i"]).join(spread, [*keys, "_i"])
+    return met.where(F.expr(only) & (la.dot(gap, gap) < threshold * threshold)).select(*keys, a, b).distinct()
+
+
+def _near_in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, threshold: float, only: str) -> DataFrame:
+    """Points that share a cell with a diagonal below the threshold settle their
     pair: there only cell occupancies meet, never points. All other pairs are
     compared over cells of twice the threshold, each right point in the few
     cells its ball touches: occupancies of these cells meet first and leave out
     what is settled, then points of the open pairs meet in their shared cells.
     """
-    left = durable(left.select(*keys, a, *AXES))
-    right = durable(right.select(*keys, b, *AXES).distinct())
     fine = threshold / math.sqrt(3) * (1 - 1e-9)
     cell = ["_i", "_j", "_k"]
     settled = (
@@ -183,8 +211,7 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b
     # A ball of the threshold around a right point touches at most two cells of twice its width per axis.
     wide, spread = 2 * threshold, right.select(*keys, b, *[F.col(x).alias(f"r{x}") for x in AXES])
     for x, c in zip(AXES, cell):
-        span = F.sequence(F.floor((F.col(f"r{x}") - threshold) / wide), F.floor((F.col(f"r{x}") + threshold) / wide))
-        spread = spread.withColumn(c, F.explode(span))
+        spread = spread.withColumn(c, _touched(f"r{x}", threshold))
     near, far = _cells(left, wide, cell), spread
     unsettled = (
         near.select(*keys, a, *cell).distinct()

@@ -147,6 +147,20 @@ def test_near_pairs_brute_force(spark, threshold):
     assert {(r.a, r.b) for r in geo.near_pairs(left, right, ["k"], "a", "b", threshold).collect()} == want
 
 
+@pytest.mark.parametrize("few", [0, 35, 1 << 10])
+def test_near_pairs_of_few_and_many_points(spark, monkeypatch, few):
+    monkeypatch.setattr(geo, "FEW", few)
+    rng = np.random.default_rng(6)
+    p, part, key = rng.random((120, 3)), rng.integers(0, 9, 120), np.arange(120) % 7 % 3
+    rows = [(int(k), int(i), *map(float, x)) for k, i, x in zip(key, part, p)]
+    left, right = [spark.createDataFrame(rows, f"k int, {n} int, x double, y double, z double") for n in "ab"]
+    close = (np.linalg.norm(p[:, None] - p[None], axis=2) < 0.25) & (key[:, None] == key[None]) & (part[:, None] < part[None])
+    out = geo.near_pairs(left, right, ["k"], "a", "b", 0.25, "a < b")
+    assert sorted(map(tuple, out.collect())) == sorted({(int(key[i]), int(part[i]), int(part[j])) for i, j in zip(*np.where(close))})
+    if few > 120:
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_surface_samples_stay_on_triangles(spark):
     tri = spark.createDataFrame([(1, 0, 0., 0., 0., 1., 0., 0., 0., 1., 0.), (1, 1, 0., 0., 1., 3., 0., 1., 0., 3., 1.)],
                                 "obj int, face int, " + ", ".join(f"{c}{i} double" for c in "pqs" for i in range(3)))
