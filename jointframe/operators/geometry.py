@@ -69,9 +69,17 @@ def normal_frames(vertices: DataFrame, keys: Sequence[str], bound: float = fixed
     )
 
 
+#: Columns of a normalisation frame.
+FRAME = [*[f"m{a}" for a in AXES], "scale", "flat"]
+
+
 def normalise(vertices: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    out = vertices.join(frames, list(keys))
-    return out.select(*[c for c in vertices.columns if c not in AXES], *[
+    return in_frame(vertices.join(frames, list(keys)), [c for c in vertices.columns if c not in AXES])
+
+
+def in_frame(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The kept columns and x, y, z of rows that carry their frame, in normalised space."""
+    return rows.select(*keep, *[
         F.when(F.col("flat"), F.col(a)).otherwise((F.col(a) - F.col(f"m{a}")) * F.col("scale")).alias(a) for a in AXES])
 
 
@@ -136,12 +144,12 @@ def hinge_points(box: DataFrame, kind: str = "rule") -> DataFrame:
 
 
 def surface_samples(triangles: DataFrame, keys: Sequence[str], face: str, most: int | None = None,
-                    least: int = 1_000) -> DataFrame:
+                    least: int = 1_000, carry: Sequence[str] = ()) -> DataFrame:
     """Points spread over the triangles of each part in proportion to area.
 
     n = max(faces, least) per part, no more than ``most`` if given. A face gets the whole part of its
     share plus one more with the chance of the fraction; draws are keyed, so
-    reruns give the same points. Triangle corners are p0..2, q0..2, s0..2.
+    reruns give the same points. Triangle corners are p0..2, q0..2, s0..2. The points keep the columns ``carry``.
     """
     p, q, s = la.fields("p", 3), la.fields("q", 3), la.fields("s", 3)
     area = la.norm(la.cross(la.sub(q, p), la.sub(s, p))) / 2
@@ -151,11 +159,14 @@ def surface_samples(triangles: DataFrame, keys: Sequence[str], face: str, most:
     points = F.greatest(F.col("_faces"), F.lit(least))
     want = (points if most is None else F.least(F.lit(most), points)) * F.try_divide(F.col("_area"), F.col("_sum"))
     n = (F.floor(want) + F.when(sc.uniform(*ident) < want - F.floor(want), 1).otherwise(0)).cast("int")
-    rows = sized.join(total, list(keys)).where(n > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), n)))
+    # A face makes many points, so tasks are not to be joined to few by the bytes of the faces.
+    tasks = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = sized.join(total, list(keys)).where(n > 0).repartition(tasks, *keys, face)
+    rows = spread.withColumn("_i", F.explode(F.sequence(F.lit(1), n)))
     u, v = sc.uniform(*ident, F.col("_i"), F.lit("a")), sc.uniform(*ident, F.col("_i"), F.lit("b"))
     a, b = F.when(u + v > 1, 1 - u).otherwise(u), F.when(u + v > 1, 1 - v).otherwise(v)
     point = la.add(p, la.add(la.scale(la.sub(q, p), a), la.scale(la.sub(s, p), b)))
-    return rows.select(*keys, *[c.alias(n) for c, n in zip(point, AXES)])
+    return rows.select(*keys, *carry, *[c.alias(n) for c, n in zip(point, AXES)])
 
 
 def _cells(points: DataFrame, size: float, names: Sequence[str]) -> DataFrame:
@@ -179,7 +190,7 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b
         return _near_in_slabs(left, right, keys, a, b, threshold, only)
     left = durable(left)
     few, many = [[df.join(large, list(keys), kind) for df in (left, right)] for kind in ("left_anti", "left_semi")]
-    return _near_in_slabs(*few, keys, a, b, threshold, only).unionByName(_near_in_cells(*many, keys, a, b, threshold, only))
+    return _near_in_slabs(*few, keys, a, b, threshold, only).unionByName(near_in_cells(*many, keys, a, b, threshold, only))
 
 
 def _touched(c: str, threshold: float) -> Column:
@@ -194,12 +205,16 @@ def _near_in_slabs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: st
     return met.where(F.expr(only) & (la.dot(gap, gap) < threshold * threshold)).select(*keys, a, b).distinct()
 
 
-def _near_in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, threshold: float, only: str) -> DataFrame:
-    """Points that share a cell with a diagonal below the threshold settle their
+def near_in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, threshold: float, only: str = "true",
+                  among: DataFrame | None = None) -> DataFrame:
+    """The pairs of ``near_pairs``, or those of (keys…, a, b) in ``among``.
+
+    Points that share a cell with a diagonal below the threshold settle their
     pair: there only cell occupancies meet, never points. All other pairs are
     compared over cells of twice the threshold, each right point in the few
     cells its ball touches: occupancies of these cells meet first and leave out
     what is settled, then points of the open pairs meet in their shared cells.
+    Right points are dealt to several cells, so the right side should be the small one.
     """
     fine = threshold / math.sqrt(3) * (1 - 1e-9)
     cell = ["_i", "_j", "_k"]
@@ -208,6 +223,10 @@ def _near_in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], a: st
         .join(_cells(right, fine, cell).select(*keys, b, *cell).distinct(), [*keys, *cell])
         .where(only).select(*keys, a, b).distinct()
     )
+    open_ = among
+    if among is not None:
+        settled = durable(among.join(settled, [*keys, a, b], "left_semi"))
+        open_ = durable(among.join(settled, [*keys, a, b], "left_anti"))
     # A ball of the threshold around a right point touches at most two cells of twice its width per axis.
     wide, spread = 2 * threshold, right.select(*keys, b, *[F.col(x).alias(f"r{x}") for x in AXES])
     for x, c in zip(AXES, cell):
@@ -216,8 +235,8 @@ def _near_in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], a: st
     unsettled = (
         near.select(*keys, a, *cell).distinct()
         .join(far.select(*keys, b, *cell).distinct(), [*keys, *cell]).where(only)
-        .join(settled, [*keys, a, b], "left_anti")
     )
+    unsettled = unsettled.join(settled, [*keys, a, b], "left_anti") if open_ is None else unsettled.join(open_, [*keys, a, b], "left_semi")
     gap = la.sub(xyz(), xyz("r"))
     checked = (
         near.join(unsettled, [*keys, a, *cell]).join(far, [*keys, b, *cell])

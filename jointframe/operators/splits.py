@@ -6,6 +6,8 @@ task; sets are compared through their size and two 64-bit digests.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from jointframe import fixed
 from jointframe.functions import linalg as la
 from jointframe.operators import geometry as geo
 from jointframe.plans.ordered import ranked
+from jointframe.session import durable
 
 
 def joint_ordinals(joints: DataFrame) -> DataFrame:
@@ -68,31 +71,72 @@ def split_roles(moving: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def posed_points(points: DataFrame, moved: DataFrame, joints: DataFrame,
-                 fractions: tuple[float, ...] = (0.5, 0.75, 1.0)) -> DataFrame:
+                 fractions: tuple[float, ...] = (0.5, 0.75, 1.0), within: bool = False) -> DataFrame:
     """Points (obj, joint, x, y, z) of a joint's parts at fractions of its full range.
 
     ``joints`` carries type, range, axis origin wo0..2 and direction wd0..2, and
-    the frame mx, my, mz, scale; points are in normalised space.
+    the frame mx, my, mz, scale; points are in normalised space. With ``within``
+    it also has a box lo_x..hi_z, and points that leave it are dropped.
     """
+    ends = [f"{e}_{a}" for a in geo.AXES for e in ("lo", "hi")] if within else []
     span = F.abs(F.col("upper") - F.col("lower"))
     at = joints.withColumn("_f", F.explode(F.array(*[F.lit(f) for f in fractions]))).select(
-        "obj", "joint", (F.col("type") == "prismatic").alias("_slides"), (span * F.col("_f")).alias("_q"), "scale",
+        "obj", "joint", *ends, (F.col("type") == "prismatic").alias("_slides"), (span * F.col("_f")).alias("_q"), "scale",
         *[c.alias(f"a{i}") for i, c in enumerate(la.normalise(la.fields("wd", 3)))],
         *[((F.col(f"wo{i}") - F.col(f"m{a}")) * F.col("scale")).alias(f"p{i}") for i, a in enumerate(geo.AXES)],
     )
     turn = F.when(F.col("_slides"), 0.0).otherwise(F.col("_q"))
     at = at.withColumns({"_c": F.cos(turn), "_s": F.sin(turn)})
     axis = la.fields("a", 3)
-    at = at.select("obj", "joint", "_slides", "_q", "scale", *[f"a{i}" for i in range(3)], *[f"p{i}" for i in range(3)],
+    at = at.select("obj", "joint", *ends, "_slides", "_q", "scale", *[f"a{i}" for i in range(3)], *[f"p{i}" for i in range(3)],
                    *[c.alias(f"r{i}") for i, c in enumerate(la.turn_matrix(axis, F.col("_c"), F.col("_s")))])
     # One small matrix per joint and fraction is finished here, before it meets the points.
     _, about = la.about_point(la.fields("r", 9), la.fields("p", 3))
     slide = la.scale(axis, F.col("_q") * F.col("scale"))
-    at = at.select("obj", "joint", *[f"r{i}" for i in range(9)],
+    at = at.select("obj", "joint", *ends, *[f"r{i}" for i in range(9)],
                    *[F.when(F.col("_slides"), m).otherwise(b).alias(f"t{i}") for i, (m, b) in enumerate(zip(slide, about))])
     rows = points.withColumnRenamed("part", "label").join(moved.join(at, ["obj", "joint"]), ["obj", "label"])
     posed = la.add(la.matvec(la.fields("r", 9), geo.xyz()), la.fields("t", 3))
-    return rows.select("obj", "joint", *[c.alias(a) for c, a in zip(posed, geo.AXES)])
+    out = rows.select("obj", "joint", *ends, *[c.alias(a) for c, a in zip(posed, geo.AXES)])
+    for a in geo.AXES if within else ():
+        out = out.where(F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}")))
+    return out.select("obj", "joint", *geo.AXES)
+
+
+def promotable(roles: DataFrame, active: DataFrame) -> DataFrame:
+    """(obj, joint, label): the pairs whose contact ``promote`` asks for, an active joint and a body part of one split."""
+    bodies = roles.where("role = 'body'").select("obj", "key", "label")
+    return active.where("key <> 'default'").join(bodies, ["obj", "key"]).select("obj", "joint", "label").distinct()
+
+
+#: Ends of the shares of the points that are posed in the rounds of ``contacts``, in 64ths.
+ROUNDS = (4, 16, 64)
+
+
+def contacts(points: DataFrame, moved: DataFrame, joints: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (obj, joint, label) with a posed point of the joint closer than the threshold to a resting point of the label.
+
+    One contact settles a pair, so a sixteenth of the points is posed first,
+    and more of them only for joints with pairs that are still open; in the last
+    round all have been. Posed points outside the object's box touch nothing.
+    ``points`` (obj, part, x, y, z) is read several times.
+    """
+    key = ["obj", "joint", "label"]
+    rest = points.withColumnRenamed("part", "label")
+    bounds = geo.boxes(points, ["obj"])
+    bounds = bounds.select("obj", *[(F.col(f"{e}_{a}") + s * threshold).alias(f"{e}_{a}") for e, s in (("lo", -1), ("hi", 1)) for a in geo.AXES])
+    boxed = durable(joints.join(bounds, "obj"))
+    share = F.pmod(F.xxhash64(*geo.AXES), F.lit(64))
+    open_, found, low = durable(pairs), [], 0
+    for high in ROUNDS:
+        some = points.where((share >= low) & (share < high))
+        posed = durable(posed_points(some, moved.join(open_.select("obj", "joint").distinct(), ["obj", "joint"], "left_semi"), boxed, within=True))
+        asked = rest if not low else durable(rest.join(open_.select("obj", "label").distinct(), ["obj", "label"], "left_semi"))
+        found.append(durable(geo.near_in_cells(asked, posed, ["obj"], "label", "joint", threshold, among=open_).select(*key)))
+        open_, low = durable(open_.join(found[-1], key, "left_anti")), high
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 def promote(roles: DataFrame, active: DataFrame, moved: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:

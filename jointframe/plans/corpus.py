@@ -45,10 +45,13 @@ def build(joints: DataFrame, parts: DataFrame, vertices: DataFrame, threshold: f
     ordered = durable(sp.joint_ordinals(kept).join(axes, ["obj", "joint"]).join(frames.drop("flat"), "obj"))
     live = moved.join(ordered.select("obj", "joint"), ["obj", "joint"], "left_semi")
     moving, active = sp.build_splits(ordered.select("obj", "joint", "type", "ord"), live)
-    roles = sp.split_roles(moving, parts)
-    points = vertices if faces is None else geo.surface_samples(faces, ["obj", "part"], "face")
-    rest = durable(geo.normalise(points, frames, ["obj"]).select("obj", "part", *geo.AXES).distinct())
-    posed = sp.posed_points(rest, live, ordered.drop("ord"))
-    hits = geo.near_pairs(posed, rest.withColumnRenamed("part", "label"), ["obj"], "joint", "label", threshold)
-    roles, active = sp.promote(durable(roles), durable(active), live, hits)
+    roles, active = durable(sp.split_roles(moving, parts)), durable(active)
+    keep = ["obj", "part"]
+    if faces is None:
+        points = geo.normalise(vertices, frames, ["obj"]).select(*keep, *geo.AXES).distinct()
+    else:
+        # Frames join the faces, which are few, and not the points.
+        points = geo.in_frame(geo.surface_samples(faces.join(frames, "obj"), keep, "face", carry=geo.FRAME), keep)
+    hits = sp.contacts(durable(points), live, ordered.drop("ord"), sp.promotable(roles, active), threshold)
+    roles, active = sp.promote(roles, active, live, hits)
     return Corpus(ordered, roles, active, sp.tensor_rows(active, ordered), frames)
