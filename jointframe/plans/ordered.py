@@ -1,7 +1,8 @@
 """Ordered operators whose groups may be far larger than one task.
 
-``Window.partitionBy(key)`` sends a whole key to one task. Here rows are range
-partitioned on (keys, order) instead, so that a hot key spreads over many
+``Window.partitionBy(key)`` sends a whole key to one task. Keys of at most
+``WHOLE`` rows are done that way, by one exchange. The rows of larger keys are
+range partitioned on (keys, order) instead, so that a hot key spreads over many
 blocks. Work is done inside (keys, block), and one summary row per (keys,
 block) carries the state from block to block. The summaries of one key number
 at most the partitions of the shuffle.
@@ -13,7 +14,7 @@ evaluation could otherwise cut the rows at other places.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,32 @@ def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return durable(cut.withColumn("_blk", F.spark_partition_id()))
 
 
+#: Keys with at most so many rows are done whole by one task.
+WHOLE = 1 << 16
+
+
+def _by_size(df: DataFrame, keys: Sequence[str], reread: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of keys that one task can hold and those of larger keys; None if there are none or no keys."""
+    if not keys:
+        return None, df
+    rows = df if reread else durable(df)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= WHOLE:
+        return rows, None
+    large = durable(counts.where(F.col("_n") > WHOLE).select(*keys))
+    return rows.join(large, list(keys), "left_anti"), rows.join(large, list(keys), "left_semi")
+
+
+def _either(df: DataFrame, keys: Sequence[str], whole: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame], reread: bool = False) -> DataFrame:
+    """Small keys done whole and large ones in blocks, keys first; rows are written before unless they can be ``reread``."""
+    few, many = _by_size(df, keys, reread)
+    if few is None:
+        return blocks(many)
+    out = whole(few)
+    out = out.select(*keys, *[c for c in out.columns if c not in keys])
+    return out if many is None else out.unionByName(blocks(many))
+
+
 def _inside(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, "_blk").orderBy(*order)
 
@@ -42,10 +69,15 @@ def running_sum(
     sums: Mapping[str, Column],
     inclusive: bool = True,
     blocked: bool = False,
+    reread: bool = False,
 ) -> DataFrame:
     """Add running sums; ``sums`` maps the new column to the summed expression."""
-    rows = df if blocked else in_blocks(df, keys, order)
-    inside, end = _inside(keys, order), 0 if inclusive else -1
+    end = 0 if inclusive else -1
+    if not blocked:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return _either(df, keys, lambda rows: rows.select("*", *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(n) for n, e in sums.items()]),
+                       lambda rows: running_sum(in_blocks(rows, keys, order), keys, order, sums, inclusive, True).drop("_blk"), reread)
+    rows, inside = df, _inside(keys, order)
     local = rows
     for name, expr in sums.items():
         part = F.sum(expr).over(inside.rowsBetween(Window.unboundedPreceding, end))
@@ -59,13 +91,12 @@ def running_sum(
     out = local.join(base, [*keys, "_blk"])
     for name in sums:
         out = out.withColumn(name, F.col(name) + F.col(f"_b_{name}"))
-    drop = [f"_b_{n}" for n in sums] + ([] if blocked else ["_blk"])
-    return out.drop(*drop)
+    return out.drop(*[f"_b_{n}" for n in sums])
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
-    """Row number 1.. inside each key."""
-    return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}) if keys else _numbered(df, order, name)
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", reread: bool = False) -> DataFrame:
+    """Row number 1.. inside each key; ``reread`` says that the rows are a table, of which keys alone can be read."""
+    return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}, reread=reread) if keys else _numbered(df, order, name)
 
 
 def _numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -90,9 +121,12 @@ def neighbours(
     blocked: bool = False,
 ) -> DataFrame:
     """Value of the previous (or next) row inside each key; null at the ends."""
-    rows = df if blocked else in_blocks(df, keys, order)
-    inside, across = _inside(keys, order), _across(keys)
     shift = F.lead if ahead else F.lag
+    if not blocked:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return _either(df, keys, lambda rows: rows.select("*", *[shift(c).over(w).alias(n) for n, c in columns.items()]),
+                       lambda rows: neighbours(in_blocks(rows, keys, order), keys, order, columns, ahead, True).drop("_blk"))
+    rows, inside, across = df, _inside(keys, order), _across(keys)
     edge = F.min_by if ahead else F.max_by
     local = rows
     for name, col in columns.items():
@@ -104,8 +138,7 @@ def neighbours(
     out = local.join(ends, [*keys, "_blk"])
     for name in columns:
         out = out.withColumn(name, F.coalesce(F.col(name), F.col(f"_p_{name}"))["v"])
-    drop = [f"_p_{n}" for n in columns] + ([] if blocked else ["_blk"])
-    return out.drop(*drop)
+    return out.drop(*[f"_p_{n}" for n in columns])
 
 
 def exact_percentiles(
@@ -136,7 +169,12 @@ def exact_percentiles(
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Replace nulls by the last earlier value of the key; each column on its own."""
-    rows = in_blocks(df, keys, order)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _either(df, keys, lambda rows: rows.select(*[c for c in rows.columns if c not in columns], *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns]),
+                   lambda rows: _fill_blocks(in_blocks(rows, keys, order), keys, order, columns))
+
+
+def _fill_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     inside = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select(*[c for c in rows.columns if c not in columns],
@@ -164,7 +202,11 @@ def asof(probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, valu
 
 def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
     """Largest value of the column over this and all earlier rows of the key."""
-    rows = in_blocks(df, keys, order)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _either(df, keys, lambda rows: rows.withColumn(name, F.max(column).over(w)), lambda rows: _max_blocks(in_blocks(rows, keys, order), keys, order, column, name))
+
+
+def _max_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
     local = rows.withColumn(name, F.max(column).over(_inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy(*keys, "_blk").agg(F.max(column).alias("_t")).select(*keys, "_blk", F.max("_t").over(before).alias("_b"))

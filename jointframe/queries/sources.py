@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from jointframe import adapters as ad
 from jointframe.functions import scalar as sc
-from jointframe.plans.ordered import in_blocks, ranked
+from jointframe.plans.ordered import ranked
 from jointframe.queries.geometry import rounded
 from jointframe.registry import query
-from jointframe.session import Tables, new_folder
+from jointframe.session import Tables, durable, new_folder
 from jointframe.sinks import text as out
 from jointframe.sources import assets, files, logs
 
@@ -126,7 +126,9 @@ def urdf_from_groups(t: Tables) -> DataFrame:
 
 def meshes(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertices, faces and material lines of every part; one face per vertex in the four token forms."""
-    v = ranked(ad.vertices(t), ["obj", "part"], ad.VERTEX_ORDER, "idx").withColumn("path", F.concat_ws("/", "obj", "part"))
+    numbered = ranked(ad.vertices(t), ["obj", "part"], ad.VERTEX_ORDER, "idx", reread=True).withColumn("path", F.concat_ws("/", "obj", "part"))
+    # Four kinds of lines are made from these rows.
+    v = durable(numbered.select("obj", "part", "path", "idx", *"xyz"))
     i = F.col("idx")
     zero = F.lit(0).cast("bigint")
     corner = F.struct(i.alias("v"), F.when(i % 2 == 0, i).otherwise(zero).alias("vt"), F.when(i % 4 >= 2, F.lit(1).cast("bigint")).otherwise(zero).alias("vn"))
@@ -141,8 +143,8 @@ def mesh_records(t: Tables) -> DataFrame:
     v, faces, materials = meshes(t)
     order = ["sec", "pos", "sub"]
     libraries = v.where("idx = 1").select("path", F.lit(1).alias("ord"), F.concat("obj", F.lit(".mtl")).alias("value"))
-    lines = in_blocks(out.obj_lines(v.select("path", "idx", "x", "y", "z"), faces, materials=materials, libraries=libraries), ["path"], order)
-    return assets.obj_records(lines, order)
+    lines = out.obj_lines(v.select("path", "idx", "x", "y", "z"), faces, materials=materials, libraries=libraries)
+    return assets.obj_records(lines, order, blocked=False)
 
 
 _IDX = f"""(SELECT concat(CAST(obj AS STRING), '/', CAST(part AS STRING)) AS path, x, y, z,

@@ -128,13 +128,15 @@ def obj_records(lines: DataFrame, order: Sequence[str] = ("seq",), blocked: bool
 
     The numbers are running sums over blocks, so a huge file stays spread out.
     """
-    kept = lines.withColumn("tok", tokens(F.col("line"))).withColumn("kind", F.get("tok", F.lit(0)))
+    # The generator keeps the optimizer from splitting a line again in each condition.
+    split = lines.select("*", F.explode(F.array(tokens(F.col("line")))).alias("tok")).drop("line")
+    kept = split.withColumn("kind", F.get("tok", F.lit(0)))
     n = F.size("tok")
     valid = (
         (F.col("kind").isin("v", "vn") & (n >= 4)) | ((F.col("kind") == "vt") & (n >= 3))
         | F.col("kind").isin("f", *DIRECTIVES)
     )
-    kept = kept.where(valid).drop("line")
+    kept = kept.where(valid)
     one = {f"n_{k}": (F.col("kind") == k).cast("bigint") for k in ("v", "vn", "vt", "f")}
     one["n_d"] = F.col("kind").isin(*DIRECTIVES).cast("bigint")
     return running_sum(kept, ["path"], list(order), one, blocked=blocked)

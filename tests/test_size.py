@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from jointframe import adapters as ad
 from jointframe import session
 from jointframe.operators import splits as sp
-from jointframe.plans import corpus
+from jointframe.plans import corpus, ordered
 from jointframe.queries.corpus import strip_faces
 from jointframe.session import Tables
 
@@ -44,3 +44,21 @@ def test_contacts_equal_brute_force(spark):
     got = sp.contacts(p, moved, spark.createDataFrame(joints).withColumn("obj", F.col("obj").cast("bigint")), pairs, threshold)
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want and 0 < len(want) < 6
+
+
+def test_small_keys_are_done_whole_and_large_ones_in_blocks(spark, monkeypatch, many_blocks):
+    df = spark.range(3_000).selectExpr("id % 7 * (id % 2) AS k", "id AS o", "IF(id % 5 = 0, id, NULL) AS v")
+
+    def results():
+        return [ordered.running_sum(df, ["k"], ["o"], {"s": F.col("o")}), ordered.ranked(df, ["k"], ["o"]), ordered.ranked(df, ["k"], ["o"], reread=True),
+                ordered.neighbours(df, ["k"], ["o"], {"p": "v"}), ordered.neighbours(df, ["k"], ["o"], {"p": "v"}, ahead=True),
+                ordered.fill_forward(df, ["k"], ["o"], ["v"]), ordered.running_max(df, ["k"], ["o"], "v", "m")]
+    whole = results()
+    # One exchange of the rows, and no join with summaries of blocks.
+    for r in whole:
+        plan = r._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    for limit in (0, 1_000):
+        monkeypatch.setattr(ordered, "WHOLE", limit)
+        for a, b in zip(whole, results(), strict=True):
+            assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
