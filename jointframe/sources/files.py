@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,22 +85,48 @@ def encode_arrays(tiles: DataFrame, keys: list[str], values: str, shape: tuple[i
     return tiles.select(*keys, values).mapInPandas(run, f"{schema}, content binary")
 
 
+#: Pixels that leave a task together.
+TOGETHER = 1 << 16
+
+
+def pixel_frames(keys: list[str]) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]]:
+    """Decoded pixels of a batch of frames: small frames leave together, a large one alone, so no batch is held as pixels."""
+    def decoded(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        places, held, rows = {}, [], 0
+
+        def together() -> pd.DataFrame:
+            own = pdf[keys].iloc[np.repeat([i for i, *_ in held], [v.size for *_, v in held])].reset_index(drop=True)
+            y, x, c = np.concatenate([places[shape] for _, shape, _ in held], axis=1)
+            return own.assign(y=y, x=x, c=c, value=np.concatenate([v for *_, v in held]))
+
+        for i, content in enumerate(pdf["content"]):
+            data = np.load(io.BytesIO(content), allow_pickle=False)
+            if isinstance(data, np.lib.npyio.NpzFile):
+                data = data["vals"][data["indices"]]
+            data = data.reshape(*data.shape[:2], -1)
+            if held and rows + data.size > TOGETHER:
+                yield together()
+                places, held, rows = {}, [], 0
+            if data.shape not in places:
+                places[data.shape] = np.indices(data.shape).reshape(3, -1)
+            held.append((i, data.shape, data.astype(np.float64).ravel()))
+            rows += data.size
+        if held:
+            yield together()
+
+    return decoded
+
+
 def decode_arrays(files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys…, y, x, c, value): npy and npz frames as pixels; dictionary-coded masks are expanded.
 
     ``files`` carries the bytes in ``content``. A file is one frame.
     """
+    decoded = pixel_frames(keys)
+
     def run(batches):
         for pdf in batches:
-            # One frame at a time leaves the task, so a batch of many frames is never held as pixels.
-            for i, content in enumerate(pdf["content"]):
-                data = np.load(io.BytesIO(content), allow_pickle=False)
-                if isinstance(data, np.lib.npyio.NpzFile):
-                    data = data["vals"][data["indices"]]
-                data = data.reshape(*data.shape[:2], -1)
-                y, x, c = np.indices(data.shape).reshape(3, -1)
-                own = pdf[keys].iloc[np.full(y.size, i)].reset_index(drop=True)
-                yield own.assign(y=y, x=x, c=c, value=data.astype(np.float64).ravel())
+            yield from decoded(pdf)
 
     schema = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in keys)
     return files.select(*keys, "content").mapInPandas(run, f"{schema}, y bigint, x bigint, c bigint, value double")

@@ -1,6 +1,9 @@
 """What the larger jobs write and exchange, and the same results as by plain means."""
 
+import io
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from jointframe import adapters as ad
@@ -9,6 +12,7 @@ from jointframe.operators import splits as sp
 from jointframe.plans import corpus, ordered
 from jointframe.queries.corpus import strip_faces
 from jointframe.session import Tables
+from jointframe.sources import files
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,3 +66,16 @@ def test_small_keys_are_done_whole_and_large_ones_in_blocks(spark, monkeypatch,
         monkeypatch.setattr(ordered, "WHOLE", limit)
         for a, b in zip(whole, results(), strict=True):
             assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_small_frames_leave_a_task_together():
+    def coded(data) -> bytes:
+        buf = io.BytesIO()
+        np.save(buf, data)
+        return buf.getvalue()
+    tiles = [np.full((2, 3 + i % 2), i, dtype=np.float32) for i in range(1_000)] + [np.zeros((300, 300), dtype=np.float32), np.ones((1, 1), dtype=np.float32)]
+    got = list(files.pixel_frames(["k"])(pd.DataFrame({"k": range(len(tiles)), "content": [coded(t) for t in tiles]})))
+    assert [len(g) for g in got] == [7_000, 90_000, 1]
+    rows = pd.concat(got)
+    want = [(k, y, x, 0, float(v)) for k, t in enumerate(tiles) for (y, x), v in np.ndenumerate(t)]
+    assert list(map(tuple, rows[["k", "y", "x", "c", "value"]].itertuples(index=False))) == want
