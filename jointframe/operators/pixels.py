@@ -373,9 +373,10 @@ def keyframe_values(keys_: DataFrame, frames: DataFrame, ident: Sequence[str]) -
     s, t = F.col("seg"), F.col("_t")
     inside = s["at1"].isNotNull()
     slope = F.when(inside & (s["interp"] == "LINEAR"), (s["v1"] - s["value"]) / (s["at1"] - s["at"])).otherwise(0.0)
-    curve = st.bezier_value(t, *[F.coalesce(c.cast("double"), F.lit(0.0)) for c in (
+    curved = inside & (s["interp"] == "BEZIER")
+    curve = st.bezier_value(F.when(curved, t), *[F.coalesce(c.cast("double"), F.lit(0.0)) for c in (
         s["at"], s["h1x"], s["h2x"], s["at1"], s["value"], s["h1y"], s["h2y"], s["v1"])])
-    value = (F.when(s.isNull(), F.col("_first")).when(inside & (s["interp"] == "BEZIER"), curve)
+    value = (F.when(s.isNull(), F.col("_first")).when(curved, curve)
              .otherwise(s["value"] + slope * (t - s["at"])))
     return hit.select(*ident, F.col("frame").cast("bigint").alias("frame"), value.alias("value"), slope.alias("slope"))
 

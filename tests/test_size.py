@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jointframe import adapters as ad
 from jointframe import session
+from jointframe.functions import stats as st
 from jointframe.operators import splits as sp
 from jointframe.plans import corpus, ordered
 from jointframe.queries.corpus import strip_faces
@@ -79,3 +80,12 @@ def test_small_frames_leave_a_task_together():
     rows = pd.concat(got)
     want = [(k, y, x, 0, float(v)) for k, t in enumerate(tiles) for (y, x), v in np.ndenumerate(t)]
     assert list(map(tuple, rows[["k", "y", "x", "c", "value"]].itertuples(index=False))) == want
+
+
+def test_only_curved_segments_are_bisected():
+    at = pd.Series([0.25, None, 0.5])
+    ends = [pd.Series([v, None, v], dtype=object) for v in (0.0, 0.2, 0.7, 1.0, 1.0, 3.0, -1.0, 2.0)]
+    got = st.bezier_value.func(at, *ends)
+    s = np.linspace(0, 1, 2_000_001)
+    x, y = [(1 - s) ** 3 * a + 3 * (1 - s) ** 2 * s * b + 3 * (1 - s) * s * s * c + s ** 3 * d for a, b, c, d in ((0.0, 0.2, 0.7, 1.0), (1.0, 3.0, -1.0, 2.0))]
+    assert np.isnan(got[1]) and np.allclose(got[[0, 2]], np.interp([0.25, 0.5], x, y), atol=1e-6)
