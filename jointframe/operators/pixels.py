@@ -27,6 +27,11 @@ def nearest_fragment(fragments: DataFrame, keys: Sequence[str], columns: Sequenc
     return fragments.groupBy(*keys, *PIXEL).agg(pick).select(*keys, *PIXEL, "_f.*")
 
 
+def nearest_depth(fragments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The least depth per pixel, where nothing else of the fragment is asked for."""
+    return fragments.groupBy(*keys, *PIXEL).agg(F.min("depth").alias("depth"))
+
+
 # -- filters and statistics ---------------------------------------------------------------
 
 def static_clips(pixels: DataFrame, keys: Sequence[str], frame: str, n_frames: int, colour: Sequence[str], alpha: str = "alpha",
@@ -163,14 +168,18 @@ def view_pairs(cams: DataFrame, keys: Sequence[str], frame: str) -> DataFrame:
     return pair.where(F.col(f"a_{frame}") != F.col(f"b_{frame}"))
 
 
+def _landing(rows: DataFrame, depth: Column, x: Column, y: Column, tag: str = "") -> DataFrame:
+    """Add u, v (names with the tag): where a pixel of camera a lands in camera b."""
+    rows = rows.withColumns({f"_w{tag}{i}": c for i, c in enumerate(to_world(unproject(depth, x, y, tag="a"), "a"))})
+    rows = rows.withColumns({f"_c{tag}{i}": c for i, c in enumerate(to_camera(la.fields(f"_w{tag}", 3), "b"))})
+    u, v, _ = project(la.fields(f"_c{tag}", 3), "b")
+    return rows.withColumns({f"u{tag}": u, f"v{tag}": v})
+
+
 def induced_flow(pixels: DataFrame, pairs: DataFrame, keys: Sequence[str], frame: str) -> DataFrame:
     """(keys…, a, b, y, x, u, v, fu, fv): where a pixel of camera a lands in camera b, and the flow there."""
     rows = pixels.withColumnRenamed(frame, f"a_{frame}").join(pairs, [*keys, f"a_{frame}"])
-    world = to_world(unproject(F.col("depth"), F.col("x"), F.col("y"), tag="a"), "a")
-    rows = rows.withColumns({f"_w{i}": c for i, c in enumerate(world)})
-    rows = rows.withColumns({f"_c{i}": c for i, c in enumerate(to_camera(la.fields("_w", 3), "b"))})
-    u, v, _ = project(la.fields("_c", 3), "b")
-    rows = rows.withColumns({"u": u, "v": v})
+    rows = _landing(rows, F.col("depth"), F.col("x"), F.col("y"))
     return rows.select(*keys, f"a_{frame}", f"b_{frame}", *PIXEL, "u", "v", (F.col("u") - F.col("x")).alias("fu"), (F.col("v") - F.col("y")).alias("fv"))
 
 
@@ -178,13 +187,15 @@ def induced_flow(pixels: DataFrame, pairs: DataFrame, keys: Sequence[str], frame
 TILE = 8
 
 
-def on_tiles(points: DataFrame, image: DataFrame, keys: Sequence[str], values: Sequence[str], before: int, after: int) -> tuple[DataFrame, Callable[[int, int, str], Column]]:
-    """Points (keys…, u, v) with the image tile they fall into, and a function (dx, dy, value) for the pixel so far from (⌊u⌋, ⌊v⌋).
+#: Place of a tile in its image.
+AT = ["_ty", "_tx"]
+
+
+def tiles_of(image: DataFrame, keys: Sequence[str], values: Sequence[str], before: int, after: int) -> DataFrame:
+    """(keys…, _ty, _tx, _tile): the image in tiles, each with its pixels' values by place.
 
     A tile holds its own pixels and a border of ``before`` and ``after`` pixels
-    of its neighbours, so all that is looked up around a point is in one row:
-    pixels and points are exchanged once, and nothing is multiplied. Pixels that
-    are missing or outside count 0; a pixel stands in the image once.
+    of its neighbours; a pixel stands in the image once.
     """
     wide = TILE + before + after
 
@@ -192,19 +203,28 @@ def on_tiles(points: DataFrame, image: DataFrame, keys: Sequence[str], values: S
         """The tiles along one axis that hold a pixel."""
         return F.explode(F.sequence(*[F.floor((F.col(c) + k) / TILE) for k in (-after, before)]))
 
-    at = ["_ty", "_tx"]
     held = image.withColumn("_ty", reached("y")).withColumn("_tx", reached("x"))
     place = (F.col("y") - F.col("_ty") * TILE + before) * wide + F.col("x") - F.col("_tx") * TILE + before
     entries = F.collect_list(F.struct(place.cast("int").alias("k"), F.struct(*values).alias("v")))
     # Dealt out first: pixels of a tile come from many tasks, so partial lists would only be copied.
-    tiles = held.repartition(*keys, *at).groupBy(*keys, *at).agg(F.map_from_entries(entries).alias("_tile"))
+    return held.repartition(*keys, *AT).groupBy(*keys, *AT).agg(F.map_from_entries(entries).alias("_tile"))
+
+
+def on_tiles(points: DataFrame, tiles: DataFrame, keys: Sequence[str], before: int, after: int) -> tuple[DataFrame, Callable[[int, int, str], Column]]:
+    """Points (keys…, u, v) with the image tile they fall into, and a function (dx, dy, value) for the pixel so far from (⌊u⌋, ⌊v⌋).
+
+    All that is looked up around a point is in one row of ``tiles_of``: pixels
+    and points are exchanged once, and nothing is multiplied. Pixels that are
+    missing or outside are null.
+    """
+    wide = TILE + before + after
     base = {c: F.floor(F.col(p)) for c, p in (("y", "v"), ("x", "u"))}
     placed = points.withColumns({f"_t{c}": F.floor(e / TILE) for c, e in base.items()})
     own = (base["y"] - F.col("_ty") * TILE + before) * wide + base["x"] - F.col("_tx") * TILE + before
-    found = placed.withColumn("_own", own.cast("int")).join(tiles, [*keys, *at], "left").drop(*at)
+    found = placed.join(tiles, [*keys, *AT], "left").withColumn("_own", own.cast("int")).drop(*AT)
 
     def pixel(dx: int, dy: int, value: str) -> Column:
-        return F.coalesce(F.try_element_at("_tile", F.col("_own") + dy * wide + dx)[value], F.lit(0.0))
+        return F.try_element_at("_tile", F.col("_own") + dy * wide + dx)[value]
 
     return found, pixel
 
@@ -217,12 +237,29 @@ def bilinear(pixel: Callable[[int, int, str], Column], value: str, dx: int = 0,
 
 
 def covisibility(pixels: DataFrame, cams: DataFrame, keys: Sequence[str], frame: str, most: float = 1.0) -> DataFrame:
-    """(keys…, a, b, score): share of pixels whose flow there and back misses by less than ``most`` pixels."""
-    flow = induced_flow(pixels, view_pairs(cams, keys, frame), keys, frame)
+    """(keys…, a, b, score): share of pixels whose flow there and back misses by less than ``most`` pixels.
+
+    Only depths are exchanged for the way back: a frame is cut into tiles once,
+    its tiles meet the cameras of each pair, and the flow back is computed
+    around the points that land there.
+    """
     a, b = f"a_{frame}", f"b_{frame}"
-    back = flow.where("u is not null").select(*keys, F.col(a).alias(b), F.col(b).alias(a), *PIXEL, F.col("fu").alias("gu"), F.col("fv").alias("gv"))
-    seen, pixel = on_tiles(flow.select(*keys, a, b, "u", "v", "fu", "fv"), back, [*keys, a, b], ["gu", "gv"], 0, 1)
-    miss = F.sqrt(F.pow(bilinear(pixel, "gu") + F.col("fu"), 2) + F.pow(bilinear(pixel, "gv") + F.col("fv"), 2))
+    pairs = view_pairs(cams, keys, frame)
+    flow = induced_flow(pixels, pairs, keys, frame).select(*keys, a, b, *PIXEL, "u", "v")
+    tiles = tiles_of(pixels.select(*keys, F.col(frame).alias(a), *PIXEL, "depth"), [*keys, a], ["depth"], 0, 1).join(pairs, [*keys, a])
+    tiles = tiles.select(*[F.col(c).alias({a: b, b: a}.get(c, c)) for c in tiles.columns])
+    seen, pixel = on_tiles(flow, tiles, [*keys, a, b], 0, 1)
+    corners = [(0, 0), (1, 0), (0, 1), (1, 1)]
+    for dx, dy in corners:
+        at = {"x": F.floor("u") + dx, "y": F.floor("v") + dy}
+        seen = _landing(seen, pixel(dx, dy, "depth"), at["x"], at["y"], f"_{dx}{dy}")
+        back = {f"g{e}{dx}{dy}": F.coalesce(F.col(f"{e}_{dx}{dy}") - at[c], F.lit(0.0)) for e, c in (("u", "x"), ("v", "y"))}
+        seen = seen.withColumns(back)
+
+    def missed(e: str, c: str) -> Column:
+        return F.pow(bilinear(lambda dx, dy, value: F.col(f"{value}{dx}{dy}"), f"g{e}") + (F.col(e) - F.col(c)), 2)
+
+    miss = F.sqrt(missed("u", "x") + missed("v", "y"))
     return seen.groupBy(*keys, a, b).agg((F.count_if(F.coalesce(miss < most, F.lit(False))) / F.count("*")).alias("score"))
 
 
@@ -234,7 +271,12 @@ def occlusion(pixels: DataFrame, following: DataFrame, keys: Sequence[str]) -> D
     """
     size = following.groupBy(*keys).agg(F.max("x").alias("_w"), F.max("y").alias("_h"))
     moved = pixels.select(*keys, *PIXEL, (F.col("depth") + F.col("f2")).alias("target"), (F.col("x") + F.col("f0") * 2).alias("u"), (F.col("y") + F.col("f1") * 2).alias("v"))
-    seen, pixel = on_tiles(moved.join(size, list(keys), "left"), following.withColumnRenamed("depth", "next"), keys, ["next"], 1, 2)
+    tiles = tiles_of(following.withColumnRenamed("depth", "next"), keys, ["next"], 1, 2)
+    seen, found = on_tiles(moved.join(size, list(keys), "left"), tiles, keys, 1, 2)
+
+    def pixel(dx: int, dy: int, value: str) -> Column:
+        return F.coalesce(found(dx, dy, value), F.lit(0.0))
+
     hit = F.lit(False)
     for dx, dy in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)):
         inside = (F.col("u") + dx).between(0, F.col("_w")) & (F.col("v") + dy).between(0, F.col("_h"))

@@ -25,6 +25,10 @@ def pixels(t: Tables) -> DataFrame:
     return px.nearest_fragment(ad.fragments(t), SF, ["object_id", "instance_id", "tag", "shade"], ["object_id", "instance_id", "tag", "shade"])
 
 
+def depths(t: Tables) -> DataFrame:
+    return px.nearest_depth(ad.fragments(t), SF)
+
+
 PX = f"""(SELECT scene, frame, y, x, depth, object_id, instance_id, tag, shade FROM (SELECT *, row_number() OVER (PARTITION BY scene, frame, y, x
   ORDER BY depth, object_id, instance_id, tag, shade) AS rn FROM {FR}) WHERE rn = 1)"""
 
@@ -160,7 +164,7 @@ fl AS (SELECT scene, a_frame, b_frame, y, x, 8 * qx / qz + 3.5 AS u, 8 * qy / qz
 
 @query("X21 J11", f"WITH {FLOW_SQL} SELECT scene, a_frame, b_frame, y, x, round(u, 5) + 0.0 AS u, round(v, 5) + 0.0 AS v FROM fl")
 def reprojection(t: Tables) -> DataFrame:
-    flow = px.induced_flow(pixels(t), px.view_pairs(cameras(t), ["scene"], "frame"), ["scene"], "frame")
+    flow = px.induced_flow(depths(t), px.view_pairs(cameras(t), ["scene"], "frame"), ["scene"], "frame")
     return flow.select("scene", "a_frame", "b_frame", "y", "x", *rounded(["u", "v"]))
 
 
@@ -171,7 +175,7 @@ s AS (SELECT n.scene, n.a_frame, n.b_frame, n.y, n.x, n.fu, n.fv, sum(coalesce(w
   FROM n LEFT JOIN fl g ON g.scene = n.scene AND g.a_frame = n.b_frame AND g.b_frame = n.a_frame AND g.x = n.nx AND g.y = n.ny GROUP BY ALL)
 SELECT scene, a_frame, b_frame, round(avg(CASE WHEN sqrt((gu + fu) * (gu + fu) + (gv + fv) * (gv + fv)) < 1 THEN 1.0 ELSE 0.0 END), 6) AS score FROM s GROUP BY ALL""")
 def covisibility(t: Tables) -> DataFrame:
-    return px.covisibility(pixels(t), cameras(t), ["scene"], "frame").withColumn("score", F.round("score", 6))
+    return px.covisibility(depths(t), cameras(t), ["scene"], "frame").withColumn("score", F.round("score", 6))
 
 
 @query("X22 J15", f"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from jointframe import adapters as ad
 from jointframe import session
 from jointframe.functions import stats as st
+from jointframe.operators import pixels as px
 from jointframe.operators import splits as sp
 from jointframe.plans import corpus, ordered
 from jointframe.queries.corpus import strip_faces
@@ -89,3 +90,50 @@ def test_only_curved_segments_are_bisected():
     s = np.linspace(0, 1, 2_000_001)
     x, y = [(1 - s) ** 3 * a + 3 * (1 - s) ** 2 * s * b + 3 * (1 - s) * s * s * c + s ** 3 * d for a, b, c, d in ((0.0, 0.2, 0.7, 1.0), (1.0, 3.0, -1.0, 2.0))]
     assert np.isnan(got[1]) and np.allclose(got[[0, 2]], np.interp([0.25, 0.5], x, y), atol=1e-6)
+
+
+def test_covisibility_exchanges_depths_only(spark):
+    rng = np.random.default_rng(8)
+    spin = [0.0, 0.2, -0.5]
+    cams, turns = [], []
+    for f, a in enumerate(spin):
+        c, s = float(np.cos(a)), float(np.sin(a))
+        turns.append(np.array([[c, 0, s], [0, 1, 0], [-s, 0, c]]))
+        cams.append((1, f, 8.0, 8.0, 9.5, 9.5, *map(float, turns[-1].ravel()), 0.3 * f, 0.0, 0.0))
+    depth = {(f, y, x): float(d) for f in range(3) for y in range(20) for x in range(20) if (d := rng.integers(0, 6))}
+
+    def land(f, g, y, x):
+        p = np.array([(x - 9.5) / 8, (y - 9.5) / 8, 1.0]) * depth[f, y, x]
+        q = turns[g].T @ (turns[f] @ p + [0.3 * f - 0.3 * g, 0, 0])
+        return 8 * q[0] / q[2] + 9.5, 8 * q[1] / q[2] + 9.5
+
+    want = {}
+    for f in range(3):
+        for g in range(3):
+            hits = []
+            for h, y, x in depth:
+                if h != f or f == g:
+                    continue
+                u, v = land(f, g, y, x)
+                back = np.zeros(2)
+                for dx in (0, 1):
+                    for dy in (0, 1):
+                        bx, by = int(np.floor(u)) + dx, int(np.floor(v)) + dy
+                        w = (u - np.floor(u) if dx else 1 - u + np.floor(u)) * (v - np.floor(v) if dy else 1 - v + np.floor(v))
+                        if (g, by, bx) in depth:
+                            back += w * (np.array(land(g, f, by, bx)) - [bx, by])
+                hits.append(bool(np.hypot(*(back + [u - x, v - y])) < 1))
+            if hits:
+                want[f, g] = hits
+    frame = spark.createDataFrame([(1, f, y, x, d) for (f, y, x), d in depth.items()], "scene int, frame int, y long, x long, depth double")
+    names = ["scene int", "frame int", *[f"{c} double" for c in px.CAMERA]]
+    out = px.covisibility(frame, spark.createDataFrame(cams, ", ".join(names)), ["scene"], "frame")
+    got = {(r.a_frame, r.b_frame): r.score for r in out.collect()}
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # The tiles of a frame are made once, of depths; flow values of pairs are not gathered.
+    gathered = [line for line in plan.splitlines() if "collect_list" in line]
+    assert gathered and not any("gu" in line or "b_frame" in line for line in gathered)
+    for k, hits in want.items():
+        assert abs(got[k] - sum(hits) / len(hits)) < 1e-9 and 0 < sum(hits) < len(hits)
