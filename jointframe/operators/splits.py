@@ -29,7 +29,8 @@ def candidate_splits(ordered: DataFrame, moved: DataFrame) -> DataFrame:
     default moves all joints, anim0/1/2 one joint type, anim<10+i> the i-th
     joint of an object with several.
     """
-    counts = ordered.groupBy("obj").agg(F.count("*").alias("_n"))
+    # An object has several joints if it has one of ordinal 1.
+    several = ordered.where("ord = 1").select("obj", F.lit(True).alias("_s"))
     mode = F.create_map(*[x for k, v in fixed.TYPE_MODES.items() for x in (F.lit(k), F.lit(v))])[F.col("type")]
     def entry(key: Column, prio: Column) -> Column:
         return F.struct(key.alias("key"), prio.cast("bigint").alias("prio"))
@@ -37,10 +38,12 @@ def candidate_splits(ordered: DataFrame, moved: DataFrame) -> DataFrame:
     keys = F.array_compact(F.array(
         entry(F.lit("default"), F.lit(0)),
         entry(F.concat(F.lit("anim"), mode.cast("string")), mode + 1),
-        F.when(F.col("_n") > 1, own),
+        F.when(F.col("_s"), own),
     ))
-    per_joint = ordered.join(counts, "obj").select("obj", "joint", F.explode(keys).alias("_k"))
-    return per_joint.join(moved, ["obj", "joint"]).select("obj", "_k.*", "joint", "label")
+    per_joint = ordered.join(several, "obj", "left").select("obj", "joint", keys.alias("_k"))
+    # Multiplied last. These rows compress well: by their bytes on disk, a table of millions would be sent to every task.
+    met = moved.join(per_joint.hint("merge"), ["obj", "joint"]).select("obj", "joint", "label", F.explode("_k").alias("_k"))
+    return met.select("obj", "_k.*", "joint", "label")
 
 
 def build_splits(ordered: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:

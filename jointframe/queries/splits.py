@@ -21,12 +21,12 @@ V, J, P = ad.vertices.sql, ad.joints.sql, ad.parts.sql
 
 
 def movable_parts(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Ordered movable joints and the parts under them."""
+    """Ordered movable joints and the parts under them, both written once: splits read them several times."""
     joints = ad.joints(t)
     under = kin.descendant_parts(joints, ["obj"])
     moving = joints.where(F.col("type").isin(*fixed.MOVABLE) & (F.abs(F.col("upper") - F.col("lower")) >= 1e-6))
     ordered = sp.joint_ordinals(moving)
-    return ordered, under.join(moving.select("obj", "joint"), ["obj", "joint"], "left_semi")
+    return durable(ordered), durable(under.join(moving.select("obj", "joint"), ["obj", "joint"], "left_semi"))
 
 
 SPLIT_SQL = """
@@ -91,7 +91,6 @@ def promoted(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Roles, active joints after promotion, and the joints with axes and frames."""
     v = ad.vertices(t)
     ordered, moved = movable_parts(t)
-    ordered, moved = durable(ordered), durable(moved)
     moving, active = sp.build_splits(ordered, moved)
     roles, active = durable(sp.split_roles(moving, ad.parts(t))), durable(active)
     frames = durable(geo.normal_frames(v, ["obj"]))

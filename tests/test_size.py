@@ -13,6 +13,7 @@ from jointframe.operators import pixels as px
 from jointframe.operators import splits as sp
 from jointframe.plans import corpus, ordered
 from jointframe.queries.corpus import strip_faces
+from jointframe.queries.splits import movable_parts
 from jointframe.session import Tables
 from jointframe.sources import files
 
@@ -137,3 +138,20 @@ def test_covisibility_exchanges_depths_only(spark):
     assert gathered and not any("gu" in line or "b_frame" in line for line in gathered)
     for k, hits in want.items():
         assert abs(got[k] - sum(hits) / len(hits)) < 1e-9 and 0 < sum(hits) < len(hits)
+
+
+def test_candidate_splits_are_multiplied_after_a_merge(spark):
+    ordered, moved = movable_parts(Tables(spark, FOLDER))
+    rows = sp.candidate_splits(ordered, moved)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # A written table of moved parts is small by its bytes, but must not be sent to every task; nothing is counted to tell several joints.
+    assert "SortMergeJoin" in plan and "HashAggregate" not in plan
+    joints = ordered.toPandas()
+    n = joints.groupby("obj").size()
+    modes = {"revolute": 0, "prismatic": 1, "continuous": 2}
+    want = set()
+    for j in joints.itertuples():
+        keys = [("default", 0), (f"anim{modes[j.type]}", modes[j.type] + 1)] + ([(f"anim{10 + j.ord}", 10 + j.ord)] if n[j.obj] > 1 else [])
+        want |= {(j.obj, j.joint, *k) for k in keys}
+    parts = {(r.obj, r.joint, r.label) for r in moved.collect()}
+    assert sorted(map(tuple, rows.select("obj", "joint", "key", "prio", "label").collect())) == sorted((o, j, k, p, label) for o, j, k, p in want for oo, jj, label in parts if (oo, jj) == (o, j))
