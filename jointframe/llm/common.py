@@ -90,12 +90,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
-def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words between spaces, which of them stands at each place, and each text's first place with the total at the end."""
     split = pc.split_pattern(texts, " ")
     words = split.flatten().dictionary_encode()
     at = split.offsets.to_numpy()
-    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), at - at[0]
+    return words.dictionary, words.indices.to_numpy(zero_copy_only=False), at - at[0]
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

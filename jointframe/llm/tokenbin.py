@@ -38,8 +38,8 @@ from jointframe.llm.tokens import END_ID, encoder, vocabulary_path, with_end
 from jointframe.session import ensure_checkpoint_dir
 
 BLOCK = 1024
-#: Blocks coded side by side, and so the ids after which a chunk is closed.
-LANES = 2048
+#: Blocks coded side by side at most, and the blocks of ids after which a chunk is closed; one more batch may be in it.
+LANES, CHUNK_BLOCKS = 5120, 2048
 #: Ids are below this.
 IDS = 1 << 16
 MAGIC = b"TCM1"
@@ -50,43 +50,50 @@ _TOP, _LOW_RANGE = np.uint64(1 << 48), np.uint64(1 << 32)
 _W16, _W48 = np.uint64(16), np.uint64(48)
 
 
+#: Counts of the four events stand in 16 bits each of one number; times _SUMS they become their running sums.
+_ONES = np.uint64(0x0001000100010001)
+_SUMS, _HALF = _ONES, np.uint64(0x7FFF7FFF7FFF7FFF)
+_COUNT = np.uint64(0xFFFF)
+_AT = np.arange(0, 64, 16, dtype=np.uint64)
+_MORE = np.uint64(_STEP) << _AT
+
+
 class _Mixer:
     """The model of all lanes; the same for coding and decoding.
 
     A slot of a guess table holds 4 * id + confidence; empty ones hold -4.
-    Counts are by event and by lane and confidence.
+    Counts are by lane and confidence.
     """
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
         self.base, self.base4 = self.lane * _SLOTS, self.lane * 4
         self.table = [np.full(lanes * _SLOTS, -4, np.int32) for _ in range(2)]
-        self.counts = [np.ones((4, lanes * 4), np.int64) for _ in range(2)]
-        self.last = [np.zeros(lanes, np.int64) for _ in range(2)]
-
-    def predict(self, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Cumulated frequencies of the four events (5, k) and the two guesses, for the first k lanes."""
-        a = self.last[0][:k] * 0x9E3779B1
-        self.slot = [(((a + self.last[1][:k] * 0x85EBCA6B) >> 15) & (_SLOTS - 1)) + self.base[:k], ((a >> 17) & (_SLOTS - 1)) + self.base[:k]]
+        self.counts = [np.full(lanes * 4, _ONES) for _ in range(2)]
+        self.last = [np.zeros(lanes, np.uint32) for _ in range(2)]
+
+    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Frequencies of the four events, their running sums and the two guesses, for the first k lanes."""
+        a = self.last[0][:k] * np.uint32(0x9E3779B1)
+        both = self.last[1][:k] * np.uint32(0x85EBCA6B)
+        both += a
+        self.slot = [((x >> np.uint32(bits)) & np.uint32(_SLOTS - 1)) + self.base[:k] for x, bits in ((both, 15), (a, 17))]
         self.held = [self.table[i].take(self.slot[i]) for i in (0, 1)]
         self.level = [h & 3 for h in self.held]
         self.row = [self.base4[:k] + v for v in self.level]
-        freq = self.counts[0].take(self.row[0], axis=1)
-        freq += self.counts[1].take(self.row[1], axis=1)
-        cum = np.zeros((5, k), np.int64)
-        for i in range(4):
-            np.add(cum[i], freq[i], out=cum[i + 1])
-        return cum, [h >> 2 for h in self.held]
-
-    def update(self, k: int, ids: np.ndarray, event: np.ndarray, guesses: list[np.ndarray], step: int) -> None:
-        fresh = (ids << 2).astype(np.int32)
+        self.own = [self.counts[i].take(self.row[i]) for i in (0, 1)]
+        freq = self.own[0] + self.own[1]
+        return freq, freq * _SUMS, [h >> 2 for h in self.held]
+
+    def update(self, k: int, ids: np.ndarray, event: np.ndarray, hits: list[np.ndarray], step: int) -> None:
+        fresh, more = ids << 2, _MORE.take(event)
         for i in (0, 1):
             counts, level, held = self.counts[i], self.level[i], self.held[i]
-            counts.reshape(-1)[event * counts.shape[1] + self.row[i]] += _STEP
-            self.table[i][self.slot[i]] = np.where(guesses[i] == ids, held + (level < 3), np.where(level > 0, held - 1, fresh))
+            counts[self.row[i]] = self.own[i] + more
+            self.table[i][self.slot[i]] = np.where(hits[i], held + (level < 3), np.where(level > 0, held - 1, fresh))
             if step % 64 == 63:
-                big = counts.sum(0) > _LIMIT
-                counts[:, big] = (counts[:, big] + 1) >> 1
+                big = (counts * _SUMS) >> _W48 > _LIMIT
+                counts[big] = ((counts[big] + _ONES) >> np.uint64(1)) & _HALF
         self.last[1][:k] = self.last[0][:k]
         self.last[0][:k] = ids
 
@@ -98,10 +105,11 @@ def _first_seen(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ordered = np.take_along_axis(ids, order, 1)
     head = np.ones((lanes, width), bool)
     head[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-    run = np.maximum.accumulate(np.where(head, np.arange(width), 0), axis=1)
-    origin = np.empty((lanes, width), np.int64)
+    places = np.arange(width, dtype=np.int32)
+    run = np.maximum.accumulate(np.where(head, places, np.int32(0)), axis=1)
+    origin = np.empty((lanes, width), np.int32)
     np.put_along_axis(origin, order, np.take_along_axis(order, run, 1), 1)
-    number = np.cumsum(origin == np.arange(width), axis=1) - 1
+    number = np.cumsum(origin == places, axis=1, dtype=np.int32) - np.int32(1)
     return np.take_along_axis(number, origin, 1)
 
 
@@ -110,16 +118,22 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     if len(ids) and int(ids.max()) >= IDS:
         raise ValueError(f"ids must be below {IDS}")
     out: list[bytes] = []
-    for lo in range(0, len(ids), LANES * block):
-        out += _encode_side_by_side(ids[lo : lo + LANES * block].astype(np.int64), block)
+    for lo, hi in _runs(-(-len(ids) // block)):
+        out += _encode_side_by_side(ids[lo * block : hi * block].astype(np.int32), block)
     return out
 
 
+def _runs(blocks: int) -> list[tuple[int, int]]:
+    """Bounds of even runs of at most ``LANES`` blocks; a step costs much the same for few blocks as for many."""
+    runs = -(-blocks // LANES)
+    return [(i * blocks // runs, (i + 1) * blocks // runs) for i in range(runs)]
+
+
 def _encode_side_by_side(ids: np.ndarray, block: int) -> list[bytes]:
     lanes = -(-len(ids) // block)
     sizes = np.full(lanes, block)
     sizes[-1] = len(ids) - (lanes - 1) * block
-    grid = np.zeros(lanes * block, np.int64)
+    grid = np.zeros(lanes * block, np.int32)
     grid[: len(ids)] = ids
     grid = grid.reshape(lanes, block)
     number = _first_seen(grid, sizes)
@@ -127,29 +141,31 @@ def _encode_side_by_side(ids: np.ndarray, block: int) -> list[bytes]:
     mixer = _Mixer(lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
     words, at = np.zeros((lanes, 3 * block + 8), np.uint16), np.zeros(lanes, np.int64)
-    seen = np.zeros(lanes, np.int64)
+    seen = np.zeros(lanes, np.int32)
     for step in range(block):
         k = lanes if step < sizes[-1] else lanes - 1
         if not k:
             break
         x, n = columns[step, :k], numbers[step, :k]
-        cum, guesses = mixer.predict(k)
+        freq, sums, guesses = mixer.predict(k)
         m = seen[:k]
-        event = np.where(guesses[0] == x, 0, np.where(guesses[1] == x, 1, np.where(n < m, 2, 3)))
-        lane = mixer.lane[:k]
-        start = cum[event, lane]
-        r = rng[:k] // cum[4].view(np.uint64)
-        lo = low[:k] + r * start.view(np.uint64)
-        r = r * (cum[event + 1, lane] - start).view(np.uint64)
+        hits, new = [g == x for g in guesses], n >= m
+        event = ~hits[0] * (np.uint8(1) + ~hits[1] * (np.uint8(1) + new))
+        at_event = _AT.take(event)
+        own = (freq >> at_event) & _COUNT
+        r = rng[:k] // (sums >> _W48)
+        lo = low[:k] + r * (((sums >> at_event) & _COUNT) - own)
+        r *= own
         # The second symbol: nothing to say after a right guess, else the number in the list or the id.
-        many = np.where(event < 2, 1, np.where(event == 2, m, IDS)).view(np.uint64)
-        which = np.where(event < 2, 0, np.where(event == 2, n, x)).view(np.uint64)
-        r //= many
-        lo += r * which
+        said = np.flatnonzero(event > 1)
+        which = np.where(new, x, n).take(said).astype(np.uint64)
+        part = r.take(said) // np.where(new, np.int32(IDS), m).take(said).astype(np.uint64)
+        lo[said] += part * which
+        r[said] = part
         low[:k], rng[:k] = lo, r
         _shift(low, rng, k, lambda active, lo: _put(words, at, active, lo))
         seen[:k] = np.maximum(m, n + 1)
-        mixer.update(k, x, event, guesses, step)
+        mixer.update(k, x, event, hits, step)
     for _ in range(4):
         words[mixer.lane, at] = (low >> _W48).astype(np.uint16)
         low <<= _W16
@@ -188,7 +204,7 @@ def _put(words: np.ndarray, at: np.ndarray, active: np.ndarray, low: np.ndarray)
 
 def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     """All ids of the blocks, one block after the other; raises on damage."""
-    parts = [_decode_side_by_side(blocks[lo : lo + LANES]) for lo in range(0, len(blocks), LANES)]
+    parts = [_decode_side_by_side(blocks[lo:hi]) for lo, hi in _runs(len(blocks))]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
@@ -201,7 +217,7 @@ def _decode_side_by_side(blocks: list[bytes]) -> np.ndarray:
     sizes = np.array([heads[i][1] for i in order], np.int64)
     lanes, width = len(blocks), int(sizes[0])
     length = np.array([heads[i][2] // 2 for i in order])
-    words = np.zeros((lanes, int(length.max()) + 1), np.uint64)
+    words = np.zeros((lanes, int(length.max()) + 1), np.uint16)
     for j, i in enumerate(order):
         words[j, : length[j]] = np.frombuffer(blocks[i], "<u2", offset=_HEAD.size)
     end = words.shape[1] - 1
@@ -221,30 +237,36 @@ def _decode_side_by_side(blocks: list[bytes]) -> np.ndarray:
 
     for step in range(width):
         k = int(np.searchsorted(-sizes, -step, "left"))  # lanes with more than step ids
-        cum, guesses = mixer.predict(k)
-        lane = mixer.lane[:k]
-        total = cum[4].view(np.uint64)
+        freq, sums, guesses = mixer.predict(k)
+        total = sums >> _W48
         r = rng[:k] // total
-        t = np.minimum((code[:k] - low[:k]) // r, total - np.uint64(1)).view(np.int64)
-        event = (t >= cum[1]).astype(np.int64) + (t >= cum[2]) + (t >= cum[3])
-        start = cum[event, lane]
-        lo = low[:k] + r * start.view(np.uint64)
-        r = r * (cum[event + 1, lane] - start).view(np.uint64)
+        t = np.minimum((code[:k] - low[:k]) // r, total - np.uint64(1))
+        event = np.zeros(k, np.uint8)
+        for bits in _AT[:3]:
+            event += t >= (sums >> bits) & _COUNT
+        at_event = _AT.take(event)
+        own = (freq >> at_event) & _COUNT
+        lo = low[:k] + r * (((sums >> at_event) & _COUNT) - own)
+        r *= own
         m = seen[:k]
-        many = np.where(event < 2, 1, np.where(event == 2, m, IDS)).view(np.uint64)
-        r //= many
-        which = np.minimum((code[:k] - lo) // r, many - np.uint64(1))
-        lo += r * which
+        x = np.where(event == 0, guesses[0], guesses[1])
+        said = np.flatnonzero(event > 1)
+        fresh, number = event.take(said) == 3, m.take(said)
+        many = np.where(fresh, IDS, number).view(np.uint64)
+        part, under = r.take(said) // many, lo.take(said)
+        which = np.minimum((code.take(said) - under) // part, many - np.uint64(1))
+        lo[said] = under + part * which
+        r[said] = part
         which = which.view(np.int64)
+        x[said] = np.where(fresh, which.astype(np.int32), listed[said, np.minimum(which, width - 1)])
         low[:k], rng[:k] = lo, r
-        x = np.where(event == 0, guesses[0], np.where(event == 1, guesses[1], np.where(event == 2, listed[lane, np.minimum(which, width - 1)], which)))
         _shift(low, rng, k, take)
         # An id that a guess was right about has been seen, unless the guess is from before it was listed: guesses come from the block, so it is listed.
-        new = event == 3
-        listed[lane[new], m[new]] = x[new]
-        seen[:k] = m + new
+        new = said[fresh]
+        listed[new, number[fresh]] = x[new]
+        seen[new] += 1
         out[step, :k] = x
-        mixer.update(k, x, event, guesses, step)
+        mixer.update(k, x, event, [g == x for g in guesses], step)
     back = np.empty(lanes, np.int64)
     back[order] = np.arange(lanes)
     result = [out[: sizes[j], j].astype(np.uint32) for j in back]
@@ -277,7 +299,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         for batch in gathered(batches):
             ids, bounds = with_end(*words.encode(text_of(batch)), end_id)
             held.append((batch.column(0), ids, np.diff(bounds)))
-            if sum(len(x) for _, x, _ in held) >= LANES * BLOCK:
+            if sum(len(x) for _, x, _ in held) >= CHUNK_BLOCKS * BLOCK:
                 row = close()
                 first += row.column(2)[0].as_py()
                 held.clear()

@@ -13,6 +13,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from jointframe.llm.common import split_words
 
@@ -25,6 +26,8 @@ _PLAIN = re.compile(r"[!-~\t\n\r]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Marks that end words; as letters are no part of such a piece, they can be cut off.
 _MARKS = ".,;:!?"
+#: Letters of ASCII and Latin-1, each composed and with a lower case of its own or none, and marks behind them.
+_LETTERS_MARKS = "^(?P<head>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<tail>[.,;:!?]*)$"
 _EXTENDED, _DOTTED = "\u0250", "\u0130"
 
 
@@ -46,6 +49,11 @@ def _letters(word: str, low: str) -> bool:
     return low.isalpha() and (word.isascii() or (max(word) < _EXTENDED and _DOTTED not in word and is_normalized("NFC", word)))
 
 
+def _listed(values: pa.Array) -> list:
+    """The values of an array without nulls; quicker than ``to_pylist``."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,7 +74,7 @@ class WordEncoder:
     def piece(self, piece: str) -> tuple[int, ...]:
         if (ids := self.pieces.get(piece)) is None:
             form = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(form))
+            ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(form)])
         return ids
 
     def word(self, word: str) -> tuple[int, ...] | None:
@@ -84,21 +92,33 @@ class WordEncoder:
             return tuple(chain.from_iterable(map(self.piece, _PIECES.findall(low))))
         return self.others.get(word)
 
-    def lookup(self, words: list[str]) -> list[tuple[int, ...]]:
+    def lookup(self, words: pa.Array) -> list[tuple[int, ...]]:
+        """The ids of each word."""
         for kept in (self.pieces, self.others):
             if len(kept) > KEPT_PIECES:
                 kept.clear()
-        get = self.pieces.get
-        # A word that is a piece already is the common case; no piece is "" or has capitals.
-        found = [get(w) or self.word(w) for w in words]
-        rest = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(rest, self.plain([words[i] for i in rest]), strict=True):
-            found[i] = self.others[words[i]] = ids
+        # Most words are letters with marks behind: they are cut side by side, and each distinct run of letters is looked up once.
+        cut = pc.extract_regex(words, _LETTERS_MARKS)
+        heads = pc.utf8_lower(pc.struct_field(cut, "head")).dictionary_encode()
+        tails = pc.struct_field(cut, "tail").dictionary_encode()
+        of_head = [*map(self.piece, _listed(heads.dictionary)), ()]
+        of_tail = [*(self.piece(t) if t else () for t in _listed(tails.dictionary)), ()]
+        at = [_listed(pc.fill_null(x.indices, len(of) - 1)) for x, of in ((heads, of_head), (tails, of_tail))]
+        found: list[tuple[int, ...] | None] = [of_head[i] + of_tail[j] for i, j in zip(*at, strict=True)]
+        others = np.flatnonzero(cut.is_null().to_numpy(zero_copy_only=False)).tolist()
+        rest, texts = [], _listed(words.take(pa.array(others, pa.int64())))
+        for i, w in zip(others, texts, strict=True):
+            found[i] = self.pieces.get(w) or self.word(w)
+            if found[i] is None:
+                rest.append((i, w))
+        for (i, w), ids in zip(rest, self.plain([w for _, w in rest]), strict=True):
+            found[i] = self.others[w] = ids
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, place of each text's first id and the total at the end)."""
-        words, which, first = split_words(texts)
+        # Line ends are white space like any other; words on both sides of one are seldom met again as a pair.
+        words, which, first = split_words(pc.replace_substring(texts, "\n", " "))
         found = self.lookup(words)
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))

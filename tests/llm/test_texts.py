@@ -16,7 +16,7 @@ from test_rows import plain_lines, plain_metrics
 
 import corpus_pipeline
 from jointframe.llm import decontam, langid, linedup, packing, simhash, suffix, tokenbin, toxicity
-from jointframe.llm.tokens import encoder, vocabulary_path
+from jointframe.llm.tokens import WordEncoder, encoder, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
 FORMS = ["the", "The", "don't", "x.", "Ñandú,", "été", "l'été", "a\nb", "12.5", "<|endoftext|>", "🙂", "İx", "é", "...", "", "漢字", " ", "a b", "\x1c", "'s", "ß", "C++", "é"]
@@ -380,3 +380,20 @@ def test_stages_keep_columns_and_bear_odd_input(spark, clashing_docs, no_docs):
 @given(st.text(st.sampled_from("½²①٣Ⅷ_ 1a\n-漢é🙂ª"), max_size=8))
 def test_letters_are_told_from_numbers(text):
     assert langid.has_letter(text) == any(c.isalpha() for c in text)
+
+
+def test_words_of_letters_and_marks_are_cut_side_by_side():
+    enc = WordEncoder(vocabulary_path())
+    texts = ["Hello, World.\nÑandú! The END", "", "\n\n", "ß ÿ... \u0130stanbul \u212a, e\u0301 a,b it's 42!", "the\nthe the?!"]
+    asked, word = [], enc.word
+    enc.word = lambda w: asked.append(w) or word(w)
+    ids, at = enc.encode(pa.array(texts))
+    assert [tuple(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)] == enc.plain(texts)
+    assert set(asked) <= {"", "\u0130stanbul", "\u212a,", "e\u0301", "a,b", "it's", "42!"}
+
+
+def test_blocks_are_coded_in_even_runs():
+    assert tokenbin._runs(0) == [] and tokenbin._runs(4_290) == [(0, 4_290)]
+    assert tokenbin._runs(2 * tokenbin.LANES + 1) == [(0, 3_413), (3_413, 6_827), (6_827, 10_241)]
+    ids = np.random.default_rng(4).integers(0, 300, 3 * 16 + 5).astype(np.uint32)
+    assert (tokenbin.decode_blocks(tokenbin.encode_blocks(ids, 16)) == ids).all()
