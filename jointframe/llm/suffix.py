@@ -46,6 +46,10 @@ PHRASE = 64
 HELD, HELD_TEXTS, BUCKET = 2_000_000, 30_000, 4_000_000
 #: Phrases of one trigger that are sorted in one task at most.
 GROUP = 20_000
+#: Phrases that are sorted together at least, but for the last ones.
+GATHERED = 5_000
+#: Bytes of text that are cut into phrases at a time; arrays of this length stay in the processor's cache.
+CACHED = 100_000
 _BASE = 0x9E3779B97F4A7C15
 _KEY_BITS = 48
 
@@ -75,6 +79,17 @@ def sliding_least(x: np.ndarray, k: int) -> np.ndarray:
 
 def phrases(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(trigger key, text, start in ``raw``, windows) of each phrase of the texts between ``bounds``."""
+    parts, a = [], 0
+    while not parts or a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + CACHED, side="right")) - 1)
+        key, text, start, windows = _cut(raw[bounds[a] : bounds[min(b, len(bounds) - 1)]], bounds[a : b + 1] - bounds[a])
+        parts.append((key, text + a, start + bounds[a], windows))
+        a = b
+    key, text, start, windows = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return key, text, start, windows
+
+
+def _cut(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(raw) < SPAN:
         return none
@@ -279,9 +294,11 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RUNS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("first", pa.int64())]))
 
 
-def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, runs): for each phrase, runs of windows lo to hi (without hi) that first occur in document ``first``. Rows are (key, phrase, doc_id), sorted by key."""
-    held: list[pa.RecordBatch] = []
+def _sort_suffixes(group: int):
+    """(a, b, runs, doc_id, phrase): for each phrase, runs of windows lo to hi (without hi) that first occur in document ``first``.
+
+    Rows are (key, phrase, doc_id), sorted by key. Those of a trigger with more than ``group`` rows are passed on as doc_id and phrase.
+    """
 
     def close(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, bounds = bytes_of(part.column(1))
@@ -289,16 +306,35 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         # Equal phrases become one, with the least and the greatest document.
         code = _digests(raw, bounds[:-1], np.diff(bounds))
         order = np.lexsort((doc, code[:, 1], code[:, 0], key))
-        new = np.flatnonzero(np.append(True, (np.diff(code[order], axis=0) != 0).any(1)))
+        new = np.flatnonzero(np.append(True, (np.diff(code[order], axis=0) != 0).any(1) | (np.diff(key[order]) != 0)))
         row = order[new]
         least, most = doc[row], doc[order[np.append(new[1:], len(order)) - 1]]
         windows = np.diff(bounds)[row] - SPAN + 1
-        owner = np.repeat(np.arange(len(row)), windows)
+        # The windows of a trigger's only phrase all occur in the same documents.
+        other = np.diff(key[row]) != 0
+        only = np.append(True, other) & np.append(other, True)
+        shared = only & (least != most)
+        size, lo, hi, first = shared.astype(np.int64), np.zeros(int(shared.sum()), np.int64), windows[shared], least[shared]
+        if not only.all():
+            at, (per, *runs) = np.flatnonzero(~only), arrays(raw, bounds[row], key[row], least, most, windows, ~only)
+            size[at] = per
+            place = np.argsort(np.concatenate([np.flatnonzero(shared), np.repeat(at, per)]), kind="stable")
+            lo, hi, first = (np.concatenate(x)[place] for x in zip((lo, hi, first), runs, strict=True))
+        offsets = np.concatenate([[0], np.cumsum(size[size > 0])]).astype(np.int32)
+        kept = code[row[size > 0]]
+        runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(lo), pa.array(hi), pa.array(first)], names=["lo", "hi", "first"]))
+        return _told(pa.array(kept[:, 0]), pa.array(kept[:, 1]), runs.cast(_RUNS), pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.binary()))
+
+    def arrays(raw: np.ndarray, start: np.ndarray, key: np.ndarray, least: np.ndarray, most: np.ndarray, windows: np.ndarray, sort: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the phrases in ``sort``: how many runs each has, and their lo, hi and first."""
+        start, key, least, most, windows = (x[sort] for x in (start, key, least, most, windows))
+        owner = np.repeat(np.arange(len(key)), windows)
         base = np.cumsum(windows) - windows
-        grid = np.zeros((len(owner), 8 + SPAN), np.uint8)
-        grid[:, :8] = key[row].astype(">i8").view(np.uint8).reshape(-1, 8)[owner]
-        grid[:, 8:] = np.lib.stride_tricks.sliding_window_view(raw, SPAN)[ranges(bounds[row], windows)]
-        suffix = grid.view(f"S{8 + SPAN}").ravel()
+        trigger = np.cumsum(np.append(0, np.diff(key) != 0)).astype(">u4")
+        grid = np.empty((len(owner), 4 + SPAN), np.uint8)
+        grid[:, :4] = trigger.view(np.uint8).reshape(-1, 4)[owner]
+        grid[:, 4:] = np.lib.stride_tricks.sliding_window_view(raw, SPAN)[ranges(start, windows)]
+        suffix = grid.view(f"S{4 + SPAN}").ravel()
         order = np.argsort(suffix, kind="stable")
         suffix = suffix[order]
         at = np.flatnonzero(np.append(True, suffix[1:] != suffix[:-1]))
@@ -309,30 +345,56 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         lo, hi = turn - base[own], np.append(turn[1:], len(owner)) - base[own]
         # Phrases of one document only, all of whose windows first occur there, remove nothing.
         show = ~np.logical_and.reduceat(first == most[owner], base)[own]
-        per = np.bincount(own[show], minlength=len(row))
-        offsets = np.concatenate([[0], np.cumsum(per[per > 0])]).astype(np.int32)
-        runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(lo[show]), pa.array(hi[show]), pa.array(first[turn][show])], names=["lo", "hi", "first"]))
-        kept = code[row[per > 0]]
-        return pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1]), runs.cast(_RUNS)], names=["a", "b", "runs"])
+        return np.bincount(own[show], minlength=len(key)), lo[show], hi[show], first[turn][show]
+
+    def passed(part: pa.RecordBatch) -> pa.RecordBatch:
+        n = part.num_rows
+        return _told(pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, _RUNS), part.column(2), part.column(1))
+
+    def split(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key = part.column(0).to_numpy()
+        size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+        many = np.repeat(size > group, size)
+        if many.any():
+            yield passed(part.filter(pa.array(many)))
+            part = part.filter(pa.array(~many))
+        if part.num_rows:
+            yield close(part)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy()
-        last = int(np.searchsorted(key, key[-1]))
-        if held and (last or held[-1].column(0)[-1].as_py() != key[0]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, crowded = [], 0, None
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            if crowded is not None and (left := int(np.searchsorted(key, crowded, side="right"))):
+                yield passed(batch.slice(0, left))
+                batch = batch.slice(left)
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size < GATHERED:
+                continue
             # All triggers but the last are complete.
-            yield close(pa.concat_batches([*held, batch.slice(0, last)] if last else held))
-            held = []
-        elif last:
-            yield close(batch.slice(0, last))
-        held.append(batch.slice(last))
-    if held:
-        yield close(pa.concat_batches(held))
+            part = pa.concat_batches(held)
+            key = part.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield from split(part.slice(0, last))
+            held, size = [part.slice(last)], len(key) - last
+            if size > group:
+                yield passed(held[0])
+                held, size, crowded = [], 0, int(key[-1])
+        if held:
+            yield from split(pa.concat_batches(held))
+
+    return run
+
+
+def _told(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=["a", "b", "runs", "doc_id", "phrase"])
 
 
 def _single_windows(crowded: DataFrame) -> DataFrame:
-    """The same as ``_sort_suffixes`` for triggers with very many phrases, by one row for each window and no task for a trigger."""
+    """The runs of triggers with very many phrases, by one row for each window and no task for a trigger."""
     windows = crowded.select("a", "b", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("phrase") - (SPAN - 1)), lambda i: F.substring(F.col("phrase"), i, F.lit(SPAN)))).alias("lo", "window"))
     windows = windows.groupBy("a", "b", "lo", "window").agg(F.min("doc_id").alias("doc_id"))
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
@@ -340,12 +402,22 @@ def _single_windows(crowded: DataFrame) -> DataFrame:
     return windows.join(first, "window").groupBy("a", "b").agg(F.collect_list(run).alias("runs"))
 
 
+def _asked(met: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, hash, keys) of documents that are no copies.
+
+    A document is told by every bucket it has triggers in, so its rows are put
+    together before they meet the copies; an anti join would go first.
+    """
+    whole = met.groupBy("doc_id", "hash").agg(F.collect_list("keys").alias("keys"))
+    return whole.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "hash"], "left").where("copy is null").drop("copy")
+
+
 def spans(docs: DataFrame, held: int = BUCKET, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """((doc_id, hash, spans) to remove from documents that are no copies, (doc_id, hash) of the copies) for ``docs`` (doc_id, text, hash of the text) without null ids.
 
-    Triggers, copies and what documents are asked for are written out. What
-    follows is one plan, in which the shuffles of texts by document and of
-    phrases by trigger are made once and read several times.
+    Triggers, copies, what documents are asked for and the runs of phrases are
+    written out, and the shuffles behind them end there. Phrases are shuffled
+    once, in a plan of their own; their places in the next one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -353,19 +425,18 @@ def spans(docs: DataFrame, held: int = BUCKET, group: int = GROUP) -> tuple[Data
     buckets = int(max(1, total * 2 // (SPAN - TRIGGER + 2) // held + 1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2))
     same = docs.select("doc_id", "hash", F.md5(F.col("text").cast("binary")).alias("same"))
     least = same.groupBy("same").agg(F.min("doc_id").alias("least"))
-    copies = durable(same.join(least, "same").where("doc_id > least").select("doc_id", "hash").distinct())
+    copies = durable(same.join(least, "same").where("doc_id > least").select("doc_id", "hash").distinct(), ended=True)
     sent = docs.mapInArrow(_send(buckets), _ENTRIES)
     met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "doc_id long, hash long, keys binary")
-    asked = durable(met.join(copies, ["doc_id", "hash"], "left_anti").groupBy("doc_id", "hash").agg(F.collect_list("keys").alias("keys")))
+    asked = durable(_asked(met, copies), ended=True)
     stand = docs.join(asked, ["doc_id", "hash"]).select("doc_id", "text", "hash", "keys").mapInArrow(_dictionary, "a long, b long, doc_id long, hash long, start long, key long, phrase binary")
-    entries = stand.where("phrase is not null").select("key", "phrase", "doc_id").repartition("key")
-    crowded = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key")
-    usual = entries.join(crowded, "key", "left_anti").select("key", "phrase", "doc_id").sortWithinPartitions("key")
-    runs = usual.mapInArrow(_sort_suffixes, "a long, b long, runs array<struct<lo: long, hi: long, first: long>>")
-    runs = runs.unionByName(_single_windows(entries.join(crowded, "key", "left_semi").select(*_code("phrase"), "doc_id", "phrase")))
+    entries = stand.where("phrase is not null").select("key", "phrase", "doc_id").repartition("key").sortWithinPartitions("key")
+    told = durable(entries.mapInArrow(_sort_suffixes(group), "a long, b long, runs array<struct<lo: long, hi: long, first: long>>, doc_id long, phrase binary"), ended=True)
+    runs = told.where("runs is not null").select("a", "b", "runs")
+    runs = runs.unionByName(_single_windows(told.where("phrase is not null").select(*_code("phrase"), "doc_id", "phrase")))
     hit = stand.select("doc_id", "hash", "start", "a", "b").join(runs, ["a", "b"])
-    hit = hit.select("doc_id", "hash", "start", F.explode(F.filter("runs", lambda r: r["first"] < F.col("doc_id"))).alias("r"))
-    hit = hit.select("doc_id", "hash", F.struct((F.col("start") + F.col("r.lo")).alias("s"), (F.col("start") + F.col("r.hi") + (SPAN - 1)).alias("e")).alias("span"))
+    hit = hit.select("doc_id", "hash", "start", F.inline("runs")).where("first < doc_id")
+    hit = hit.select("doc_id", "hash", F.struct((F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") + (SPAN - 1)).alias("e")).alias("span"))
     return hit.groupBy("doc_id", "hash").agg(F.collect_list("span").alias("spans")), copies
 
 

@@ -72,19 +72,30 @@ def new_folder(spark: SparkSession) -> str:
     return _WRITTEN[-1]
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Lets Spark delete the shuffles of a query when it ends.
+_ENDED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def durable(df: DataFrame, ended: bool = False) -> DataFrame:
     """Write the rows to a new table in the shared checkpoint folder and read on from there.
 
     Unlike ``checkpoint()`` this evaluates the plan once, keeps the rows
     columnar and gives the planner real sizes. Lineage ends here, so a lost
     executor costs the work since the last cut. ``discard_tables`` removes the
-    tables when no result that reads them is needed any more.
+    tables when no result that reads them is needed any more. With ``ended`` the
+    shuffles behind the table are deleted with the write instead of whenever
+    the driver collects its garbage.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/durable-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(_ENDED)
+    spark.conf.set(_ENDED, str(ended or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ENDED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,11 +12,14 @@ import pytest
 from conftest import CLASHES, odd_rows, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from test_rows import plain_lines, plain_metrics
 
 import corpus_pipeline
 from jointframe.llm import decontam, langid, linedup, packing, simhash, suffix, tokenbin, toxicity
+from jointframe.llm.common import bytes_of
 from jointframe.llm.tokens import WordEncoder, encoder, vocabulary_path
+from jointframe.session import durable
 
 SF = "/root/testdata/sf0.001"
 FORMS = ["the", "The", "don't", "x.", "Ñandú,", "été", "l'été", "a\nb", "12.5", "<|endoftext|>", "🙂", "İx", "é", "...", "", "漢字", " ", "a b", "\x1c", "'s", "ß", "C++", "é"]
@@ -233,6 +236,70 @@ def test_suffix_dedup(spark, odd_docs, monkeypatch, group):
     assert sorted(map(tuple, got), key=key) == sorted(suffix.brute_force(rows), key=key)
 
 
+@pytest.mark.parametrize("gathered", [1, 5_000])
+@pytest.mark.parametrize("group", [20_000, 12, 0])
+def test_suffix_sorting_passes_crowded_triggers_on(monkeypatch, group, gathered):
+    monkeypatch.setattr(suffix, "GATHERED", gathered)
+    rng = random.Random(5)
+    lines = [bytes(rng.choice(b"ab") for _ in range(80)) for _ in range(3)]
+    rows = sorted((k, rng.choice(lines)[rng.randrange(9) :][: rng.randrange(suffix.SPAN, 71)], rng.randrange(9)) for k in range(6) for _ in range(1 + 5 * k))
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["key", "phrase", "doc_id"])
+    got = [r for b in suffix._sort_suffixes(group)(iter([batch.slice(i, 4) for i in range(0, len(rows), 4)])) for r in b.to_pylist()]
+    per = Counter(k for k, *_ in rows)
+    assert sorted((r["phrase"], r["doc_id"]) for r in got if r["phrase"] is not None) == sorted((p, d) for k, p, d in rows if per[k] > group)
+    runs = {}
+    for key in (k for k in per if per[k] <= group):
+        own = [(p, d) for k, p, d in rows if k == key]
+        for phrase in {p for p, _ in own}:
+            first = [min(d for p, d in own if phrase[i : i + suffix.SPAN] in p) for i in range(len(phrase) - suffix.SPAN + 1)]
+            if any(f < d for p, d in own if p == phrase for f in first):
+                runs.setdefault(tuple(suffix._digests(np.frombuffer(phrase, np.uint8), np.array([0]), np.array([len(phrase)]))[0].tolist()), []).append(first)
+    told = {}
+    for r in got:
+        if r["runs"] is not None:
+            assert r["runs"][0]["lo"] == 0 and all(x["hi"] == y["lo"] for x, y in zip(r["runs"], r["runs"][1:], strict=False))
+            told.setdefault((r["a"], r["b"]), []).append([x["first"] for x in r["runs"] for _ in range(x["hi"] - x["lo"])])
+    assert {k: sorted(v) for k, v in told.items()} == {k: sorted(v) for k, v in runs.items()}
+
+
+def test_phrases_are_the_same_in_pieces(monkeypatch):
+    texts = pa.array(["abcd" * 40, "", "x" * 300, "short", "the quick brown fox jumps over the lazy dog " * 9, ""])
+    raw, bounds = bytes_of(texts)
+    whole = suffix.phrases(raw, bounds)
+    assert len(whole[0]) > 20
+    for cached in (1, 200, 500):
+        monkeypatch.setattr(suffix, "CACHED", cached)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(whole, suffix.phrases(raw, bounds), strict=True))
+    assert all(len(x) == 0 for x in suffix.phrases(raw[:0], bounds[:1]))
+
+
+def test_suffix_dedup_shuffles_phrases_once(spark):
+    docs = spark.createDataFrame([(i, f"{i} " + "the same passage of more than fifty bytes, in two texts " * 2) for i in range(4)], "doc_id long, text string").withColumn("hash", F.xxhash64("text"))
+    found, _ = suffix.spans(docs)
+    # From the written runs on, phrases are only told by their places.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow _dictionary") == 1 and "_sort_suffixes" not in plan
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2, 3]
+
+
+def test_buckets_of_a_document_meet_the_copies_as_one_row(spark):
+    met = spark.createDataFrame([(d, d, bytes([b])) for d in range(3) for b in range(9)], "doc_id long, hash long, keys binary")
+    got = suffix._asked(met, spark.createDataFrame([(1, 1), (2, 7)], "doc_id long, hash long"))
+    assert sorted((r.doc_id, r.hash, sorted(map(bytes, r["keys"]))) for r in got.collect()) == [(d, d, [bytes([b]) for b in range(9)]) for d in (0, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Join LeftOuter") < plan.index("Aggregate [doc_id")
+
+
+def test_shuffles_behind_a_written_table_end(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    was = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = {*disk.getAllBlocks().mkString("\n").split("\n")}
+    table = durable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), ended=True)
+    after = {*disk.getAllBlocks().mkString("\n").split("\n")}
+    assert not {x for x in after - before if x.startswith("shuffle")}
+    assert table.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert suffix.digest(no_docs.select("doc_id", "text")).count() == 0
 
