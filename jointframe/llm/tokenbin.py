@@ -101,16 +101,23 @@ class _Mixer:
 def _first_seen(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """(lanes, BLOCK): the number, in order of appearance in its lane, of each id. Only the last lane may be short."""
     lanes, width = ids.shape
-    order = np.argsort(ids.astype(np.uint16), axis=1, kind="stable")
-    ordered = np.take_along_axis(ids, order, 1)
+    # Sorted by id and place in one number; the first of each id in a lane is where it appears.
+    bits = max(1, (width - 1).bit_length())
+    key = ids.astype(np.uint32 if bits <= 16 else np.uint64) << bits
+    key |= np.arange(width, dtype=key.dtype)
+    key.sort(axis=1)
     head = np.ones((lanes, width), bool)
-    head[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-    places = np.arange(width, dtype=np.int32)
-    run = np.maximum.accumulate(np.where(head, places, np.int32(0)), axis=1)
-    origin = np.empty((lanes, width), np.int32)
-    np.put_along_axis(origin, order, np.take_along_axis(order, run, 1), 1)
-    number = np.cumsum(origin == places, axis=1, dtype=np.int32) - np.int32(1)
-    return np.take_along_axis(number, origin, 1)
+    np.not_equal(key[:, 1:] >> bits, key[:, :-1] >> bits, out=head[:, 1:])
+    key &= key.dtype.type((1 << bits) - 1)
+    place = key.astype(np.int64)
+    place += np.arange(0, lanes * width, width)[:, None]
+    place, at = place.ravel(), np.flatnonzero(head)
+    first = np.zeros(lanes * width, bool)
+    first[place[at]] = True
+    rank = np.cumsum(first.reshape(lanes, width), axis=1, dtype=np.int32).ravel()
+    number = np.empty(lanes * width, np.int32)
+    number[place] = np.repeat(rank[place[at]] - np.int32(1), np.diff(np.append(at, lanes * width)))
+    return number.reshape(lanes, width)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from jointframe.llm.common import split_words
+from jointframe.llm.common import ranges, split_words
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -92,8 +92,8 @@ class WordEncoder:
             return tuple(chain.from_iterable(map(self.piece, _PIECES.findall(low))))
         return self.others.get(word)
 
-    def lookup(self, words: pa.Array) -> list[tuple[int, ...]]:
-        """The ids of each word."""
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words one after the other, how many each has)."""
         for kept in (self.pieces, self.others):
             if len(kept) > KEPT_PIECES:
                 kept.clear()
@@ -101,32 +101,38 @@ class WordEncoder:
         cut = pc.extract_regex(words, _LETTERS_MARKS)
         heads = pc.utf8_lower(pc.struct_field(cut, "head")).dictionary_encode()
         tails = pc.struct_field(cut, "tail").dictionary_encode()
-        of_head = [*map(self.piece, _listed(heads.dictionary)), ()]
-        of_tail = [*(self.piece(t) if t else () for t in _listed(tails.dictionary)), ()]
-        at = [_listed(pc.fill_null(x.indices, len(of) - 1)) for x, of in ((heads, of_head), (tails, of_tail))]
-        found: list[tuple[int, ...] | None] = [of_head[i] + of_tail[j] for i, j in zip(*at, strict=True)]
-        others = np.flatnonzero(cut.is_null().to_numpy(zero_copy_only=False)).tolist()
-        rest, texts = [], _listed(words.take(pa.array(others, pa.int64())))
-        for i, w in zip(others, texts, strict=True):
-            found[i] = self.pieces.get(w) or self.word(w)
-            if found[i] is None:
+        others = np.flatnonzero(cut.is_null().to_numpy(zero_copy_only=False))
+        rest, texts, whole = [], _listed(words.take(pa.array(others, pa.int64()))), []
+        for i, w in enumerate(texts):
+            whole.append(self.pieces.get(w) or self.word(w))
+            if whole[i] is None:
                 rest.append((i, w))
         for (i, w), ids in zip(rest, self.plain([w for _, w in rest]), strict=True):
-            found[i] = self.others[w] = ids
-        return found
+            whole[i] = self.others[w] = ids
+        # A word is two of these, a run of letters and marks, or one and nothing.
+        runs = _listed(heads.dictionary)
+        known = [ids or self.piece(p) for ids, p in zip(map(self.pieces.get, runs), runs, strict=True)]
+        parts = [*known, *(self.piece(t) if t else () for t in _listed(tails.dictionary)), *whole, ()]
+        first, of_heads, of_tails = len(parts) - 1, len(heads.dictionary), len(tails.dictionary)
+        pairs = np.full((len(words), 2), first, np.int64)
+        for column, (x, base) in enumerate(((heads, 0), (tails, of_heads))):
+            pairs[:, column] = pc.fill_null(x.indices, first - base).to_numpy(zero_copy_only=False).astype(np.int64) + base
+        pairs[others, 0] = of_heads + of_tails + np.arange(len(others))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum()))
+        own = sizes[pairs]
+        return flat[ranges((np.cumsum(sizes) - sizes)[pairs].ravel(), own.ravel())], own.sum(1).astype(np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, place of each text's first id and the total at the end)."""
         # Line ends are white space like any other; words on both sides of one are seldom met again as a pair.
         words, which, first = split_words(pc.replace_substring(texts, "\n", " "))
-        found = self.lookup(words)
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        flat, sizes = self.lookup(words)
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        lengths = sizes[which] if len(found) else np.zeros(0, np.int32)
+        lengths = sizes[which] if len(sizes) else np.zeros(0, np.int32)
         bounds = np.zeros(len(which) + 1, np.int32)
         np.cumsum(lengths, out=bounds[1:])
-        ids = flat[np.repeat(starts[which] - bounds[:-1], lengths) + np.arange(bounds[-1], dtype=np.int32)] if len(found) else flat
+        ids = flat[np.repeat(starts[which] - bounds[:-1], lengths) + np.arange(bounds[-1], dtype=np.int32)] if len(sizes) else flat
         return ids, bounds[first].astype(np.int64)
 
 

@@ -464,3 +464,23 @@ def test_blocks_are_coded_in_even_runs():
     assert tokenbin._runs(2 * tokenbin.LANES + 1) == [(0, 3_413), (3_413, 6_827), (6_827, 10_241)]
     ids = np.random.default_rng(4).integers(0, 300, 3 * 16 + 5).astype(np.uint32)
     assert (tokenbin.decode_blocks(tokenbin.encode_blocks(ids, 16)) == ids).all()
+
+
+def test_words_are_put_together_side_by_side():
+    enc = WordEncoder(vocabulary_path())
+    words = ["the", "The,", "ñandú", "a,b", "", "İx", "the", "...", "<|endoftext|>", "END!?"]
+    for _ in range(2):  # new words, then known ones
+        flat, sizes = enc.lookup(pa.array(words))
+        assert np.split(flat, np.cumsum(sizes)[:-1])[0].tolist() == plain_ids("the")
+        assert [tuple(x.tolist()) for x in np.split(flat, np.cumsum(sizes)[:-1])] == enc.plain(words)
+    flat, sizes = enc.lookup(pa.array([], pa.string()))
+    assert len(flat) == len(sizes) == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 1024, 70_000])
+def test_ids_are_numbered_as_they_appear(width):
+    ids = np.random.default_rng(width).choice(np.array([0, 1, 2, 40_000, 65_535], np.int32), (3, width))
+    got = tokenbin._first_seen(ids, np.full(3, width))
+    for row, numbers in zip(ids.tolist(), got.tolist(), strict=True):
+        seen = {}
+        assert numbers == [seen.setdefault(x, len(seen)) for x in row]
