@@ -6,13 +6,17 @@ task; sets are compared through their size and two 64-bit digests.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jointframe import fixed
 from jointframe.functions import linalg as la
+from jointframe.functions import points as pts
 from jointframe.operators import geometry as geo
 from jointframe.plans.ordered import ranked
 from jointframe.session import durable
@@ -73,31 +77,41 @@ def split_roles(moving: DataFrame, parts: DataFrame) -> DataFrame:
         "obj", "key", "label", F.when(F.col("_m"), "moving").otherwise("body").alias("role"))
 
 
-def posed_points(points: DataFrame, moved: DataFrame, joints: DataFrame,
-                 fractions: tuple[float, ...] = (0.5, 0.75, 1.0), within: bool = False) -> DataFrame:
-    """Points (obj, joint, x, y, z) of a joint's parts at fractions of its full range.
+FRACTIONS = (0.5, 0.75, 1.0)
 
-    ``joints`` carries type, range, axis origin wo0..2 and direction wd0..2, and
-    the frame mx, my, mz, scale; points are in normalised space. With ``within``
-    it also has a box lo_x..hi_z, and points that leave it are dropped.
+
+def joint_poses(joints: DataFrame, fractions: tuple[float, ...] = FRACTIONS, keep: Sequence[str] = ()) -> DataFrame:
+    """(obj, joint, keep…, r0..8, t0..2): how points in normalised space move with a joint at fractions of its full range.
+
+    ``joints`` carries type, range, axis origin wo0..2 and direction wd0..2, and the frame mx, my, mz, scale.
     """
-    ends = [f"{e}_{a}" for a in geo.AXES for e in ("lo", "hi")] if within else []
     span = F.abs(F.col("upper") - F.col("lower"))
     at = joints.withColumn("_f", F.explode(F.array(*[F.lit(f) for f in fractions]))).select(
-        "obj", "joint", *ends, (F.col("type") == "prismatic").alias("_slides"), (span * F.col("_f")).alias("_q"), "scale",
+        "obj", "joint", *keep, (F.col("type") == "prismatic").alias("_slides"), (span * F.col("_f")).alias("_q"), "scale",
         *[c.alias(f"a{i}") for i, c in enumerate(la.normalise(la.fields("wd", 3)))],
         *[((F.col(f"wo{i}") - F.col(f"m{a}")) * F.col("scale")).alias(f"p{i}") for i, a in enumerate(geo.AXES)],
     )
     turn = F.when(F.col("_slides"), 0.0).otherwise(F.col("_q"))
     at = at.withColumns({"_c": F.cos(turn), "_s": F.sin(turn)})
     axis = la.fields("a", 3)
-    at = at.select("obj", "joint", *ends, "_slides", "_q", "scale", *[f"a{i}" for i in range(3)], *[f"p{i}" for i in range(3)],
+    at = at.select("obj", "joint", *keep, "_slides", "_q", "scale", *[f"a{i}" for i in range(3)], *[f"p{i}" for i in range(3)],
                    *[c.alias(f"r{i}") for i, c in enumerate(la.turn_matrix(axis, F.col("_c"), F.col("_s")))])
     # One small matrix per joint and fraction is finished here, before it meets the points.
     _, about = la.about_point(la.fields("r", 9), la.fields("p", 3))
     slide = la.scale(axis, F.col("_q") * F.col("scale"))
-    at = at.select("obj", "joint", *ends, *[f"r{i}" for i in range(9)],
-                   *[F.when(F.col("_slides"), m).otherwise(b).alias(f"t{i}") for i, (m, b) in enumerate(zip(slide, about))])
+    return at.select("obj", "joint", *keep, *[f"r{i}" for i in range(9)],
+                     *[F.when(F.col("_slides"), m).otherwise(b).alias(f"t{i}") for i, (m, b) in enumerate(zip(slide, about))])
+
+
+def posed_points(points: DataFrame, moved: DataFrame, joints: DataFrame,
+                 fractions: tuple[float, ...] = FRACTIONS, within: bool = False) -> DataFrame:
+    """Points (obj, joint, x, y, z) of a joint's parts at fractions of its full range.
+
+    ``joints`` is that of ``joint_poses``; points are in normalised space. With ``within``
+    it also has a box lo_x..hi_z, and points that leave it are dropped.
+    """
+    ends = [f"{e}_{a}" for a in geo.AXES for e in ("lo", "hi")] if within else []
+    at = joint_poses(joints, fractions, ends)
     rows = points.withColumnRenamed("part", "label").join(moved.join(at, ["obj", "joint"]), ["obj", "label"])
     posed = la.add(la.matvec(la.fields("r", 9), geo.xyz()), la.fields("t", 3))
     out = rows.select("obj", "joint", *ends, *[c.alias(a) for c, a in zip(posed, geo.AXES)])
@@ -142,6 +156,87 @@ def contacts(points: DataFrame, moved: DataFrame, joints: DataFrame, pairs: Data
     return reduce(DataFrame.unionByName, found)
 
 
+#: Objects with at most so many points, counted once for each joint that moves them and each that may touch them, are done whole by one task.
+WHOLE = 1 << 19
+
+
+def surface_contacts(triangles: DataFrame, moved: DataFrame, joints: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``contacts`` over area samples of the triangles (obj, part, face, p0..2, q0..2, s0..2, frame).
+
+    Samples are many times the triangles. So the triangles and joints of an object meet in one task, which
+    draws, poses and compares its points there, and no point is exchanged or written. Objects too large
+    for that have their points written and compared in cells.
+    """
+    keep = ["obj", "part"]
+    faces = durable(geo.sample_counts(triangles, keep, "face"), ended=True)
+    asked = durable(pairs)
+    moving = durable(moved.join(asked.select("obj", "joint").distinct(), ["obj", "joint"], "left_semi"))
+    sizes = faces.groupBy("obj", F.col("part").alias("label")).agg(F.sum("_n").alias("_n"))
+    work = moving.unionByName(asked).join(sizes, ["obj", "label"]).groupBy("obj").agg(F.sum("_n").alias("_n"))
+    large = durable(work.where(F.col("_n") > WHOLE).select("obj"), ended=True)
+    if large.isEmpty():
+        return durable(_contacts_by_object(faces, moving, joints, asked, threshold), ended=True)
+    few, many = [[df.join(large, "obj", kind) for df in (faces, moving, joints, asked)] for kind in ("left_anti", "left_semi")]
+    whole = durable(_contacts_by_object(*few, threshold), ended=True)
+    points = geo.in_frame(geo.drawn_points(many[0], keep, "face", carry=geo.FRAME), keep)
+    return whole.unionByName(contacts(durable(points), *many[1:], threshold))
+
+
+def _contacts_by_object(faces: DataFrame, moved: DataFrame, joints: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The contacts of objects that one task can hold, each object in one call."""
+    poses = joint_poses(joints.join(pairs.select("obj", "joint").distinct(), ["obj", "joint"], "left_semi"))
+    poses = poses.select("obj", "joint", F.array(*la.fields("r", 9), *la.fields("t", 3)).alias("pose"))
+    links = poses.unionByName(moved.select("obj", "joint", "label", F.lit(False).alias("asked")), True).unionByName(
+        pairs.select("obj", "joint", "label", F.lit(True).alias("asked")), True)
+    # Points are drawn in the task, so tasks are not to be joined to few by the bytes of the faces.
+    tasks = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = [df.repartition(tasks, "obj").groupBy("obj") for df in (faces.drop("face"), links)]
+    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    return sides[0].cogroup(sides[1]).applyInArrow(_object_contacts(threshold), ", ".join(f"{c} {kind[c]}" for c in ("obj", "joint", "label")))
+
+
+def _object_contacts(threshold: float):
+    """A function of the faces and links of one object that tells its contacts."""
+    def run(faces: pa.Table, links: pa.Table) -> pa.Table:
+        none = pa.table({c: links.column(c).slice(0, 0) for c in ("obj", "joint", "label")})
+        if not faces.num_rows or not links.num_rows:
+            return none
+        name = links.column("joint").combine_chunks().dictionary_encode()
+        joint, is_pose = name.indices.to_numpy(), links.column("label").is_null().to_numpy()
+        part = faces.column("part").to_numpy()
+        labels = np.unique(part)
+        wanted = links.column("label").fill_null(0).to_numpy()
+        # Labels by number; links to parts without faces have no points to meet.
+        at = np.searchsorted(labels, wanted).clip(max=len(labels) - 1)
+        linked = ~is_pose & (labels[at] == wanted)
+        asks = linked & links.column("asked").fill_null(False).to_numpy()
+        moves = linked & ~asks
+        if not asks.any() or not moves.any():
+            return none
+        poses = links.column("pose").combine_chunks().drop_null().flatten().to_numpy().reshape(-1, 12)
+        posing = joint[is_pose]
+        needed = np.zeros(len(labels), bool)
+        needed[at[linked]] = True
+        faces = faces.filter(pa.array(needed[np.searchsorted(labels, part)]))
+        row, xyz = geo.drawn_in_frame(faces)
+        label = np.searchsorted(labels, faces.column("part").to_numpy())[row]
+        rests = np.zeros(len(labels), bool)
+        rests[at[asks]] = True
+        still = rests[label]
+        resting = pts.Resting(xyz[:, still], label[still], len(labels), threshold)
+        found: list[tuple[int, int]] = []
+        for j in np.unique(joint[asks]):
+            mine, asked = np.zeros((2, len(labels)), bool)
+            mine[at[moves & (joint == j)]], asked[at[asks & (joint == j)]] = True, True
+            posed = xyz[:, mine[label]]
+            r = poses[posing == j]
+            posed = np.stack([((r[:, 3 * i, None] * posed[0] + r[:, 3 * i + 1, None] * posed[1] + r[:, 3 * i + 2, None] * posed[2]) + r[:, 9 + i, None]).ravel() for i in range(3)])
+            found += [(j, k) for k in np.flatnonzero(resting.touched(posed, asked))]
+        ids = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"obj": pa.repeat(links.column("obj")[0], len(ids)), "joint": name.dictionary.take(pa.array(ids[:, 0])), "label": pa.array(labels[ids[:, 1]], links.schema.field("label").type)})
+    return run
+
+
 def promote(roles: DataFrame, active: DataFrame, moved: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Roles and active joints after collision promotion.
 

@@ -46,12 +46,12 @@ def build(joints: DataFrame, parts: DataFrame, vertices: DataFrame, threshold: f
     live = moved.join(ordered.select("obj", "joint"), ["obj", "joint"], "left_semi")
     moving, active = sp.build_splits(ordered.select("obj", "joint", "type", "ord"), live)
     roles, active = durable(sp.split_roles(moving, parts)), durable(active)
-    keep = ["obj", "part"]
+    asked = sp.promotable(roles, active)
     if faces is None:
-        points = geo.normalise(vertices, frames, ["obj"]).select(*keep, *geo.AXES).distinct()
+        points = geo.normalise(vertices, frames, ["obj"]).select("obj", "part", *geo.AXES).distinct()
+        hits = sp.contacts(durable(points), live, ordered.drop("ord"), asked, threshold)
     else:
         # Frames join the faces, which are few, and not the points.
-        points = geo.in_frame(geo.surface_samples(faces.join(frames, "obj"), keep, "face", carry=geo.FRAME), keep)
-    hits = sp.contacts(durable(points), live, ordered.drop("ord"), sp.promotable(roles, active), threshold)
+        hits = sp.surface_contacts(faces.join(frames, "obj"), live, ordered.drop("ord"), asked, threshold)
     roles, active = sp.promote(roles, active, live, hits)
     return Corpus(ordered, roles, active, sp.tensor_rows(active, ordered), frames)

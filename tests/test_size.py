@@ -4,11 +4,15 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from jointframe import adapters as ad
 from jointframe import session
+from jointframe.functions import points as pts
+from jointframe.functions import scalar as sc
 from jointframe.functions import stats as st
+from jointframe.operators import geometry as geo
 from jointframe.operators import pixels as px
 from jointframe.operators import splits as sp
 from jointframe.plans import corpus, ordered
@@ -53,6 +57,62 @@ def test_contacts_equal_brute_force(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want and 0 < len(want) < 6
 
 
+def test_samples_of_faces_are_neither_written_nor_exchanged(spark):
+    t = Tables(spark, FOLDER)
+    faces = strip_faces(t)
+    samples = faces.select("obj", "part").distinct().count() * 1_000
+    before = len(session._WRITTEN)
+    corpus.build(ad.joints(t), ad.parts(t).select("obj", "label"), ad.vertices(t), faces=faces).roles.count()
+    assert max(spark.read.parquet(p).count() for p in session._WRITTEN[before:] if "durable-" in p) < samples / 10
+
+
+def test_contacts_over_faces_are_those_over_their_samples(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    frame = {"mx": 0.01, "my": 0.0, "mz": -0.02, "scale": 0.5}
+    faces, joints, moved, pairs = [], [], [], []
+    for o in range(6):
+        # Labels need not count from 0, one asked label has no faces, and every other object has one more.
+        more = (5,) if o % 2 else ()
+        for part in (3, 4, 7, *more):
+            for f in range(5):
+                corners = rng.uniform(-0.3, 0.3, 9) + np.tile([0.5 * (part == 7), 0, 0], 3)
+                faces.append((o, part, 10 * f, *map(float, corners), *frame.values(), False))
+        for j, kind in enumerate(("prismatic", "revolute")):
+            joints.append({"obj": o, "joint": f"j{j}", "type": kind, "lower": 0.0, "upper": float(rng.uniform(0, 0.8)), **{f"wo{i}": 0.1 * i for i in range(3)}, "wd0": float(1 - j), "wd1": 0.0, "wd2": float(j), **frame})
+            moved.append((o, f"j{j}", 3 + j))
+            pairs += [(o, f"j{j}", k) for k in (4 - j, 7, 9, *more)]
+    tri = spark.createDataFrame(faces, ", ".join(["obj bigint, part bigint, face bigint", *[f"{c}{i} double" for c in "pqs" for i in range(3)], *[f"{c} double" for c in frame], "flat boolean"]))
+    links = "obj bigint, joint string, label bigint"
+    at = spark.createDataFrame(joints).withColumn("obj", F.col("obj").cast("bigint"))
+    sides = [spark.createDataFrame(moved, links), at, spark.createDataFrame(pairs, links)]
+    points = geo.in_frame(geo.surface_samples(tri, ["obj", "part"], "face", carry=geo.FRAME), ["obj", "part"])
+    rest, posed = points.toPandas(), sp.posed_points(points, sides[0], at).toPandas()
+    threshold, want = 0.004, set()
+    for o, j, k in pairs:
+        a = posed[(posed.obj == o) & (posed.joint == j)][geo.AXES].to_numpy()
+        b = rest[(rest.obj == o) & (rest.part == k)][geo.AXES].to_numpy()
+        if any((((x - b) ** 2).sum(-1) < threshold ** 2).any() for x in a):
+            want.add((o, j, k))
+    assert 5 < len(want) < len(pairs) - 12
+    # All objects in one task each, and some in cells.
+    for limit in (1 << 19, 7_000):
+        monkeypatch.setattr(sp, "WHOLE", limit)
+        rows = [tuple(r) for r in sp.surface_contacts(tri, *sides, threshold).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_draws_of_a_batch_are_those_of_the_plan(spark):
+    # The last but one fills a block of md5 with its number and tag, the last does not fit one.
+    idents = ["1", "250", "-7", "x" * 51, "y" * 54]
+    counts = np.array([1200, 1, 0, 110, 12])
+    row, draws = pts.uniforms(pa.array(["cut", *idents]).slice(1), counts, ("a", "b"))
+    rows = spark.createDataFrame([(r, s, int(n)) for r, (s, n) in enumerate(zip(idents, counts)) if n], "r int, s string, n int").selectExpr("r", "s", "explode(sequence(1, n)) AS i")
+    want = rows.select("r", "i", *[sc.uniform(F.col("s"), F.col("i"), F.lit(t)).alias(t) for t in "ab"]).orderBy("r", "i").toPandas()
+    assert (row == want.r).all() and (draws[0] == want.a).all() and (draws[1] == want.b).all()
+    fits, (u, _) = pts.uniforms(pa.array(idents[:4]), counts[:4], ("a", "b"))
+    assert (fits == row[: len(fits)]).all() and (u == draws[0][: len(fits)]).all()
+
+
 def test_small_keys_are_done_whole_and_large_ones_in_blocks(spark, monkeypatch, many_blocks):
     df = spark.range(3_000).selectExpr("id % 7 * (id % 2) AS k", "id AS o", "IF(id % 5 = 0, id, NULL) AS v")
 
