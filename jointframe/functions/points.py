@@ -12,12 +12,11 @@ _SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
 _SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
 _START = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
 #: Bytes of a message that fit one block of md5, and messages worked on together, so that they stay in the cache.
-ONE_BLOCK, TOGETHER = 55, 1 << 12
+ONE_BLOCK, TOGETHER = 55, 1 << 13
 
 
-def _hashes(words: np.ndarray) -> np.ndarray:
-    """``scalar.stable_hash`` of messages of one block, given as 16 rows of words."""
-    used = words.any(axis=1)
+def _hashes(words: np.ndarray, used: int) -> np.ndarray:
+    """``scalar.stable_hash`` of messages of one block, given as 16 rows of words: those that are ``used``, zeros and the length."""
     a, b, c, d = [np.full(words.shape[1], v) for v in _START]
     f = np.empty_like(a)
     for i in range(64):
@@ -43,7 +42,7 @@ def _hashes(words: np.ndarray) -> np.ndarray:
             f ^= c
         a += f
         a += _SINES[i]
-        if used[k]:
+        if k < used or k == 14:
             a += words[k]
         shift = _SHIFTS[turn][j % 4]
         np.left_shift(a, np.uint32(shift), out=f)
@@ -73,20 +72,22 @@ def uniforms(prefixes: pa.Array, counts: np.ndarray, tags: tuple[str, ...]) -> t
     heads.reshape(-1)[np.repeat(64 * np.arange(n) - at[:-1], size) + np.arange(at[0], at[-1])] = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
     out = [np.empty(total) for _ in tags]
     for lo in range(0, total, TOGETHER):
-        r, left, places = row[lo : lo + TOGETHER], i[lo : lo + TOGETHER].copy(), digits[lo : lo + TOGETHER]
+        r, left, places = row[lo : lo + TOGETHER], i[lo : lo + TOGETHER], digits[lo : lo + TOGETHER]
         block = heads[r]
         flat = block.reshape(-1)
         end = 64 * np.arange(len(r)) + size[r] + places
         for k in range(1, int(places.max()) + 1):
             some = places >= k
-            flat[(end - k)[some]] = 48 + (left % 10)[some]
-            left //= 10
+            tens = left // 10
+            flat[(end - k)[some]] = (48 + left - 10 * tens)[some]
+            left = tens
         flat[end + 1] = 0x80
         bits = 8 * (size[r] + places + 1)
         block[:, 56], block[:, 57] = bits & 255, bits >> 8
+        used = int(bits.max()) // 32 + 1
         for t, o in zip(tags, out, strict=True):
             flat[end] = ord(t)
-            o[lo : lo + TOGETHER] = _hashes(np.ascontiguousarray(block.view("<u4").T)) / 4294967295.0
+            o[lo : lo + TOGETHER] = _hashes(np.ascontiguousarray(block.view("<u4").T), used) / 4294967295.0
     return row, out
 
 
@@ -122,11 +123,11 @@ class Resting:
         """
         open_, out = asked.copy(), np.zeros_like(asked)
         step = max(1, posed.shape[1] // FIRST)
-        for points in (posed[:, ::step], *([np.delete(posed, slice(None, None, step), axis=1)] if step > 1 else [])):
-            for lo in range(0, points.shape[1], NEXT):
-                if not open_.any():
-                    return out
-                self._look(points[:, lo : lo + NEXT], open_, out)
+        self._look(posed[:, ::step], open_, out)
+        for lo in range(0, posed.shape[1] if step > 1 else 0, NEXT):
+            if not open_.any():
+                break
+            self._look(posed[:, lo : lo + NEXT], open_, out)
         return out
 
     def _look(self, points: np.ndarray, open_: np.ndarray, out: np.ndarray) -> None:

@@ -149,7 +149,7 @@ def hinge_points(box: DataFrame, kind: str = "rule") -> DataFrame:
 
 
 def sample_counts(triangles: DataFrame, keys: Sequence[str], face: str, most: int | None = None, least: int = 1_000) -> DataFrame:
-    """The triangles that ``surface_samples`` puts points on, with their number ``_n`` and the text ``_ident`` that keys their draws."""
+    """The triangles that ``surface_samples`` puts points on, with their number ``_n``."""
     p, q, s = la.fields("p", 3), la.fields("q", 3), la.fields("s", 3)
     area = la.norm(la.cross(la.sub(q, p), la.sub(s, p))) / 2
     sized = triangles.withColumn("_area", area)
@@ -158,8 +158,7 @@ def sample_counts(triangles: DataFrame, keys: Sequence[str], face: str, most: in
     points = F.greatest(F.col("_faces"), F.lit(least))
     want = (points if most is None else F.least(F.lit(most), points)) * F.try_divide(F.col("_area"), F.col("_sum"))
     n = (F.floor(want) + F.when(sc.uniform(*ident) < want - F.floor(want), 1).otherwise(0)).cast("int")
-    counted = sized.join(total, list(keys)).withColumns({"_n": n, "_ident": F.concat(*[k.cast("string") for k in ident])})
-    return counted.where("_n > 0").drop("_area", "_sum", "_faces")
+    return sized.join(total, list(keys)).withColumn("_n", n).where("_n > 0").drop("_area", "_sum", "_faces")
 
 
 def surface_samples(triangles: DataFrame, keys: Sequence[str], face: str, most: int | None = None,
@@ -174,30 +173,28 @@ def surface_samples(triangles: DataFrame, keys: Sequence[str], face: str, most:
 
 
 def drawn_points(counted: DataFrame, keys: Sequence[str], face: str, carry: Sequence[str] = ()) -> DataFrame:
-    """The points on triangles that carry their number and their key."""
+    """The points on triangles that carry their number."""
     p, q, s = la.fields("p", 3), la.fields("q", 3), la.fields("s", 3)
     # A face makes many points, so tasks are not to be joined to few by the bytes of the faces.
     tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = counted.repartition(tasks, *keys, face).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    u, v = [sc.uniform(F.col("_ident"), F.col("_i"), F.lit(t)) for t in DRAWS]
+    u, v = [sc.uniform(*[F.col(k) for k in [*keys, face]], F.col("_i"), F.lit(t)) for t in DRAWS]
     a, b = F.when(u + v > 1, 1 - u).otherwise(u), F.when(u + v > 1, 1 - v).otherwise(v)
     point = la.add(p, la.add(la.scale(la.sub(q, p), a), la.scale(la.sub(s, p), b)))
     return rows.select(*keys, *carry, *[c.alias(n) for c, n in zip(point, AXES)])
 
 
-def drawn_in_frame(counted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """``in_frame`` of ``drawn_points`` inside a task: each point's triangle, and x, y, z as rows of an array."""
-    def column(c: str) -> np.ndarray:
-        return counted.column(c).to_numpy()
-    row, (u, v) = pts.uniforms(counted.column("_ident").combine_chunks(), column("_n").astype(np.int64), DRAWS)
+def drawn_in_frame(counted: pa.Table, idents: pa.Array, frame: dict) -> tuple[np.ndarray, np.ndarray]:
+    """``in_frame`` of ``drawn_points`` inside a task, of triangles with the texts of their keys in one frame: each point's triangle, and x, y, z as rows of an array."""
+    row, (u, v) = pts.uniforms(idents, counted.column("_n").to_numpy().astype(np.int64), DRAWS)
     over = u + v > 1
     a, b = np.where(over, 1 - u, u), np.where(over, 1 - v, v)
-    scale, flat = column("scale"), column("flat").astype(bool)
     out = np.empty((3, len(row)))
     for i, axis in enumerate(AXES):
-        p, q, s, m = [column(c) for c in (f"p{i}", f"q{i}", f"s{i}", f"m{axis}")]
-        x = p[row] + ((q - p)[row] * a + (s - p)[row] * b)
-        out[i] = np.where(flat[row], x, (x - m[row]) * scale[row])
+        p, q, s = [counted.column(f"{c}{i}").to_numpy() for c in "pqs"]
+        out[i] = p[row] + ((q - p)[row] * a + (s - p)[row] * b)
+        if not frame["flat"]:
+            out[i] = (out[i] - frame[f"m{axis}"]) * frame["scale"]
     return row, out
 
 

@@ -160,8 +160,8 @@ def contacts(points: DataFrame, moved: DataFrame, joints: DataFrame, pairs: Data
 WHOLE = 1 << 19
 
 
-def surface_contacts(triangles: DataFrame, moved: DataFrame, joints: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """``contacts`` over area samples of the triangles (obj, part, face, p0..2, q0..2, s0..2, frame).
+def surface_contacts(triangles: DataFrame, frames: DataFrame, moved: DataFrame, joints: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``contacts`` over area samples of the triangles (obj, part, face, p0..2, q0..2, s0..2) in the frames of their objects.
 
     Samples are many times the triangles. So the triangles and joints of an object meet in one task, which
     draws, poses and compares its points there, and no point is exchanged or written. Objects too large
@@ -175,31 +175,37 @@ def surface_contacts(triangles: DataFrame, moved: DataFrame, joints: DataFrame,
     work = moving.unionByName(asked).join(sizes, ["obj", "label"]).groupBy("obj").agg(F.sum("_n").alias("_n"))
     large = durable(work.where(F.col("_n") > WHOLE).select("obj"), ended=True)
     if large.isEmpty():
-        return durable(_contacts_by_object(faces, moving, joints, asked, threshold), ended=True)
-    few, many = [[df.join(large, "obj", kind) for df in (faces, moving, joints, asked)] for kind in ("left_anti", "left_semi")]
+        return durable(_contacts_by_object(faces, frames, moving, joints, asked, threshold), ended=True)
+    few, many = [[df.join(large, "obj", kind) for df in (faces, frames, moving, joints, asked)] for kind in ("left_anti", "left_semi")]
     whole = durable(_contacts_by_object(*few, threshold), ended=True)
-    points = geo.in_frame(geo.drawn_points(many[0], keep, "face", carry=geo.FRAME), keep)
-    return whole.unionByName(contacts(durable(points), *many[1:], threshold))
+    # Frames join the faces, which are few, and not the points.
+    points = geo.in_frame(geo.drawn_points(many[0].join(many[1], "obj"), keep, "face", carry=geo.FRAME), keep)
+    return whole.unionByName(contacts(durable(points), *many[2:], threshold))
 
 
-def _contacts_by_object(faces: DataFrame, moved: DataFrame, joints: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _contacts_by_object(faces: DataFrame, frames: DataFrame, moved: DataFrame, joints: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The contacts of objects that one task can hold, each object in one call."""
     poses = joint_poses(joints.join(pairs.select("obj", "joint").distinct(), ["obj", "joint"], "left_semi"))
     poses = poses.select("obj", "joint", F.array(*la.fields("r", 9), *la.fields("t", 3)).alias("pose"))
-    links = poses.unionByName(moved.select("obj", "joint", "label", F.lit(False).alias("asked")), True).unionByName(
-        pairs.select("obj", "joint", "label", F.lit(True).alias("asked")), True)
+    links = frames.select("obj", F.struct(*geo.FRAME).alias("frame"))
+    for rows in (poses, *[df.select("obj", "joint", "label", F.lit(a).alias("asked")) for df, a in ((moved, False), (pairs, True))]):
+        links = links.unionByName(rows, True)
     # Points are drawn in the task, so tasks are not to be joined to few by the bytes of the faces.
     tasks = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = [df.repartition(tasks, "obj").groupBy("obj") for df in (faces.drop("face"), links)]
+    ident = F.concat(*[F.col(c).cast("string") for c in ("obj", "part", "face")]).alias("_ident")
+    dealt = faces.repartition(tasks, "obj").select("obj", "part", "_n", ident, *[f"{c}{i}" for c in "pqs" for i in range(3)])
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return sides[0].cogroup(sides[1]).applyInArrow(_object_contacts(threshold), ", ".join(f"{c} {kind[c]}" for c in ("obj", "joint", "label")))
+    met = dealt.groupBy("obj").cogroup(links.repartition(tasks, "obj").groupBy("obj"))
+    return met.applyInArrow(_object_contacts(threshold), ", ".join(f"{c} {kind[c]}" for c in ("obj", "joint", "label")))
 
 
 def _object_contacts(threshold: float):
     """A function of the faces and links of one object that tells its contacts."""
     def run(faces: pa.Table, links: pa.Table) -> pa.Table:
-        none = pa.table({c: links.column(c).slice(0, 0) for c in ("obj", "joint", "label")})
-        if not faces.num_rows or not links.num_rows:
+        frame = next((f for f in links.column("frame").to_pylist() if f), None)
+        links = links.filter(links.column("joint").is_valid()).combine_chunks()
+        none = links.slice(0, 0).select(["obj", "joint", "label"])
+        if not faces.num_rows or not links.num_rows or not frame:
             return none
         name = links.column("joint").combine_chunks().dictionary_encode()
         joint, is_pose = name.indices.to_numpy(), links.column("label").is_null().to_numpy()
@@ -217,8 +223,8 @@ def _object_contacts(threshold: float):
         posing = joint[is_pose]
         needed = np.zeros(len(labels), bool)
         needed[at[linked]] = True
-        faces = faces.filter(pa.array(needed[np.searchsorted(labels, part)]))
-        row, xyz = geo.drawn_in_frame(faces)
+        faces = faces.filter(pa.array(needed[np.searchsorted(labels, part)])).combine_chunks()
+        row, xyz = geo.drawn_in_frame(faces, faces.column("_ident").combine_chunks(), frame)
         label = np.searchsorted(labels, faces.column("part").to_numpy())[row]
         rests = np.zeros(len(labels), bool)
         rests[at[asks]] = True

@@ -34,7 +34,7 @@ def build(joints: DataFrame, parts: DataFrame, vertices: DataFrame, threshold: f
     ``joints`` is (obj, joint, type, parent, child, lower, upper, ax0..2, o0..2,
     rpy0..2), ``parts`` (obj, label), ``vertices`` (obj, part, x, y, z). With ``faces``
     (obj, part, face, p0..2, q0..2, s0..2) promotion compares area samples of
-    them, else the vertices. Results that feed several branches are cut once.
+    them, else the vertices. Vertices are read several times; results that feed several branches are cut once.
     """
     frames = durable(geo.normal_frames(vertices, ["obj"]))
     moved = durable(kin.descendant_parts(joints, ["obj"]))
@@ -51,7 +51,6 @@ def build(joints: DataFrame, parts: DataFrame, vertices: DataFrame, threshold: f
         points = geo.normalise(vertices, frames, ["obj"]).select("obj", "part", *geo.AXES).distinct()
         hits = sp.contacts(durable(points), live, ordered.drop("ord"), asked, threshold)
     else:
-        # Frames join the faces, which are few, and not the points.
-        hits = sp.surface_contacts(faces.join(frames, "obj"), live, ordered.drop("ord"), asked, threshold)
+        hits = sp.surface_contacts(faces, frames, live, ordered.drop("ord"), asked, threshold)
     roles, active = sp.promote(roles, active, live, hits)
     return Corpus(ordered, roles, active, sp.tensor_rows(active, ordered), frames)

@@ -119,13 +119,20 @@ def neighbours(
     columns: Mapping[str, str],
     ahead: bool = False,
     blocked: bool = False,
+    second: Mapping[str, str] | None = None,
+    reread: bool = False,
 ) -> DataFrame:
-    """Value of the previous (or next) row inside each key; null at the ends."""
-    shift = F.lead if ahead else F.lag
+    """Value of the previous (or next) row inside each key; null at the ends. ``second`` maps new columns to those of ``columns`` whose own neighbour they are."""
+    shift, second = F.lead if ahead else F.lag, second or {}
     if not blocked:
         w = Window.partitionBy(*keys).orderBy(*order)
-        return _either(df, keys, lambda rows: rows.select("*", *[shift(c).over(w).alias(n) for n, c in columns.items()]),
-                       lambda rows: neighbours(in_blocks(rows, keys, order), keys, order, columns, ahead, True).drop("_blk"))
+        steps = [*[(n, c, 1) for n, c in columns.items()], *[(n, columns[c], 2) for n, c in second.items()]]
+        def blocks(rows: DataFrame) -> DataFrame:
+            cut = in_blocks(rows, keys, order)
+            for more in filter(None, (columns, second)):
+                cut = neighbours(cut, keys, order, more, ahead, True)
+            return cut.drop("_blk")
+        return _either(df, keys, lambda rows: rows.select("*", *[shift(c, k).over(w).alias(n) for n, c, k in steps]), blocks, reread)
     rows, inside, across = df, _inside(keys, order), _across(keys)
     edge = F.min_by if ahead else F.max_by
     local = rows

@@ -19,7 +19,7 @@ from jointframe.queries.geometry import _FRAME_SQL, _RAD, GEOMETRY_CTE, joint_ax
 from jointframe.queries.kinematics import CLOSURE_SQL
 from jointframe.queries.splits import PROMOTE_SQL, SPLIT_SQL, THRESHOLD, movable_parts
 from jointframe.registry import query
-from jointframe.session import Tables
+from jointframe.session import Tables, durable
 from jointframe.sinks import text as out
 from jointframe.sources import assets, files
 
@@ -32,10 +32,11 @@ def _split_sizes(c: corpus.Corpus) -> DataFrame:
     return sizes.join(n, ["obj", "key"])
 
 
-def strip_faces(t: Tables) -> DataFrame:
-    """Each part as a strip of triangles over its vertices in order."""
-    rows = neighbours(ad.vertices(t), ["obj", "part"], ad.VERTEX_ORDER, {f"q{i}": a for i, a in enumerate(geo.AXES)}, ahead=True)
-    rows = neighbours(rows, ["obj", "part"], ad.VERTEX_ORDER, {f"s{i}": f"q{i}" for i in range(3)}, ahead=True).where("s0 is not null")
+def strip_faces(t: Tables, vertices: DataFrame | None = None) -> DataFrame:
+    """Each part as a strip of triangles over its vertices in order; ``vertices`` are those of the tables if they are written already."""
+    written = vertices is not None
+    rows = neighbours(vertices if written else ad.vertices(t), ["obj", "part"], ad.VERTEX_ORDER, {f"q{i}": a for i, a in enumerate(geo.AXES)}, ahead=True,
+                      second={f"s{i}": f"q{i}" for i in range(3)}, reread=written).where("s0 is not null")
     face = (F.col("ord1") * 8 + F.col("ord2")).alias("face")
     return rows.select("obj", "part", face, *[F.col(a).alias(f"p{i}") for i, a in enumerate(geo.AXES)], *[f"{c}{i}" for c in "qs" for i in range(3)])
 
@@ -77,7 +78,8 @@ SELECT rw.obj, rw.key, CAST(count(*) FILTER (moves) AS BIGINT) AS n_moving, CAST
 FROM rw JOIN s ON s.obj = rw.obj AND s.key = rw.key GROUP BY rw.obj, rw.key""")
 def corpus_splits(t: Tables) -> DataFrame:
     """The whole corpus job with the motion filter and promotion over area samples of the faces, as split sizes."""
-    c = corpus.build(ad.joints(t), ad.parts(t).select("obj", "label"), ad.vertices(t), faces=strip_faces(t))
+    vertices = durable(ad.vertices(t))
+    c = corpus.build(ad.joints(t), ad.parts(t).select("obj", "label"), vertices, faces=strip_faces(t, vertices))
     return _split_sizes(c)
 
 

@@ -76,16 +76,17 @@ def test_contacts_over_faces_are_those_over_their_samples(spark, monkeypatch):
         for part in (3, 4, 7, *more):
             for f in range(5):
                 corners = rng.uniform(-0.3, 0.3, 9) + np.tile([0.5 * (part == 7), 0, 0], 3)
-                faces.append((o, part, 10 * f, *map(float, corners), *frame.values(), False))
+                faces.append((o, part, 10 * f, *map(float, corners)))
         for j, kind in enumerate(("prismatic", "revolute")):
             joints.append({"obj": o, "joint": f"j{j}", "type": kind, "lower": 0.0, "upper": float(rng.uniform(0, 0.8)), **{f"wo{i}": 0.1 * i for i in range(3)}, "wd0": float(1 - j), "wd1": 0.0, "wd2": float(j), **frame})
             moved.append((o, f"j{j}", 3 + j))
             pairs += [(o, f"j{j}", k) for k in (4 - j, 7, 9, *more)]
-    tri = spark.createDataFrame(faces, ", ".join(["obj bigint, part bigint, face bigint", *[f"{c}{i} double" for c in "pqs" for i in range(3)], *[f"{c} double" for c in frame], "flat boolean"]))
+    tri = spark.createDataFrame(faces, ", ".join(["obj bigint, part bigint, face bigint", *[f"{c}{i} double" for c in "pqs" for i in range(3)]]))
+    frames = spark.createDataFrame([(o, *frame.values(), False) for o in range(6)], ", ".join(["obj bigint", *[f"{c} double" for c in frame], "flat boolean"]))
     links = "obj bigint, joint string, label bigint"
     at = spark.createDataFrame(joints).withColumn("obj", F.col("obj").cast("bigint"))
     sides = [spark.createDataFrame(moved, links), at, spark.createDataFrame(pairs, links)]
-    points = geo.in_frame(geo.surface_samples(tri, ["obj", "part"], "face", carry=geo.FRAME), ["obj", "part"])
+    points = geo.in_frame(geo.surface_samples(tri.join(frames, "obj"), ["obj", "part"], "face", carry=geo.FRAME), ["obj", "part"])
     rest, posed = points.toPandas(), sp.posed_points(points, sides[0], at).toPandas()
     threshold, want = 0.004, set()
     for o, j, k in pairs:
@@ -97,7 +98,7 @@ def test_contacts_over_faces_are_those_over_their_samples(spark, monkeypatch):
     # All objects in one task each, and some in cells.
     for limit in (1 << 19, 7_000):
         monkeypatch.setattr(sp, "WHOLE", limit)
-        rows = [tuple(r) for r in sp.surface_contacts(tri, *sides, threshold).collect()]
+        rows = [tuple(r) for r in sp.surface_contacts(tri, frames, *sides, threshold).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
 
 
@@ -131,6 +132,19 @@ def test_small_keys_are_done_whole_and_large_ones_in_blocks(spark, monkeypatch,
             assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_second_neighbours_come_by_the_same_exchange(spark, monkeypatch, many_blocks):
+    df = spark.range(500).selectExpr("id % 7 * (id % 2) AS k", "id AS o", "IF(id % 5 = 0, id, NULL) AS v")
+    rows = sorted(map(tuple, df.collect()), key=lambda r: r[:2])
+    want = [(k, o, v, *[rows[i + d][2] if i + d < len(rows) and rows[i + d][0] == k else None for d in (1, 2)]) for i, (k, o, v) in enumerate(rows)]
+    for limit in (1 << 16, 50, 0):
+        monkeypatch.setattr(ordered, "WHOLE", limit)
+        got = ordered.neighbours(df, ["k"], ["o"], {"p": "v"}, ahead=True, second={"q": "p"})
+        if limit > 500:
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+        assert sorted(map(tuple, got.select("k", "o", "v", "p", "q").collect()), key=lambda r: r[:2]) == want
+
+
 def test_small_frames_leave_a_task_together():
     def coded(data) -> bytes:
         buf = io.BytesIO()
